@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +34,12 @@ def key_as_double(dt: T.DataType, col: Column) -> Column | None:
 def quantile_splits(df: DataFrame, exprs: dict[str, Column], n: int, accuracy: int = 10000) -> dict[str, list[float]]:
     """Strictly increasing Bucketizer splits (with +-inf ends) per named double expression."""
     probs = [i / n for i in range(1, n)]
-    if not probs:
-        return {k: [-INF, INF] for k in exprs}
+    if not probs:  # Bucketizer needs one inner split; any value keeps chunks monotone
+        return {k: [-INF, 0.0, INF] for k in exprs}
     row = df.agg(*[F.percentile_approx(e, probs, accuracy).alias(k) for k, e in exprs.items()]).first()
     out = {}
     for k in exprs:
-        vals = sorted({float(v) for v in (row[k] or []) if v is not None})
+        vals = sorted({float(v) for v in (row[k] or []) if v is not None}) or [0.0]
         out[k] = [-INF, *vals, INF]
     return out
 
@@ -80,3 +80,25 @@ def per_column_buckets(df: DataFrame, cols: Sequence[str], n: int, prefix: str =
     exprs = {c: F.col(c).cast("double") for c in cols}
     splits = quantile_splits(df, exprs, n)
     return with_buckets(df, exprs, splits, {c: f"{prefix}{c}" for c in cols})
+
+
+def hash_rank(df: DataFrame, part: Sequence[str], keys: Sequence[str], seed: int, buckets: int = 64,
+              out: str = "_hrank", total: str = "_hn") -> DataFrame:
+    """0-based rank of each row inside ``part`` in the order of a seeded hash of ``keys``
+    (a deterministic random order), plus the partition size.
+
+    Rows are dealt into hash buckets; per (part, bucket) counts give offsets (a table of
+    parts x buckets rows) and a window ranks rows inside one bucket, so a huge partition
+    is never ranked by a single task.
+    """
+    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    base = df.withColumn("_hh", h).withColumn("_hb", F.pmod(F.col("_hh"), F.lit(buckets)))
+    per = base.groupBy(*part, "_hb").agg(F.count("*").alias("_hc"))
+    wb = Window.partitionBy(*part).orderBy("_hb")
+    offs = per.select(*part, "_hb",
+                      F.coalesce(F.sum("_hc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ho"),
+                      F.sum("_hc").over(Window.partitionBy(*part)).alias(total))
+    # offsets: parts x buckets rows; broadcast only when there is no partition key (buckets rows)
+    j = base.join(offs if part else F.broadcast(offs), [*part, "_hb"])
+    wr = Window.partitionBy(*part, "_hb").orderBy("_hh", *keys)
+    return j.withColumn(out, F.col("_ho") + F.row_number().over(wr) - 1).drop("_hh", "_hb", "_ho")
