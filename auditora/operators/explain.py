@@ -41,7 +41,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         wide = num.agg(*aggs)
         items = []
         for i, (a, b) in enumerate(chunk):
-            r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col(f"r{i}")))
+            raw = F.col(f"r{i}")  # greatest/least skip NULLs, so clamp only real values
+            r = F.when(raw.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw)))
             items.append(F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), r.alias("r")))
             if a != b:
                 items.append(F.struct(F.lit(b).alias("feature1"), F.lit(a).alias("feature2"), r.alias("r")))

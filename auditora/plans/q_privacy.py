@@ -209,9 +209,10 @@ FROM codes WHERE (SELECT u FROM st) > 0.1 AND (SELECT u FROM st) < 0.9 GROUP BY
 def _gen_hist(df, col):
     plan = pv.generalize_plan(df, 3)
     g = pv.anonymize_generalize(df, 3, plan)
-    bins = plan.where(F.col("feature") == col).select("bins")
-    return g.groupBy(F.lit(col).alias("feature"), F.col(col).alias("code")).agg(F.count("*").alias("n")).where(
-        F.col("code").isNotNull()).withColumn("bins", bins.scalar()).select("feature", "bins", "code", "n")
+    hist = g.groupBy(F.lit(col).alias("feature"), F.col(col).alias("code")).agg(F.count("*").alias("n")).where(
+        F.col("code").isNotNull())
+    # only a generalised column has codes: inner join with its plan row (one row at most)
+    return hist.join(plan.select("feature", "bins"), "feature").select("feature", "bins", "code", "n")
 
 
 @register("generalize_part", sql=_gen_sql("part", "p_retailprice", "p_partkey"))
@@ -260,8 +261,9 @@ def corr_sql(src: str, cols: list[str]) -> str:
     parts = []
     pairs = list(combinations(cols, 2)) + [(c, c) for c in cols]
     for a, b in pairs:
-        expr = (f"least(1.0, greatest(-1.0, covar_samp(CASE WHEN {b} IS NOT NULL THEN {a} END, CASE WHEN {a} IS NOT NULL THEN {b} END)"
-                f" / nullif(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END), 0)))")
+        raw = (f"covar_samp(CASE WHEN {b} IS NOT NULL THEN {a} END, CASE WHEN {a} IS NOT NULL THEN {b} END)"
+               f" / nullif(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END), 0)")
+        expr = f"CASE WHEN ({raw}) IS NULL THEN NULL ELSE least(1.0, greatest(-1.0, {raw})) END"
         parts.append(f"SELECT '{a}' AS feature1, '{b}' AS feature2, {expr} AS r FROM {src}")
         if a != b:
             parts.append(f"SELECT '{b}' AS feature1, '{a}' AS feature2, {expr} AS r FROM {src}")
