@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 
 # Pairs per aggregate: keeps generated code under the JVM method-size limit on wide tables.
-PAIR_CHUNK = 200
+PAIR_CHUNK = 8
 
 
 # ------------------------------------------------------------------ X1 / X2 correlations

@@ -181,13 +181,11 @@ def _directional_fill(df: DataFrame, order_by: Sequence[str], partition_by: Sequ
     chunked = order_chunks(df, order[0], nb, "_chunk")
     if chunked is None:  # order key without a numeric mapping: one chunk per partition key
         chunked = df.withColumn("_chunk", F.lit(0))
-    w = Window.partitionBy("_chunk", *part).orderBy(*order)
-    if forward:
-        frame = w.rowsBetween(Window.unboundedPreceding, 0)
-        local = {c: F.last(c, ignorenulls=True).over(frame) for c in cols}
-    else:
-        frame = w.rowsBetween(0, Window.unboundedFollowing)
-        local = {c: F.first(c, ignorenulls=True).over(frame) for c in cols}
+    # a running frame (unbounded preceding .. current row) is linear; a backward fill uses it
+    # over the descending order instead of an (current row .. unbounded following) frame
+    keys = [F.col(o).asc_nulls_first() for o in order] if forward else [F.col(o).desc_nulls_last() for o in order]
+    frame = Window.partitionBy("_chunk", *part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    local = {c: F.last(c, ignorenulls=True).over(frame) for c in cols}
     filled = chunked.withColumns({f"_l_{c}": e for c, e in local.items()})
 
     okey = F.struct(*[F.col(o) for o in order])

@@ -157,16 +157,27 @@ def k_anonymity(df: DataFrame, qis: Sequence[str], max_size: int = rules.KANON_M
     if len(qis) < 2 or not combos:
         return df.sparkSession.createDataFrame([], "combo string, size int, k long, n_groups long, risk_level string")
     base = df.groupBy(*qis).agg(F.count("*").alias("_n"))
+    q = len(qis)
     parts = []
     for start in range(0, len(combos), batch):
         chunk = combos[start:start + batch]
         sets = [[F.col(c) for c in combo] for combo in chunk]
         g = base.groupingSets(sets, *qis).agg(F.sum("_n").alias("n"), F.grouping_id(*qis).alias("_gid"))
-        for combo in chunk:
-            gid = sum(1 << (len(qis) - 1 - i) for i, c in enumerate(qis) if c not in combo)
-            sel = g.where((F.col("_gid") == gid) & F.greatest(*[F.col(c).isNull() for c in combo]).__invert__())
-            parts.append(sel.agg(F.min("n").alias("k"), F.count("*").alias("n_groups"))
-                         .select(F.lit("+".join(combo)).alias("combo"), F.lit(len(combo)).alias("size"), "k", "n_groups"))
+        # a row of set S is kept when every member column of S is non-NULL (bit 0 = member)
+        valid = F.lit(True)
+        for i, c in enumerate(qis):
+            rolled = F.shiftright(F.col("_gid"), q - 1 - i).bitwiseAND(F.lit(1)) == 1
+            valid = valid & (rolled | F.col(c).isNotNull())
+        names = {sum(1 << (q - 1 - i) for i, c in enumerate(qis) if c not in combo): combo for combo in chunk}
+        gid_name = F.create_map(*[x for gid, combo in names.items() for x in (F.lit(gid), F.lit("+".join(combo)))])
+        gid_size = F.create_map(*[x for gid, combo in names.items() for x in (F.lit(gid), F.lit(len(combo)))])
+        kept = g.where(valid).groupBy("_gid").agg(F.min("n").alias("k"), F.count("*").alias("n_groups"))
+        # sets whose every group had a NULL member still get a row (k NULL), as pandas would
+        all_sets = g.select("_gid").distinct()
+        r = all_sets.join(kept, "_gid", "left").select(
+            F.element_at(gid_name, F.col("_gid")).alias("combo"), F.element_at(gid_size, F.col("_gid")).alias("size"),
+            "k", F.coalesce(F.col("n_groups"), F.lit(0)).cast("long").alias("n_groups"))
+        parts.append(r)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

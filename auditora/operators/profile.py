@@ -17,7 +17,7 @@ from ..functions.common import dtype_name, is_numeric, is_string
 
 # Many exact distinct counts in one aggregate are expanded once per column by the
 # optimizer; beyond this many columns the profile is computed in column chunks.
-DISTINCT_CHUNK = 24
+DISTINCT_CHUNK = 4
 
 
 # ------------------------------------------------------------------ C1-C3 row cleaning
