@@ -131,6 +131,17 @@ def sensitive_in_top(imp: DataFrame, n: int = 10, value: str = "importance", by:
 
 
 # ------------------------------------------------------------------ X15 interpretability score
+def interpretability_scores(complexity: DataFrame, n_high_corr_pairs: int | None) -> DataFrame:
+    """X15 as a column over ``model_complexity`` rows (same rule as ``interpretability_score``)."""
+    kind = F.col("model_kind")
+    type_pts = (F.when(kind == "linear", 3).when(kind.isin("tree", "forest"), 2).when(kind == "gbt", 1).otherwise(0))
+    size = F.coalesce(F.col("n_parameters"), F.col("n_features"))
+    size_pts = F.when(size.isNull(), 0).when(size < 10, 2).when(size < 50, 1).otherwise(0)
+    pair_pts = F.lit(1 if n_high_corr_pairs is not None and n_high_corr_pairs < 3 else 0)
+    score = F.least((type_pts + size_pts + pair_pts) / 6.0, F.lit(1.0))
+    return complexity.withColumn("interpretability_score", score)
+
+
 def interpretability_score(model_kind: str, n_params: int | None, n_features: int | None,
                            n_high_corr_pairs: int | None) -> float:
     """(type points + size points + interaction point) / 6.

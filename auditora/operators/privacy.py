@@ -102,7 +102,17 @@ def content_sensitivity(df: DataFrame, rule_set: str = "extended", columns: Sequ
 def sensitive_features(df: DataFrame, profile: DataFrame | None = None, content_threshold: float = 0.1) -> DataFrame:
     """P3+P4+P5 (extended rules): per category the columns flagged by name (score = P5) or,
     for string columns without a name match, by content (score = P4 share > 0.1)."""
-    prof = profile if profile is not None else column_profile(df)
+    if profile is None:
+        # only name-matched columns need distinct counts (P5); matching is on the schema
+        matched = [c for c in df.columns
+                   if any(k in c.lower() for kws in rules.EXTENDED_KEYWORDS.values() for k in kws)]
+        prof = column_profile(df.select(*[F.col(f"`{c}`") for c in matched])) if matched else None
+    else:
+        prof = profile
+    if prof is None:
+        content = content_sensitivity(df, "extended")
+        return content.where(F.col("content_score") > content_threshold).select(
+            "category", "feature", F.col("content_score").alias("score"), F.lit("content").alias("reason"))
     by_name = name_categories(prof, "extended")
     scored = by_name.join(sensitivity_scores(prof), ["position", "feature"]).select(
         "category", "feature", F.col("sensitivity_score").alias("score"), F.lit("name").alias("reason"))

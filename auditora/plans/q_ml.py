@@ -224,7 +224,10 @@ def model_complexity(spark, sf_dir):
     for name, m in models.items():
         c = ml.model_complexity(m, spark).withColumn("model", F.lit(name))
         rows = c if rows is None else rows.unionByName(c)
-    return rows
+    train = f.where(F.col("split") == "train")
+    num = ["c_acctbal", "o_month"]
+    n_pairs = ex.high_correlation_pairs(ex.correlation_matrix(train, num), num).count()
+    return ex.interpretability_scores(rows, n_pairs)
 
 
 @register("decision_path_length")

@@ -58,3 +58,67 @@ def test_partition_count_invariance(spark):
     s1 = fa.fairness_summary(fa.group_counts(df.repartition(1), "y", "p", ["g"])).first()
     s7 = fa.fairness_summary(fa.group_counts(df.repartition(7, F.col("y")), "y", "p", ["g"])).first()
     assert s1 == s7
+
+
+def test_report_rules(spark):
+    from auditora.operators import privacy as pv
+    from auditora.operators import profile as pr
+    from auditora.operators import report as rp
+    df = spark.createDataFrame([(i, "f" if i % 2 else "m", i * 10.0, i % 4) for i in range(40)],
+                               "applicant_id int, gender string, income double, zip int")
+    prof = pr.column_profile(df)
+    risk = pv.privacy_risk(prof)
+    cats = pv.name_categories(prof, "basic")
+    ov = rp.risk_overview(risk, pr.dataset_summary(df)).first()
+    assert ov["size_band"] == "small" and ov["n_critical"] >= 1
+    codes = [r["code"] for r in rp.privacy_recommendations(risk, cats).orderBy("priority").collect()]
+    assert codes[:2] == ["anonymize_high_risk", "gender_fairness"]
+    recs = {r["code"] for r in rp.recommendations(risk, cats, pr.dataset_summary(df), prof, ["gender"]).collect()}
+    assert {"identity_protection", "financial_data", "gender_bias", "small_sample"} <= recs
+    text = rp.lines_to_text(rp.governance_lines(pr.dataset_summary(df), risk, cats,
+                                                rp.recommendations(risk, cats, pr.dataset_summary(df), prof, []))).first()[0]
+    assert text.startswith("# AI Model Governance Report") and "- Total Records: 40" in text
+    assert rp.interpretability_advice("linear") and rp.interpretability_advice("unknown") == []
+
+
+def test_schema_helpers(spark):
+    from auditora.operators import profile as pr
+    from auditora.operators import target as tg
+    df = spark.createDataFrame([(1, "a", "x", 2.0)], "n int, Gender string, RaceGroup string, v double")
+    assert pr.split_columns(df) == {"numeric": ["n", "v"], "categorical": ["Gender", "RaceGroup"], "other": []}
+    assert tg.suggest_sensitive(df) == ["Gender", "RaceGroup"]
+
+
+def test_sensitive_name_path(spark):
+    from auditora.operators import privacy as pv
+    df = spark.createDataFrame([(1000.0 + i, "x", "view click") for i in range(20)], "income double, city string, log string")
+    out = {(r["category"], r["feature"]): r for r in pv.sensitive_features(df).collect()}
+    assert out[("financial", "income")]["reason"] == "name"
+    assert abs(out[("financial", "income")]["score"] - 3.0) < 1e-9  # unique -> 3, numeric, no gaps
+    assert out[("behavioral", "log")]["reason"] == "content"
+
+
+def test_sources_and_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from auditora.sources import io
+    from auditora.streaming import monitor
+    df = spark.createDataFrame([(1, "NA", 2.5), (2, "b", None), (3, "c", 4.0)], "id int, s string, v double")
+    io.write_table(df, str(tmp_path / "t"), fmt="csv", run_id="r7")
+    back = io.read_table(spark, str(tmp_path / "t" / "run_id=r7"), fmt="csv")
+    assert dict(back.dtypes) == {"id": "int", "s": "string", "v": "double"}
+    assert back.where(F.col("s").isNull()).count() == 1
+    files = io.list_datasets(spark, str(tmp_path / "t"), glob="*.csv", recursive=True).collect()
+    assert files and all(r["size"] > 0 for r in files)
+    src = tmp_path / "stream"
+    spark.createDataFrame([(f"2024-01-0{d} 00:00:00", g, y, p) for d in range(1, 9) for g, y, p in
+                           [("a", 1, 1), ("b", 1, 0), ("a", 0, 0), ("b", 0, 1)]],
+                          "ts string, g string, y int, p int").withColumn("ts", F.col("ts").cast("timestamp")) \
+        .write.parquet(str(src))
+    stream = spark.readStream.schema("ts timestamp, g string, y int, p int").parquet(str(src))
+    got = []
+    q = monitor.start_monitor(stream, "ts", "y", "p", ["g"], lambda b, e: got.extend(b.collect()),
+                              str(tmp_path / "ckpt"), window="2 days", watermark="0 seconds",
+                              trigger={"availableNow": True})
+    q.awaitTermination()
+    assert got and all(r["feature"] == "g" for r in got)
+    assert all(abs(r["demographic_parity"] - 0.0) < 1e-12 for r in got)
