@@ -20,6 +20,10 @@ from .profile import column_profile, dataset_summary
 
 
 # ------------------------------------------------------------------ P1 pattern scan
+# Characters every match of a default pattern must contain (a scan-time shortcut only).
+REQUIRED_SUBSTRING = {"email": "@", "ip_address": "."}
+
+
 def scan_pii(df: DataFrame, patterns: dict[str, str] | None = None, columns: Sequence[str] | None = None,
              keep_zero: bool = False) -> DataFrame:
     """Rows of each string column matching each pattern (any match per row) and % of all rows.
@@ -35,7 +39,11 @@ def scan_pii(df: DataFrame, patterns: dict[str, str] | None = None, columns: Seq
     keys = []
     for i, (cat, pat) in enumerate(pats.items()):
         for j, c in enumerate(cols):
-            aggs.append(F.count_if(F.coalesce(F.col(c).rlike(rules.JAVA_REGEX_FLAGS + pat), F.lit(False))).alias(f"m{i}_{j}"))
+            hit = F.col(c).rlike(rules.JAVA_REGEX_FLAGS + pat)
+            need = REQUIRED_SUBSTRING.get(cat) if pat == rules.PII_PATTERNS.get(cat) else None
+            if need is not None:  # cheap necessary condition first; AND short-circuits the regex
+                hit = F.col(c).contains(need) & hit
+            aggs.append(F.count_if(F.coalesce(hit, F.lit(False))).alias(f"m{i}_{j}"))
             keys.append((cat, c, f"m{i}_{j}"))
     wide = df.agg(*aggs)
     items = F.array(*[F.struct(F.lit(cat).alias("category"), F.lit(c).alias("column"), F.col(k).alias("matches"))
