@@ -224,3 +224,89 @@ def fill_report(after: DataFrame) -> DataFrame:
     return after.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in after.columns]).select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("missing_left")) for c in after.columns])))
 
+
+
+# ------------------------------------------------------------------ I5 KNN imputation
+def impute_knn(df: DataFrame, id_col: str, columns: Sequence[str] | None = None, k: int = 5,
+               categorical: str | None = "mode") -> DataFrame:
+    """Fill numeric gaps with the mean of the k nearest donors that have the value.
+
+    Distance is NaN-aware Euclidean over ``columns`` (default: numeric columns with gaps):
+    sqrt(n / m * sum over the m coordinates present in both rows), as a nan-euclidean
+    KNN imputer computes it; donors sharing no coordinate are skipped, a row without any
+    such donor gets the column mean; ties go to the smaller donor id.  String gaps get the
+    mode.
+
+    Exact and without all-pairs joins: rows are grouped by missingness pattern; inside
+    one (receiver pattern, donor pattern) pair the distance is plain Euclidean on the
+    shared coordinates, so ``neighbors.bipartite_knn`` (projection-band search) finds the
+    exact k nearest donors per pattern pair and the best k over all pairs are kept.
+    """
+    from .neighbors import bipartite_knn
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols = list(columns) if columns is not None else _cols_with_gaps(df, [c for c in df.columns if is_numeric(types[c]) and c != id_col])
+    n = len(cols)
+    if n == 0:
+        return impute(df, None, categorical)
+    vals = F.array(*[F.col(c).cast("double") for c in cols])
+    pat = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    base = df.select(F.col(id_col).alias("_id"), vals.alias("_v"), pat.alias("_pat"))
+    patterns = [r["_pat"] for r in base.select("_pat").distinct().collect()]  # at most 2^len(cols)
+    groups = []  # (j, receiver pattern, donor pattern, shared mask)
+    for j in range(n):
+        for px in patterns:
+            if px & (1 << j):
+                continue
+            for py in patterns:
+                if py & (1 << j) and px & py:
+                    groups.append((j, px, py, px & py))
+
+    def spec(j, px, py, sm):
+        m = bin(sm).count("1")
+        return F.struct(F.lit(f"{j}|{px}|{py}").alias("_g"), F.lit(j).alias("_j"),
+                        F.array(*[F.lit(1.0 if sm >> i & 1 else 0.0) for i in range(n)]).alias("_w"),
+                        F.lit(n / m).alias("_s2"), F.lit(((n / m) ** 0.5) / (m ** 0.5)).alias("_pscale"))
+
+    fills = None
+    if groups:
+        q_items = {px: [spec(*g) for g in groups if g[1] == px] for px in patterns}
+        p_items = {py: [spec(*g) for g in groups if g[2] == py] for py in patterns}
+
+        def explode_for(which: dict, key: str):
+            cases = F.lit(None)
+            for pt, items in which.items():
+                if items:
+                    cases = F.when(F.col("_pat") == pt, F.array(*items)).otherwise(cases)
+            return base.select(F.col("_id").alias(key), "_v", F.inline(cases))
+
+        def vec(frame):
+            # shared coordinates only; distance = sqrt(n/m * |x - y|^2), projection on the
+            # group's unit diagonal scaled the same way
+            x = F.zip_with("_v", "_w", lambda v, w: F.coalesce(v, F.lit(0.0)) * w)
+            return frame.withColumn("_x", x).withColumn(
+                "_p", F.aggregate("_x", F.lit(0.0), lambda a, b: a + b) * F.col("_pscale"))
+
+        queries = vec(explode_for(q_items, "_qid"))
+        points = vec(explode_for(p_items, "_pid"))
+        nn = bipartite_knn(queries, points, k)
+        nn = nn.withColumn("_j", F.split("_g", r"\|")[0].cast("int"))
+        best = nn.withColumn("_r", F.row_number().over(Window.partitionBy("_qid", "_j").orderBy("dist", "_pid"))).where(
+            F.col("_r") <= k)
+        donor_vals = base.select(F.col("_id").alias("_pid"), F.col("_v").alias("_dv"))
+        fills = (best.join(donor_vals, "_pid").groupBy("_qid", "_j")
+                     .agg(F.avg(F.element_at("_dv", F.col("_j") + 1)).alias("_fill")))
+        fills = fills.groupBy(F.col("_qid").alias("_id")).agg(
+            F.map_from_entries(F.collect_list(F.struct("_j", "_fill"))).alias("_fills"))  # <= len(cols) per row
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    out_df = df if fills is None else df.join(fills, df[id_col] == fills["_id"], "left").drop("_id")
+    out_cols = []
+    for c in df.columns:
+        if c in cols:
+            j = cols.index(c)
+            knn = F.element_at(F.col("_fills"), F.lit(j)) if fills is not None else F.lit(None).cast("double")
+            out_cols.append(F.coalesce(F.col(c).cast("double"), knn, F.lit(means[c])).alias(c))
+        else:
+            out_cols.append(F.col(c))
+    filled = out_df.select(*out_cols)
+    return impute(filled, None, categorical) if categorical else filled

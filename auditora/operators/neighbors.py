@@ -110,3 +110,67 @@ def brute_force_knn(df: DataFrame, id_col: str, vec: str, k: int, group: str | N
     out = j.select("_id", "_nid", "dist", F.row_number().over(r).alias("rank")).where(F.col("rank") <= k)
     return out.select(F.col("_id").alias(id_col), F.col("_nid").alias("nbr_id"), "dist", "rank")
 
+
+
+def _bucket_range(a: Column, b: Column, nbk: int) -> Column:
+    lo = F.greatest(a, F.lit(0).cast("long"))
+    hi = F.least(b, F.lit(nbk).cast("long"))
+    return F.sequence(lo, F.greatest(lo, hi))
+
+
+def bipartite_knn(queries: DataFrame, points: DataFrame, k: int, chunk_rows: int = 50000) -> DataFrame:
+    """Exact k nearest points for every query, within groups.
+
+    Inputs carry ``_qid``/``_pid``, ``_g`` (group), ``_x`` (array<double>), ``_s2`` (a squared
+    scale, constant per group: distance = sqrt(_s2 * |x - y|^2)) and ``_p`` - the scaled
+    projection sqrt(_s2) * u.x on a unit vector u that is the same for every row of a group.
+    Returns (_qid, _g, _pid, dist, rank).  Same bound as ``exact_knn``: a per-query radius
+    from the 2k points nearest in projection order (found by insertion rank, an
+    equi-join), then an equi-join on projection buckets limited to that band.
+    """
+    q = queries.select("_qid", "_g", "_x", "_p", "_s2")
+    pts = points.select("_pid", "_g", "_x", "_p")
+    n = pts.count()
+    nchunks = max(1, n // chunk_rows)
+    splits = quantile_splits(pts, {"_p": F.col("_p")}, nchunks)
+    pts = with_buckets(pts, {"_p": F.col("_p")}, splits, {"_p": "_c"})
+    q = with_buckets(q, {"_p": F.col("_p")}, splits, {"_p": "_c"})
+    # insertion rank of each query among the points of its (group, chunk)
+    both = (pts.select("_g", "_c", "_p", F.col("_pid").cast("string").alias("_key"), F.lit(1).alias("_isp"))
+               .unionByName(q.select("_g", "_c", "_p", F.col("_qid").cast("string").alias("_key"), F.lit(0).alias("_isp"))))
+    w = Window.partitionBy("_g", "_c").orderBy("_p", F.desc("_isp"), "_key").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = both.withColumn("_r", F.sum("_isp").over(w))
+    prank = ranked.where(F.col("_isp") == 1).select("_g", "_c", F.col("_key").alias("_pkey"), "_r")
+    qrank = ranked.where(F.col("_isp") == 0).select("_g", "_c", F.col("_key").alias("_qkey"), "_r")
+    kk = 2 * k
+    qc = qrank.select("_g", "_c", "_qkey", F.explode(F.sequence(F.col("_r") - kk + 1, F.col("_r") + kk)).alias("_r"))
+    cand_ids = qc.join(prank, ["_g", "_c", "_r"]).select("_g", "_qkey", "_pkey")
+    qx = q.select(F.col("_qid").cast("string").alias("_qkey"), "_qid", "_g", F.col("_x").alias("_qx"), F.col("_p").alias("_qp"),
+                  "_s2")
+    px = pts.select(F.col("_pid").cast("string").alias("_pkey"), "_pid", "_g", "_x", "_p")
+    cand = cand_ids.join(qx, ["_g", "_qkey"]).join(px, ["_g", "_pkey"])
+    cand = cand.withColumn("_d", F.sqrt(F.col("_s2") * sq_dist(F.col("_qx"), F.col("_x"))))
+    rk = Window.partitionBy("_g", "_qid").orderBy("_d", "_pid")
+    bound = (cand.withColumn("_k", F.row_number().over(rk)).where(F.col("_k") <= k)
+                 .groupBy("_g", "_qid").agg(F.max("_d").alias("_dk"), F.count("*").alias("_nc")))
+    qb = q.join(bound, ["_g", "_qid"], "left").withColumn(
+        "_dk", F.when(F.col("_nc") >= k, F.col("_dk")).otherwise(F.lit(float("inf"))))
+    spread = pts.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
+    if spread["lo"] is None:
+        return queries.sparkSession.createDataFrame([], "_qid string, _g string, _pid string, dist double, rank int")
+    med = qb.agg(F.percentile_approx(F.when(F.col("_dk") < float("inf"), F.col("_dk")), 0.5, 1000)).first()[0]
+    lo, hi = float(spread["lo"]), float(spread["hi"])
+    width = float(med or 0.0) or max((hi - lo) / 1000.0, 1e-9)
+    nbk = int(math.floor((hi - lo) / width)) + 1
+    bucket = lambda p: F.floor((p - F.lit(lo)) / F.lit(width)).cast("long")
+    band = F.least(F.col("_dk"), F.lit(hi - lo + 1.0) + F.abs(F.col("_p") - F.lit(lo))) * (1 + 1e-9) + 1e-12
+    qb = qb.withColumn("_band", band)
+    qe = qb.select("_qid", "_g", F.col("_x").alias("_qx"), F.col("_p").alias("_qp"), "_dk", "_band", "_s2",
+                   F.explode(_bucket_range(bucket(F.col("_p") - F.col("_band")), bucket(F.col("_p") + F.col("_band")),
+                                           nbk)).alias("_b"))
+    pe = pts.select("_pid", "_g", "_x", "_p", bucket(F.col("_p")).alias("_b"))
+    j = qe.join(pe, ["_g", "_b"]).where(F.abs(F.col("_p") - F.col("_qp")) <= F.col("_band"))
+    j = j.withColumn("dist", F.sqrt(F.col("_s2") * sq_dist(F.col("_qx"), F.col("_x")))).where(
+        F.col("dist") <= F.col("_dk") * (1 + 1e-9) + 1e-12)
+    r = Window.partitionBy("_g", "_qid").orderBy("dist", "_pid")
+    return j.select("_qid", "_g", "_pid", "dist", F.row_number().over(r).alias("rank")).where(F.col("rank") <= k)

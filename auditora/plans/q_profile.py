@@ -309,3 +309,34 @@ UNION ALL SELECT 'event_type', count_if(event_type IS NULL) FROM a UNION ALL SEL
 def fill_check(spark, sf_dir):
     """Remaining NULLs per column after the cleaning pipeline (all zero when the fill worked)."""
     return im.fill_report(_clean(spark, sf_dir)[1])
+
+
+# ---------------------------------------------------------------- I5
+def knn_gaps(spark, sf_dir):
+    """Customers with gaps in balance (key % 6 = 0) and nation (key % 9 = 0)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select("c_custkey", F.when(k % 6 == 0, F.lit(None)).otherwise(F.col("c_acctbal")).alias("a"),
+                    F.when(k % 9 == 0, F.lit(None)).otherwise(F.col("c_nationkey").cast("double")).alias("b"))
+
+
+_KNN_SRC = """src AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal END AS a,
+                     CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) END AS b FROM customer)"""
+
+
+def _knn_fill_sql(target: str, other: str) -> str:
+    # receivers miss `target`; only `other` can be shared, so m = 1 and n = 2
+    return f"""(SELECT r.c_custkey, avg(d.{target}) AS v FROM (
+      SELECT r.c_custkey, d.{target}, row_number() OVER (PARTITION BY r.c_custkey
+             ORDER BY sqrt(2.0 * (r.{other} - d.{other}) * (r.{other} - d.{other})), d.c_custkey) AS rk
+      FROM src r JOIN src d ON r.{target} IS NULL AND d.{target} IS NOT NULL AND r.{other} IS NOT NULL AND d.{other} IS NOT NULL
+    ) d JOIN src r ON r.c_custkey = d.c_custkey WHERE rk <= 5 GROUP BY r.c_custkey)"""
+
+
+@register("impute_knn", sql=f"""WITH {_KNN_SRC}, fa AS {_knn_fill_sql('a', 'b')}, fb AS {_knn_fill_sql('b', 'a')}
+SELECT s.c_custkey, ROUND(coalesce(s.a, fa.v, (SELECT avg(a) FROM src)), 6) AS a,
+       ROUND(coalesce(s.b, fb.v, (SELECT avg(b) FROM src)), 6) AS b
+FROM src s LEFT JOIN fa ON s.c_custkey = fa.c_custkey LEFT JOIN fb ON s.c_custkey = fb.c_custkey""")
+def impute_knn(spark, sf_dir):
+    """Exact 5-nearest-donor imputation (NaN-aware distance) of customer balance and nation."""
+    return im.impute_knn(knn_gaps(spark, sf_dir), "c_custkey", k=5)

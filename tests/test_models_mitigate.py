@@ -60,3 +60,37 @@ def test_shapley_efficiency(spark):
     lo, hi = fb.agg(F.min("fb"), F.max("fb")).first()
     for r in total.join(fx, "id").collect():
         assert r["fx"] - hi - 1e-9 <= r["s"] <= r["fx"] - lo + 1e-9
+
+
+def test_knn_impute_matches_brute_force(spark):
+    import math
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(150):
+        v = [round(rnd.uniform(0, 10), 2) for _ in range(3)]
+        for c in range(3):
+            if rnd.random() < 0.25:
+                v[c] = None
+        rows.append((i, *v))
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    from auditora.operators import impute as im
+    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in im.impute_knn(df, "id", ["a", "b", "c"], k=3).collect()}
+    means = [sum(r[1 + j] for r in rows if r[1 + j] is not None) / sum(r[1 + j] is not None for r in rows) for j in range(3)]
+    for r in rows:
+        for j in range(3):
+            if r[1 + j] is not None:
+                assert got[r[0]][j] == r[1 + j]
+                continue
+            cands = []
+            for d in rows:
+                if d[1 + j] is None or d[0] == r[0]:
+                    continue
+                shared = [t for t in range(3) if r[1 + t] is not None and d[1 + t] is not None]
+                if not shared:
+                    continue
+                dist = math.sqrt(3 / len(shared) * sum((r[1 + t] - d[1 + t]) ** 2 for t in shared))
+                cands.append((dist, d[0], d[1 + j]))
+            cands.sort()
+            want = sum(c[2] for c in cands[:3]) / len(cands[:3]) if cands else means[j]
+            assert abs(got[r[0]][j] - want) < 1e-9, (r, j, got[r[0]][j], want)
