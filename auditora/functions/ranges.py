@@ -71,8 +71,16 @@ def order_chunks(df: DataFrame, order_key: str, n: int, out: str = "_chunk") ->
     return with_buckets(df, {order_key: e}, splits, {order_key: out})
 
 
-def default_chunks(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+# Rows one window partition should hold at most (ranked / filled inside one task).
+ROWS_PER_CHUNK = 2_000_000
+
+
+def default_chunks(df: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> int:
+    """Chunk count for order/rank work: at least the shuffle partitions, and enough that a
+    chunk holds about ``rows_per_chunk`` rows (one row-count job)."""
+    base = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = df.count()
+    return max(base, -(-n // rows_per_chunk))
 
 
 def per_column_buckets(df: DataFrame, cols: Sequence[str], n: int, prefix: str = "_b_") -> DataFrame:
@@ -82,7 +90,7 @@ def per_column_buckets(df: DataFrame, cols: Sequence[str], n: int, prefix: str =
     return with_buckets(df, exprs, splits, {c: f"{prefix}{c}" for c in cols})
 
 
-def hash_rank(df: DataFrame, part: Sequence[str], keys: Sequence[str], seed: int, buckets: int = 64,
+def hash_rank(df: DataFrame, part: Sequence[str], keys: Sequence[str], seed: int, buckets: int | None = None,
               out: str = "_hrank", total: str = "_hn") -> DataFrame:
     """0-based rank of each row inside ``part`` in the order of a seeded hash of ``keys``
     (a deterministic random order), plus the partition size.
@@ -91,6 +99,8 @@ def hash_rank(df: DataFrame, part: Sequence[str], keys: Sequence[str], seed: int
     parts x buckets rows) and a window ranks rows inside one bucket, so a huge partition
     is never ranked by a single task.
     """
+    if buckets is None:
+        buckets = max(64, -(-df.count() // ROWS_PER_CHUNK))
     h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
     base = df.withColumn("_hh", h).withColumn("_hb", F.pmod(F.col("_hh"), F.lit(buckets)))
     per = base.groupBy(*part, "_hb").agg(F.count("*").alias("_hc"))
@@ -98,7 +108,8 @@ def hash_rank(df: DataFrame, part: Sequence[str], keys: Sequence[str], seed: int
     offs = per.select(*part, "_hb",
                       F.coalesce(F.sum("_hc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ho"),
                       F.sum("_hc").over(Window.partitionBy(*part)).alias(total))
-    # offsets: parts x buckets rows; broadcast only when there is no partition key (buckets rows)
-    j = base.join(offs if part else F.broadcast(offs), [*part, "_hb"])
+    # offsets: parts x buckets rows; broadcast only when there is no partition key and the
+    # bucket count is small, else a shuffle join on (part, bucket)
+    j = base.join(F.broadcast(offs) if not part and buckets <= 100_000 else offs, [*part, "_hb"])
     wr = Window.partitionBy(*part, "_hb").orderBy("_hh", *keys)
     return j.withColumn(out, F.col("_ho") + F.row_number().over(wr) - 1).drop("_hh", "_hb", "_ho")

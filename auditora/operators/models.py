@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import is_string
+from ..functions.ranges import ROWS_PER_CHUNK, hash_rank
 from .profile import column_profile, missing_report
 
 FEATURES = "features"
@@ -77,30 +78,23 @@ def _unit_hash(*cols: Column, seed: int) -> Column:
     return (F.pmod(h, F.lit(1 << 40)).cast("double")) / float(1 << 40)
 
 
-def split(df: DataFrame, y: str, id_col: str, test: float = 0.2, seed: int = 42, buckets: int = 64,
+def split(df: DataFrame, y: str, id_col: str, test: float = 0.2, seed: int = 42, buckets: int | None = None,
           stratify: bool = True) -> DataFrame:
     """L3: add ``split`` in {train, test}; per class exactly round(test * n_class) rows go to
     test, chosen by a seeded hash of the id (stratified when every class has >= 2 rows).
 
-    Ranks inside a class come from hash buckets: counts per (class, bucket) give offsets
-    and a window ranks rows within one bucket, so a large class is never one task.
+    Ranks inside a class come from ``hash_rank``: counts per (class, hash bucket) give
+    offsets and a window ranks rows within one bucket, so a large class is never one task.
     """
-    u = _unit_hash(F.col(id_col), seed=seed)
     cls = F.col(y).cast("string") if stratify else F.lit("all")
-    base = df.withColumn("_u", u).withColumn("_cls", cls).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    base = df.withColumn("_cls", cls)
     if stratify:
         smallest = base.groupBy("_cls").count().agg(F.min("count")).first()[0]
         if smallest is not None and smallest < 2:
             return split(df, y, id_col, test, seed, buckets, stratify=False)
-    per = base.groupBy("_cls", "_b").agg(F.count("*").alias("_nb"))
-    wb = Window.partitionBy("_cls").orderBy("_b")
-    offs = per.select("_cls", "_b", F.coalesce(F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-                      F.sum("_nb").over(Window.partitionBy("_cls")).alias("_n"))
-    j = base.join(F.broadcast(offs), ["_cls", "_b"])  # classes x buckets rows
-    rk = F.col("_off") + F.row_number().over(Window.partitionBy("_cls", "_b").orderBy("_u", id_col)) - 1
-    n_test = F.round(F.col("_n") * test)
-    out = j.withColumn("split", F.when(rk < n_test, "test").otherwise("train"))
-    return out.drop("_u", "_cls", "_b", "_off", "_n")
+    ranked = hash_rank(base, ["_cls"], [id_col], seed, buckets=buckets, out="_rk", total="_n")
+    out = ranked.withColumn("split", F.when(F.col("_rk") < F.round(F.col("_n") * test), "test").otherwise("train"))
+    return out.drop("_cls", "_rk", "_n")
 
 
 def split_report(df: DataFrame, y: str) -> DataFrame:
@@ -297,7 +291,7 @@ def _positive_prob(model: PipelineModel, df: DataFrame) -> Column:
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, id_col: str,
-                           repeats: int = 10, seed: int = 42, buckets: int = 64) -> DataFrame:
+                           repeats: int = 10, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Mean and std of the accuracy drop when one feature's values are permuted.
 
     For every (feature, repeat) the rows are dealt into hash buckets and, inside a bucket,
@@ -309,6 +303,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     labels = label_values(model)
     lab_arr = F.array(*[F.lit(v) for v in labels])
     base = df.select(id_col, label, *feats)
+    if buckets is None:  # each (feature, repeat, bucket) window holds about ROWS_PER_CHUNK rows
+        buckets = max(64, -(-base.count() // ROWS_PER_CHUNK))
     variants = F.array(*[F.struct(F.lit(f).alias("pf"), F.lit(r).alias("rep")) for f in feats for r in range(repeats)])
     ex = base.select("*", F.inline(variants))
     ex = ex.withColumn("_bk", F.pmod(F.xxhash64(F.col(id_col), "pf", "rep", F.lit(seed)), F.lit(buckets)))
