@@ -103,7 +103,7 @@ def overview(spark, sf_dir):
     return rp.overview(risk, ["event_type", "user_id"])
 
 
-def _recs_sql() -> str:
+def _recs_sql(forest_line: bool = True) -> str:
     dom = {"loan": ["loan", "credit"], "health": ["medical", "health"], "employ": ["employ", "hire", "job"]}
     dom_sql = ", ".join("coalesce(bool_or(" + " OR ".join(f"contains(lower(feature), '{k}')" for k in kws) + f"), false) AS {name}"
                         for name, kws in dom.items())
@@ -136,7 +136,7 @@ UNION ALL SELECT 9, 'data_quality', printf('%.1f%% missing data detected', missi
 UNION ALL SELECT 10, 'financial_services', 'Implement FCRA compliance measures' FROM ctx WHERE loan
 UNION ALL SELECT 11, 'healthcare', 'Ensure HIPAA compliance and health equity monitoring' FROM ctx WHERE health
 UNION ALL SELECT 12, 'employment', 'Follow EEOC guidelines and 4/5ths rule testing' FROM ctx WHERE employ
-UNION ALL SELECT 13, 'forest_monitoring', 'Model-specific monitoring for forest models' FROM ctx
+UNION ALL SELECT 13, 'forest_monitoring', 'Model-specific monitoring for forest models' FROM ctx WHERE {str(forest_line).upper()}
 UNION ALL SELECT 14, 'documentation', 'Maintain model cards documenting data, metrics, limitations and fairness' FROM ctx
 UNION ALL SELECT 15, 'continuous_monitoring', 'Automate bias monitoring in production with alerts' FROM ctx
 UNION ALL SELECT 16, 'team_training', 'Specialised bias training for many sensitive attributes' FROM ctx WHERE n_cats > 3
@@ -150,7 +150,40 @@ def recommendations(spark, sf_dir):
     return rp.recommendations(risk, cats, summ, prof, ["event_type"], model_kind="forest")
 
 
-@register("governance_report")
+def _governance_sql() -> str:
+    n = len(EV)
+    miss = " + ".join(f"count_if({c} IS NULL)" for c, _ in EV)
+    check = ["## Compliance Checklist", "- Data inventory completed", "- Privacy risk assessment conducted",
+             "- Sensitive features identified", "- Bias analysis performed", "- Model training required", "## Next Steps",
+             "1. Address critical privacy risks immediately", "2. Complete model training and bias assessment",
+             "3. Set up continuous monitoring", "4. Document model cards for compliance"]
+    check_sql = " UNION ALL ".join(f"SELECT {6000 + i}, '{t}'" for i, t in enumerate(check))
+    recs = _recs_sql(forest_line=False).replace("WITH ", "", 1)
+    return f"""WITH recs AS (WITH {recs}),
+cl AS (SELECT category, count(*) AS n FROM ({_basic_cats_sql('events', EV)}) GROUP BY category),
+r2 AS ({_risk_sql('events', EV)}),
+summ AS (SELECT count(*) AS rows, ({miss}) AS miss FROM events),
+lines AS (
+  SELECT 1000 AS line_no, '# AI Model Governance Report' AS text UNION ALL SELECT 1001, '## Dataset Overview'
+  UNION ALL SELECT 1002, '- Total Records: ' || format('{{:,}}', rows) FROM summ
+  UNION ALL SELECT 1003, '- Total Features: {n}'
+  UNION ALL SELECT 1004, '- Missing Values: ' || CAST(miss AS VARCHAR) FROM summ
+  UNION ALL SELECT 2000, '## Privacy Assessment' UNION ALL SELECT 2001, '### High-Risk Features:'
+  UNION ALL SELECT 2100 + position, '- ' || feature FROM r2 WHERE risk >= 3
+  UNION ALL SELECT 2500 + position, '- ' || feature || ': Requires immediate anonymization or removal' FROM r2 WHERE risk >= 4
+  UNION ALL SELECT 3000, '### Sensitive Data Categories Identified:'
+  UNION ALL SELECT 3100 + row_number() OVER (ORDER BY category),
+                   '- ' || array_to_string(list_transform(string_split(category, '_'), lambda x: upper(x[1]) || lower(x[2:])), '_')
+                   || ': ' || CAST(n AS VARCHAR) || ' features' FROM cl
+  UNION ALL SELECT 4000, '## Model Performance & Bias Analysis'
+  UNION ALL SELECT 4001, '- event_type: Requires fairness monitoring for equal treatment'
+  UNION ALL SELECT 5000, '## Data-Specific Recommendations'
+  UNION ALL SELECT 5100 + row_number() OVER (ORDER BY priority, code), code || ': ' || message FROM recs
+  UNION ALL {check_sql})
+SELECT string_agg(text, chr(10) ORDER BY line_no) AS report FROM lines"""
+
+
+@register("governance_report", sql=_governance_sql())
 def governance_report(spark, sf_dir):
     """The governance report text for events, built from the audit tables."""
     _, prof, risk, cats, summ = _ctx(spark, sf_dir)
@@ -158,7 +191,37 @@ def governance_report(spark, sf_dir):
     return rp.lines_to_text(rp.governance_lines(summ, risk, cats, recs, ["event_type"]))
 
 
-@register("privacy_report")
+def _privacy_report_sql() -> str:
+    from . import fixtures as fx
+    from .q_privacy import _compliance_sql, _kanon_sql, _pii_sql, _strings
+    cats = list(rules.PII_PATTERNS)
+    cat_pos = "CASE " + " ".join(f"WHEN category = '{c}' THEN {i}" for i, c in enumerate(cats)) + " END"
+    cat_title = "CASE " + " ".join(f"WHEN category = '{c}' THEN '{c.title()}'" for c in cats) + " END"
+    gen = " UNION ALL ".join(f"SELECT {100 + i} AS priority, '{r}' AS recommendation"
+                             for i, r in enumerate(rules.COMPLIANCE_GENERAL_RECOMMENDATIONS))
+    req = " UNION ALL ".join(f"SELECT '{k}' AS requirement, '{v}' AS rec" for k, v in rules.COMPLIANCE_REQUIREMENT_RECOMMENDATIONS.items())
+    return f"""WITH pii AS ({_pii_sql('documents', _strings(TEXT_SCHEMAS['documents']))}),
+kan AS ({_kanon_sql('part', ['p_brand', 'p_type', 'p_size'])}),
+comp AS ({_compliance_sql('GDPR')}),
+recs AS (SELECT comp.position AS priority, m.rec AS recommendation FROM comp JOIN ({req}) m ON comp.requirement = m.requirement
+         WHERE comp.score < 1 UNION ALL {gen}),
+lines AS (
+  SELECT 0 AS line_no, '# Privacy Analysis Report' AS text UNION ALL SELECT 1, '## Pattern Detection Results'
+  UNION ALL SELECT DISTINCT 100 + ({cat_pos}) * 100, '### ' || ({cat_title}) || ' Patterns' FROM pii
+  UNION ALL SELECT 100 + ({cat_pos}) * 100 + 1 + row_number() OVER (PARTITION BY category ORDER BY "column"),
+                   printf('- %s: %d matches (%.1f%%)', "column", matches, percentage) FROM pii
+  UNION ALL SELECT 10000, '## Re-identification Risk Assessment'
+  UNION ALL SELECT 10001 + row_number() OVER (ORDER BY size, combo),
+                   printf('- Combo_%s: K-anonymity = %s (%s risk)', combo, CAST(k AS VARCHAR), risk_level) FROM kan
+  UNION ALL SELECT 20000, '## ' || any_value(framework) || ' Compliance Assessment' FROM comp
+  UNION ALL SELECT 20001, printf('Overall Score: %.2f/1.0', any_value(compliance_score)) FROM comp
+  UNION ALL SELECT 20010 + position, '- ' || requirement || ': ' || status FROM comp
+  UNION ALL SELECT 30000, '## Recommendations'
+  UNION ALL SELECT 30001 + row_number() OVER (ORDER BY priority), '- ' || recommendation FROM recs)
+SELECT string_agg(text, chr(10) ORDER BY line_no) AS report FROM lines"""
+
+
+@register("privacy_report", sql=_privacy_report_sql())
 def privacy_report(spark, sf_dir):
     """Privacy report text: PII hits in documents, k-anonymity of part, GDPR status."""
     from . import fixtures as fx
