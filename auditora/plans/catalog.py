@@ -20,6 +20,23 @@ SQL: dict[str, str] = {}
 HEADLINE: list[str] = []
 
 
+def bigint_count_if(sql: str) -> str:
+    """DuckDB types count_if as HUGEINT; Spark's count_if is BIGINT.  Wrap every call in a
+    BIGINT cast so both sides report the same schema."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
+
+
 def register(name: str, sql: str | None = None, headline: bool = False):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +45,7 @@ def register(name: str, sql: str | None = None, headline: bool = False):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = bigint_count_if(sql)
         if headline:
             HEADLINE.append(name)
         return fn

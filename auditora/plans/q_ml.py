@@ -86,7 +86,7 @@ pr AS (SELECT row_id, CAST(y AS VARCHAR) AS y, s1, s2, s3, 'price_rule' AS model
 a AS (SELECT model, avg(CAST(y = prediction AS DOUBLE)) AS accuracy, count(DISTINCT prediction) AS n_predicted_classes,
              count(*) AS n FROM pr GROUP BY model)
 SELECT model, ROUND(accuracy, 6) AS accuracy, n_predicted_classes, n, CAST(n_predicted_classes = 1 AS INTEGER) AS single_class_warning,
-       row_number() OVER (ORDER BY accuracy DESC, model) AS rank,
+       CAST(row_number() OVER (ORDER BY accuracy DESC, model) AS INTEGER) AS rank,
        CAST(row_number() OVER (ORDER BY accuracy DESC, model) = 1 AS INTEGER) AS best FROM a""")
 def compare_rules(spark, sf_dir):
     """Accuracy ranking of three decision rules over all orders."""
@@ -156,7 +156,8 @@ def linear_attributions(spark, sf_dir):
 
 @register("attribution_importance", sql=f"""WITH {_lin_sql()},
 i AS (SELECT feature, avg(abs(attribution)) AS importance FROM att GROUP BY feature)
-SELECT feature, ROUND(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM i""")
+SELECT feature, ROUND(importance, 6) AS importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank
+FROM i""")
 def attribution_importance(spark, sf_dir):
     """Mean |attribution| per feature, ranked."""
     return ex.attribution_importance(ml.linear_attributions(fx.decisions(spark, sf_dir), _COEFS, "row_id"))
@@ -177,7 +178,7 @@ def importance_concentration(spark, sf_dir):
 
 @register("sensitive_in_top", sql=f"""WITH {_lin_sql()},
 i AS (SELECT feature, avg(abs(attribution)) AS importance FROM att GROUP BY feature),
-r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM i)
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM i)
 SELECT feature, rank, ROUND(importance, 6) AS importance FROM r
 WHERE rank <= 10 AND (contains(lower(feature), 'gender') OR contains(lower(feature), 'sex') OR contains(lower(feature), 'race')
       OR contains(lower(feature), 'ethnicity') OR contains(lower(feature), 'age') OR contains(lower(feature), 'religion')

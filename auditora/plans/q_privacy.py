@@ -202,7 +202,7 @@ def _gen_sql(tbl: str, col: str, key: str) -> str:
 edges AS (SELECT i, CASE WHEN i = 0 THEN lo - (hi - lo) * 0.001 WHEN i = bins THEN hi ELSE i * ((hi - lo) / bins) + lo END AS e
           FROM st, range(0, st.bins + 1) r(i)),
 codes AS (SELECT t.{key}, count(*) - 1 AS code FROM {tbl} t JOIN edges ON edges.e < t.{col} GROUP BY t.{key})
-SELECT '{col}' AS feature, (SELECT bins FROM st) AS bins, CAST(code AS INTEGER) AS code, count(*) AS n
+SELECT '{col}' AS feature, CAST((SELECT bins FROM st) AS INTEGER) AS bins, CAST(code AS INTEGER) AS code, count(*) AS n
 FROM codes WHERE (SELECT u FROM st) > 0.1 AND (SELECT u FROM st) < 0.9 GROUP BY code"""
 
 
@@ -212,7 +212,7 @@ def _gen_hist(df, col):
     hist = g.groupBy(F.lit(col).alias("feature"), F.col(col).alias("code")).agg(F.count("*").alias("n")).where(
         F.col("code").isNotNull())
     # only a generalised column has codes: inner join with its plan row (one row at most)
-    return hist.join(plan.select("feature", "bins"), "feature").select("feature", "bins", "code", "n")
+    return hist.join(plan.select("feature", "bins"), "feature").select("feature", "bins", F.col("code").cast("int"), "n")
 
 
 @register("generalize_part", sql=_gen_sql("part", "p_retailprice", "p_partkey"))
@@ -275,13 +275,13 @@ def _compliance_sql(framework: str) -> str:
     req_rows = " UNION ALL ".join(f"SELECT {i + 1} AS position, '{r}' AS requirement" for i, r in enumerate(reqs))
     n = len(NUMERIC_COLS)
     if framework == "GDPR":
-        checks = f"""SELECT 'Data minimization' AS requirement, CASE WHEN hc < {n} * 0.1 THEN 1.0 ELSE 0.0 END AS score,
+        checks = f"""SELECT 'Data minimization' AS requirement, CASE WHEN hc < {n} * 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
        CASE WHEN hc < {n} * 0.1 THEN 'Compliant' ELSE 'Non-compliant' END AS status,
        CASE WHEN hc < {n} * 0.1 THEN 'Low correlation between features suggests data minimization'
             ELSE 'High correlation suggests potential redundant features' END AS detail
 FROM (SELECT count_if(abs(r) > 0.9) - {n} AS hc FROM cm)
 UNION ALL
-SELECT 'Accuracy', CASE WHEN rate < 0.05 THEN 1.0 ELSE 0.0 END, CASE WHEN rate < 0.05 THEN 'Compliant' ELSE 'Non-compliant' END,
+SELECT 'Accuracy', CASE WHEN rate < 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN rate < 0.05 THEN 'Compliant' ELSE 'Non-compliant' END,
        CASE WHEN rate < 0.05 THEN 'Low missing data rate indicates good accuracy' ELSE printf('High missing data rate: %.2f%%', rate * 100) END
 FROM (SELECT ({' + '.join(f'count_if({c} IS NULL)' for c in NUMERIC_COLS)}) * 1.0 / (count(*) * {n}) AS rate FROM src)"""
     else:

@@ -46,7 +46,7 @@ def risk_overview(spark, sf_dir):
 
 
 @register("risky_features", sql=f"""WITH {_RISK}
-SELECT * FROM (SELECT row_number() OVER (ORDER BY risk DESC, position) AS rank, feature, risk, risk_level
+SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY risk DESC, position) AS INTEGER) AS rank, feature, risk, risk_level
                FROM risk WHERE risk >= 2) WHERE rank <= 10""")
 def risky_features(spark, sf_dir):
     """R2: the columns needing privacy attention (risk >= 2), highest first."""
