@@ -149,10 +149,16 @@ def train_models(df: DataFrame, features: Sequence[str], label: str, which: Sequ
                  seed: int = 42, **kw) -> dict[str, PipelineModel]:
     """Fit the selected estimators on the ``train`` split (rows where split = 'train')."""
     train = df.where(F.col("split") == "train") if "split" in df.columns else df
-    stats = train.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).first()
-    ests = estimators(stats["n"], stats["k"], seed, **kw)
-    names = list(which) if which else list(ests)
-    return {n: build_pipeline(train, features, label, ests[n]).fit(train) for n in names}
+    # estimators read their input several times (metadata, split candidates, passes); keep the
+    # prepared rows instead of recomputing the split each time (recomputed if a block is lost)
+    train = train.persist()
+    try:
+        stats = train.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).first()
+        ests = estimators(stats["n"], stats["k"], seed, **kw)
+        names = list(which) if which else list(ests)
+        return {n: build_pipeline(train, features, label, ests[n]).fit(train) for n in names}
+    finally:
+        train.unpersist()
 
 
 def label_values(model: PipelineModel) -> list[str]:
@@ -246,32 +252,37 @@ def model_complexity(model: PipelineModel, spark) -> DataFrame:
 
 
 # ------------------------------------------------------------------ X14 decision path length
-def _leaf_depths(tree_java) -> list[int]:
-    """Depths of the leaves of a Spark tree in the order ``leafCol`` numbers them
-    (depth-first, left before right).  Walks the fitted model's node objects."""
-    depths, stack = [], [(tree_java.rootNode(), 0)]
-    while stack:
-        node, d = stack.pop()
-        if node.getClass().getSimpleName() == "LeafNode":
-            depths.append(d)
-        else:
-            stack.append((node.rightChild(), d + 1))
-            stack.append((node.leftChild(), d + 1))
-    return depths
+def leaf_depths(model) -> list[list[int]]:
+    """Per tree, the depths of its leaves in the order ``leafCol`` numbers them (depth first,
+    left before right), read from the model's debug string in one call: each level of
+    the printed tree is indented by one more space and ``If`` precedes ``Else``."""
+    trees: list[list[int]] = []
+    base = None
+    for line in model.toDebugString.splitlines():
+        body = line.lstrip(" ")
+        indent = len(line) - len(body)
+        if body.startswith("Tree "):
+            trees.append([])
+            base = None
+            continue
+        if body.startswith(("If ", "Else ", "Predict")):
+            if not trees:
+                trees.append([])
+            if base is None:
+                base = indent
+            if body.startswith("Predict"):
+                trees[-1].append(indent - base)
+    return trees
 
 
 def avg_path_length(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Mean number of nodes on each row's decision path (depth of its leaf + 1), averaged
     over the trees of a forest; one scoring pass with ``leafCol``."""
     m = _final(model)
-    if isinstance(m, DecisionTreeClassificationModel):
-        trees = [m._java_obj]
-    elif isinstance(m, (RandomForestClassificationModel, GBTClassificationModel)):
-        trees = [t._java_obj for t in m.trees]
-    else:
+    if not isinstance(m, (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel)):
         raise ValueError("decision paths exist for tree models only")
     m.setLeafCol("_leaves")
-    depth_rows = [(t, i, d + 1) for t, tj in enumerate(trees) for i, d in enumerate(_leaf_depths(tj))]
+    depth_rows = [(t, i, d + 1) for t, depths in enumerate(leaf_depths(m)) for i, d in enumerate(depths)]
     spark = df.sparkSession
     depths = spark.createDataFrame(depth_rows, "tree int, leaf int, path_len int")  # bounded by the model size
     scored = model.transform(df)

@@ -333,7 +333,7 @@ def _knn_fill_sql(target: str, other: str) -> str:
     ) d JOIN src r ON r.c_custkey = d.c_custkey WHERE rk <= 5 GROUP BY r.c_custkey)"""
 
 
-@register("impute_knn", sql=f"""WITH {_KNN_SRC}, fa AS {_knn_fill_sql('a', 'b')}, fb AS {_knn_fill_sql('b', 'a')}
+@register("impute_knn", headline=True, sql=f"""WITH {_KNN_SRC}, fa AS {_knn_fill_sql('a', 'b')}, fb AS {_knn_fill_sql('b', 'a')}
 SELECT s.c_custkey, ROUND(coalesce(s.a, fa.v, (SELECT avg(a) FROM src)), 6) AS a,
        ROUND(coalesce(s.b, fb.v, (SELECT avg(b) FROM src)), 6) AS b
 FROM src s LEFT JOIN fa ON s.c_custkey = fa.c_custkey LEFT JOIN fb ON s.c_custkey = fb.c_custkey""")

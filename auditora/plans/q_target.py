@@ -89,7 +89,7 @@ def crosstab(spark, sf_dir):
 _CHI_FEATS = ["s1", "s2", "s3", "p"]
 
 
-@register("chi_square", sql=f"""WITH {_D}, lg AS ({union_long('d', _CHI_FEATS, 'y')}),
+@register("chi_square", headline=True, sql=f"""WITH {_D}, lg AS ({union_long('d', _CHI_FEATS, 'y')}),
 o AS (SELECT feature, grp, CAST(y AS VARCHAR) AS t, count(*) AS o FROM lg WHERE grp IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
 r AS (SELECT feature, grp, sum(o) AS r FROM o GROUP BY ALL),
 c AS (SELECT feature, t, sum(o) AS c FROM o GROUP BY ALL),

@@ -94,3 +94,23 @@ def test_knn_impute_matches_brute_force(spark):
             cands.sort()
             want = sum(c[2] for c in cands[:3]) / len(cands[:3]) if cands else means[j]
             assert abs(got[r[0]][j] - want) < 1e-9, (r, j, got[r[0]][j], want)
+
+
+def test_leaf_depths_match_tree_walk(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    rows = [(float(i % 7), float((i * 5) % 11), float(i % 3 == 0)) for i in range(300)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(rows, "a double, b double, label double"))
+    for est in (DecisionTreeClassifier(maxDepth=4), RandomForestClassifier(numTrees=3, maxDepth=4, seed=1)):
+        m = est.fit(df)
+        trees = [m._java_obj] if hasattr(m, "depth") else [t._java_obj for t in m.trees]
+
+        def walk(node, d, out):
+            if node.getClass().getSimpleName() == "LeafNode":
+                out.append(d)
+            else:
+                walk(node.leftChild(), d + 1, out)
+                walk(node.rightChild(), d + 1, out)
+            return out
+        assert ml.leaf_depths(m) == [walk(t.rootNode(), 0, []) for t in trees]
