@@ -63,7 +63,9 @@ def tomek_links(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
 
 def smote_tomek(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """M2: SMOTE, then drop both members of every Tomek link (anti join)."""
-    s = smote(df, id_col, vec, label, k, seed)
+    # the neighbour search reads its input several times: cut the SMOTE lineage once
+    # (reliable checkpoint in spark.checkpoint.dir) instead of recomputing it per pass
+    s = smote(df, id_col, vec, label, k, seed).checkpoint(eager=True)
     links = tomek_links(s, "syn_key", vec, label)
     drop = links.select(F.col("a").alias("syn_key")).union(links.select(F.col("b").alias("syn_key"))).distinct()
     return s.join(drop, "syn_key", "left_anti")

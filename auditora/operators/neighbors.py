@@ -51,7 +51,8 @@ def exact_knn(df: DataFrame, id_col: str, vec: str, k: int, group: str | None =
     base = df.select(F.col(id_col).alias("_id"), g.alias("_g"),
                      F.transform(F.col(vec), lambda x: x.cast("double")).alias("_x"))
     u = F.array(*[F.lit(x) for x in principal_direction(base.withColumnRenamed("_x", "v"), "v")])
-    proj = base.withColumn("_p", _dot(F.col("_x"), u))
+    # projected rows feed several passes (count, splits, bounds, band join): checkpoint them
+    proj = base.withColumn("_p", _dot(F.col("_x"), u)).checkpoint(eager=True)
     n = proj.count()
     nchunks = max(1, n // chunk_rows)
     splits = quantile_splits(proj, {"_p": F.col("_p")}, nchunks)
