@@ -267,15 +267,24 @@ def anonymize_generalize(df: DataFrame, k: int = 3, plan: DataFrame | None = Non
 
 # ------------------------------------------------------------------ P10 Laplace noise
 def anonymize_laplace(df: DataFrame, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int = 42,
-                      columns: Sequence[str] | None = None) -> DataFrame:
-    """P10: add Laplace(0, sensitivity / epsilon) noise to each numeric column
-    (inverse CDF of a seeded uniform; each column gets its own stream)."""
+                      columns: Sequence[str] | None = None, keys: Sequence[str] | None = None) -> DataFrame:
+    """P10: add Laplace(0, sensitivity / epsilon) noise to each numeric column by the
+    inverse CDF of a uniform draw.
+
+    With ``keys`` (columns identifying a row) the uniform is a seeded hash of the key and
+    the column, so the noise does not depend on partitioning or on re-execution after an
+    executor loss; without keys Spark's ``rand(seed)`` is used (one stream per column).
+    """
     b = sensitivity / epsilon
     cols = list(columns) if columns is not None else [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     out = []
     for i, c in enumerate(df.columns):
         if c in cols:
-            u = F.rand(seed + i) - 0.5
+            if keys:
+                h = F.xxhash64(*[F.col(k) for k in keys], F.lit(i), F.lit(seed))
+                u = (F.pmod(h, F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40) - 0.5
+            else:
+                u = F.rand(seed + i) - 0.5
             noise = -F.lit(b) * F.signum(u) * F.log(1 - 2 * F.abs(u))
             out.append((F.col(c).cast("double") + noise).alias(c))
         else:

@@ -245,7 +245,8 @@ def generalize_plan_events(spark, sf_dir):
 def laplace_noise_stats(spark, sf_dir):
     """P10: Laplace(0, 1) noise added to lineitem measures; per-column noise mean and variance."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    noisy = pv.anonymize_laplace(li, columns=["l_quantity", "l_extendedprice", "l_discount"], seed=42)
+    noisy = pv.anonymize_laplace(li, columns=["l_quantity", "l_extendedprice", "l_discount"], seed=42,
+                                 keys=["l_orderkey", "l_linenumber"])
     j = noisy.alias("n").join(li.alias("o"), ["l_orderkey", "l_linenumber"])
     items = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"n.{c}") - F.col(f"o.{c}")).alias("noise"))
                       for c in ["l_quantity", "l_extendedprice", "l_discount"]])

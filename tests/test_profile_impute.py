@@ -92,3 +92,25 @@ def test_privacy_risk_rules(spark):
     assert risk["customer_id"]["risk"] == 5  # unique 3 + personal_id 2 + id 3 -> capped
     assert risk["Percentage"]["risk"] == 5  # 'age' substring +2, unique +3
     assert risk["zip"]["risk"] == 3 and risk["zip"]["risk_level"] == "High"  # uniqueness .3 -> 1, location +2
+
+
+def test_laplace_noise_statistics(spark):
+    df = spark.range(0, 100000).select("id", F.lit(0.0).alias("x"))
+    noisy = pv.anonymize_laplace(df, columns=["x"], keys=["id"], seed=42)
+    m, v = noisy.agg(F.avg("x"), F.var_samp("x")).first()
+    assert abs(m) < 0.02 and abs(v - 2.0) < 0.05  # Laplace(0, 1): mean 0, variance 2
+    again = pv.anonymize_laplace(df.repartition(7), columns=["x"], keys=["id"], seed=42)
+    assert noisy.join(again.withColumnRenamed("x", "y"), "id").where(F.col("x") != F.col("y")).count() == 0
+
+
+def test_hot_key_is_split_across_chunks(spark):
+    from auditora.functions.ranges import hash_rank, order_chunks
+    rows = [(i, 0 if i % 3 == 0 else i % 50) for i in range(30000)]  # key 0 holds a third of the rows
+    df = spark.createDataFrame(rows, "t long, k int")
+    ch = order_chunks(df, "t", 12, "_chunk")
+    per = ch.where(F.col("k") == 0).groupBy("_chunk").count().collect()
+    hot = df.where(F.col("k") == 0).count()
+    assert len(per) >= 10 and max(r["count"] for r in per) <= 2 * hot / len(per)
+    hr = hash_rank(df, ["k"], ["t"], seed=1, buckets=16)
+    ranks = [r["_hrank"] for r in hr.where(F.col("k") == 0).select("_hrank").collect()]
+    assert sorted(ranks) == list(range(df.where(F.col("k") == 0).count()))
