@@ -265,6 +265,18 @@ def anonymize_generalize(df: DataFrame, k: int = 3, plan: DataFrame | None = Non
     return df.select(*out)
 
 
+def generalization_check(df: DataFrame, k: int = 3, plan: DataFrame | None = None) -> DataFrame:
+    """P9 verification: k-anonymity of every combination of the generalised columns before
+    and after generalisation (the generalisation does not guarantee k; this reports it)."""
+    p = plan if plan is not None else generalize_plan(df, k)
+    cols = [r["feature"] for r in p.select("feature").collect()]  # one row per column
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "combo string, size int, k_before long, k_after long")
+    before = k_anonymity(df, cols).select("combo", "size", F.col("k").alias("k_before"))
+    after = k_anonymity(anonymize_generalize(df, k, p), cols).select("combo", F.col("k").alias("k_after"))
+    return before.join(after, "combo")
+
+
 # ------------------------------------------------------------------ P10 Laplace noise
 def anonymize_laplace(df: DataFrame, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int = 42,
                       columns: Sequence[str] | None = None, keys: Sequence[str] | None = None) -> DataFrame:
