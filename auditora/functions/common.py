@@ -81,3 +81,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 def sql_str_list(values: Iterable[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# Aggregates per HashAggregate: keeps generated code under the JVM method-size limit.
+AGG_CHUNK = 64
+
+
+def long_aggregate(df: DataFrame, named: dict[str, Column], value_type: str = "long",
+                   chunk: int = AGG_CHUNK) -> DataFrame:
+    """Evaluate many global aggregates as (name, value) rows, ``chunk`` per aggregate
+    (each chunk scans only the columns it needs), all in one job."""
+    items = list(named.items())
+    parts = []
+    for start in range(0, len(items), chunk):
+        part = items[start:start + chunk]
+        wide = df.agg(*[e.alias(f"a{i}") for i, (_, e) in enumerate(part)])
+        parts.append(wide.select(F.inline(F.array(*[
+            F.struct(F.lit(n).alias("name"), F.col(f"a{i}").cast(value_type).alias("value"))
+            for i, (n, _) in enumerate(part)]))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -21,15 +21,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import is_numeric, is_string, unpivot
+from ..functions.common import is_numeric, is_string, long_aggregate, unpivot
 from ..functions.ranges import default_chunks, order_chunks, per_column_buckets
 
 
 def _cols_with_gaps(df: DataFrame, cols: Sequence[str]) -> list[str]:
     if not cols:
         return []
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[f"g{i}"] > 0]
+    counts = {r["name"]: r["value"] for r in long_aggregate(df, {c: F.count_if(F.col(f"`{c}`").isNull()) for c in cols}).collect()}
+    return [c for c in cols if counts[c] > 0]  # one row per column
 
 
 # ------------------------------------------------------------------ statistics

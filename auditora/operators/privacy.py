@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.common import is_numeric, string_columns
+from ..functions.common import is_numeric, long_aggregate, string_columns
 from .profile import column_profile, dataset_summary
 
 
@@ -35,22 +35,21 @@ def scan_pii(df: DataFrame, patterns: dict[str, str] | None = None, columns: Seq
     cols = list(columns) if columns is not None else string_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "category string, column string, matches long, percentage double")
-    aggs = [F.count("*").alias("_rows")]
-    keys = []
-    for i, (cat, pat) in enumerate(pats.items()):
-        for j, c in enumerate(cols):
+    named = {}
+    for cat, pat in pats.items():
+        for c in cols:
             hit = F.col(c).rlike(rules.JAVA_REGEX_FLAGS + pat)
             need = REQUIRED_SUBSTRING.get(cat) if pat == rules.PII_PATTERNS.get(cat) else None
             if need is not None:  # cheap necessary condition first; AND short-circuits the regex
                 hit = F.col(c).contains(need) & hit
-            aggs.append(F.count_if(F.coalesce(hit, F.lit(False))).alias(f"m{i}_{j}"))
-            keys.append((cat, c, f"m{i}_{j}"))
-    wide = df.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(cat).alias("category"), F.lit(c).alias("column"), F.col(k).alias("matches"))
-                      for cat, c, k in keys])
-    out = wide.select(F.col("_rows"), F.inline(items)).select(
-        "category", "column", "matches",
-        F.when(F.col("_rows") > 0, F.col("matches") * 100.0 / F.col("_rows")).alias("percentage"))
+            named[f"{cat}\x00{c}"] = F.count_if(F.coalesce(hit, F.lit(False)))
+    # columns-major order so one aggregate chunk covers all patterns of a few columns
+    named = dict(sorted(named.items(), key=lambda kv: (cols.index(kv[0].split("\x00")[1]), list(pats).index(kv[0].split("\x00")[0]))))
+    long = long_aggregate(df, named, chunk=4 * len(pats))
+    rows = df.select(F.count("*")).scalar()
+    out = long.select(F.split("name", "\x00")[0].alias("category"), F.split("name", "\x00")[1].alias("column"),
+                      F.col("value").alias("matches"),
+                      F.when(rows > 0, F.col("value") * 100.0 / rows).alias("percentage"))
     return out if keep_zero else out.where(F.col("matches") > 0)
 
 

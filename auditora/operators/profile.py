@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.common import dtype_name, is_numeric, is_string
+from ..functions.common import AGG_CHUNK, dtype_name, is_numeric, is_string, long_aggregate
 
 # Many exact distinct counts in one aggregate are expanded once per column by the
 # optimizer; beyond this many columns the profile is computed in column chunks.
@@ -47,8 +47,12 @@ def drop_incomplete_rows(df: DataFrame) -> DataFrame:
 def dataset_summary(df: DataFrame) -> DataFrame:
     """C4: rows, columns, missing cells, missing % and completeness % in one aggregate."""
     ncols = len(df.columns)
-    missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    a = df.agg(F.count("*").alias("rows"), missing.cast("long").alias("missing_cells"))
+    if ncols <= AGG_CHUNK:
+        missing = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
+        a = df.agg(F.count("*").alias("rows"), missing.cast("long").alias("missing_cells"))
+    else:  # wide table: per-column null counts in chunks, then summed
+        per = long_aggregate(df, {c: F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns})
+        a = df.agg(F.count("*").alias("rows")).withColumn("missing_cells", per.agg(F.sum("value")).scalar().cast("long"))
     pct = F.when(F.col("rows") * ncols > 0, F.col("missing_cells") * 100.0 / (F.col("rows") * ncols))
     return a.select("rows", F.lit(ncols).cast("long").alias("columns"), "missing_cells",
                     pct.alias("missing_pct"), (F.lit(100.0) - pct).alias("completeness_pct"))
