@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.common import long_aggregate
 
 # Pairs per aggregate: keeps generated code under the JVM method-size limit on wide tables.
 PAIR_CHUNK = 8
@@ -68,8 +69,11 @@ def mutual_information(df: DataFrame, cols: Sequence[str], label: str, bins: int
     counts of all features.
     """
     cols = list(cols)
-    rng = df.agg(*[F.min(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.max(F.col(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    named = {}
+    for i, c in enumerate(cols):
+        named[f"a{i}"] = F.min(F.col(c).cast("double"))
+        named[f"b{i}"] = F.max(F.col(c).cast("double"))
+    rng = {r["name"]: r["value"] for r in long_aggregate(df, named, value_type="double").collect()}  # 2 per column
     items = []
     for i, c in enumerate(cols):
         lo, hi = rng[f"a{i}"], rng[f"b{i}"]

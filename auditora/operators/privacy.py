@@ -92,18 +92,18 @@ def content_sensitivity(df: DataFrame, rule_set: str = "extended", columns: Sequ
     cols = list(columns) if columns is not None else string_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "feature string, category string, content_score double")
-    low = df.select(*[F.lower(F.col(c)).alias(f"_l{j}") for j, c in enumerate(cols)])
-    aggs, keys = [], []
+    low = df.select(*[F.lower(F.col(f"`{c}`")).alias(f"_l{j}") for j, c in enumerate(cols)])
+    named = {}
     for j, c in enumerate(cols):
         for cat, kws in table.items():
             hits = [F.bool_or(F.coalesce(F.col(f"_l{j}").contains(k.lower()), F.lit(False))).cast("int") for k in kws]
-            name = f"s{j}_{len(keys)}"
-            aggs.append((sum(hits[1:], hits[0]) / float(len(kws))).alias(name))
-            keys.append((c, cat, name))
-    wide = low.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(cat).alias("category"),
-                               F.coalesce(F.col(k), F.lit(0.0)).alias("content_score")) for c, cat, k in keys])
-    return wide.select(F.inline(items))
+            named[f"{j}\x00{cat}"] = sum(hits[1:], hits[0]) / float(len(kws))
+    # all categories of two columns per aggregate (keeps generated code small on wide tables)
+    long = long_aggregate(low, named, value_type="double", chunk=2 * len(table))
+    col_names = F.array(*[F.lit(c) for c in cols])
+    parts = F.split("name", "\x00")
+    return long.select(F.element_at(col_names, parts[0].cast("int") + 1).alias("feature"), parts[1].alias("category"),
+                       F.coalesce(F.col("value"), F.lit(0.0)).alias("content_score"))
 
 
 def sensitive_features(df: DataFrame, profile: DataFrame | None = None, content_threshold: float = 0.1) -> DataFrame:
