@@ -31,6 +31,20 @@ def csv_round_trip(spark, sf_dir):
                     F.count("event_type").alias("type_non_null"), F.sum(F.col("value").cast("double")).alias("value_sum"))
 
 
+@register("report_sink")
+def report_sink(spark, sf_dir):
+    """Write the privacy report of the documents/part audit as text and read it back as lines."""
+    from ..operators import privacy as pv
+    from ..operators import report as rp
+    pii = pv.scan_pii(table(spark, sf_dir, "documents"))
+    kan = pv.k_anonymity(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+    comp = pv.compliance_report(fx.numeric(spark, sf_dir), "GDPR")
+    text = rp.lines_to_text(rp.privacy_report_lines(pii, kan, comp, pv.compliance_recommendations(comp)))
+    path = _scratch(spark, "report")
+    io.write_report(text, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @register("list_datasets")
 def list_datasets(spark, sf_dir):
     """Parquet files of the input folder with their sizes (file contents never read)."""
