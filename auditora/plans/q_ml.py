@@ -108,7 +108,7 @@ def fairness_by_model(spark, sf_dir):
 
 @register("trained_fairness")
 def trained_fairness(spark, sf_dir):
-    """F3/F4/F8 on trained models: fairness summary per model and sensitive attribute."""
+    """F3-F7 on trained models: fairness summary per model and sensitive attribute (test split)."""
     f, models = _train(spark, sf_dir, ["logistic_regression", "random_forest"])
     pr = ml.predictions(models, f, "row_id", "label", keep=["s1", "s3"])
     pr = pr.withColumn("p", F.col("prediction").cast("int")).withColumn("yy", F.col("y").cast("int"))

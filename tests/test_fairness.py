@@ -122,3 +122,12 @@ def test_sources_and_stream(spark, tmp_path):
     q.awaitTermination()
     assert got and all(r["feature"] == "g" for r in got)
     assert all(abs(r["demographic_parity"] - 0.0) < 1e-12 for r in got)
+
+
+def test_plans_are_scale_safe(spark):
+    """Group metrics aggregate partially before the shuffle and never cross join."""
+    rows = [("hot" if i % 3 == 0 else f"g{i % 40}", "x", i % 2, (i // 2) % 2) for i in range(3000)]
+    df = _df(spark, rows)
+    plan = fa.group_counts(df, "y", "p", ["g", "h"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Exchange hashpartitioning" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
