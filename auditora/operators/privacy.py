@@ -54,7 +54,23 @@ def scan_pii(df: DataFrame, patterns: dict[str, str] | None = None, columns: Seq
 
 
 # ------------------------------------------------------------------ P2 / P3 name rules
-def _contains_any(name_col: Column, keywords: Sequence[str]) -> Column:
+def name_tokens(name_col: Column) -> Column:
+    """Words of a column name: camelCase and any non-alphanumeric character split words."""
+    spaced = F.regexp_replace(name_col, "([a-z0-9])([A-Z])", "$1_$2")
+    return F.array_compact(F.split(F.lower(spaced), "[^a-z0-9]+"))
+
+
+def _contains_any(name_col: Column, keywords: Sequence[str], match: str = "substring") -> Column:
+    """Keyword test on a column name: 'substring' (the application's rule, so 'age' also
+    hits 'Percentage') or 'token' (whole words only)."""
+    if match == "token":
+        toks = name_tokens(name_col)
+        cond = F.lit(False)
+        for k in keywords:
+            cond = cond | F.array_contains(toks, k.lower())
+        return cond
+    if match != "substring":
+        raise ValueError("match must be 'substring' or 'token'")
     low = F.lower(name_col)
     cond = F.lit(False)
     for k in keywords:
@@ -62,11 +78,12 @@ def _contains_any(name_col: Column, keywords: Sequence[str]) -> Column:
     return cond
 
 
-def name_categories(profile: DataFrame, rule_set: str = "basic") -> DataFrame:
-    """(feature, category) for each category whose keyword is a substring of the
-    lower-cased column name ('basic' 9 categories, 'extended' 6)."""
+def name_categories(profile: DataFrame, rule_set: str = "basic", match: str = "substring") -> DataFrame:
+    """(feature, category) for each category whose keyword occurs in the column name
+    ('basic' 9 categories, 'extended' 6; substring or whole-word matching)."""
     table = rules.BASIC_KEYWORDS if rule_set == "basic" else rules.EXTENDED_KEYWORDS
-    items = F.array_compact(F.array(*[F.when(_contains_any(F.col("feature"), kws), F.lit(cat)) for cat, kws in table.items()]))
+    items = F.array_compact(F.array(*[F.when(_contains_any(F.col("feature"), kws, match), F.lit(cat))
+                                      for cat, kws in table.items()]))
     return profile.select("position", "feature", F.explode(items).alias("category"))
 
 
@@ -131,14 +148,15 @@ def sensitive_features(df: DataFrame, profile: DataFrame | None = None, content_
 
 
 # ------------------------------------------------------------------ P6 privacy risk
-def privacy_risk(profile: DataFrame) -> DataFrame:
+def privacy_risk(profile: DataFrame, match: str = "substring") -> DataFrame:
     """Risk 0..5 per column: uniqueness > .9 -> 3, > .5 -> 2, > .1 -> 1; +2 per matching
     basic name category; +3 if the name contains id/key/unique; capped at 5; labelled."""
     rows = F.col("rows").cast("double")
     u = F.when(rows > 0, F.col("n_distinct") / rows).otherwise(F.lit(0.0))
     base = F.when(u > 0.9, 3).when(u > 0.5, 2).when(u > 0.1, 1).otherwise(0)
-    cats = sum((F.when(_contains_any(F.col("feature"), kws), 2).otherwise(0) for kws in rules.BASIC_KEYWORDS.values()), F.lit(0))
-    ident = F.when(_contains_any(F.col("feature"), rules.IDENTIFIER_KEYWORDS), 3).otherwise(0)
+    cats = sum((F.when(_contains_any(F.col("feature"), kws, match), 2).otherwise(0)
+                for kws in rules.BASIC_KEYWORDS.values()), F.lit(0))
+    ident = F.when(_contains_any(F.col("feature"), rules.IDENTIFIER_KEYWORDS, match), 3).otherwise(0)
     risk = F.least(base + cats + ident, F.lit(5))
     labels = F.array(*[F.lit(x) for x in rules.RISK_LABELS])
     return profile.select("position", "feature", u.alias("uniqueness"), risk.cast("int").alias("risk"),

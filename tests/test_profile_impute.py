@@ -114,3 +114,13 @@ def test_hot_key_is_split_across_chunks(spark):
     hr = hash_rank(df, ["k"], ["t"], seed=1, buckets=16)
     ranks = [r["_hrank"] for r in hr.where(F.col("k") == 0).select("_hrank").collect()]
     assert sorted(ranks) == list(range(df.where(F.col("k") == 0).count()))
+
+
+def test_token_matching_avoids_substring_hits(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "Percentage int, customerAge int, zip_code int, Residence int")
+    prof = pr.column_profile(df)
+    sub = {(r["feature"], r["category"]) for r in pv.name_categories(prof, "basic").collect()}
+    tok = {(r["feature"], r["category"]) for r in pv.name_categories(prof, "basic", match="token").collect()}
+    assert ("Percentage", "age") in sub and ("Percentage", "age") not in tok
+    assert ("customerAge", "age") in tok and ("zip_code", "location") in tok
+    assert ("Residence", "personal_id") in sub and ("Residence", "personal_id") not in tok
