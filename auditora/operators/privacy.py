@@ -206,12 +206,12 @@ def k_anonymity(df: DataFrame, qis: Sequence[str], max_size: int = rules.KANON_M
         names = {sum(1 << (q - 1 - i) for i, c in enumerate(qis) if c not in combo): combo for combo in chunk}
         gid_name = F.create_map(*[x for gid, combo in names.items() for x in (F.lit(gid), F.lit("+".join(combo)))])
         gid_size = F.create_map(*[x for gid, combo in names.items() for x in (F.lit(gid), F.lit(len(combo)))])
-        kept = g.where(valid).groupBy("_gid").agg(F.min("n").alias("k"), F.count("*").alias("n_groups"))
-        # sets whose every group had a NULL member still get a row (k NULL), as pandas would
-        all_sets = g.select("_gid").distinct()
-        r = all_sets.join(kept, "_gid", "left").select(
-            F.element_at(gid_name, F.col("_gid")).alias("combo"), F.element_at(gid_size, F.col("_gid")).alias("size"),
-            "k", F.coalesce(F.col("n_groups"), F.lit(0)).cast("long").alias("n_groups"))
+        # one pass: sets whose every group had a NULL member keep a row with k NULL
+        per_set = g.groupBy("_gid").agg(F.min(F.when(valid, F.col("n"))).alias("k"),
+                                        F.count_if(valid).alias("n_groups"))
+        r = per_set.select(F.element_at(gid_name, F.col("_gid")).alias("combo"),
+                           F.element_at(gid_size, F.col("_gid")).alias("size"), "k",
+                           F.col("n_groups").cast("long").alias("n_groups"))
         parts.append(r)
     out = parts[0]
     for p in parts[1:]:
