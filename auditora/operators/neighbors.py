@@ -129,8 +129,10 @@ def bipartite_knn(queries: DataFrame, points: DataFrame, k: int, chunk_rows: int
     from the 2k points nearest in projection order (found by insertion rank, an
     equi-join), then an equi-join on projection buckets limited to that band.
     """
-    q = queries.select("_qid", "_g", "_x", "_p", "_s2")
-    pts = points.select("_pid", "_g", "_x", "_p")
+    # both sides feed several passes (count, splits, ranks, bounds, band join): cut their
+    # lineage once (reliable checkpoint) rather than re-deriving them from the source each time
+    q = queries.select("_qid", "_g", "_x", "_p", "_s2").checkpoint(eager=True)
+    pts = points.select("_pid", "_g", "_x", "_p").checkpoint(eager=True)
     n = pts.count()
     nchunks = max(1, n // chunk_rows)
     splits = quantile_splits(pts, {"_p": F.col("_p")}, nchunks)
