@@ -103,3 +103,17 @@ def long_aggregate(df: DataFrame, named: dict[str, Column], value_type: str = "l
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small, repeatedly used result once.
+
+    Checkpoints into the session's checkpoint directory (shared storage on a cluster, so it
+    survives executor loss); without one, falls back to an eager ``persist``.  Meant for
+    tables of schema size (one row per column / group / cell), not for row data.
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    out = df.persist()
+    out.count()
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.common import long_aggregate
+from ..functions.common import long_aggregate, materialize
 
 # Pairs per aggregate: keeps generated code under the JVM method-size limit on wide tables.
 PAIR_CHUNK = 8
@@ -87,7 +87,8 @@ def mutual_information(df: DataFrame, cols: Sequence[str], label: str, bins: int
         items.append(F.struct(F.lit(c).alias("feature"), b.alias("bin")))
     long = (df.select(F.col(label).cast("string").alias("_y"), F.inline(F.array(*items)))
               .where(F.col("bin").isNotNull() & F.col("_y").isNotNull()))
-    joint = long.groupBy("feature", "bin", "_y").agg(F.count("*").alias("nxy"))
+    # features x bins x classes cells, read four times below
+    joint = materialize(long.groupBy("feature", "bin", "_y").agg(F.count("*").alias("nxy")))
     nx = joint.groupBy("feature", "bin").agg(F.sum("nxy").alias("nx"))
     ny = joint.groupBy("feature", "_y").agg(F.sum("nxy").alias("ny"))
     n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))

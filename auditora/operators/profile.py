@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.common import AGG_CHUNK, dtype_name, is_numeric, is_string, long_aggregate
+from ..functions.common import AGG_CHUNK, dtype_name, is_numeric, is_string, long_aggregate, materialize
 
 # Many exact distinct counts in one aggregate are expanded once per column by the
 # optimizer; beyond this many columns the profile is computed in column chunks.
@@ -59,11 +59,13 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C5 column profile
-def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.01, materialized: bool = True) -> DataFrame:
     """One row per column: position, feature, dtype, rows, non_null, null_count, distinct.
 
     distinct excludes NULLs.  ``approx=True`` uses HyperLogLog++ (no value shuffle) for
-    very large inputs.  All counts for a chunk of columns come from one aggregate.
+    very large inputs.  All counts for a chunk of columns come from one aggregate.  The
+    profile (one row per column) is materialised once, because reports, risk scores and
+    target checks all read it and would otherwise repeat the distinct-count scans.
     """
     fields = list(df.schema.fields)
     parts = []
@@ -86,8 +88,9 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> Da
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("position", "feature", "dtype", "is_numeric", "is_string", "rows", "non_null",
+    prof = out.select("position", "feature", "dtype", "is_numeric", "is_string", "rows", "non_null",
                       (F.col("rows") - F.col("non_null")).alias("null_count"), "n_distinct")
+    return materialize(prof) if materialized else prof
 
 
 def _pct(num, den):

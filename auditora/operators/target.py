@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
-from ..functions.common import stack_columns
+from ..functions.common import materialize, stack_columns
 from .profile import column_profile
 
 
@@ -132,7 +132,7 @@ def chi_square(df: DataFrame, groups: Sequence[str], target: str) -> DataFrame:
     chi2 = N (sum O^2/(R C) - 1) over observed cells; for 2x2 tables every |O - E| equals
     d, so the corrected statistic is (d - min(0.5, d))^2 * N * (sum 1/R) * (sum 1/C).
     """
-    o = contingency(df, groups, target)
+    o = materialize(contingency(df, groups, target))  # groups x classes cells, read three times
     rows_m = o.groupBy("feature", "grp").agg(F.sum("o").alias("r"))
     cols_m = o.groupBy("feature", "t").agg(F.sum("o").alias("c"))
     cells = o.join(rows_m, ["feature", "grp"]).join(cols_m, ["feature", "t"])
