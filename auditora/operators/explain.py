@@ -65,7 +65,7 @@ def high_correlation_pairs(corr: DataFrame, cols: Sequence[str], threshold: floa
 def mutual_information(df: DataFrame, cols: Sequence[str], label: str, bins: int = 32) -> DataFrame:
     """X3 (re-aimed): mutual information (nats) between each feature, discretised into
     ``bins`` equal-width bins over its range, and the label; rows with a NULL feature or
-    label are skipped for that feature.  One aggregate for the ranges, one for the joint
+    label are skipped for that feature.  One job for the ranges, one aggregation for the joint
     counts of all features.
     """
     cols = list(cols)

@@ -1,9 +1,9 @@
 """Privacy operators (P1-P14): personal-data scan, sensitivity rules, risk scores,
 k-anonymity, generalisation, Laplace noise and compliance checks.
 
-Scans are single aggregates over the whole table (every column x pattern pair is one
-``count_if`` in the same pass); k-anonymity runs GROUPING SETS over the table first
-collapsed to distinct quasi-identifier tuples with counts.
+Scans are global aggregates over the whole table (every column x pattern pair is one
+``count_if``; a few columns per aggregate, all in one job); k-anonymity runs GROUPING SETS
+over the table first collapsed to distinct quasi-identifier tuples with counts.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def scan_pii(df: DataFrame, patterns: dict[str, str] | None = None, columns: Seq
              keep_zero: bool = False) -> DataFrame:
     """Rows of each string column matching each pattern (any match per row) and % of all rows.
 
-    One aggregate evaluates every (pattern, column) pair with native ``rlike``; NULL
-    cells never match.  Only hits are returned unless ``keep_zero``.
+    Every (pattern, column) pair is a native ``rlike`` count; the patterns of four columns
+    share one aggregate and all aggregates run in one job.  NULL cells never match.  Only hits are returned unless ``keep_zero``.
     """
     pats = patterns or rules.PII_PATTERNS
     cols = list(columns) if columns is not None else string_columns(df)
@@ -104,7 +104,7 @@ def sensitivity_scores(profile: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ P4 content sensitivity
 def content_sensitivity(df: DataFrame, rule_set: str = "extended", columns: Sequence[str] | None = None) -> DataFrame:
     """Per string column and category, the share of the category's keywords that occur
-    anywhere in the column's lower-cased values (one aggregate of boolean ORs)."""
+    anywhere in the column's lower-cased values (boolean-OR aggregates, two columns each)."""
     table = rules.EXTENDED_KEYWORDS if rule_set == "extended" else rules.BASIC_KEYWORDS
     cols = list(columns) if columns is not None else string_columns(df)
     if not cols:

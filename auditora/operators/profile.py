@@ -45,7 +45,8 @@ def drop_incomplete_rows(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ C4 summary
 def dataset_summary(df: DataFrame) -> DataFrame:
-    """C4: rows, columns, missing cells, missing % and completeness % in one aggregate."""
+    """C4: rows, columns, missing cells, missing % and completeness % (one aggregate; wide
+    tables sum per-column null counts computed in chunks)."""
     ncols = len(df.columns)
     if ncols <= AGG_CHUNK:
         missing = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
