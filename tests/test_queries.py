@@ -8,7 +8,6 @@ from tools.oracle_check import digest, run_duck
 from .conftest import SF_SMALL
 
 SQL = E.oracle_sql()
-SKIP_HEAVY = set()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
