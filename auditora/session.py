@@ -17,8 +17,10 @@ TABLES = (
 ).split()
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "auditora") -> SparkSession:
-    """A local session configured like a small cluster (AQE on, UI off, UTC)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "auditora",
+                  extra: dict | None = None) -> SparkSession:
+    """A local session configured like a small cluster (AQE on, UI off, UTC); ``extra``
+    adds configuration (e.g. an event log directory for stage timings)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -33,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
