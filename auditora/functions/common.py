@@ -79,6 +79,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+# Largest side a known-size broadcast may have (rows); beyond it joins are left to the planner.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if(df: DataFrame, known_rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint when the side's row count is known (from its construction: chunks x
+    columns, classes, leaves) and within ``max_rows``; otherwise no hint."""
+    return F.broadcast(df) if known_rows <= max_rows else df
+
+
 def sql_str_list(values: Iterable[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 

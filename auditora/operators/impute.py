@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import is_numeric, is_string, long_aggregate, unpivot
+from ..functions.common import broadcast_if, is_numeric, is_string, long_aggregate, unpivot
 from ..functions.ranges import default_chunks, order_chunks, per_column_buckets
 
 
@@ -68,8 +68,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, chunks:
         "feature", "bucket",
         F.coalesce(F.sum("bc").over(wf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
         F.sum("bc").over(Window.partitionBy("feature")).alias("n"))
-    # offsets has at most columns x (buckets + 1) rows
-    joined = counts.join(F.broadcast(offsets), ["feature", "bucket"])
+    # offsets has at most columns x (buckets + 1) rows, known before the job runs
+    joined = counts.join(broadcast_if(offsets, len(cols) * (nb + 2)), ["feature", "bucket"])
     wl = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranks = joined.withColumn("hi", F.col("off") + F.sum("c").over(wl)).withColumn("lo", F.col("hi") - F.col("c"))
     h = (F.col("n") - 1) * F.lit(float(q))
@@ -203,7 +203,7 @@ def _directional_fill(df: DataFrame, order_by: Sequence[str], partition_by: Sequ
         carry_exprs = [F.first(f"_e_{c}", ignorenulls=True).over(cf).alias(f"_c_{c}") for c in cols]
     carry = edge.select("_chunk", *part, *carry_exprs)
     if not part:
-        carry = F.broadcast(carry)  # at most chunks + 1 rows
+        carry = broadcast_if(carry, nb + 2)  # one row per chunk
     j = filled.join(carry, ["_chunk", *part], "left")
     out = [F.coalesce(F.col(f"_l_{c}"), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
     return j.select(*out)

@@ -11,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import stack_columns
+from ..functions.common import broadcast_if, stack_columns
 from ..functions.ranges import hash_rank
 from .models import FEATURES, LABEL_IDX, _unit_hash, build_pipeline, label_values
 from .neighbors import exact_knn
@@ -29,13 +29,14 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: in
     Output: id (original id, or NULL), ``synthetic`` flag, ``syn_key``, label, vector.
     """
     sizes = df.groupBy(F.col(label).alias("_lab")).agg(F.count("*").alias("_nc"))
-    n_max = sizes.agg(F.max("_nc")).first()[0]
+    stats = sizes.agg(F.max("_nc").alias("m"), F.count("*").alias("k")).first()
+    n_max, n_classes = stats["m"], stats["k"]
     orig = df.select(F.col(id_col), F.lit(0).alias("synthetic"), F.col(id_col).cast("string").alias("syn_key"),
                      F.col(label), F.transform(F.col(vec), lambda x: x.cast("double")).alias(vec))
     nn = exact_knn(df, id_col, vec, k, group=label)
     x = df.select(F.col(id_col), F.col(label).alias("_lab"), F.transform(F.col(vec), lambda v: v.cast("double")).alias("_x"))
     nx = df.select(F.col(id_col).alias("nbr_id"), F.transform(F.col(vec), lambda v: v.cast("double")).alias("_nx"))
-    pairs = nn.join(x, id_col).join(nx, "nbr_id").join(F.broadcast(sizes), "_lab")  # sizes: one row per class
+    pairs = nn.join(x, id_col).join(nx, "nbr_id").join(broadcast_if(sizes, n_classes), "_lab")  # one row per class
     pairs = pairs.withColumn("_need", F.lit(n_max) - F.col("_nc")).where(F.col("_need") > 0)
     pairs = hash_rank(pairs, ["_lab"], [id_col, "nbr_id"], seed, out="_pr", total="_np")
     per = F.floor(F.col("_need") / F.col("_np")) + F.when(F.col("_pr") < F.col("_need") % F.col("_np"), 1).otherwise(0)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import is_string
+from ..functions.common import broadcast_if, is_string
 from ..functions.ranges import ROWS_PER_CHUNK, hash_rank
 from .profile import column_profile, missing_report
 
@@ -292,7 +292,7 @@ def avg_path_length(model: PipelineModel, df: DataFrame) -> DataFrame:
            else vector_to_array(leaves))
     long = scored.select(F.posexplode(arr).alias("tree", "leaf")).select(F.col("tree").cast("int"), F.col("leaf").cast("int"))
     m.setLeafCol("")
-    j = long.join(F.broadcast(depths), ["tree", "leaf"])
+    j = long.join(broadcast_if(depths, len(depth_rows)), ["tree", "leaf"])  # one row per leaf of the model
     return j.agg(F.avg("path_len").alias("avg_decision_path_length"), F.count("*").alias("n_paths"))
 
 

@@ -25,8 +25,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = bounded_broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"),
-                            DIMENSION_BROADCAST_ROWS)
+    geo = bounded_broadcast(n.join(bounded_broadcast(r, DIMENSION_BROADCAST_ROWS), n.n_regionkey == r.r_regionkey)
+                            .select("n_nationkey", "r_name"), DIMENSION_BROADCAST_ROWS)
     cust = c.join(geo, c.c_nationkey == geo.n_nationkey)
     d = o.join(cust, o.o_custkey == cust.c_custkey)
     return d.select(
