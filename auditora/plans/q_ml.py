@@ -22,7 +22,9 @@ NUM_FEATS = ["c_acctbal", "o_month", "score"]
 
 def _frame(spark, sf_dir):
     d = fx.decisions(spark, sf_dir).select("row_id", *FEATS, "score", F.col("y").cast("string").alias("label"))
-    return ml.split(d, "label", "row_id", test=0.2, seed=42)
+    # training, scoring and attribution passes all read the split table: write it once
+    # (checkpoint in spark.checkpoint.dir) instead of re-running the orders/customer join
+    return ml.split(d, "label", "row_id", test=0.2, seed=42).checkpoint(eager=True)
 
 
 def _train(spark, sf_dir, which, feats=FEATS):
