@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing
+from . import fingerprints, idstore, licenses, mixing, tokencount, toxicity
 from .sql import LICENSE_SQL, MIX_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,23 @@ def minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence scan of every text of ``documents``."""
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity_cnn")
+def toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convolutional toxicity score of every text of ``documents``, learnt from ``labels``."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op2_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of ``documents`` under the 32k sentencepiece model."""
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_id_store")
+def id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text of ``documents`` written to shards, indexed, and read back by key."""
+    return idstore.store_and_read(read(spark, sf_dir, "documents"), idstore.scratch_folder(spark, "id-store"),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
