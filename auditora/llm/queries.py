@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, idstore, licenses, mixing, tokencount, toxicity
+from . import bpe, fingerprints, idstore, licenses, mixing, tokencount, toxicity
 from .sql import LICENSE_SQL, MIX_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text of ``documents`` written to shards, indexed, and read back by key."""
     return idstore.store_and_read(read(spark, sf_dir, "documents"), idstore.scratch_folder(spark, "id-store"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_bpe_automaton")
+def bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded by the automaton of the 49k word vocabulary."""
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
