@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, idstore, licenses, mixing, tokencount, toxicity
-from .sql import LICENSE_SQL, MIX_SQL
+from . import bpe, fingerprints, idstore, licenses, mixing, ngramjoin, tokencount, topk, toxicity
+from .sql import LICENSE_SQL, MIX_SQL, TOPK_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,15 @@ def id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded and decoded by the automaton of the 49k word vocabulary."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_voronoi_topk", TOPK_SQL)
+def voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 highest inner products of every 20th vector of ``embeddings`` against all others."""
+    return topk.top_products(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op7_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` whose 3-word shingle sets have Jaccard similarity 0.9 or more."""
+    return ngramjoin.jaccard_components(read(spark, sf_dir, "documents"), width=3, percent=90)
