@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
-from .textnum import mix, powers
+from .common import named, per_worker
+from .textnum import HashTable, mix, powers
 
 NEVER = np.int64(1) << 40
 LONG_WORD = 96  # symbols; longer words are walked one by one
 SLICE = 1 << 19  # symbols handled at a time
 
-_loaded: dict[int, "WordBpe"] = {}
-
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-in character of every byte in byte-level vocabularies."""
@@ -251,7 +249,7 @@ class WordBpe:
     strings of the vocabulary found in a text become their ids.
     """
 
-    KEPT_WORDS = 2_000_000
+    KEPT_WORDS = 1_000_000
 
     def __init__(self, model: str):
         spec = json.loads(model)
@@ -280,8 +278,7 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.kept = np.zeros(0, np.uint64)
-        self.kept_at = np.zeros(0, np.int64)
+        self.table = HashTable(21)
         self.word_ids: list[bytes] = []
         self.word_text: list[bytes] = []
 
@@ -325,16 +322,7 @@ class WordBpe:
         labels, listed = self.labels, ids.tolist()
         self.word_ids += [raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
         self.word_text += [b" ".join([labels[i] for i in listed[a:b]]) for a, b in zip(at[:-1], at[1:])]
-        kept = np.concatenate((self.kept, h))
-        order = np.argsort(kept, kind="stable")
-        self.kept = kept[order]
-        self.kept_at = np.concatenate((self.kept_at, np.arange(begin, begin + len(h))))[order]
-
-    def known(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.kept):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.kept, h), len(self.kept) - 1)
-        return np.where(self.kept[at] == h, self.kept_at[at], -1)
+        self.table.add(h, np.arange(begin, begin + len(h), dtype=np.int32))
 
     def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of every word among the kept words, words per text) of plain texts."""
@@ -358,18 +346,18 @@ class WordBpe:
             s = starts[lo:hi] - a
             h[lo:hi] = (sums[ends[lo:hi] - a] - sums[s]) * down[s]
             lo = hi
-        h = mix(h, 21) + mix((ends - starts).astype(np.uint64), 22)
-        found, first, which = np.unique(h, return_index=True, return_inverse=True)
-        spot = self.known(found)
+        h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 21)
+        if len(self.word_ids) > self.KEPT_WORDS:
+            self.forget()
+        spot = self.table.find(h)
         fresh = np.flatnonzero(spot < 0)
         if len(fresh):
-            if len(self.kept) + len(fresh) > self.KEPT_WORDS:
-                self.forget()
-                fresh = np.arange(len(found))
-            self.learn(found[fresh], [joined[a:b].encode("utf-8", "surrogatepass")
-                                      for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())])
-            spot = self.known(found)
-        return spot[which], counts
+            new, first, which = np.unique(h[fresh], return_index=True, return_inverse=True)
+            first = fresh[first]
+            before = len(self.word_ids)
+            self.learn(new, [joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            spot[fresh] = before + which
+        return spot, counts
 
     def encode_texts(self, texts: list[str], group: int = 1 << 22):
         """Per text (ids as little-endian 32-bit bytes, decoded bytes), about ``group`` characters at a time."""
@@ -421,10 +409,7 @@ class WordBpe:
 
 
 def bpe_of(model: str) -> WordBpe:
-    key = hash(model)
-    if key not in _loaded:
-        _loaded[key] = WordBpe(model)
-    return _loaded[key]
+    return per_worker(("word-bpe", hash(model)), lambda: WordBpe(model))
 
 
 def _model(spark, path: str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -39,3 +41,16 @@ def unused(df: DataFrame, stem: str) -> str:
 def default_parallelism(df: DataFrame) -> int:
     """Shuffle partitions of the session: the least number of pieces worth making."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """``make()`` once per Python worker process.
+
+    The library's functions travel to the workers by value, so module globals start anew in every
+    task; what is worth keeping (compiled vocabularies) hangs on a module of the process instead.
+    """
+    name = "_kept_by_worker"
+    store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("objects", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -101,3 +101,49 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, head: int = 0) -> tuple[n
     empty = np.zeros(0, np.uint64)
     return (np.concatenate(hashes) if hashes else empty, counts,
             (np.concatenate(heads) if heads else empty) if head else None)
+
+
+class HashTable:
+    """64-bit hash -> small number, open addressing over numpy arrays; nothing is ever removed."""
+
+    PROBES = 6
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.hashes = np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, -1, np.int32)
+
+    def slot(self, h: np.ndarray, probe: int) -> np.ndarray:
+        step = (h >> np.uint64(40)) | np.uint64(1)
+        return ((h + step * np.uint64(probe)) & self.mask).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Value of every hash, or -1."""
+        s = self.slot(h, 0)
+        out = self.values[s]
+        other = np.flatnonzero((out >= 0) & (self.hashes[s] != h))
+        out[other] = -1
+        for probe in range(1, self.PROBES):
+            if not len(other):
+                break
+            s = self.slot(h[other], probe)
+            v, same = self.values[s], self.hashes[s] == h[other]
+            hit = (v >= 0) & same
+            out[other[hit]] = v[hit]
+            other = other[(v >= 0) & ~same]
+        return out
+
+    def add(self, h: np.ndarray, v: np.ndarray) -> None:
+        """Distinct new hashes; one that finds no free slot is not kept."""
+        left = np.arange(len(h))
+        for probe in range(self.PROBES):
+            if not len(left):
+                return
+            s = self.slot(h[left], probe)
+            free = np.flatnonzero(self.values[s] < 0)
+            at, first = np.unique(s[free], return_index=True)
+            put = left[free[first]]
+            self.hashes[at], self.values[at] = h[put], v[put]
+            gone = np.zeros(len(left), bool)
+            gone[free[first]] = True
+            left = left[~gone]

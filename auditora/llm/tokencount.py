@@ -16,15 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import named, per_worker
 from .textnum import buffers
 
 CHUNK = 1 << 14
 OVERLAP = 1 << 8
 BATCH_BYTES = 1 << 21  # texts given to the encoder at once
 
-_encoders: dict[int, "PieceCounter"] = {}
-
 
 class PieceCounter:
     """Encoder of one serialised sentencepiece BPE model with byte offsets of its tokens."""
@@ -133,10 +131,7 @@ class PieceCounter:
 
 def counter_of(proto: bytes, chunk: int, overlap: int) -> PieceCounter:
     """One encoder per Python worker and model."""
-    key = hash((proto, chunk, overlap))
-    if key not in _encoders:
-        _encoders[key] = PieceCounter(proto, chunk, overlap)
-    return _encoders[key]
+    return per_worker(("pieces", hash(proto), chunk, overlap), lambda: PieceCounter(proto, chunk, overlap))
 
 
 def token_count_column(spark, text: Column, model_path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
