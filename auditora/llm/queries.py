@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, idstore, licenses, mixing, ngramjoin, tokencount, topk, toxicity
+from . import bpe, fingerprints, idstore, langid, licenses, mixing, ngramjoin, tokencount, topk, toxicity
 from .sql import LICENSE_SQL, MIX_SQL, TOPK_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ def voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` whose 3-word shingle sets have Jaccard similarity 0.9 or more."""
     return ngramjoin.jaccard_components(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query("op5_language_fusion")
+def language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page of ``pages`` from text, markup, address and host evidence; the text models
+    are learnt from a bounded sample of ``documents``."""
+    return langid.identify_pages(read(spark, sf_dir, "pages"), langid.fit(read(spark, sf_dir, "documents")))
