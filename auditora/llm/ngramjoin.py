@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
-from .common import named
+from .common import named, unused
 from .components import components
 from .textnum import buffers, mix, word_hashes
 
@@ -299,23 +299,44 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     text are different documents; NULL keys are not the smallest (a component of NULL keys only has a NULL
     id); an empty table gives no rows.  Sets are compared by 64-bit hashes of their shingles.
     """
+    found = _placed(docs, key, text, width, percent)
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _placed(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(key, th, n, comp, component_id) of every row; ``comp`` is NULL for texts without words."""
     join = Join(docs, key, text, width, percent)
     comp = join.components()
     named_sets = join.rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"))
     placed = named_sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_node = placed.join(least, "comp").select("node", "component_id")
-    out = join.rows.select("key", "n", "node").join(of_node, "node", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
-                      F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    of_node = placed.join(least, "comp").select("node", "comp", "component_id")
+    out = join.rows.select("key", "th", "n", "node").join(of_node, "node", "left")
+    return out.select("key", "th", "n", "comp", F.when(F.col("node").isNull(), F.col("key")).otherwise(
+        F.col("component_id")).alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """Rows of ``docs`` whose key is their component's smallest; rows without words are kept.
+    """One row of ``docs`` for each component, all columns kept: the least key (NULL last), then text hash.
 
-    Of rows repeating that key, and in components without a key, one row stays: the least by text.
+    Texts without words are in no component and stay.  Of rows repeating both key and text one stays.
     """
-    found = jaccard_components(docs, key, text, width, percent)
-    heads = found.filter(F.col(key).eqNullSafe(F.col("component_id")) | F.col(key).isNull()).select(named(key).alias("_head")).distinct()
-    kept = docs.join(heads, named(key).eqNullSafe(F.col("_head"))).drop("_head")
-    return kept
+    found = _placed(docs, key, text, width, percent).checkpoint(eager=True)
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "th")
+    heads = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(place).alias("m")).select("m.key", "m.th")
+    blank = found.filter("comp IS NULL").select("key", "th").distinct()
+    again = found.filter("comp IS NOT NULL").groupBy("key", "th").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", "th")
+    again = again.join(heads.select(F.col("key").alias("k2"), F.col("th").alias("t2")),
+                       F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("t2")), "left_semi").checkpoint(eager=True)
+    h = unused(docs, "_text_hash")
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(named(text).cast("string"), F.lit(""))))
+
+    def on(side: DataFrame, how: str, rows: DataFrame = hashed) -> DataFrame:
+        k, t = unused(rows, "_head_key"), unused(rows, "_head_hash")
+        names = side.select(F.col("key").alias(k), F.col("th").alias(t))
+        return rows.join(bounded_broadcast(names, FETCH_BROADCAST), named(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col(t)), how)
+
+    kept = on(heads.unionByName(blank), "left_semi")
+    if not again.isEmpty():
+        kept = on(again, "left_anti", kept).unionByName(on(again, "left_semi", kept).dropDuplicates([key, h]))
+    return kept.select(*[named(c) for c in docs.columns])
