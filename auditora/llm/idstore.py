@@ -20,6 +20,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import broadcast_if
-from .common import default_parallelism, named
-from .textnum import buffers, mix, powers
+from .common import default_parallelism, named, per_worker
+from .textnum import HashTable, buffers, mix, powers
 
 DOCS_PER_SHARD = 1 << 14
 KEYS_PER_BUCKET = 1 << 16
@@ -38,8 +39,6 @@ END_ID = 2
 MAX_LEVELS = 40
 GAMMA = 2
 
-_encoders: dict[int, "BatchEncoder"] = {}
-
 
 # ---------------------------------------------------------------- encoding
 
@@ -53,7 +52,8 @@ class BatchEncoder:
     ``KEPT_PIECES``.
     """
 
-    KEPT_PIECES = 3_000_000
+    KEPT_PIECES = 2_000_000
+    GROUP = 1 << 22
     LETTER = np.zeros(256, bool)
     LETTER[[*range(65, 91), *range(97, 123)]] = True
     MARK = np.zeros(256, bool)
@@ -67,6 +67,7 @@ class BatchEncoder:
         self.tok.no_padding()
         top = max(self.tok.get_vocab(with_added_tokens=True).values())
         self.width = 2 if top < 1 << 16 else 4
+        self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         spec = json.loads(model)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -77,7 +78,7 @@ class BatchEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.kept = np.zeros(0, np.uint64)  # sorted hashes of known pieces
+        self.table, self.kept_n = HashTable(22), 0  # piece hash -> number of the kept piece
         self.kept_at, self.kept_len, self.kept_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def piece_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -98,9 +99,7 @@ class BatchEncoder:
         if n > 2:
             letter, mark, line = self.LETTER[data], self.MARK[data], data == 0x0A
             cut[1:n] |= letter[:-1] & mark[1:] | mark[:-1] & (data[:-1] != 0x27) & letter[1:] | line[1:] & ~blank[:-1]
-            alone = line[1:-1] & ~blank[:-2] & ~blank[2:]  # one line end between two other characters
-            alone[np.isin(np.arange(1, n - 1), inner)] = False  # ... of one text
-            cut[2:n] |= alone
+            cut[2:n] |= line[1:-1] & ~blank[:-2] & ~blank[2:]  # one line end between two other characters
             raw = data.tobytes()
             for content in self.special:
                 at = raw.find(content)
@@ -112,33 +111,37 @@ class BatchEncoder:
         return np.flatnonzero(cut)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, ids per text)."""
+        """(ids of all texts in order, ids per text), worked off in groups of about ``GROUP`` bytes."""
+        ids, counts, lo = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
+        while lo < len(offsets) - 1:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + self.GROUP, "right")) - 1)
+            i, n = self.group(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            ids.append(i.astype(self.dtype))
+            counts.append(n)
+            lo = hi
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def group(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_texts = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n_texts, np.int64)
         starts = self.piece_starts(data, offsets) if self.cuts else offsets[:-1][np.diff(offsets) > 0]
         ends = np.concatenate((starts[1:], [len(data)]))
-        h, which, first = self.distinct(data, starts, ends)
-        spot = self.known(h)
+        h = self.hashed(data, starts, ends)
+        if self.kept_n > self.KEPT_PIECES:
+            self.forget()
+        spot = self.table.find(h)
         fresh = np.flatnonzero(spot < 0)
         if len(fresh):
-            if len(self.kept) + len(fresh) > self.KEPT_PIECES:
-                self.forget()
-                fresh = np.arange(len(h))
-            self.learn(h[fresh], data, starts[first[fresh]], ends[first[fresh]])
-            spot = self.known(h)
-        at, per = self.kept_at[spot][which], self.kept_len[spot][which]
+            new, first, which = np.unique(h[fresh], return_index=True, return_inverse=True)
+            first = fresh[first]
+            self.learn(new, data, starts[first], ends[first])
+            spot[fresh] = self.kept_n - len(new) + which
+        at, per = self.kept_at[spot], self.kept_len[spot]
         ids = self.kept_ids[ranges(at, per)]
         text_of = np.searchsorted(offsets, starts, "right") - 1
         return ids, np.bincount(text_of, per, n_texts).astype(np.int64)
 
-    def known(self, h: np.ndarray) -> np.ndarray:
-        """Place of every hash among the kept pieces, or -1."""
-        if not len(self.kept):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.kept, h), len(self.kept) - 1)
-        return np.where(self.kept[at] == h, at, -1)
-
     def learn(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode new pieces and keep their ids."""
         raw = memoryview(np.ascontiguousarray(data))
@@ -146,16 +149,15 @@ class BatchEncoder:
         got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         begin = len(self.kept_ids) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.kept_ids = np.concatenate((self.kept_ids, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))))
-        kept = np.concatenate((self.kept, h))
-        order = np.argsort(kept, kind="stable")
-        self.kept = kept[order]
-        self.kept_at = np.concatenate((self.kept_at, begin))[order]
-        self.kept_len = np.concatenate((self.kept_len, lengths))[order]
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+        self.kept_ids = np.concatenate((self.kept_ids, flat))
+        self.kept_at, self.kept_len = np.concatenate((self.kept_at, begin)), np.concatenate((self.kept_len, lengths))
+        self.table.add(h, np.arange(self.kept_n, self.kept_n + len(h), dtype=np.int32))
+        self.kept_n += len(h)
 
     @staticmethod
-    def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of the distinct pieces, each piece's place among them, an occurrence of each)."""
+    def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hash of every piece (bytes and length)."""
         up, down = powers(1 << 20)
         h = np.empty(len(starts), np.uint64)
         lo = 0
@@ -169,8 +171,7 @@ class BatchEncoder:
             s = starts[lo:hi] - a
             h[lo:hi] = (sums[ends[lo:hi] - a] - sums[s]) * down[s]
             lo = hi
-        found, first, which = np.unique(mix(h, 9) + mix((ends - starts).astype(np.uint64), 8), return_index=True, return_inverse=True)
-        return found, which, first
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 9)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -183,10 +184,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def encoder_of(model: str) -> BatchEncoder:
-    key = hash(model)
-    if key not in _encoders:
-        _encoders[key] = BatchEncoder(model)
-    return _encoders[key]
+    return per_worker(("byte-bpe", hash(model)), lambda: BatchEncoder(model))
 
 
 # ---------------------------------------------------------------- files
@@ -228,7 +226,7 @@ def shard_writer(uri: str, model: str, end_id: int | None):
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
-                out.write(ids.astype("<u2" if enc.width == 2 else "<u4").tobytes())
+                out.write(ids.astype(enc.dtype).tobytes())
                 totals.append(totals[-1][-1] + np.cumsum(counts).astype(np.uint64))
                 yield pa.record_batch([pa.array(np.full(len(counts), shard, np.int32)), pa.array(np.arange(done, done + len(counts))),
                                        batch.column(0), pa.array(counts)], names=["shard", "ordinal", "key", "n_tokens"])
