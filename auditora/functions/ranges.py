@@ -110,6 +110,9 @@ def hash_rank(df: DataFrame, part: Sequence[str], keys: Sequence[str], seed: int
                       F.sum("_hc").over(Window.partitionBy(*part)).alias(total))
     # offsets: parts x buckets rows; broadcast only when there is no partition key and the
     # bucket count is small, else a shuffle join on (part, bucket)
-    j = base.join(F.broadcast(offs) if not part and buckets <= 100_000 else offs, [*part, "_hb"])
+    keys_ = [*part, "_hb"]
+    offs = offs.select(*[F.col(c).alias(f"_o_{c}") for c in keys_], "_ho", total)
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in keys_]  # NULL is a part like any other
+    j = base.join(F.broadcast(offs) if not part and buckets <= 100_000 else offs, same).drop(*[f"_o_{c}" for c in keys_])
     wr = Window.partitionBy(*part, "_hb").orderBy("_hh", *keys)
     return j.withColumn(out, F.col("_ho") + F.row_number().over(wr) - 1).drop("_hh", "_hb", "_ho")

@@ -202,9 +202,10 @@ def _directional_fill(df: DataFrame, order_by: Sequence[str], partition_by: Sequ
         cf = wc.rowsBetween(1, Window.unboundedFollowing)
         carry_exprs = [F.first(f"_e_{c}", ignorenulls=True).over(cf).alias(f"_c_{c}") for c in cols]
     carry = edge.select("_chunk", *part, *carry_exprs)
-    if not part:
-        carry = broadcast_if(carry, nb + 2)  # one row per chunk
-    j = filled.join(carry, ["_chunk", *part], "left")
+    # NULL is a partition key like any other
+    carry = carry.select(*[F.col(c).alias(f"_k_{c}") for c in ["_chunk", *part]], *[F.col(f"_c_{c}") for c in cols])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ["_chunk", *part]]
+    j = filled.join(broadcast_if(carry, nb + 2) if not part else carry, same, "left")
     out = [F.coalesce(F.col(f"_l_{c}"), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
     return j.select(*out)
 

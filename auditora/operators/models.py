@@ -16,15 +16,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel, GBTClassifier,
                                        LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import broadcast_if, is_string
+from ..functions.common import bounded_broadcast, broadcast_if, is_string, long_aggregate
 from ..functions.ranges import ROWS_PER_CHUNK, hash_rank
-from .profile import column_profile, missing_report
 
 FEATURES = "features"
 LABEL_IDX = "label_idx"
@@ -33,7 +32,10 @@ LABEL_IDX = "label_idx"
 # ------------------------------------------------------------------ L1
 def completeness_gate(df: DataFrame) -> DataFrame:
     """L1: columns that still hold NULLs (count and %); empty when training may proceed."""
-    return missing_report(column_profile(df)).select("feature", "missing_count", "missing_pct")
+    counts = long_aggregate(df, {c: F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns})
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    missing = counts.where(F.col("value") > 0).select(F.col("name").alias("feature"), F.col("value").alias("missing_count"))
+    return missing.withColumn("missing_pct", F.col("missing_count") * 100.0 / n.select("n").scalar())
 
 
 def assert_complete(df: DataFrame) -> None:
@@ -138,8 +140,29 @@ def estimators(n_train: int, n_classes: int, seed: int = 42, rf_depth: int = 12,
     return {"random_forest": rf, "logistic_regression": lr, "gradient_boosting": gbt}
 
 
+# Categorical splits are searched per category up to this many; beyond it codes are ordinals.
+MAX_CATEGORIES = 256
+
+
 def build_pipeline(df: DataFrame, features: Sequence[str], label: str, estimator) -> Pipeline:
+    """Encoding, label index, assembly and estimator.
+
+    Tree estimators treat an indexed string as nominal, which needs as many bins as values.
+    ``maxBins`` follows the largest checked cardinality; a feature with more than
+    ``MAX_CATEGORIES`` values loses its nominal metadata, and its codes are ordinals.
+    """
     enc, cols = encoder_stages(df, features)
+    strings = [c for c in features if is_string(df.schema[c].dataType)]
+    if strings and estimator.__class__ is not LogisticRegression:
+        sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in strings]).first()
+        wide = [c for c in strings if sizes[c] * 1.1 + 2 > MAX_CATEGORIES]
+        nominal = [int(sizes[c] * 1.1) + 3 for c in strings if c not in wide]
+        tree = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+        tree.setMaxBins(max([32, *nominal]))
+        if wide:
+            plain = ", ".join(f"`{c}__idx` + 0.0D AS `{c}__code`" for c in wide)
+            enc = [*enc, SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__")]
+            cols = [f"{c[:-5]}__code" if c[:-5] in wide and c.endswith("__idx") else c for c in cols]
     lab = StringIndexer(inputCol=label, outputCol=LABEL_IDX, stringOrderType="alphabetAsc")
     asm = VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="error")
     return Pipeline(stages=[*enc, lab, asm, estimator])
@@ -208,7 +231,7 @@ def _final(model):
 
 def _input_names(model: PipelineModel) -> list[str]:
     asm = [s for s in model.stages if s.__class__.__name__ == "VectorAssembler"][0]
-    return [c[:-5] if c.endswith("__idx") else c for c in asm.getInputCols()]
+    return [c[:-5] if c.endswith("__idx") else c[:-6] if c.endswith("__code") else c for c in asm.getInputCols()]
 
 
 def feature_importance(model: PipelineModel, spark) -> DataFrame:
@@ -305,29 +328,26 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
                            repeats: int = 10, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Mean and std of the accuracy drop when one feature's values are permuted.
 
-    For every (feature, repeat) the rows are dealt into hash buckets and, inside a bucket,
-    each row takes the feature value of the row with the same rank under a second hash
-    order: a seeded permutation built from bounded windows.  All variants are stacked and
-    scored in one ``transform``; accuracy per variant is one aggregation.
+    One seeded permutation per repeat serves all features: each row is paired with the row of
+    the same rank under a second hash order, inside buckets of about ROWS_PER_CHUNK rows (one
+    bucket for all rows of a smaller table).  The pairs are exploded to one variant per feature
+    without another shuffle, scored in one ``transform``, and aggregated.
     """
     feats = list(features)
     labels = label_values(model)
     lab_arr = F.array(*[F.lit(v) for v in labels])
     base = df.select(id_col, label, *feats)
     if buckets is None:  # each (feature, repeat, bucket) window holds about ROWS_PER_CHUNK rows
-        buckets = max(64, -(-base.count() // ROWS_PER_CHUNK))
-    variants = F.array(*[F.struct(F.lit(f).alias("pf"), F.lit(r).alias("rep")) for f in feats for r in range(repeats)])
-    ex = base.select("*", F.inline(variants))
-    ex = ex.withColumn("_bk", F.pmod(F.xxhash64(F.col(id_col), "pf", "rep", F.lit(seed)), F.lit(buckets)))
-    w1 = Window.partitionBy("pf", "rep", "_bk").orderBy(F.xxhash64(F.col(id_col), "pf", "rep", F.lit(seed + 1)), id_col)
-    w2 = Window.partitionBy("pf", "rep", "_bk").orderBy(F.xxhash64(F.col(id_col), "pf", "rep", F.lit(seed + 2)), id_col)
+        buckets = max(1, -(-base.count() // ROWS_PER_CHUNK))
+    ex = base.select("*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep"))
+    ex = ex.withColumn("_bk", F.pmod(F.xxhash64(F.col(id_col), "rep", F.lit(seed)), F.lit(buckets)))
+    w1 = Window.partitionBy("rep", "_bk").orderBy(F.xxhash64(F.col(id_col), "rep", F.lit(seed + 1)), id_col)
+    w2 = Window.partitionBy("rep", "_bk").orderBy(F.xxhash64(F.col(id_col), "rep", F.lit(seed + 2)), id_col)
     recv = ex.withColumn("_pos", F.row_number().over(w1))
-    donor_val = F.coalesce(*[F.when(F.col("pf") == f, F.col(f).cast("string")) for f in feats])
-    donor = ex.select("pf", "rep", "_bk", F.row_number().over(w2).alias("_pos"), donor_val.alias("_dv"))
-    j = recv.join(donor, ["pf", "rep", "_bk", "_pos"])
-    types = {f: df.schema[f].dataType for f in feats}
+    donor = ex.select("rep", "_bk", F.row_number().over(w2).alias("_pos"), F.struct(*feats).alias("_donor"))
+    j = recv.join(donor, ["rep", "_bk", "_pos"]).select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("pf"))
     permuted = j.select(id_col, label, "pf", "rep", *[
-        F.when(F.col("pf") == f, F.col("_dv").cast(types[f])).otherwise(F.col(f)).alias(f) for f in feats])
+        F.when(F.col("pf") == f, F.col("_donor")[f]).otherwise(F.col(f)).alias(f) for f in feats])
     scored = model.transform(permuted)
     pred = F.element_at(lab_arr, F.col("prediction").cast("int") + 1)
     acc = scored.groupBy("pf", "rep").agg(F.avg((pred == F.col(label).cast("string")).cast("double")).alias("acc"))
@@ -375,32 +395,37 @@ def shapley_sampling(model: PipelineModel, df: DataFrame, background: DataFrame,
     by hash; F+1 hybrid rows switch features one at a time from the background to the row
     along the permutation; one ``transform`` scores all hybrids, and the difference of
     consecutive scores is the feature's marginal contribution.  Per row the values add
-    up to f(x) - mean_p f(b_p).  ``background`` must be small (its size is checked).
+    up to f(x) - mean_p f(b_p).  The background may have any size: rows meet it by an equi-join
+    on its number, broadcast when it is small.  A hybrid's score counts for the feature just
+    added and against the next one, so contributions are summed without ordering the hybrids.
     """
     feats = list(features)
     nb = background.count()
-    if nb == 0 or nb > 10000:
-        raise ValueError("background must hold 1..10000 rows")
+    if nb == 0:
+        raise ValueError("background must hold rows")
     rng = np.random.default_rng(seed)
     perms = [list(rng.permutation(len(feats))) for _ in range(permutations)]
-    bg = background.select(*feats).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
-    bg = F.broadcast(bg.select("_bi", *[F.col(f).alias(f"_b_{f}") for f in feats]))
+    # numbers 0 .. nb - 1 by a distributed hash rank; equal rows are interchangeable
+    bg = hash_rank(background.select(*feats), [], feats, seed, out="_bi", total="_bn")
+    bg = bounded_broadcast(bg.select("_bi", *[F.col(f).alias(f"_b_{f}") for f in feats]), 100_000)
     steps = []
     for p, order in enumerate(perms):
         for k in range(len(feats) + 1):
             on = {feats[i] for i in order[:k]}
             added = feats[order[k - 1]] if k > 0 else None
-            steps.append(F.struct(F.lit(p).alias("_p"), F.lit(k).alias("_k"), F.lit(added).alias("_f"),
+            following = feats[order[k]] if k < len(feats) else None
+            steps.append(F.struct(F.lit(p).alias("_p"), F.lit(added).cast("string").alias("_f"), F.lit(following).cast("string").alias("_g"),
                                   F.array(*[F.lit(f in on) for f in feats]).alias("_on")))
     rows = df.select(id_col, *feats).withColumn("_s", F.explode(F.array(*steps))).select(id_col, *feats, "_s.*")
     rows = rows.withColumn("_bi", F.pmod(F.xxhash64(F.col(id_col), F.col("_p"), F.lit(seed)), F.lit(nb)))
     j = rows.join(bg, "_bi")
-    hybrid = j.select(id_col, "_p", "_k", "_f", *[
+    hybrid = j.select(id_col, "_f", "_g", *[
         F.when(F.col("_on")[i], F.col(f)).otherwise(F.col(f"_b_{f}")).alias(f) for i, f in enumerate(feats)])
-    scored = model.transform(hybrid).select(id_col, "_p", "_k", "_f", _positive_prob(model, hybrid).alias("_fx"))
-    w = Window.partitionBy(id_col, "_p").orderBy("_k")  # F+1 rows per (row, permutation)
-    marg = scored.withColumn("_d", F.col("_fx") - F.lag("_fx").over(w)).where(F.col("_k") > 0)
-    return marg.groupBy(id_col, F.col("_f").alias("feature")).agg(F.avg("_d").alias("attribution"))
+    scored = model.transform(hybrid).select(id_col, "_f", "_g", _positive_prob(model, hybrid).alias("_fx"))
+    signed = scored.select(id_col, F.inline(F.array(F.struct(F.col("_f").alias("feature"), F.col("_fx").alias("_d")),
+                                                    F.struct(F.col("_g").alias("feature"), (-F.col("_fx")).alias("_d")))))
+    return signed.where(F.col("feature").isNotNull()).groupBy(id_col, "feature").agg(
+        (F.sum("_d") / F.lit(float(permutations))).alias("attribution"))
 
 
 # ------------------------------------------------------------------ X12 local surrogate

@@ -211,6 +211,14 @@ def overview(risk: DataFrame, sensitive: Sequence[str] = (), fairness: DataFrame
 
 
 # ------------------------------------------------------------------ R8 / R10 texts
+BLOCK = 1_000_000_000  # line numbers of one block of a report; no list of lines is longer
+
+
+def _at(block: int) -> int:
+    """First line number of a block."""
+    return block * BLOCK
+
+
 def lines_to_text(lines: DataFrame) -> DataFrame:
     """Join ordered (line_no, text) rows into one document (bounded by the report length)."""
     return lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))),
@@ -224,24 +232,24 @@ def governance_lines(summary: DataFrame, risk: DataFrame, categories: DataFrame,
     spark = risk.sparkSession
 
     def const(block: int, texts: list[str]) -> DataFrame:
-        return spark.createDataFrame([(block * 1000 + i, t) for i, t in enumerate(texts)], "line_no long, text string")
+        return spark.createDataFrame([(_at(block * 10) + i, t) for i, t in enumerate(texts)], "line_no long, text string")
 
     head = summary.select(F.inline(F.array(
-        _line(1000, F.lit("# AI Model Governance Report")), _line(1001, F.lit("## Dataset Overview")),
-        _line(1002, F.format_string("- Total Records: %,d", F.col("rows"))),
-        _line(1003, F.format_string("- Total Features: %d", F.col("columns"))),
-        _line(1004, F.format_string("- Missing Values: %d", F.col("missing_cells"))))))
-    priv = risk.where(F.col("risk") >= 3).select((2100 + F.col("position")).cast("long").alias("line_no"),
+        _line(_at(10), F.lit("# AI Model Governance Report")), _line(_at(10) + 1, F.lit("## Dataset Overview")),
+        _line(_at(10) + 2, F.format_string("- Total Records: %,d", F.col("rows"))),
+        _line(_at(10) + 3, F.format_string("- Total Features: %d", F.col("columns"))),
+        _line(_at(10) + 4, F.format_string("- Missing Values: %d", F.col("missing_cells"))))))
+    priv = risk.where(F.col("risk") >= 3).select((_at(21) + F.col("position")).cast("long").alias("line_no"),
                                                  F.concat(F.lit("- "), F.col("feature")).alias("text"))
     crit = risk.where(F.col("risk") >= 4).select(
-        (2500 + F.col("position")).cast("long").alias("line_no"),
+        (_at(22) + F.col("position")).cast("long").alias("line_no"),
         F.concat(F.lit("- "), F.col("feature"), F.lit(": Requires immediate anonymization or removal")).alias("text"))
     cat = categories.groupBy("category").agg(F.count("*").alias("n")).select(
-        (3100 + F.row_number().over(Window.orderBy("category"))).cast("long").alias("line_no"),
+        (_at(31) + F.row_number().over(Window.orderBy("category"))).cast("long").alias("line_no"),
         F.format_string("- %s: %d features", title_case(F.col("category")), F.col("n")).alias("text"))
     bias = [f"- {s}: Requires fairness monitoring for equal treatment" for s in sensitive] or [
         "- Bias Analysis: model training required for quantitative bias assessment"]
-    rec = recs.select((5100 + F.row_number().over(Window.orderBy("priority", "code"))).cast("long").alias("line_no"),
+    rec = recs.select((_at(51) + F.row_number().over(Window.orderBy("priority", "code"))).cast("long").alias("line_no"),
         F.concat(F.col("code"), F.lit(": "), F.col("message")).alias("text"))
     check = ["## Compliance Checklist", "- Data inventory completed", "- Privacy risk assessment conducted",
              "- Sensitive features identified",
@@ -265,26 +273,26 @@ def privacy_report_lines(pii: DataFrame, kanon: DataFrame, compliance: DataFrame
     compliance status per requirement with the overall score, recommendations."""
     spark = pii.sparkSession
     cat_order = F.create_map(*[x for i, c in enumerate(rules.PII_PATTERNS) for x in (F.lit(c), F.lit(i))])
-    head = spark.createDataFrame([(0, "# Privacy Analysis Report"), (1, "## Pattern Detection Results")],
+    head = spark.createDataFrame([(_at(0), "# Privacy Analysis Report"), (_at(0) + 1, "## Pattern Detection Results")],
                                  "line_no long, text string")
     cats = pii.groupBy("category").agg(F.count("*").alias("_n")).select(
-        (100 + F.element_at(cat_order, F.col("category")) * 100).cast("long").alias("line_no"),
+        ((100 + F.element_at(cat_order, F.col("category")).cast("long")) * F.lit(BLOCK)).cast("long").alias("line_no"),
         F.concat(F.lit("### "), title_case(F.col("category")), F.lit(" Patterns")).alias("text"))
     hits = pii.select(
-        (100 + F.element_at(cat_order, F.col("category")) * 100 + 1 +
+        ((100 + F.element_at(cat_order, F.col("category")).cast("long")) * F.lit(BLOCK) + 1 +
          F.row_number().over(Window.partitionBy("category").orderBy("column"))).cast("long").alias("line_no"),
         F.format_string("- %s: %d matches (%.1f%%)", F.col("column"), F.col("matches"), F.col("percentage")).alias("text"))
-    kh = spark.createDataFrame([(10000, "## Re-identification Risk Assessment")], "line_no long, text string")
-    kl = kanon.select((10001 + F.row_number().over(Window.orderBy("size", "combo"))).cast("long").alias("line_no"),
+    kh = spark.createDataFrame([(_at(1000), "## Re-identification Risk Assessment")], "line_no long, text string")
+    kl = kanon.select((_at(1000) + 1 + F.row_number().over(Window.orderBy("size", "combo"))).cast("long").alias("line_no"),
                       F.format_string("- Combo_%s: K-anonymity = %s (%s risk)", F.col("combo"), F.col("k").cast("string"),
                                       F.col("risk_level")).alias("text"))
     fw = compliance.agg(F.first("framework").alias("f"), F.first("compliance_score").alias("s")).select(F.inline(F.array(
-        _line(20000, F.concat(F.lit("## "), F.col("f"), F.lit(" Compliance Assessment"))),
-        _line(20001, F.format_string("Overall Score: %.2f/1.0", F.col("s"))))))
-    cl = compliance.select((20010 + F.col("position")).cast("long").alias("line_no"),
+        _line(_at(2000), F.concat(F.lit("## "), F.col("f"), F.lit(" Compliance Assessment"))),
+        _line(_at(2000) + 1, F.format_string("Overall Score: %.2f/1.0", F.col("s"))))))
+    cl = compliance.select((_at(2000) + 10 + F.col("position")).cast("long").alias("line_no"),
                            F.concat(F.lit("- "), F.col("requirement"), F.lit(": "), F.col("status")).alias("text"))
-    rh = spark.createDataFrame([(30000, "## Recommendations")], "line_no long, text string")
-    rl = recs.select((30001 + F.row_number().over(Window.orderBy("priority"))).cast("long").alias("line_no"),
+    rh = spark.createDataFrame([(_at(3000), "## Recommendations")], "line_no long, text string")
+    rl = recs.select((_at(3000) + 1 + F.row_number().over(Window.orderBy("priority"))).cast("long").alias("line_no"),
                      F.concat(F.lit("- "), F.col("recommendation")).alias("text"))
     out = head
     for p in [cats, hits, kh, kl, fw, cl, rh, rl]:

@@ -61,9 +61,4 @@ def union_long(src: str, cols: list[str], keep: str, name_col: str = "feature",
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import q_fairness, q_profile  # noqa: F401
-    for mod in ("q_privacy", "q_target", "q_explain", "q_report", "q_ml", "q_misc"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # modules are added as operators land
-            if mod not in str(e):
-                raise
+    from . import q_misc, q_ml, q_privacy, q_report, q_target  # noqa: F401

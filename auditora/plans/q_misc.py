@@ -11,6 +11,7 @@ from ..session import ensure_checkpoint_dir, table
 from ..sources import io
 from ..streaming import monitor
 from . import fixtures as fx
+from . import q_fairness
 from .catalog import register
 
 
@@ -21,14 +22,16 @@ def _scratch(spark, name: str) -> str:
 
 @register("csv_round_trip", sql=f"""WITH src AS ({fx.GAPS_SQL})
 SELECT count(*) AS rows, count(value) AS value_non_null, count(event_type) AS type_non_null,
+       CAST(min(ts) AS TIMESTAMP) AS first_ts, CAST(max(ts) AS TIMESTAMP) AS last_ts,
        ROUND(sum(value), 6) AS value_sum FROM src""")
 def csv_round_trip(spark, sf_dir):
     """Write the gap fixture as CSV under a run id, read it back with inferred types."""
     path = _scratch(spark, "csv")
-    io.write_table(fx.gaps(spark, sf_dir).drop("ts"), path, fmt="csv", run_id="r1")
+    io.write_table(fx.gaps(spark, sf_dir), path, fmt="csv", run_id="r1")
     back = io.read_table(spark, f"{path}/run_id=r1", fmt="csv")
     return back.agg(F.count("*").alias("rows"), F.count("value").alias("value_non_null"),
-                    F.count("event_type").alias("type_non_null"), F.sum(F.col("value").cast("double")).alias("value_sum"))
+                    F.count("event_type").alias("type_non_null"),
+                    F.min(F.col("ts").cast("timestamp_ntz")).alias("first_ts"), F.max(F.col("ts").cast("timestamp_ntz")).alias("last_ts"), F.sum(F.col("value").cast("double")).alias("value_sum"))
 
 
 @register("report_sink")
@@ -51,13 +54,27 @@ def list_datasets(spark, sf_dir):
     return io.list_datasets(spark, sf_dir, glob="*.parquet").select("name", "size")
 
 
-@register("stream_fairness_monitor")
+_MONITOR_LONG = """d AS (
+  SELECT make_timestamp(CAST(floor(epoch_us(CAST(o_orderdate AS TIMESTAMP)) / 2592000000000) AS BIGINT) * 2592000000000) AS window_start,
+         c_mktsegment AS s1, o_orderpriority AS s2, CAST(o_orderstatus = 'F' AS INTEGER) AS y, CAST(o_totalprice > 250000 AS INTEGER) AS p
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+lg AS (SELECT window_start, y, p, 's1' AS feature, s1 AS grp FROM d UNION ALL SELECT window_start, y, p, 's2', s2 FROM d)"""
+
+
+def _by_window(cte: str) -> str:
+    """The per-feature fairness SQL, per window and feature."""
+    return cte.replace("SELECT feature,", "SELECT window_start, feature,").replace("GROUP BY feature", "GROUP BY window_start, feature")
+
+
+@register("stream_fairness_monitor", sql=f"""
+WITH {_MONITOR_LONG}, {_by_window(q_fairness._COUNTS)}, {q_fairness._ZERO}, {_by_window(q_fairness._SUMMARY)}
+SELECT window_start, feature, ROUND(dp, 6) AS demographic_parity, ROUND(eo, 6) AS equalized_odds, {q_fairness._SEV} AS severity FROM s""")
 def stream_fairness_monitor(spark, sf_dir):
     """Streaming: monthly fairness of order decisions from a file stream of orders.
 
-    Orders are read as a stream (all files available now), joined to the static customer
-    dimension, aggregated per (30-day window, attribute, group) with a watermark, and each
-    micro-batch's finished windows are summarised and appended to a parquet table.
+    Orders are read as a stream (all files available now, one a batch), joined to the static
+    customer dimension and aggregated per (30-day window, attribute, group); every batch appends
+    the counts it changed to a table, and the latest counts of all windows are summarised.
     """
     orders_schema = table(spark, sf_dir, "orders").schema
     stream = (spark.readStream.schema(orders_schema).option("pathGlobFilter", "orders.parquet")
@@ -70,16 +87,13 @@ def stream_fairness_monitor(spark, sf_dir):
     out = _scratch(spark, "monitor-out")
 
     def sink(batch, epoch):
-        batch.write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated batch replaces its own
 
     q = monitor.start_monitor(dec, "ts", "y", "p", ["s1", "s2"], sink, _scratch(spark, "monitor-ckpt"),
-                              window="30 days", watermark="0 seconds", trigger={"availableNow": True})
+                              window="30 days", trigger={"availableNow": True})
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # no window closed (empty input)
-        return spark.createDataFrame([], "window_start timestamp, feature string, demographic_parity double, "
-                                         "equalized_odds double, severity string")
+    found = monitor.window_summaries(monitor.latest_counts(spark.read.parquet(out)))
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 

@@ -55,30 +55,42 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
     return normalize_missing(df, ())
 
 
+INTEGER_FORM = r"^[+-]?[0-9]{1,19}$"
+NUMBER_FORM = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+BOOLEAN_FORM = r"^(?i)(true|false)$"
+DATE_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+TIME_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
+
+
 def _infer_types(df: DataFrame) -> DataFrame:
-    """Type string columns as int/bigint/double where every non-NULL value parses (one aggregate)."""
+    """Type string columns where every non-NULL value has the written form of the type.
+
+    In order: int, bigint, double, boolean, date, timestamp; else string.  One aggregate finds the
+    widest form per column.  A number must be written as one (``12D`` and ``34F`` stay strings).
+    """
     probes = []
-    for c in df.columns:
-        col = F.col(f"`{c}`")
-        as_long = col.try_cast("long")
-        as_double = col.try_cast("double")
-        probes.append(F.bool_and(col.isNull() | as_long.isNotNull()).alias(f"l_{c}"))
-        probes.append(F.bool_and(col.isNull() | as_double.isNotNull()).alias(f"d_{c}"))
-        probes.append(F.max(F.abs(as_long)).alias(f"m_{c}"))
-        probes.append(F.count(col).alias(f"n_{c}"))
+    for i, c in enumerate(df.columns):
+        col = F.trim(F.col(f"`{c}`"))
+        form = (F.when(col.rlike(INTEGER_FORM) & col.try_cast("int").isNotNull(), 1)
+                .when(col.rlike(INTEGER_FORM) & col.try_cast("long").isNotNull(), 2)
+                .when(col.rlike(NUMBER_FORM), 3)
+                .when(col.rlike(BOOLEAN_FORM), 4)
+                .when(col.rlike(DATE_FORM) & col.try_cast("date").isNotNull(), 8)
+                .when(col.rlike(TIME_FORM) & col.try_cast("timestamp").isNotNull(), 16).otherwise(32))
+        # numbers widen among themselves, dates to timestamps; any other mixture is a string
+        bits = F.when(form <= 3, F.lit(0)).otherwise(form)
+        probes += [F.max(F.when(col.isNotNull() & (form <= 3), form)).alias(f"n{i}"),
+                   F.bit_or(F.when(col.isNotNull(), bits)).alias(f"b{i}")]
     r = df.agg(*probes).first()
     out = []
-    for c in df.columns:
-        col = F.col(f"`{c}`")
-        if r[f"n_{c}"] == 0:
-            out.append(col)
-        elif r[f"l_{c}"]:
-            big = r[f"m_{c}"] is not None and r[f"m_{c}"] > 2**31 - 1
-            out.append(col.cast("long" if big else "int").alias(c))
-        elif r[f"d_{c}"]:
-            out.append(col.cast("double").alias(c))
-        else:
-            out.append(col)
+    for i, c in enumerate(df.columns):
+        col, number, other = F.col(f"`{c}`"), r[f"n{i}"], r[f"b{i}"] or 0
+        kind = None
+        if number is not None and other == 0:
+            kind = {1: "int", 2: "long", 3: "double"}[number]
+        elif number is None:
+            kind = {4: "boolean", 8: "date", 16: "timestamp", 24: "timestamp"}.get(other)
+        out.append(F.trim(col).cast(kind).alias(c) if kind else col)
     return df.select(*out)
 
 
@@ -92,7 +104,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if parts:
         w = w.partitionBy(*parts)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # microseconds are kept: the default text form of a timestamp ends at milliseconds
+        w.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option(
+            "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     else:
         w.format(fmt).save(path)
 
