@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ASCII white space: space and \t \n \v \f \r.
@@ -54,3 +55,21 @@ def per_worker(key: tuple, make: Callable[[], object]) -> object:
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's shared checkpoint folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
+    """Checkpointed rows in as many partitions as their number asks for.
+
+    Small intermediate tables come out of a shuffle in many near-empty partitions; every later job
+    over them would pay for each.
+    """
+    done = df.checkpoint(eager=True)
+    return done.coalesce(max(1, -(-done.count() // rows_per_partition)))

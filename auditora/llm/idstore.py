@@ -397,7 +397,10 @@ def index_store(spark: SparkSession, folder: str, keys_per_bucket: int = KEYS_PE
         return pdf[["bucket"]].iloc[:1]
 
     built = runs.select("bucket", "hash", "shard", "ordinal", "rows").groupBy("bucket").applyInPandas(build, "bucket int")
-    built.agg(F.count(F.lit(1))).collect()
+    made = {r["bucket"] for r in built.collect()}  # one number per bucket file
+    nothing = np.zeros(0, np.int64)
+    for b in set(range(buckets)) - made:
+        put(folder, f"index-{b:05d}.mph", iter([KeyIndex.build(nothing.view(np.uint64), nothing, nothing, nothing).blob()]))
     return buckets
 
 
@@ -469,14 +472,6 @@ def stored_digest(spark: SparkSession, folder: str, model_path: str, buckets: in
     return joined.select(F.col("key").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def store_and_read(docs: DataFrame, folder: str, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the store, index it and return ``stored_digest`` of it."""
     write_store(docs, folder, model_path, key, text)

@@ -29,6 +29,7 @@ ROWS_PER_LANGUAGE = 2000  # bound of the training sample (documented parameter)
 TEMPER = 0.2  # trigrams overlap and are no independent evidence
 HOST_WEIGHT, DOMAIN_WEIGHT = 4.0, 20.0  # pseudo-counts of the parent level
 EVIDENCE_SMOOTHING = 1.0
+DECLARED_TRUST = 10.0
 UNKNOWN_PRIOR = 1e-3
 MIN_CONFIDENCE = 0.5
 BROADCAST_HOSTS = 100_000
@@ -163,6 +164,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     k = len(languages) + 1
     prior = np.array([(1 - UNKNOWN_PRIOR) / max(1, k - 1)] * (k - 1) + [UNKNOWN_PRIOR if k > 1 else 1.0])
     flat = F.array(*[F.lit(float(p)) for p in prior])
+    none = F.array(*[F.lit(0.0)] * k)
     # text alone, under a flat prior: the soft label of every row
     soft = normal(F.zip_with("_ll", flat, lambda a, p: a + F.log(p)))
     seen = rows.select("_host", "_domain", "_declared", "_suffix", soft.alias("_soft")).filter("_soft IS NOT NULL")
@@ -189,18 +191,21 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     hosts = hosts.join(domains, F.col("_domain") == F.col("d"), "left").select(
         F.col("_host").alias("h"), F.col("s").alias("hs"), F.coalesce("dp", corpus_lit).alias("dp"))
 
-    def likelihood(by: str, name: str) -> DataFrame:
-        """log P(value | language), add-one smoothed over the values of the corpus."""
-        t = table(by).filter(F.col(by).isNotNull())
+    def likelihood(by: str, name: str, trust: float = 0.0) -> DataFrame:
+        """log P(value | language), add-one smoothed over the values of the corpus; a value that is a
+        language's own name has ``trust`` counts from the start."""
+        every = rows.select(by).filter(F.col(by).isNotNull()).distinct()
+        t = every.join(table(by).select(F.col(by).alias("_v"), "s"), F.col(by) == F.col("_v"), "left")
         values = max(1, t.count())
-        return t.select(F.col(by).alias(name + "_v"), F.zip_with("s", langs_total, lambda x, n: F.log(
-            (x + EVIDENCE_SMOOTHING) / (n + EVIDENCE_SMOOTHING * (values + 1)))).alias(name))
+        head = F.array(*[F.when(F.col(by) == g, F.lit(trust)).otherwise(F.lit(0.0)) for g in [*languages, UNKNOWN]])
+        counts = F.zip_with(F.coalesce("s", none), head, lambda x, h: x + h)
+        return t.select(F.col(by).alias(name + "_v"), F.zip_with(counts, langs_total, lambda x, n: F.log(
+            (x + EVIDENCE_SMOOTHING) / (n + trust + EVIDENCE_SMOOTHING * (values + 1)))).alias(name))
 
     out = rows.withColumn("_soft", soft)
-    for right, mine, theirs in ((hosts, "_host", "h"), (likelihood("_declared", "ld"), "_declared", "ld_v"),
+    for right, mine, theirs in ((hosts, "_host", "h"), (likelihood("_declared", "ld", DECLARED_TRUST), "_declared", "ld_v"),
                                 (likelihood("_suffix", "ls"), "_suffix", "ls_v")):
         out = out.join(bounded_broadcast(right, BROADCAST_HOSTS), F.col(mine) == F.col(theirs), "left").drop(theirs)
-    none = F.array(*[F.lit(0.0)] * k)
     own = F.coalesce("_soft", none)
     others = F.zip_with(F.coalesce("hs", own), own, lambda a, b: F.greatest(F.lit(0.0), a - b))
     host_prior = smoothed(others, F.coalesce("dp", corpus_lit), HOST_WEIGHT)

@@ -7,9 +7,9 @@ its own.  Candidates come from an equi-join on the first order's prefixes, must
 under the second and the third order as well, and are then verified on their whole sets.
 
 What is wanted is the components, so links inside one component need no test: documents of
-equal sets are one node; in every cell (token, size class) first one hub, the document of the commonest
-tokens, is tested against the others, then several hubs, and at last all pairs of nodes that are
-still in different components.  No pair that could join two components goes untested.
+equal sets are one node; of every shared token first one hub, the document of the commonest tokens,
+is tested against the others, in crowded tokens then several hubs, and at last all pairs of nodes that
+are still in different components.  No pair that could join two components goes untested.
 """
 
 from __future__ import annotations
@@ -18,19 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
-from .common import named, unused
+from .common import named, scratch_folder, settled, unused
 from .components import components
 from .textnum import buffers, mix, word_hashes
 
 SKETCH_BITS = 22
 LEVEL_BLOCK = 14  # bits of a block of the sketch that is packed into one row
-LOCAL_MIN = 3  # a token is reported to the sketch if this many texts of a batch group hold it
+LOCAL_MIN = 2  # a token is reported to the sketch if this many texts of a batch group hold it
 FLUSH = 4_000_000
+SHARED = 4  # prefix tokens two linked sets must share (prefixes are longer by one less)
+HOT_LEVEL = 12  # tokens of this level (about 4096 texts) or more may be crowded
 HUBS = 8
+HUB_ROUNDS = 1
+CROWDED = 16  # pairs per row of the shared tokens from which another hub round pays
 FETCH_BROADCAST = 1_000_000
 
 
@@ -133,160 +137,202 @@ def node_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(a ^ (b * np.uint64(0x9E3779B97F4A7C15)) ^ sizes.astype(np.uint64), 45).view(np.int64)
 
 
-SIGNATURE = "key {key}, th bigint, n bigint, node bigint, typ int, a array<bigint>, b array<int>, c array<int>"
+SIGNATURE = "key {key}, th bigint, n bigint, node bigint, info bigint, cool array<bigint>, hot array<bigint>"
+
+
+def order_keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """Sort keys of a global order: rarer levels first, then the order's own hash."""
+    return (levels[slots(tokens)].astype(np.uint64) << np.uint64(57)) | (mix(tokens, 51 + order) >> np.uint64(7))
 
 
 def _signer(held, width: int, percent: int):
-    """mapInArrow: (key, text hash, text) -> signature rows; a set seen before in the task has no prefixes."""
+    """mapInArrow: (key, text hash, text) -> signature rows; a set seen before in the task has no prefix.
+
+    ``cool`` and ``hot`` are the prefix under the first order, extended by ``SHARED`` - 1 tokens, split at
+    the level from which a token's documents may not fit one task; ``info`` is size and mean level.
+    """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             tokens, sizes = shingle_sets(batch.column(2), width)
             at = np.concatenate(([0], np.cumsum(sizes)))
             nodes = node_ids(tokens, sizes)
-            level = held.value[slots(tokens)].astype(np.uint64)
-            keys = [(level << np.uint64(57)) | (mix(tokens, salt) >> np.uint64(7)) for salt in (51, 52, 53)]
-            typical = np.concatenate(([0], np.cumsum(level.astype(np.int64))))
-            typ = ((typical[at[1:]] - typical[at[:-1]]) * 64 // np.maximum(sizes, 1)).astype(np.int32)
-            lists: list[list[np.ndarray]] = [[], [], []]
-            for i, n in enumerate(sizes):
-                node = int(nodes[i])
-                fresh = n > 0 and node not in seen
-                if fresh:
-                    seen.add(node)
-                p = prefix_length(int(n), percent)
-                lo, hi = at[i], at[i + 1]
-                for k in range(3):
-                    if not fresh:
-                        lists[k].append(tokens[:0])
-                    else:
-                        lists[k].append(tokens[lo:hi][np.argpartition(keys[k][lo:hi], p - 1)[:p]] if p < n else tokens[lo:hi])
-
-            def listed(parts, kind):
-                cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64).astype(kind) if kind is np.int64
-                                                                         else (flat & np.uint64(0x7FFFFFFF)).astype(kind)))
-
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)),
-                                   pa.array(nodes, mask=sizes == 0), pa.array(typ), listed(lists[0], np.int64),
-                                   listed(lists[1], np.int32), listed(lists[2], np.int32)],
-                                  names=["key", "th", "n", "node", "typ", "a", "b", "c"])
+            level = held.value[slots(tokens)]
+            keys = order_keys(tokens, held.value, 0)
+            summed = np.concatenate(([0], np.cumsum(level.astype(np.int64))))
+            typ = np.minimum((summed[at[1:]] - summed[at[:-1]]) * 64 // np.maximum(sizes, 1), 65535)
+            chosen = []
+            for i, n in enumerate(sizes.tolist()):
+                node, lo = int(nodes[i]), int(at[i])
+                if n == 0 or node in seen:
+                    chosen.append(np.zeros(0, np.int64))
+                    continue
+                seen.add(node)
+                p = prefix_length(n, percent) + SHARED - 1
+                chosen.append(lo + (np.argpartition(keys[lo:lo + n], p - 1)[:p] if p < n else np.arange(n)))
+            owner = np.repeat(np.arange(len(sizes)), [len(c) for c in chosen])
+            flat = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            crowded = level[flat] >= HOT_LEVEL
+
+            def listed(pick):
+                cuts = np.concatenate(([0], np.cumsum(np.bincount(owner[pick], minlength=len(sizes))))).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(cuts), pa.array(tokens[flat[pick]].view(np.int64)))
+
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(nodes, mask=sizes == 0),
+                                   pa.array((sizes.astype(np.int64) << 16) | typ), listed(~crowded), listed(crowded)],
+                                  names=["key", "th", "n", "node", "info", "cool", "hot"])
     return sign
 
 
-def _set_maker(width: int):
+def _set_maker(held, width: int, percent: int):
+    """mapInArrow: texts -> (node, whole set, its prefixes under the second and the third order)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, sizes = shingle_sets(batch.column(0), width)
             at = np.concatenate(([0], np.cumsum(sizes)))
-            yield pa.record_batch([pa.array(node_ids(tokens, sizes)),
-                                   pa.array([tokens[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["node", "tokens"])
+            cols = [[tokens[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], [], []]
+            for order in (1, 2):
+                keys = order_keys(tokens, held.value, order)
+                for x, y in zip(at[:-1], at[1:]):
+                    k = prefix_length(int(y - x), percent)
+                    part = tokens[x:y] if k >= y - x else tokens[x:y][np.argpartition(keys[x:y], k - 1)[:k]]
+                    cols[order].append(part.tobytes())
+            yield pa.record_batch([pa.array(node_ids(tokens, sizes)), *[pa.array(c, pa.binary()) for c in cols]],
+                                  names=["node", "tokens", "second", "third"])
     return make
 
 
+def common_tokens(p: np.ndarray, q: np.ndarray) -> int:
+    both = np.concatenate((p, q))
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _verifier(percent: int):
+    """mapInArrow: pairs with their sets and prefixes -> the pairs that pass both orders and the whole sets."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((p, q))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
+            for i, (x, y, x2, y2, x3, y3) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(2, 8)])):
+                if any(not common_tokens(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in ((x2, y2), (x3, y3))):
+                    continue
+                shared = common_tokens(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                ok[i] = 100 * shared >= percent * ((len(x) + len(y)) // 8 - shared)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
     return verify
 
 
 class Join:
-    """State of one self-join: signatures, cells and the components found so far."""
+    """State of one self-join: signatures, shared prefix tokens and the components found so far."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, width: int, percent: int):
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
-        self.texts = docs.select(F.coalesce(named(text).cast("string"), F.lit("")).alias("text"))
-        level = self.spark.sparkContext.broadcast(commonness(self.texts, width))
-        rows = docs.select(named(key).alias("key"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"))
-        rows = rows.select("key", F.xxhash64("text").alias("th"), "text")
-        schema = SIGNATURE.format(key=rows.schema["key"].dataType.simpleString())
-        self.rows = rows.mapInArrow(_signer(level, width, percent), schema).checkpoint(eager=True)
-
-    def cells(self) -> DataFrame:
-        """(token, size, node, n, typ): prefix tokens of the first order that several nodes share, by size class.
-
-        Sets of at least the wanted similarity are in the same or the next class, and class s holds the
-        sets of classes s and s + 1.
+        body = F.coalesce(named(text).cast("string"), F.lit(""))
+        self.levels = self.spark.sparkContext.broadcast(commonness(docs.select(body.alias("text")), width))
+        self.docs = docs.select(named(key).alias("key"), F.xxhash64(body).alias("th"), body.alias("text"))
+        schema = SIGNATURE.format(key=self.docs.schema["key"].dataType.simpleString())
+        folder = scratch_folder(self.spark, "signatures")
+        self.docs.mapInArrow(_signer(self.levels, width, percent), schema).write.parquet(folder)
+        self.rows = self.spark.read.parquet(folder)
+
+    def in_size(self, n: str, other: str):
+        return F.least(F.col(n), F.col(other)) * 100 >= F.greatest(F.col(n), F.col(other)) * self.percent
+
+    def beyond(self, n: str):
+        """Tokens of a set outside its prefix."""
+        return F.greatest(F.lit(0), F.floor((F.col(n) * self.percent + 99) / 100) - SHARED)
+
+    def may_link(self, n: str, other: str, met: str):
+        """Whether sets that meet in so many prefix tokens can be similar enough.
+
+        The set whose prefix ends earlier in the order has in the other set, of its prefix, only the
+        tokens in which they meet; the rest of it lies beyond the prefix.
         """
-        info = F.shiftleft(F.col("n"), 16) + F.least(F.col("typ"), F.lit(65535))
-        long = self.rows.filter(F.size("a") > 0).select("node", info.alias("info"), F.explode("a").alias("token"))
-        shared = long.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
-        kept = long.join(shared, "token")
-        n = F.shiftright("info", 16)
-        step = float(np.log(100.0 / self.percent) * (1 + 1e-9))
-        kept = kept.select("token", "node", n.alias("n"), F.col("info").bitwiseAND(F.lit(65535)).cast("int").alias("typ"))
-        size = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-        both = kept.withColumn("size", F.explode(F.array(size, size - 1)))
-        return both.dropDuplicates(["token", "size", "node"]).select("token", "size", "node", "n", "typ").checkpoint(eager=True)
+        at_most = F.col(met) + F.greatest(self.beyond(n), self.beyond(other))
+        return at_most * (100 + self.percent) >= (F.col(n) + F.col(other)) * self.percent
 
-    def near_in_size(self, x: str, y: str):
-        return (F.least(F.col(x), F.col(y)) * 100) >= (F.greatest(F.col(x), F.col(y)) * self.percent)
+    def shared_tokens(self) -> DataFrame:
+        """(token, node, n, typ): prefix tokens that several nodes hold, a row per node.
+
+        Nodes with fewer of them than any link needs are left out.
+        One exchange by token; tokens that may be crowded are found by a partial aggregation and a join
+        instead, so that no task has to hold all rows of one of them.
+        """
+        def long(column: str) -> DataFrame:
+            return self.rows.select("node", "info", F.explode(column).alias("token"))
+
+        same = Window.partitionBy("token")
+        cool = long("cool").withColumn("x", F.min("node").over(same)).withColumn("y", F.max("node").over(same)).filter("x <> y")
+        hot = long("hot")
+        several = hot.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
+        found = cool.select("token", "node", "info").dropDuplicates(["token", "node"]).unionByName(
+            hot.join(several, "token").select("token", "node", "info").dropDuplicates(["token", "node"]))
+        n = F.shiftright("info", 16)
+        met = found.groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+        rows = found.join(met, "node").select("token", "node", n.alias("n"), F.col("info").bitwiseAND(F.lit(65535)).cast("int").alias("typ"), "s")
+        needed = F.least(F.lit(SHARED), F.floor((F.col("n") * self.percent + 99) / 100))
+        return rows.filter(F.col("s") >= needed).drop("s").checkpoint(eager=True)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the candidate pairs whose whole sets are similar enough."""
-        pairs = pairs.checkpoint(eager=True)
-        if pairs.isEmpty():
-            return pairs
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # share a prefix token under the second and the third order
-        orders = self.rows.filter(F.size("a") > 0).select("node", F.col("b").alias("second"), F.col("c").alias("third"))
-        orders = orders.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-        oa = orders.select(F.col("node").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
-        ob = orders.select(F.col("node").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
-        left = pairs.join(oa, "a").join(ob, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-        left = left.checkpoint(eager=True)
-        if left.isEmpty():
-            return left
-        # whole sets of the remaining nodes, from their texts
-        wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        hashes = self.rows.filter(F.size("a") > 0).select("node", "th").join(wanted, "node", "left_semi")
-        hashes = hashes.groupBy("node").agg(F.min("th").alias("th")).select("th").distinct().checkpoint(eager=True)
-        texts = self.texts.withColumn("th", F.xxhash64("text")).join(bounded_broadcast(hashes, FETCH_BROADCAST), "th", "left_semi")
-        sets = texts.select("text").mapInArrow(_set_maker(self.width), "node bigint, tokens binary")
-        sets = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]).checkpoint(eager=True)
-        sa = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-        sb = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        whole = left.join(sa, "a").join(sb, "b").select("a", "b", "ta", "tb")
+        """(a, b) of the candidate pairs whose whole sets are similar enough; sets are made from the texts again."""
+        pairs = settled(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        first = self.rows.filter(F.size("cool") + F.size("hot") > 0).select("node", "th", "key")
+        first = first.join(bounded_broadcast(wanted, FETCH_BROADCAST), "node", "left_semi")
+        first = first.groupBy("node").agg(F.min(F.struct("th", "key")).alias("m")).select(F.col("m.th").alias("w_th"), F.col("m.key").alias("w_key"))
+        texts = self.docs.join(bounded_broadcast(first, FETCH_BROADCAST), (F.col("th") == F.col("w_th")) & F.col("key").eqNullSafe(F.col("w_key")), "left_semi")
+        folder = scratch_folder(self.spark, "sets")
+        texts.select("text").mapInArrow(_set_maker(self.levels, self.width, self.percent),
+                                        "node bigint, tokens binary, second binary, third binary").write.parquet(folder)
+        sets = self.spark.read.parquet(folder)
+
+        def side(name: str) -> DataFrame:
+            return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("tokens", "second", "third")])
+
+        whole = pairs.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", *[f"{name}_{c}" for c in ("tokens", "second", "third") for name in ("a", "b")])
         return whole.mapInArrow(_verifier(self.percent), "a bigint, b bigint")
 
-    def mixed(self, cells: DataFrame, comp: DataFrame) -> DataFrame:
-        """Cells with nodes of several components, each row with its component."""
-        labelled = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = labelled.groupBy("token", "size").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-        return labelled.join(several.select("token", "size"), ["token", "size"]).checkpoint(eager=True)
+    def mixed(self, shared: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows of the tokens whose nodes are of several components, with the component."""
+        labelled = shared.join(bounded_broadcast(comp, FETCH_BROADCAST), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+        return labelled.join(several.select("token"), "token").checkpoint(eager=True)
+
+    def hub_pairs(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Pairs of a token's hub and its other nodes that meet in several tokens."""
+        met = rows.join(hubs, "token").filter((F.col("hub.node") != F.col("node")) & (F.col("hub.comp") != F.col("comp")))
+        met = met.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("an"), F.col("node").alias("b"), F.col("n").alias("bn"))
+        met = met.filter(self.in_size("an", "bn")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+        return met.filter("c > 1").select("a", "b")
 
     def components(self) -> DataFrame:
-        """(node, comp) of all nodes that have links."""
-        cells = self.cells()
-        cell = ["token", "size"]
-        hub = cells.groupBy(*cell).agg(F.max(F.struct("typ", F.xxhash64("node").alias("h"), "node", "n")).alias("hub"))
-        first = cells.join(hub, cell).select(F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"), "node", "n")
-        first = first.filter((F.col("h") != F.col("node")) & self.near_in_size("hn", "n"))
-        comp = components(self.verified(first.select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct()))
-        left = self.mixed(cells, comp)
-        if left.isEmpty():
-            return comp
-        picks = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node", "n", "comp")).alias(f"h{s}") for s in range(HUBS)]
-        hubs = left.groupBy(*cell).agg(*picks).select(*cell, F.explode(F.array_distinct(F.array(*[
-            F.struct(F.col(f"h{s}.node").alias("node"), F.col(f"h{s}.n").alias("n"), F.col(f"h{s}.comp").alias("comp")) for s in range(HUBS)]))).alias("hub"))
-        some = left.join(hubs, cell).filter(F.col("hub.comp") != F.col("comp")).select(
-            F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"), "node", "n").filter(self.near_in_size("hn", "n"))
-        comp = components(self.verified(some.select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct()), comp)
-        rest = self.mixed(left.drop("comp"), comp)
+        """(node, comp) of all nodes that have links.
+
+        The hub rounds only join components early; the last step tests every pair of nodes that are
+        still apart and meet in as many prefix tokens as a link needs.
+        """
+        shared = self.shared_tokens()
+        hub = shared.groupBy("token").agg(F.max(F.struct("typ", F.xxhash64("node").alias("h"), "node", "n", F.col("node").alias("comp"))).alias("hub"))
+        comp = components(self.verified(self.hub_pairs(shared.withColumn("comp", F.col("node")), hub)))
+        rest = self.mixed(shared, comp)
+        for turn in range(HUB_ROUNDS):
+            crowd = rest.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(
+                F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+            if not crowd["rows"] or crowd["pairs"] <= CROWDED * crowd["rows"]:
+                break
+            picks = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), "node", "n", "comp")).alias(f"h{k}") for k in range(HUBS)]
+            hubs = rest.groupBy("token").agg(*picks).select("token", F.explode(F.array_distinct(F.array(*[
+                F.struct(F.col(f"h{k}.node").alias("node"), F.col(f"h{k}.n").alias("n"), F.col(f"h{k}.comp").alias("comp")) for k in range(HUBS)]))).alias("hub"))
+            comp = components(self.verified(self.hub_pairs(rest, hubs)), comp)
+            rest = self.mixed(shared, comp)
         if rest.isEmpty():
             return comp
-        other = rest.select(*cell, F.col("node").alias("o"), F.col("n").alias("on"), F.col("comp").alias("oc"))
-        pairs = rest.join(other, cell).filter((F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")) & self.near_in_size("n", "on"))
-        return components(self.verified(pairs.select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()), comp)
+        other = rest.select("token", F.col("node").alias("o"), F.col("n").alias("on"), F.col("comp").alias("oc"))
+        met = rest.join(other, "token").filter((F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")) & self.in_size("n", "on"))
+        met = met.groupBy(F.col("node").alias("a"), F.col("o").alias("b")).agg(
+            F.count(F.lit(1)).alias("met"), F.max("n").alias("n"), F.max("on").alias("on"))
+        return components(self.verified(met.filter(self.may_link("n", "on", "met")).select("a", "b")), comp)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, idstore, langid, licenses, mixing, ngramjoin, tokencount, topk, toxicity
+from .common import scratch_folder
 from .sql import LICENSE_SQL, MIX_SQL, TOPK_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,7 +65,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_id_store")
 def id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text of ``documents`` written to shards, indexed, and read back by key."""
-    return idstore.store_and_read(read(spark, sf_dir, "documents"), idstore.scratch_folder(spark, "id-store"),
+    return idstore.store_and_read(read(spark, sf_dir, "documents"), scratch_folder(spark, "id-store"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -215,7 +215,7 @@ def top_products(rows: DataFrame, queries: Column, key: str = "vec_id", vector:
                 low = need[g == one].min(axis=0)
                 best[int(one)] = np.minimum(best[int(one)], low) if int(one) in best else low
         for one, low in best.items():
-            hit = np.flatnonzero(np.isfinite(low))
+            hit = np.flatnonzero(low < np.inf)
             yield pa.record_batch([pa.array(np.full(len(hit), one, np.int32)), pa.array(cells[hit].astype(np.int32)),
                                    pa.array(low[hit])], names=["grp", "cell", "need"])
 
