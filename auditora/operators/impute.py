@@ -163,6 +163,24 @@ def impute(df: DataFrame, numeric: str | None = "median", categorical: str | Non
     return df.select(*out)
 
 
+# ------------------------------------------------------------------ C13
+def clean(df: DataFrame, drop_sparse_pct: float | None = 70.0, numeric: str | None = "median",
+          categorical: str | None = "mode") -> DataFrame:
+    """Drop empty rows, de-duplicate, drop sparse columns, then fill the gaps.
+
+    ``drop_sparse_pct=None`` keeps all columns; ``numeric`` / ``categorical`` are the strategies of
+    ``impute`` (None leaves those gaps).  The de-duplicated table is checkpointed once: profile,
+    gap counts, medians, modes and the final read all use it, and the whole-row shuffle runs once.
+    """
+    from .profile import drop_duplicate_rows, drop_empty_rows, drop_sparse_columns
+    step = drop_duplicate_rows(drop_empty_rows(df))
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        step = step.checkpoint(eager=True)
+    if drop_sparse_pct is not None:
+        step = drop_sparse_columns(step, drop_sparse_pct)
+    return impute(step, numeric, categorical)
+
+
 # ------------------------------------------------------------------ I6 / I7 directional fill
 def _directional_fill(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str],
                       columns: Sequence[str] | None, forward: bool, chunks: int | None) -> DataFrame:
@@ -292,6 +310,10 @@ def impute_knn(df: DataFrame, id_col: str, columns: Sequence[str] | None = None,
 
         queries = vec(explode_for(q_items, "_qid"))
         points = vec(explode_for(p_items, "_pid"))
+        # of donors at the very same place only the k least ids can be among the k nearest (ties go
+        # to the smaller id), so the others need not be searched; exact, and crowded values stay small
+        same = Window.partitionBy("_g", "_x").orderBy("_pid")
+        points = points.withColumn("_t", F.row_number().over(same)).where(F.col("_t") <= k).drop("_t")
         nn = bipartite_knn(queries, points, k)
         nn = nn.withColumn("_j", F.split("_g", r"\|")[0].cast("int"))
         best = nn.withColumn("_r", F.row_number().over(Window.partitionBy("_qid", "_j").orderBy("dist", "_pid"))).where(

@@ -302,7 +302,6 @@ def privacy_report_lines(pii: DataFrame, kanon: DataFrame, compliance: DataFrame
 
 # ------------------------------------------------------------------ R9
 INTERPRETABILITY_ADVICE = {
-    # FIXED VALUES: advice per model kind.
     "forest": ["Use built-in feature importance", "Check permutation importance for stability",
                "Explain single predictions with local attributions"],
     "gbt": ["Use built-in feature importance", "Monitor boosting iterations", "Explain predictions with local attributions"],
@@ -310,6 +309,11 @@ INTERPRETABILITY_ADVICE = {
 }
 
 
+GENERAL_ADVICE = ["Document the key features and why the business uses them",
+                  "Have domain experts validate explanations at regular times",
+                  "Explain individual predictions with local surrogates"]
+
+
 def interpretability_advice(model_kind: str) -> list[str]:
-    """Advice lines for a model kind (empty for unknown kinds)."""
-    return list(INTERPRETABILITY_ADVICE.get(model_kind, []))
+    """Advice lines for a model kind, then the lines that hold for every kind."""
+    return [*INTERPRETABILITY_ADVICE.get(model_kind, []), *GENERAL_ADVICE]

@@ -53,7 +53,9 @@ def label_encode(spark, sf_dir):
     return ml.encode(d, ["s1", "s2", "s3"])
 
 
-@register("split_report")
+@register("split_report", sql=f"""WITH d AS ({fx.DECISIONS_SQL}),
+c AS (SELECT CAST(y AS VARCHAR) AS class, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS t FROM d GROUP BY 1)
+SELECT 'test' AS split, class, t AS n FROM c UNION ALL SELECT 'train', class, n - t FROM c""")
 def split_report(spark, sf_dir):
     """L3/L4: stratified 80/20 split (seed 42) and its class distribution per side."""
     return ml.split_report(_frame(spark, sf_dir), "label")
@@ -111,7 +113,7 @@ def fairness_by_model(spark, sf_dir):
 @register("trained_fairness")
 def trained_fairness(spark, sf_dir):
     """F3-F7 on trained models: fairness summary per model and sensitive attribute (test split)."""
-    f, models = _train(spark, sf_dir, ["logistic_regression", "random_forest"])
+    f, models = _train(spark, sf_dir, None)
     pr = ml.predictions(models, f, "row_id", "label", keep=["s1", "s3"])
     pr = pr.withColumn("p", F.col("prediction").cast("int")).withColumn("yy", F.col("y").cast("int"))
     return fa.fairness_summary(fa.group_counts(pr, "yy", "p", ["s1", "s3"], by=["model"]), by=["model"])
@@ -253,7 +255,8 @@ def explanation_report(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M1-M4
-@register("smote_balance")
+@register("smote_balance", sql="""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, (SELECT max(n) FROM c) AS n, CAST((SELECT max(n) FROM c) - n AS BIGINT) AS n_synthetic FROM c""")
 def smote_balance(spark, sf_dir):
     """M1: SMOTE on the embeddings (k=5, exact neighbours): rows and synthetic rows per label."""
     e = table(spark, sf_dir, "embeddings")
@@ -271,13 +274,13 @@ def smote_tomek_balance(spark, sf_dir):
 
 @register("fair_training")
 def fair_training(spark, sf_dir):
-    """M3: demographic-parity constrained training (5 rounds); parity before vs after on the test split."""
+    """M3: demographic-parity constrained training; parity before vs after on the test split."""
     f = _frame(spark, sf_dir).withColumn("y", F.col("label").cast("int"))
     train, test = f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
     base = ml.train_models(train, NUM_FEATS, "label", which=["logistic_regression"])["logistic_regression"]
     before = ml.predictions({"unconstrained": base}, test, "row_id", "label", keep=["s3"]).withColumn(
         "p", F.col("prediction").cast("int")).withColumn("yy", F.col("y").cast("int"))
-    models = mt.fair_train(train, NUM_FEATS, "y", "s3", rounds=5)
+    models = mt.fair_train(train, NUM_FEATS, "y", "s3")
     after = mt.fair_predict(models, test).select(F.lit("constrained").alias("model"), "row_id", F.col("y").alias("yy"),
                                                  F.col("fair_pred").alias("p"), "s3")
     both = before.select("model", "row_id", "yy", "p", "s3").unionByName(after)

@@ -271,19 +271,17 @@ def forward_fill_by_user(spark, sf_dir):
 # ---------------------------------------------------------------- C10, C13
 def _clean(spark, sf_dir):
     g = fx.gaps(spark, sf_dir)
-    step = pr.drop_duplicate_rows(pr.drop_empty_rows(g))
-    step = pr.drop_sparse_columns(step, 70.0)
-    return g, im.impute(step, "median", "mode")
+    return g, im.clean(g, 70.0, "median", "mode")
 
 
 @register("clean_pipeline", sql=f"""WITH {_GAPS}, s AS (SELECT DISTINCT * FROM src)
-SELECT event_id, user_id,
+SELECT event_id, ts, user_id,
        coalesce(event_type, (SELECT event_type FROM s WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type,
        ROUND(coalesce(value, (SELECT median(value) FROM s)), 6) AS value
 FROM s""")
 def clean_pipeline(spark, sf_dir):
     """Drop empty rows, de-duplicate, drop >= 70 % missing columns, smart imputation."""
-    return _clean(spark, sf_dir)[1].drop("ts")
+    return _clean(spark, sf_dir)[1]
 
 
 @register("cleaning_summary", sql=f"""WITH {_GAPS}, s AS (SELECT DISTINCT * FROM src),

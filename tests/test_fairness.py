@@ -78,7 +78,8 @@ def test_report_rules(spark):
     text = rp.lines_to_text(rp.governance_lines(pr.dataset_summary(df), risk, cats,
                                                 rp.recommendations(risk, cats, pr.dataset_summary(df), prof, []))).first()[0]
     assert text.startswith("# AI Model Governance Report") and "- Total Records: 40" in text
-    assert rp.interpretability_advice("linear") and rp.interpretability_advice("unknown") == []
+    assert len(rp.interpretability_advice("linear")) == 6
+    assert rp.interpretability_advice("unknown") == rp.GENERAL_ADVICE and len(rp.GENERAL_ADVICE) == 3
 
 
 def test_schema_helpers(spark):
