@@ -1,11 +1,10 @@
 """Fairness monitoring over a stream of decisions.
 
 The same group-count aggregation as the batch operators (``fairness.group_counts``),
-keyed by an event-time window.  The query runs in update mode: every micro-batch hands on the
-counts of the windows it changed, marked with its epoch, and the latest epoch of a window counts.
-So no window waits for a later event to be complete, and the last one is never missing.  With a
-watermark the state of old windows is dropped and rows later than it are lost by definition;
-without one (the default) every row counts, in whatever order the files come.
+keyed by an event-time window.  The query runs in complete mode: its state is one row of counts
+per (window, attribute, group), every micro-batch summarises all windows as of then, and the
+latest batch holds the answer.  So no window waits for a later event to be final, the last one is
+never missing, and every row counts in whatever order the files come.
 """
 
 from __future__ import annotations
@@ -21,7 +20,10 @@ from ..operators import fairness as fa
 
 def windowed_group_counts(stream: DataFrame, ts: str, y: str, pred: str, sensitive: Sequence[str],
                           window: str = "1 day", watermark: str | None = None) -> DataFrame:
-    """Per (window, feature, group) confusion counts of a decision stream (update mode)."""
+    """Per (window, feature, group) confusion counts of a decision stream.
+
+    A watermark only matters to a caller that appends finished windows: rows later than it are lost.
+    """
     timed = stream.withWatermark(ts, watermark) if watermark else stream
     long = (timed.select(F.window(ts, window).alias("window"), F.col(y).cast("int").alias("_y"),
                           F.col(pred).cast("int").alias("_p"), F.inline(stack_columns(list(sensitive), "string", "feature", "grp")))
@@ -35,14 +37,6 @@ def windowed_group_counts(stream: DataFrame, ts: str, y: str, pred: str, sensiti
         F.sum("_p").alias("n_pred_pos"), F.count("_p").alias("n_pred"))
 
 
-def latest_counts(updates: DataFrame) -> DataFrame:
-    """The counts of each (window, feature, group) as of its latest epoch."""
-    keys = ["window", "feature", "grp"]
-    values = [c for c in updates.columns if c not in (*keys, "epoch")]
-    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v"))
-    return last.select(*keys, "v.*")
-
-
 def window_summaries(counts: DataFrame) -> DataFrame:
     """Fairness summary per (window, feature) from finalised window counts (batch frame)."""
     c = counts.withColumn("window_start", F.col("window.start")).drop("window")
@@ -52,15 +46,15 @@ def window_summaries(counts: DataFrame) -> DataFrame:
 def start_monitor(stream: DataFrame, ts: str, y: str, pred: str, sensitive: Sequence[str],
                   sink: Callable[[DataFrame, int], None], checkpoint: str, window: str = "1 day",
                   watermark: str | None = None, trigger: dict | None = None):
-    """Start the streaming query; ``sink(counts_df, epoch_id)`` receives the counts each batch changed,
-    to be stored with the epoch (for ``latest_counts``).  A batch repeated after a failure brings the
-    same counts again.  ``checkpoint`` must be a shared, fault-tolerant path on a cluster."""
+    """Start the streaming query; ``sink(summary_df, epoch_id)`` receives after each batch the summaries
+    of all windows so far, so the latest epoch replaces the earlier ones (and a batch repeated after
+    a failure its own).  ``checkpoint`` must be a shared, fault-tolerant path on a cluster."""
     counts = windowed_group_counts(stream, ts, y, pred, sensitive, window, watermark)
 
     def each(batch: DataFrame, epoch: int) -> None:
-        sink(batch, epoch)
+        sink(window_summaries(batch), epoch)
 
-    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each)
+    w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each)
     if trigger:
         w = w.trigger(**trigger)
     return w.start()
