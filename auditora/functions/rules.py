@@ -94,15 +94,6 @@ COMPLIANCE_FRAMEWORKS: dict[str, list[str]] = {
         "Minimum necessary standard",
     ],
 }
-GDPR_RIGHTS: list[str] = [
-    "Right to access",
-    "Right to rectification",
-    "Right to erasure",
-    "Right to restrict processing",
-    "Right to data portability",
-    "Right to object",
-]
-
 # FIXED VALUES: requirement-specific compliance recommendations (GDPR, when score < 1).
 COMPLIANCE_REQUIREMENT_RECOMMENDATIONS: dict[str, str] = {
     "Data minimization": "Consider removing highly correlated or redundant features",

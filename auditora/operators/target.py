@@ -76,6 +76,14 @@ def likely_targets(profile: DataFrame) -> DataFrame:
     return profile.where(_name_match(F.col("feature"), rules.TARGET_KEYWORDS)).select("position", "feature")
 
 
+def loan_targets(profile: DataFrame) -> DataFrame:
+    """T4, loan tables: (position, feature, n_distinct) of the outcome columns of a table that has a
+    column named after loans; no rows for other tables."""
+    about = profile.where(F.contains(F.lower("feature"), F.lit("loan"))).agg(F.count(F.lit(1)).alias("n"))
+    hits = profile.where(_name_match(F.col("feature"), rules.LOAN_TARGET_KEYWORDS))
+    return hits.where(about.select("n").scalar() > 0).select("position", "feature", "n_distinct")
+
+
 # ------------------------------------------------------------------ T5 / T6
 def validate_target(df: DataFrame, target: str, profile: DataFrame | None = None, n_alternatives: int = 5) -> DataFrame:
     """One row: distinct count, numeric flag, status and up to 5 alternatives.

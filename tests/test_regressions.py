@@ -113,3 +113,13 @@ def test_stream_counts_every_row(spark, tmp_path, files):
     assert sorted(columns) == sorted(want.columns)
     key = lambda rows: sorted(str([round(r[c], 9) if isinstance(r[c], float) else r[c] for c in want.columns]) for r in rows)
     assert key(last) == key(want.collect())
+
+
+def test_loan_tables_name_their_outcomes(spark):
+    from auditora.operators import profile as pr
+    from auditora.operators import target as tg
+    df = spark.read.parquet(f"{SF}/orders.parquet").select(F.col("o_orderkey").alias("LoanId"), F.col("o_orderstatus").alias("loan_status"),
+                                                           (F.col("o_totalprice") > 1e5).cast("int").alias("Defaulted"))
+    got = tg.loan_targets(pr.column_profile(df)).orderBy("position").collect()
+    assert [(r.feature, r.n_distinct) for r in got] == [("loan_status", df.select("loan_status").distinct().count()), ("Defaulted", 2)]
+    assert tg.loan_targets(pr.column_profile(df.withColumnRenamed("LoanId", "id").withColumnRenamed("loan_status", "status"))).count() == 0
