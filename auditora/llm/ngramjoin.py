@@ -242,14 +242,18 @@ class Join:
         """Tokens of a set outside its prefix."""
         return F.greatest(F.lit(0), F.floor((F.col(n) * self.percent + 99) / 100) - SHARED)
 
-    def may_link(self, n: str, other: str, met: str):
-        """Whether sets that meet in so many prefix tokens can be similar enough.
+    def needed(self, n: str):
+        """Least number of prefix tokens in which a set meets any similar one."""
+        return F.least(F.lit(SHARED), F.floor((F.col(n) * self.percent + 99) / 100))
+
+    def meetings(self, n: str, other: str):
+        """Least number of prefix tokens in which two similar sets of these sizes meet.
 
         The set whose prefix ends earlier in the order has in the other set, of its prefix, only the
         tokens in which they meet; the rest of it lies beyond the prefix.
         """
-        at_most = F.col(met) + F.greatest(self.beyond(n), self.beyond(other))
-        return at_most * (100 + self.percent) >= (F.col(n) + F.col(other)) * self.percent
+        both = F.floor(((F.col(n) + F.col(other)) * self.percent + 99 + self.percent) / (100 + self.percent))
+        return F.greatest(F.lit(1), both - F.greatest(self.beyond(n), self.beyond(other)))
 
     def shared_tokens(self) -> DataFrame:
         """(token, node, n, typ): prefix tokens that several nodes hold, a row per node.
@@ -270,8 +274,7 @@ class Join:
         n = F.shiftright("info", 16)
         met = found.groupBy("node").agg(F.count(F.lit(1)).alias("s"))
         rows = found.join(met, "node").select("token", "node", n.alias("n"), F.col("info").bitwiseAND(F.lit(65535)).cast("int").alias("typ"), "s")
-        needed = F.least(F.lit(SHARED), F.floor((F.col("n") * self.percent + 99) / 100))
-        return rows.filter(F.col("s") >= needed).drop("s").checkpoint(eager=True)
+        return rows.filter(F.col("s") >= self.needed("n")).drop("s").checkpoint(eager=True)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the candidate pairs whose whole sets are similar enough; sets are made from the texts again."""
@@ -294,10 +297,10 @@ class Join:
         return whole.mapInArrow(_verifier(self.percent), "a bigint, b bigint")
 
     def mixed(self, shared: DataFrame, comp: DataFrame) -> DataFrame:
-        """Rows of the tokens whose nodes are of several components, with the component."""
+        """Rows of the tokens whose nodes are of several components, with the component and the token's rows (df)."""
         labelled = shared.join(bounded_broadcast(comp, FETCH_BROADCAST), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-        return labelled.join(several.select("token"), "token").checkpoint(eager=True)
+        several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("df")).filter("x <> y")
+        return labelled.join(several.select("token", "df"), "token").checkpoint(eager=True)
 
     def hub_pairs(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
         """Pairs of a token's hub and its other nodes that meet in several tokens."""
@@ -328,11 +331,21 @@ class Join:
             rest = self.mixed(shared, comp)
         if rest.isEmpty():
             return comp
-        other = rest.select("token", F.col("node").alias("o"), F.col("n").alias("on"), F.col("comp").alias("oc"))
-        met = rest.join(other, "token").filter((F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")) & self.in_size("n", "on"))
-        met = met.groupBy(F.col("node").alias("a"), F.col("o").alias("b")).agg(
-            F.count(F.lit(1)).alias("met"), F.max("n").alias("n"), F.max("on").alias("on"))
-        return components(self.verified(met.filter(self.may_link("n", "on", "met")).select("a", "b")), comp)
+        # under the order of these tokens by count, two sets that meet in c of them meet in one that has
+        # at least c - 1 tokens of either set after it
+        by_count = Window.partitionBy("node").orderBy("df", "token")
+        placed = rest.withColumn("at", F.row_number().over(by_count)).withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("node")))
+        other = placed.select("token", *[F.col(c).alias("o_" + c) for c in ("node", "n", "comp", "at", "s")])
+        c = self.meetings("n", "o_n")
+        met = placed.join(other, "token").filter(
+            (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp")) & self.in_size("n", "o_n")
+            & (F.col("s") - F.col("at") + 1 >= c) & (F.col("o_s") - F.col("o_at") + 1 >= c))
+        pairs = met.select(F.col("node").alias("a"), F.col("o_node").alias("b"), "n", "o_n").distinct()
+        held = rest.groupBy("node").agg(F.collect_set("token").alias("tokens"))  # at most a prefix each
+        pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(
+            held.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+        pairs = pairs.filter(F.size(F.array_intersect("ta", "tb")) >= self.meetings("n", "o_n"))
+        return components(self.verified(pairs.select("a", "b")), comp)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
