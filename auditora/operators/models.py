@@ -486,9 +486,10 @@ def local_surrogate(model: PipelineModel, df: DataFrame, features: Sequence[str]
 
 # ------------------------------------------------------------------ X16
 def explanation_report(importance: DataFrame, complexity: DataFrame, corr_pairs: DataFrame,
-                       mutual_info: DataFrame | None = None, attributions: DataFrame | None = None) -> DataFrame:
+                       mutual_info: DataFrame | None = None, attributions: DataFrame | None = None,
+                       permutation: DataFrame | None = None) -> DataFrame:
     """One long frame (section, key, value) gathering importances, complexity, correlated
-    pairs, mutual information, attribution importance and the interpretability score."""
+    pairs, mutual information, attribution and permutation importance and the interpretability score."""
     from .explain import interpretability_score
     parts = [importance.select(F.lit("importance").alias("section"), F.col("feature").alias("key"),
                                F.col("importance").cast("double").alias("value"))]
@@ -506,6 +507,9 @@ def explanation_report(importance: DataFrame, complexity: DataFrame, corr_pairs:
     if attributions is not None:
         parts.append(attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("v")).select(
             F.lit("mean_abs_attribution").alias("section"), F.col("feature").alias("key"), F.col("v").alias("value")))
+    if permutation is not None:
+        parts.append(permutation.select(F.lit("permutation_importance").alias("section"), F.col("feature").alias("key"),
+                                        F.col("importance_mean").alias("value")))
     n_pairs = corr_pairs.count()
     score = interpretability_score(comp["model_kind"], comp["n_parameters"], comp["n_features"], n_pairs)
     parts.append(complexity.select(F.lit("interpretability").alias("section"), F.lit("score").alias("key"),

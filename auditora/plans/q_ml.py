@@ -244,14 +244,17 @@ def decision_path_length(spark, sf_dir):
 
 @register("explanation_report")
 def explanation_report(spark, sf_dir):
-    """Importances, complexity, correlated pairs, mutual information and the interpretability score."""
+    """Importances (built-in, permutation, Shapley), complexity, correlated pairs, mutual information
+    and the interpretability score of the random forest."""
     f, models = _train(spark, sf_dir, ["random_forest"], feats=NUM_FEATS)
     m = models["random_forest"]
-    train = f.where(F.col("split") == "train")
+    train, test = f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
     corr = ex.correlation_matrix(train, NUM_FEATS)
     return ml.explanation_report(ml.feature_importance(m, spark), ml.model_complexity(m, spark),
                                  ex.high_correlation_pairs(corr, NUM_FEATS),
-                                 ex.mutual_information(train, NUM_FEATS, "label"))
+                                 ex.mutual_information(train, NUM_FEATS, "label"),
+                                 ml.shapley_sampling(m, test, train, NUM_FEATS, "row_id", permutations=4),
+                                 ml.permutation_importance(m, test, NUM_FEATS, "label", "row_id"))
 
 
 # ---------------------------------------------------------------- M1-M4
