@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import named, per_worker
-from .textnum import HashTable, mix, powers
+from .textnum import HashTable, in_spans, mix, powers
 
 NEVER = np.int64(1) << 40
 LONG_WORD = 96  # symbols; longer words are walked one by one
-SLICE = 1 << 19  # symbols handled at a time
+SLICE = 1 << 17  # symbols handled at a time
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -249,7 +249,7 @@ class WordBpe:
     strings of the vocabulary found in a text become their ids.
     """
 
-    KEPT_WORDS = 1_000_000
+    KEPT_WORDS = 600_000
 
     def __init__(self, model: str):
         spec = json.loads(model)
@@ -270,6 +270,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         n = max([*vocab.values(), *self.special.values()]) + 1
         self.auto = Automaton(base, [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], n)
+        del self.auto.spelled  # only the construction reads the spellings
         self.labels = [b""] * n
         for s, t in [*vocab.items(), *self.special.items()]:
             self.labels[t] = s.encode()
@@ -430,7 +431,7 @@ def encode_column(spark, text: Column, model_path: str) -> Column:
         cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
 
-    return F.arrow_udf(encode, "array<int>")(text.cast("string"))
+    return F.arrow_udf(in_spans(encode), "array<int>")(text.cast("string"))
 
 
 def decode_column(spark, ids: Column, model_path: str) -> Column:
@@ -462,6 +463,6 @@ def round_trip(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                                           names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    made = F.arrow_udf(digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    made = F.arrow_udf(in_spans(digest), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     rows = docs.select(named(key).alias(key), made(F.coalesce(named(text).cast("string"), F.lit(""))).alias("_d"))
     return rows.select(named(key), "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
 from .common import let, named
-from .textnum import buffers
+from .textnum import buffers, in_spans
 
 UNKNOWN = "und"
 BITS = 16
@@ -143,7 +143,7 @@ def text_evidence(spark, model: TextModel, text: Column, markup: bool = False) -
         return pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * k), pa.array(scaled.ravel()),
                                         mask=pa.array(count == 0))
 
-    return F.arrow_udf(evidence, "array<double>")(F.coalesce(text.cast("string"), F.lit("")))
+    return F.arrow_udf(in_spans(evidence), "array<double>")(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def normal(logs: Column) -> Column:

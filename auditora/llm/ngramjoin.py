@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from ..functions.common import bounded_broadcast
 from .common import named, scratch_folder, settled, unused
 from .components import components
-from .textnum import buffers, mix, word_hashes
+from .textnum import buffers, mix, small_batches, word_hashes
 
 SKETCH_BITS = 22
 LEVEL_BLOCK = 14  # bits of a block of the sketch that is packed into one row
 LOCAL_MIN = 2  # a token is reported to the sketch if this many texts of a batch group hold it
-FLUSH = 4_000_000
+FLUSH = 3_000_000
 SHARED = 4  # prefix tokens two linked sets must share (prefixes are longer by one less)
 HOT_LEVEL = 12  # tokens of this level (about 4096 texts) or more may be crowded
 HUBS = 8
@@ -92,7 +92,7 @@ def _counter(width: int):
             u, at = np.unique(s, return_inverse=True)
             return pa.record_batch([pa.array(u.astype(np.int32)), pa.array(np.bincount(at, c, len(u)).astype(np.int64))], names=["slot", "n"])
         held, size = [], 0
-        for b in batches:
+        for b in small_batches(batches, 0):
             tokens, _ = shingle_sets(b.column(0), width)
             held.append(tokens)
             size += len(tokens)
@@ -153,7 +153,7 @@ def _signer(held, width: int, percent: int):
     """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             tokens, sizes = shingle_sets(batch.column(2), width)
             at = np.concatenate(([0], np.cumsum(sizes)))
             nodes = node_ids(tokens, sizes)
@@ -187,7 +187,7 @@ def _signer(held, width: int, percent: int):
 def _set_maker(held, width: int, percent: int):
     """mapInArrow: texts -> (node, whole set, its prefixes under the second and the third order)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             tokens, sizes = shingle_sets(batch.column(0), width)
             at = np.concatenate(([0], np.cumsum(sizes)))
             cols = [[tokens[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], [], []]

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 20  # bytes hashed at a time; a longer word makes a longer piece
 
+SLICE_BYTES = 1 << 21  # text of a batch worked on at a time
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -57,6 +60,32 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def spans(column, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """(start, rows) of runs of rows that hold about ``limit`` bytes of text; a longer text is its own run."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, lo = [], 0
+    while lo < len(ends):
+        base = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
+        out.append((lo, hi - lo))
+        lo = hi
+    return out
+
+
+def small_batches(batches, column: int):
+    """The rows of record batches in batches of bounded text, so that work arrays stay small."""
+    for batch in batches:
+        for lo, n in spans(batch.column(column)):
+            yield batch.slice(lo, n)
+
+
+def in_spans(make):
+    """An array function applied to runs of rows of bounded text, the results joined."""
+    def run(column):
+        return pa.concat_arrays([make(column.slice(lo, n)) for lo, n in spans(column)]) if len(column) else make(column)
+    return run
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every word; a text's end ends a word."""
     solid = ~SPACE[data]

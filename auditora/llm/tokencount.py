@@ -21,7 +21,7 @@ from .textnum import buffers
 
 CHUNK = 1 << 14
 OVERLAP = 1 << 8
-BATCH_BYTES = 1 << 21  # texts given to the encoder at once
+BATCH_BYTES = 1 << 20  # texts given to the encoder at once
 
 
 class PieceCounter:
