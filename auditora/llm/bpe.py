@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import named, per_worker
-from .textnum import HashTable, in_spans, mix, powers
+from .textnum import HashTable, give_back, in_spans, mix, powers
 
 NEVER = np.int64(1) << 40
 LONG_WORD = 96  # symbols; longer words are walked one by one
@@ -133,7 +133,6 @@ class Automaton:
         self.label = np.array(label, np.int64)
         self.end_keys = np.array(sorted(ends), np.int64)
         self.end_tokens = np.array([ends[k] for k in self.end_keys], np.int64)
-        self.child, self.ends = child, ends
 
     def encode_words(self, data: np.ndarray, lengths: np.ndarray, marked: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, ids per word); ``marked``: a word's last symbol is an end symbol."""
@@ -211,9 +210,13 @@ class Automaton:
             for q in range(p, hi):
                 s = int(data[q])
                 final = marked and q == hi - 1
-                token = self.ends.get(node * 256 + s, -1) if final else -1
-                if not final:
-                    node = self.child.get((node, s), -1)
+                token = -1
+                if final:
+                    spot = int(np.searchsorted(self.end_keys, node * 256 + s))
+                    if spot < len(self.end_keys) and self.end_keys[spot] == node * 256 + s:
+                        token = int(self.end_tokens[spot])
+                else:
+                    node = int(self.next[self.row[node], s]) if self.row[node] >= 0 else -1
                     if node < 0:
                         break
                     token = int(self.label[node])
@@ -249,7 +252,7 @@ class WordBpe:
     strings of the vocabulary found in a text become their ids.
     """
 
-    KEPT_WORDS = 600_000
+    KEPT_WORDS = 300_000
 
     def __init__(self, model: str):
         spec = json.loads(model)
@@ -270,7 +273,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         n = max([*vocab.values(), *self.special.values()]) + 1
         self.auto = Automaton(base, [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], n)
-        del self.auto.spelled  # only the construction reads the spellings
+        del self.auto.spelled, spec, merges, joined  # only the construction reads them
+        give_back()
         self.labels = [b""] * n
         for s, t in [*vocab.items(), *self.special.items()]:
             self.labels[t] = s.encode()
@@ -279,7 +283,7 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.table = HashTable(21)
+        self.table = HashTable(20)
         self.word_ids: list[bytes] = []
         self.word_text: list[bytes] = []
 

@@ -7,6 +7,8 @@ bytes other than ASCII white space, with A-Z lower-cased.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,17 +74,27 @@ def spans(column, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
     return out
 
 
+def give_back() -> None:
+    """Return freed heap to the system: idle workers would keep their largest batch's memory."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(batches, column: int):
     """The rows of record batches in batches of bounded text, so that work arrays stay small."""
     for batch in batches:
         for lo, n in spans(batch.column(column)):
             yield batch.slice(lo, n)
+        give_back()
 
 
 def in_spans(make):
     """An array function applied to runs of rows of bounded text, the results joined."""
     def run(column):
-        return pa.concat_arrays([make(column.slice(lo, n)) for lo, n in spans(column)]) if len(column) else make(column)
+        out = pa.concat_arrays([make(column.slice(lo, n)) for lo, n in spans(column)]) if len(column) else make(column)
+        give_back()
+        return out
     return run
 
 
