@@ -118,17 +118,31 @@ KNOWN = known_sentences()
 assert all(any(a in s for a in ANCHORS) for s in KNOWN), "a known sentence has no anchor"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-cased ASCII letters, digits, dots and pluses, single spaces, no outer dots."""
-    return F.btrim(F.regexp_replace(sentence, "[^a-z0-9.+]+", " "), F.lit(" ."))
+# Marks of the reduced text: a line end or semicolon may end a sentence or be a blank inside one, HARD ends it.
+SOFT, HARD = "\n", "\x02"
+_WORDS = "|".join("[ \\n]+".join(re.escape(w) for w in s.split(" ")) for s in sorted(KNOWN, key=len, reverse=True))
+_GRANTS = "permission |redistribution |licensed "
+# A copyright line on the line of the grant: "MIT License Copyright (c) 2020 X Permission is hereby granted ..."
+_COPYRIGHT = f"(?:(?:the )?[a-z]+ license )?copyright (?:c )?[0-9]{{4}}[^\\n\\x02]{{0,200}}? (?={_GRANTS})"
+_END = "[ .]*(?:[\\n\\x02]|$)"
+SENTENCE = f"(?:(?:^|[\\n\\x02])[ .]*(?:{_COPYRIGHT})?|\\G )({_WORDS})(?={_END}| (?:{_WORDS})(?:[ \\n\\x02]|[.]*$|[.]+[ \\n\\x02]))"
+
+
+def reduced(lowered: Column) -> Column:
+    """Words of ASCII letters, digits, dots and pluses with blanks, ``SOFT`` and ``HARD`` marks between them."""
+    marked = F.translate(lowered, "\r\x0b\x0c;" + HARD, SOFT * 4 + " ")
+    return F.regexp_replace(F.regexp_replace(marked, f"{END}{SPACE}+", HARD), f"[^a-z0-9.+{SOFT}{HARD}]+", " ")
 
 
 def sentence_ids(lowered: Column) -> Column:
-    """Identifiers of the known sentences of a lower-cased text, in order, as ``<A><B>``."""
-    cut = F.split(F.regexp_replace(lowered, f"({END}){SPACE}+", "$1\n"), "\n")
+    """Identifiers of the known sentences of a lower-cased text, in order, as ``<A><B>``.
+
+    A sentence starts behind and stops at a line end, semicolon, end mark or another known sentence,
+    and may itself run over line ends, blank lines and semicolons.
+    """
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    ids = F.transform(F.transform(cut, normalised), lambda s: F.coalesce(F.element_at(known, s), F.lit("")))
-    return F.array_join(ids, "")
+    found = F.regexp_extract_all(reduced(lowered), F.lit(SENTENCE), F.lit(1))
+    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[ \n]+", " "))), "")
 
 
 def apply_rules(sequence: Column) -> Column:
@@ -149,9 +163,9 @@ def apply_rules(sequence: Column) -> Column:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (key, n_known, sentence_ids, licenses, unmatched).
 
-    A text is cut twice: with a line end as a sentence end, and with lines joined (wrapped
-    notices); the cut that knows more sentences counts, the first on a tie.  ``licenses`` lists
-    the licences in rule order, comma-joined; ``unmatched`` the identifiers no rule took.
+    Known sentences are found on a line of their own and wrapped over lines alike, in text order.
+    ``licenses`` lists the licences in rule order, comma-joined; ``unmatched`` the identifiers no
+    rule took.
     Defined cases: NULL or empty text gives 0 and empty strings; repeated rows give repeated
     rows; keys may be NULL; other columns are ignored.
     """
@@ -163,12 +177,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def count(seq: Column) -> Column:
         return F.length(seq) - F.length(F.replace(seq, F.lit("<"), F.lit("")))
 
-    by_line = sentence_ids(F.col("_low"))
-    by_flow = sentence_ids(F.regexp_replace(F.col("_low"), f"{SPACE}+", " "))
-    best = let(by_line, lambda a: let(by_flow, lambda b: F.when(count(b) > count(a), b).otherwise(a)))
     # flat stages: the sequence is computed only for texts with an anchor word, and once
     found = docs.select(named(key).alias("_key"), low.alias("_low")).select(
-        "_key", F.when(has_anchor, best).otherwise(F.lit("")).alias("_ids"))
+        "_key", F.when(has_anchor, sentence_ids(F.col("_low"))).otherwise(F.lit("")).alias("_ids"))
     ruled = found.select("_key", let(F.col("_ids"), lambda s: F.struct(
         s.alias("ids"), F.when(s == "", F.struct(F.lit("").alias("rest"), F.lit("").alias("found"))).otherwise(
             apply_rules(s)).alias("r"))).alias("_x"))

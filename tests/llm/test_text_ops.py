@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,41 @@ def test_license_rules_and_defined_cases(spark):
     assert licenses.scan_licenses(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_license_whole_notices_in_any_layout(spark):
+    part = {k: v[0] for k, v in licenses.SENTENCES.items()}
+    mit = part["MITgrant"] + ":", part["MITnotice"] + ".", part["MITasis"] + ". IN NO EVENT SHALL THE AUTHORS BE LIABLE."
+    isc = (part["ISCgrant"] + ".",)
+    url = "http://www.apache.org/licenses/LICENSE-2.0"
+    apache = ('Licensed under the Apache License, Version 2.0 (the "License"); ' + part["ApacheUse"] + ". You may obtain a copy of the License at",
+              url, part["ApacheBasis"] + ". " + part["ApacheSee"] + ".")
+    ids = {"MIT": "<MITgrant><MITnotice><MITasis>", "ISC": "<ISCgrant>",
+           "Apache-2.0": "<ApacheVer2><ApacheUse><ApacheCopy><ApacheBasis><ApacheSee>"}
+    rows, want = [], {}
+
+    def add(text, licence, sequence):
+        rows.append((len(rows), text, "x"))
+        want[len(rows) - 1] = (licence, sequence, "")
+
+    for name, paragraphs in (("MIT", mit), ("ISC", isc), ("Apache-2.0", apache)):
+        whole = ["Copyright (c) 2020 Some One", *paragraphs]
+        wrapped = "\n\n".join(textwrap.fill(x, 60) for x in whole)
+        add(wrapped, name, ids[name])
+        add(wrapped.replace("\n", "\r\n"), name, ids[name])
+        add("\n".join(f" * {x}" for x in wrapped.split("\n")), name, ids[name])
+        add("\n".join(textwrap.fill(x, 60) for x in whole), name, ids[name])
+        add("\n".join(whole), name, ids[name])
+        add(" ".join(whole), name, ids[name])
+        add(f"{name[:3]} License " + " ".join(whole), name, ids[name])
+        add("Released under the BSD License\n\n" + wrapped, f"{name},BSD", "<BSDrelease>" + ids[name])
+        add(wrapped + "\n\nReleased under the BSD License\nmore words", f"{name},BSD", ids[name] + "<BSDrelease>")
+    gpl = "\n".join(textwrap.fill(part[x], 60) + "." for x in ("GPLfree2", "GPLhope", "GPLsee"))
+    add(gpl, "GPL-2.0-or-later", "<GPLfree2><GPLhope><GPLsee>")
+    add("This is not licensed under the MIT License. Nor is it\x02released under the MIT License; so there", "", "")
+    add("Licensed under the MIT License " * 20_000, "MIT", "<MITrelease>" * 20_000)
+    got = {r.doc_id: (r.licenses, r.sentence_ids, r.unmatched) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+
+
 def shingles(text):
     w = re.split(r"[\x20\x09-\x0D]+", text.lower().strip(" \t\n\x0b\x0c\r"))
     w = [] if w == [""] else w
