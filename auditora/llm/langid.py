@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from .textnum import buffers, in_spans
 
 UNKNOWN = "und"
 BITS = 16
-MAX_LANGUAGES = 64
+DENSE_CELLS = 1 << 24  # a table of up to so many slots x languages is held whole (64 MB)
+HELD_LANGUAGES = 64  # languages whose trigrams a task counts before it hands them on
 ROWS_PER_LANGUAGE = 2000  # bound of the training sample (documented parameter)
 TEMPER = 0.2  # trigrams overlap and are no independent evidence
 HOST_WEIGHT, DOMAIN_WEIGHT = 4.0, 20.0  # pseudo-counts of the parent level
@@ -58,17 +60,42 @@ def visible(html: str) -> str:
 
 @dataclass
 class TextModel:
-    """languages and the log probability of every trigram slot in each (the last column is 'und')."""
+    """languages and the log probability of every trigram slot in each ('und' comes last).
+
+    Only slots seen in a language are kept: those of slot i are first[i]:first[i + 1] of ``lang`` and of ``more``, the
+    log probability above the language's ``floor``.
+    """
 
     languages: list[str]
-    table: np.ndarray  # slots x (languages + 1), float32
+    floor: np.ndarray  # languages + 1 log probabilities of an unseen slot
+    first: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """slots x (languages + 1), float32."""
+        out = np.tile(self.floor.astype(np.float32), (1 << BITS, 1))
+        out[np.repeat(np.arange(1 << BITS), np.diff(self.first)), self.lang] += self.more
+        return out
+
+    def sums(self, t: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Sums of the log probabilities of the trigrams ``t``, a row for each piece starting at ``cuts``."""
+        k, sizes = len(self.floor), np.diff(np.append(cuts, len(t)))
+        start, n = self.first[t], self.first[t + 1] - self.first[t]
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        piece = np.repeat(np.repeat(np.arange(len(cuts)), sizes), n)
+        more = np.bincount(piece * k + self.lang[at], weights=self.more[at], minlength=len(cuts) * k)
+        return more.reshape(len(cuts), k) + sizes[:, None] * self.floor[None]
 
     def log_likelihoods(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihood per text and language, trigrams with a letter per text); shorter texts have none."""
-        n, k = len(offsets) - 1, self.table.shape[1]
+        n, k = len(offsets) - 1, len(self.floor)
         total, count = np.zeros((n, k)), np.zeros(n, np.int64)
-        for lo in range(0, max(0, len(data) - 2), PIECE):
-            hi = min(len(data) - 2, lo + PIECE)
+        table = self.table if k << BITS <= DENSE_CELLS else None
+        piece = max(1, min(PIECE, (PIECE << 3) // k))  # a piece has up to k numbers a trigram
+        for lo in range(0, max(0, len(data) - 2), piece):
+            hi = min(len(data) - 2, lo + piece)
             t = trigrams(data[lo:hi + 2])
             at = np.arange(lo, hi)
             first, last = np.searchsorted(offsets, lo, "right") - 1, np.searchsorted(offsets, hi, "left")
@@ -84,47 +111,61 @@ class TextModel:
                 continue
             doc = np.searchsorted(offsets, at, "right") - 1
             cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            total[doc[cuts]] += np.add.reduceat(self.table[t], cuts, axis=0)
+            total[doc[cuts]] += self.sums(t, cuts) if table is None else np.add.reduceat(table[t], cuts, axis=0)
             count[doc[cuts]] += np.diff(np.append(cuts, len(t)))
         return total, count
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> TextModel:
-    """Trigram models of the labelled languages (at most ``MAX_LANGUAGES``, the most frequent).
+    """Trigram models of all labelled languages.
 
     About ``rows`` rows of each language are taken by a hash of the text and counted by one grouped
     aggregation; NULL and empty labels teach nothing.  Without labels only 'und' is known.
     """
     good = docs.select(named(lang).cast("string").alias("g"), F.coalesce(named(text).cast("string"), F.lit("")).alias("t"))
     good = good.filter(F.col("g").isNotNull() & (F.col("g") != "") & (F.col("g") != UNKNOWN))
-    sizes = good.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "g").limit(MAX_LANGUAGES).collect()
+    sizes = good.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
     names = sorted(r["g"] for r in sizes)
     uniform = -BITS * np.log(2.0)
     if not names:
-        return TextModel([], np.full((1 << BITS, 1), uniform, np.float32))
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("g") == r["g"], F.lit(min(1_000_000, int(rows / r["n"] * 1_000_000) + 1))).otherwise(share)
-    picked = good.filter(F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1_000_000)) < share)
+        return TextModel([], np.array([uniform]), np.zeros((1 << BITS) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
     index = {g: i for i, g in enumerate(names)}
+    shares = docs.sparkSession.createDataFrame([(r["g"], index[r["g"]], min(1_000_000, int(rows / r["n"] * 1_000_000) + 1)) for r in sizes],
+                                               "g string, i int, share int")
+    picked = good.join(F.broadcast(shares), "g").filter(F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1_000_000)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(index), 1 << BITS), np.int64)
+        held: dict[int, np.ndarray] = {}
+
+        def counted() -> pa.RecordBatch:
+            slots = [np.flatnonzero(x) for x in held.values()]
+            g = np.repeat(np.array(list(held), np.int32), [len(x) for x in slots])
+            slot = np.concatenate([*slots, np.zeros(0, int)]).astype(np.int32)
+            n = np.concatenate([*(x[at] for x, at in zip(held.values(), slots)), np.zeros(0, np.int64)])
+            held.clear()
+            return pa.record_batch([pa.array(g), pa.array(slot), pa.array(n)], names=["g", "slot", "n"])
+
         for b in batches:
             data, offsets = buffers(b.column(1))
             for g, lo, hi in zip(b.column(0).to_pylist(), offsets[:-1], offsets[1:]):
+                if g not in held and len(held) == HELD_LANGUAGES:
+                    yield counted()
+                sums = held.setdefault(g, np.zeros(0, np.int64))
                 if hi - lo > 2:
+                    sums = sums if len(sums) else np.zeros(1 << BITS, np.int64)
                     for at in range(lo, hi - 2, PIECE):
-                        sums[index[g]] += np.bincount(trigrams(data[at:min(hi, at + PIECE + 2)]), minlength=1 << BITS)
-        g, slot = np.nonzero(sums)
-        yield pa.record_batch([pa.array(g.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(sums[g, slot])], names=["g", "slot", "n"])
-
-    counted = picked.mapInArrow(count, "g int, slot int, n bigint").groupBy("g", "slot").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros((len(names), 1 << BITS))  # at most languages x slots rows
-    sums[counted["g"].to_numpy(int), counted["slot"].to_numpy(int)] = counted["n"].to_numpy()
-    sums[:, BLANK3] = 0
-    table = np.log((sums + 0.01) / (sums.sum(axis=1, keepdims=True) + 0.01 * (1 << BITS)))
-    return TextModel(names, np.hstack([table.T, np.full((1 << BITS, 1), uniform)]).astype(np.float32))
+                        sums += np.bincount(trigrams(data[at:min(hi, at + PIECE + 2)]), minlength=1 << BITS)
+                    held[g] = sums
+        yield counted()
+
+    counts = picked.select("i", "t").mapInArrow(count, "g int, slot int, n bigint").groupBy("g", "slot").agg(F.sum("n").alias("n"))
+    seen = counts.filter(F.col("slot") != BLANK3).toPandas()  # one row per language and slot seen in its sample
+    slot, g, n = seen["slot"].to_numpy(int), seen["g"].to_numpy(int), seen["n"].to_numpy(float)
+    order = np.argsort(slot * len(names) + g)
+    slot, g, n = slot[order], g[order], n[order]
+    whole = np.bincount(g, weights=n, minlength=len(names)) + 0.01 * (1 << BITS)
+    first = np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=1 << BITS))))
+    return TextModel(names, np.append(np.log(0.01 / whole), uniform), first, g.astype(np.int32), np.log1p(n / 0.01).astype(np.float32))
 
 
 def text_evidence(spark, model: TextModel, text: Column, markup: bool = False) -> Column:

@@ -132,6 +132,34 @@ def test_keep_identified_cases(spark, docs):
     assert none.languages == [] and langid.keep_identified(frame(spark, rows), none).count() == 0
 
 
+def made_up_languages(n, texts):
+    """(label, text): languages of 12 words of their own, the first ones with more texts."""
+    rng = np.random.default_rng(7)
+    out = []
+    for i in range(n):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        out += [(f"l{i:03d}", " ".join(rng.choice(words, 40))) for _ in range(texts + (i < 64))]
+    return out
+
+
+@pytest.mark.parametrize("dense", [1 << 24, 0])
+def test_every_labelled_language_has_a_model(spark, monkeypatch, dense):
+    import pyarrow as pa
+    from auditora.llm.textnum import buffers
+    rows = made_up_languages(90, 4)
+    docs = frame(spark, [(n, t, g, f"s{n % 3}") for n, (g, t) in enumerate(rows)])
+    m = langid.fit(docs)
+    monkeypatch.setattr(langid, "DENSE_CELLS", dense)
+    assert m.languages == sorted({g for g, _ in rows})
+    total, _ = m.log_likelihoods(*buffers(pa.array([t for _, t in rows])))
+    assert [m.languages[i] for i in total.argmax(axis=1)] == [g for g, _ in rows]
+    for n, (_, t) in enumerate(rows[::50]):
+        at = langid.trigrams(np.frombuffer(t.encode(), np.uint8))
+        assert np.allclose(total[50 * n], m.table[at[at != langid.BLANK3]].astype(float).sum(axis=0), rtol=1e-4)
+    if dense:
+        assert langid.keep_identified(docs, m).count() == len(rows)
+
+
 # ---------------------------------------------------------------- top-k
 
 def brute_topk(vectors, k, every):
