@@ -16,7 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
@@ -27,7 +27,7 @@ UNKNOWN = "und"
 BITS = 16
 DENSE_CELLS = 1 << 24  # a table of up to so many slots x languages is held whole (64 MB)
 HELD_LANGUAGES = 64  # languages whose trigrams a task counts before it hands them on
-ROWS_PER_LANGUAGE = 2000  # bound of the training sample (documented parameter)
+ROWS_PER_LANGUAGE = 2000  # bound of the training sample, different texts (documented parameter)
 TEMPER = 0.2  # trigrams overlap and are no independent evidence
 HOST_WEIGHT, DOMAIN_WEIGHT = 4.0, 20.0  # pseudo-counts of the parent level
 EVIDENCE_SMOOTHING = 1.0
@@ -119,20 +119,27 @@ class TextModel:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> TextModel:
     """Trigram models of all labelled languages.
 
-    About ``rows`` rows of each language are taken by a hash of the text and counted by one grouped
-    aggregation; NULL and empty labels teach nothing.  Without labels only 'und' is known.
+    Each language is learnt from ``rows`` of its different texts, the first by hash, or from all where there
+    are fewer; copies of a text count once.  NULL and empty labels teach nothing.  Without labels only
+    'und' is known.
     """
     good = docs.select(named(lang).cast("string").alias("g"), F.coalesce(named(text).cast("string"), F.lit("")).alias("t"))
     good = good.filter(F.col("g").isNotNull() & (F.col("g") != "") & (F.col("g") != UNKNOWN))
-    sizes = good.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
-    names = sorted(r["g"] for r in sizes)
+    good = good.withColumn("h", F.shiftrightunsigned(F.xxhash64("t", F.lit(17)), 1))
+    texts = good.select("g", "h").distinct().checkpoint(eager=True)
+    # twice the rows wanted of a large language, so that its window holds few rows and enough of them
+    share = F.least(F.lit(1.0), F.lit(2.0 * rows + 200) / F.count(F.lit(1)))
+    sizes = texts.groupBy("g").agg((share * float(1 << 63)).alias("below"))
+    some = texts.join(bounded_broadcast(sizes, BROADCAST_HOSTS), "g").filter(F.col("h").cast("double") <= F.col("below"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("h"))
+    last = some.withColumn("n", place).filter(F.col("n") <= rows).groupBy("g").agg(F.max("h").alias("last")).collect()
+    names = sorted(r["g"] for r in last)
     uniform = -BITS * np.log(2.0)
     if not names:
         return TextModel([], np.array([uniform]), np.zeros((1 << BITS) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
     index = {g: i for i, g in enumerate(names)}
-    shares = docs.sparkSession.createDataFrame([(r["g"], index[r["g"]], min(1_000_000, int(rows / r["n"] * 1_000_000) + 1)) for r in sizes],
-                                               "g string, i int, share int")
-    picked = good.join(F.broadcast(shares), "g").filter(F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1_000_000)) < F.col("share"))
+    lasts = docs.sparkSession.createDataFrame([(r["g"], index[r["g"]], r["last"]) for r in last], "g string, i int, last bigint")
+    picked = good.join(F.broadcast(lasts), "g").filter(F.col("h") <= F.col("last")).groupBy("i", "h").agg(F.min("t").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}

@@ -160,6 +160,24 @@ def test_every_labelled_language_has_a_model(spark, monkeypatch, dense):
         assert langid.keep_identified(docs, m).count() == len(rows)
 
 
+def test_training_sample_is_of_different_texts(spark):
+    """Copies of a text change no model; few texts are all learnt, of many just ``rows``."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    once = [("aa", f"{words[i]} {words[i + 1]}") for i in range(300)] + [("bb", words[350]), ("bb", words[351])]
+    copies = [("aa", once[n][1]) for n in range(0, 300, 30) for _ in range(200)] + [("bb", words[350])] * 900
+
+    def learn(rows):
+        return langid.fit(frame(spark, [(n, t, g, "s") for n, (g, t) in enumerate(rows)]), rows=20)
+
+    a, b = learn(once), learn(once + copies)
+    assert a.languages == b.languages == ["aa", "bb"] and np.array_equal(a.table, b.table)
+    slots = {g: set(a.first.searchsorted(np.flatnonzero(a.lang == i), "right") - 1) for i, g in enumerate(a.languages)}
+    grams = {t: set(langid.trigrams(np.frombuffer(t.encode(), np.uint8))) for _, t in once}
+    assert slots["bb"] == grams[words[350]] | grams[words[351]]
+    assert sum(grams[t] <= slots["aa"] for g, t in once if g == "aa") == 20
+
+
 # ---------------------------------------------------------------- top-k
 
 def brute_topk(vectors, k, every):
