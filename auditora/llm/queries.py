@@ -78,7 +78,7 @@ def bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_voronoi_topk", TOPK_SQL)
 def voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 highest inner products of every 20th vector of ``embeddings`` against all others."""
-    return topk.top_products(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return topk.top_products(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, repeated=True)
 
 
 @query("op7_ngram_jaccard")

@@ -25,18 +25,20 @@ from .common import named
 MAX_PIVOTS = 256  # bound of the pivot table, which every task holds
 QUERIES_PER_GROUP = 2048
 ROWS_PER_BLOCK = 8192
+OWN_ROWS = 64  # rows of one id that the distances kept of a cell allow for; more of them prune less
 SLAB = 128  # queries scored at once in a task
 EXACT = float(1 << 53)
 SLACK = 1e-7  # relative slack of the distance bounds, far above their rounding
 
 
-def integer_vectors(rows: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of every usable vector; the least vector of a repeated id counts."""
+def integer_vectors(rows: DataFrame, key: str, vector: str, scale: int, repeated: bool = False) -> DataFrame:
+    """(id, v): floor(scale * x) of every usable vector; of a repeated id all rows, or the least vector only."""
     x = F.transform(named(vector), lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
     fine = F.forall(named(vector), lambda c: c.isNotNull() & ~F.isnan(c.cast("double"))
                     & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     good = rows.filter(named(key).isNotNull() & named(vector).isNotNull() & F.coalesce(fine, F.lit(False)))
-    return good.select(named(key).cast("bigint").alias("id"), x.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    vectors = good.select(named(key).cast("bigint").alias("id"), x.alias("v"))
+    return vectors.repartition("id", "v") if repeated else vectors.groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -108,7 +110,7 @@ def _vectors(packed) -> np.ndarray:
     return np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1) if len(packed) else np.zeros((0, 0))
 
 
-def _bounds(geometry, summary: pd.DataFrame, k: int):
+def _bounds(geometry, summary: pd.DataFrame, k: int, own: int):
     """Adds to each query its k-th distance bound and, per data cell, the least distance to the
     pivot a row needs to matter (or none)."""
     cells, far = summary["cell"].to_numpy(), summary["far"].to_numpy()
@@ -119,9 +121,9 @@ def _bounds(geometry, summary: pd.DataFrame, k: int):
     def reach(g: Geometry, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = g.distances(x, False)
         upper = d[:, cells][:, owner] + near[None]
-        # one of the k + 1 nearest may be the query's own row
-        want = min(k, upper.shape[1] - 1)
-        theta = np.partition(upper, want, axis=1)[:, want] if upper.shape[1] > k else np.full(len(x), np.inf)
+        # of the nearest up to ``own`` rows may be of the query's own id
+        want = k + own - 1
+        theta = np.partition(upper, want, axis=1)[:, want] if upper.shape[1] > want else np.full(len(x), np.inf)
         theta = theta * (1 + SLACK) + SLACK
         need = d[:, cells] - theta[:, None] - SLACK * (1 + d[:, cells])
         home = d.argmin(axis=1)
@@ -146,7 +148,8 @@ def _solve(k: int, exact: bool):
         for lo in range(0, len(q), SLAB):
             s = (q[lo:lo + SLAB] @ x.T).astype(np.int64)
             own = qids[lo:lo + SLAB][:, None] == ids[None]
-            take = min(k + 1, s.shape[1])
+            s[own] = np.iinfo(np.int64).min
+            take = min(k, s.shape[1])
             # the take-th best score, then every row above it and the first of the ties, in id order
             kth = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
             above = s > kth[:, None]
@@ -161,17 +164,18 @@ def _solve(k: int, exact: bool):
 
 def top_products(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20,
                  scale: int = 64, max_pivots: int = MAX_PIVOTS, queries_per_group: int = QUERIES_PER_GROUP,
-                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                 rows_per_block: int = ROWS_PER_BLOCK, repeated: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of every query, ties to smaller ids.
 
     ``queries`` is a condition on the integer column ``id``.  Candidates are all rows but those of the query's id.
     Defined cases: rows with a NULL id, a NULL vector or a NULL or non-finite component take no part;
-    shorter vectors count as padded with zeros; of a repeated id the least vector counts; fewer than
+    shorter vectors count as padded with zeros; of a repeated id the least vector counts, or with
+    ``repeated`` every row, as candidate and as query (its products are ranked together); fewer than
     k candidates give them all; no usable rows or no queries give no rows.  Products are exact
     while they stay below 2^63 (below 2^53 in floating point, else in 64-bit integers).
     """
     spark = rows.sparkSession
-    base = integer_vectors(rows, key, vector, scale).checkpoint(eager=True)
+    base = integer_vectors(rows, key, vector, scale, repeated).checkpoint(eager=True)
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.max(F.size("v")).alias("dim")).first()
     n, top, dim = stats["n"], stats["top"] or 0.0, max(1, stats["dim"] or 1)
@@ -183,19 +187,21 @@ def top_products(rows: DataFrame, queries: Column, key: str = "vec_id", vector:
     pivots = np.zeros((len(picks), dim))
     for i, r in enumerate(picks):
         pivots[i, :len(r["v"])] = r["v"]
+    same = base.groupBy("id").count().agg(F.max("count")).first()[0] if repeated else 1
+    near = k + min(same, OWN_ROWS)  # distances kept of a cell
     geometry = spark.sparkContext.broadcast(Geometry(np.unique(pivots, axis=0), top))
     kind = "id bigint, cell int, dist double, v binary"
     data = base.mapInArrow(_assigner(geometry, dim, True), kind)
     asked = base.filter(queries).mapInArrow(_assigner(geometry, dim, False), kind)
-    partial = data.select("cell", "dist").mapInArrow(_summariser(k + 1), "cell int, n bigint, far double, near array<double>")
+    partial = data.select("cell", "dist").mapInArrow(_summariser(near), "cell int, n bigint, far double, near array<double>")
     summary = partial.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"),
-                                          F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+                                          F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, near).alias("near"))
     summary = summary.orderBy("cell").toPandas()  # at most max_pivots rows
     per_cell = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per_cell:
         return spark.createDataFrame([], schema)
     group_of = _grouped(per_cell, geometry.value, queries_per_group)
-    cells, reach = _bounds(geometry, summary, k)
+    cells, reach = _bounds(geometry, summary, k, same)
     blocks = max(1, -(-n // rows_per_block))
 
     def place(batches):  # query -> its group; cells with many queries are several groups
@@ -222,7 +228,7 @@ def top_products(rows: DataFrame, queries: Column, key: str = "vec_id", vector:
     needs = placed.mapInArrow(least, "grp int, cell int, need double").groupBy("grp", "cell").agg(F.min("need").alias("need"))
     # a row goes to each group that has a query in reach of it
     sent = data.join(needs, "cell").filter(F.col("dist") >= F.col("need"))
-    sent = sent.select("grp", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), "id", "v")
+    sent = sent.select("grp", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("blk"), "id", "v")
     spread = placed.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("grp", "blk", "id", "v")
     exact = top < EXACT
     found = spread.groupBy("grp", "blk").cogroup(sent.groupBy("grp", "blk")).applyInPandas(

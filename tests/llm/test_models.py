@@ -212,6 +212,21 @@ def test_topk_defined_cases(spark):
     assert topk.top_products(spark.createDataFrame([(20, [1.0])], schema), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("blocks,pivots", [(8192, 256), (23, 9)])
+def test_topk_repeated_ids_match_the_sql(spark, tmp_path, blocks, pivots):
+    from auditora.llm.sql import TOPK_SQL
+    import duckdb
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(rng.integers(0, 60, 300), rng.normal(size=(300, 4)))]
+    rows += [(20, [float(c) for c in v]) for v in rng.normal(size=(90, 4)) * 0.05 + 1] + [(7, [3.0, 3.0, 3.0, 3.0])] * 3
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    table.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    got = topk.top_products(table, F.col("id") % 20 == 0, rows_per_block=blocks, max_pivots=pivots, repeated=True).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(TOPK_SQL).fetchall())
+
+
 # ---------------------------------------------------------------- components
 
 def plain_components(rows, width, percent):
