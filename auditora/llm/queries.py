@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, idstore, langid, licenses, mixing, ngramjoin, tokencount, topk, toxicity
+from . import bpe, divergence, fingerprints, idstore, langid, licenses, mixing, ngramjoin, tokencount, topk, toxicity
 from .common import scratch_folder
-from .sql import LICENSE_SQL, MIX_SQL, TOPK_SQL
+from .sql import DIVERGENCE_SQL, LICENSE_SQL, MIX_SQL, TOPK_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,9 @@ def language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page of ``pages`` from text, markup, address and host evidence; the text models
     are learnt from a bounded sample of ``documents``."""
     return langid.identify_pages(read(spark, sf_dir, "pages"), langid.fit(read(spark, sf_dir, "documents")))
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources and top terms of every (lang, source) group of ``documents`` by share distance."""
+    return divergence.divergence(read(spark, sf_dir, "documents"))

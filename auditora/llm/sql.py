@@ -71,3 +71,32 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r WHERE rank <= 20
 """
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIVERGENCE_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tok AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(translate(t, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM tok GROUP BY 1, 2, 3),
+keep AS (SELECT lang, term, sum(n)::HUGEINT AS ln FROM cnt GROUP BY 1, 2 HAVING sum(docs) >= 3),
+langs AS (SELECT lang, sum(ln)::HUGEINT AS total, count(*) AS v FROM keep GROUP BY 1),
+grp AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.ln FROM grp g JOIN keep k USING (lang) LEFT JOIN cnt c USING (lang, source, term)),
+tot AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM own GROUP BY 1, 2),
+sh AS (
+  SELECT o.lang, o.source, o.term, o.n, 1 + (1000000000 * (o.n + 1)) // (t.total + l.v) AS p, 1 + (1000000000 * (o.ln + 1)) // (l.total + l.v) AS q
+  FROM own o JOIN tot t USING (lang, source) JOIN langs l USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+             FROM sh x JOIN sh y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+best AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM sh WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value::BIGINT, rank::INTEGER
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM best) z WHERE rank <= 200
+"""
