@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, fingerprints, idstore, langid, licenses, mixing, ngramjoin, tokencount, topk, toxicity
+from . import bpe, divergence, fingerprints, idstore, langid, licenses, mixing, ngramjoin, tokencount, topk, toxicity, turnrepair
 from .common import scratch_folder
-from .sql import DIVERGENCE_SQL, LICENSE_SQL, MIX_SQL, TOPK_SQL
+from .sql import DIVERGENCE_SQL, LICENSE_SQL, MIX_SQL, TOPK_SQL, TURN_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,9 @@ def language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sources and top terms of every (lang, source) group of ``documents`` by share distance."""
     return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+@query("op11_turn_repair", TURN_SQL)
+def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation of ``conversations``."""
+    return turnrepair.repair_conversations(read(spark, sf_dir, "conversations"))

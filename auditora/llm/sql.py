@@ -100,3 +100,58 @@ UNION ALL
 SELECT lang, source, 'term', item, value::BIGINT, rank::INTEGER
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM best) z WHERE rank <= 200
 """
+
+# States: 0 nothing yet, 1 after s, 2 after u, 3 after a; ``ins`` closes a state under up to three insertions.
+TURN_SQL = """
+WITH RECURSIVE
+tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t
+        FROM (SELECT unnest(range(256))::BIGINT AS i) z),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT conv_id, turn, role, text,
+               xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT),
+                               lambda c, b: xor(tab.t[xor(c % 256, b) + 1], c // 256), 4294967295::BIGINT), 4294967295) % 20 AS h FROM raw, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again FROM crc WHERE h <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), again) AS i,
+               rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM dam),
+flt AS (SELECT *, CASE WHEN body = '' THEN 'blank'
+                       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                       WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+               role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM num),
+stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM flt GROUP BY conv_id),
+step(q, c, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins AS (
+  SELECT q AS f, q AS r, 0 AS cost, '' AS audit, '' AS lines FROM (VALUES (0), (1), (2), (3)) v(q)
+  UNION ALL
+  SELECT f, s.r, cost + 3, audit || 'I', lines || chr(10) || CASE s.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END
+  FROM ins JOIN step s ON s.q = ins.r WHERE s.c <> 's' AND length(audit) < 3),
+edit AS (
+  SELECT conv_id, i, 4 AS cost, 'D' AS audit, NULL AS c, '' AS line FROM flt
+  UNION ALL
+  SELECT conv_id, i, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', role[1], chr(10) || role || ':' || text FROM flt
+  WHERE fault NOT IN ('blank', 'duplicate') AND role[1] IN ('s', 'u', 'a')
+  UNION ALL
+  SELECT conv_id, i, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', r.c, chr(10) || r.role || ':' || text
+  FROM flt, (VALUES ('u', 'user'), ('a', 'assistant')) r(c, role) WHERE fault NOT IN ('blank', 'duplicate')),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM stat
+  UNION ALL
+  SELECT conv_id, i, q, w.cost, w.audit, w.lines FROM (
+    SELECT conv_id, i, q, min({'cost': cost, 'audit': audit, 'lines': lines}) AS w FROM (
+      SELECT w.conv_id, e.i, CASE WHEN e.c IS NULL THEN x.r ELSE s.r END AS q, w.cost + x.cost + e.cost AS cost,
+             w.audit || x.audit || e.audit AS audit, w.lines || x.lines || e.line AS lines
+      FROM walk w JOIN ins x ON x.f = w.q JOIN edit e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1
+      LEFT JOIN step s ON s.q = x.r AND s.c = e.c WHERE e.c IS NULL OR s.r IS NOT NULL) z GROUP BY conv_id, i, q) y),
+done AS (
+  SELECT conv_id, min({'cost': w.cost + x.cost, 'audit': w.audit || x.audit, 'lines': w.lines || x.lines}) AS b
+  FROM walk w JOIN stat t USING (conv_id) JOIN ins x ON x.f = w.q WHERE w.i = t.n AND x.r IN (0, 3) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(t.gaps, 0)::BIGINT AS gaps, coalesce(t.blank, 0)::BIGINT AS blank, coalesce(t.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(t.truncated, 0)::BIGINT AS truncated, coalesce(t.illegal, 0)::BIGINT AS illegal, coalesce(d.b.cost, 0)::BIGINT AS cost,
+       coalesce(d.b.audit, '') AS audit, sha256(coalesce(substr(d.b.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stat t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
