@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, fingerprints, idstore, langid, licenses, mixing, ngramjoin, tokencount, topk, toxicity, turnrepair
+from . import bpe, divergence, fingerprints, idstore, langid, licenses, mixing, ngramjoin, substrings, tokencount, topk, toxicity, turnrepair
 from .common import scratch_folder
 from .sql import DIVERGENCE_SQL, LICENSE_SQL, MIX_SQL, TOPK_SQL, TURN_SQL
 
@@ -104,3 +104,10 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every damaged conversation of ``conversations``."""
     return turnrepair.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+@query("op12_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text of ``documents`` that a repeated window of 20 words covers, removed."""
+    out = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -1,21 +1,22 @@
 """Vectorised word hashing of Arrow string batches (numpy, used inside tasks).
 
-A word's hash is a polynomial over its bytes modulo 2^64, taken from a running sum over the
-whole piece of text (difference of two sums times an inverse power), then mixed.  Words are runs of
-bytes other than ASCII white space, with A-Z lower-cased.
+A word's hash takes its bytes eight at a time, each block mixed into the state before it (a polynomial
+modulo 2^64 would give Thue-Morse words and their complements one hash, whatever its base); words beyond
+``LONG`` bytes are hashed by BLAKE2b.  Words are runs of bytes other than ASCII white space, with A-Z
+lower-cased.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 20  # bytes hashed at a time; a longer word makes a longer piece
+LONG = 256  # bytes of a span beyond which it is hashed by itself
 
 SLICE_BYTES = 1 << 21  # text of a batch worked on at a time
 
@@ -24,20 +25,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, PIECE + 1)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            a = np.full(size, np.uint64(base))
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """Finaliser: every input bit moves every output bit."""
     h = h + np.uint64((0x632BE59BD9B4E019 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -46,6 +33,53 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data`` on (zeros behind its end), a row for each place."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+
+
+def block_at(rows: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first min(8, left) bytes from every place as a little-endian number."""
+    whole = rows[at].view("<u8").ravel()
+    return whole & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of every span, which is not empty."""
+    size = ends - starts
+    rows = blocks(data)
+    h = mix(block_at(rows, starts, size) ^ mix(size.astype(np.uint64), salt), salt)
+    left = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(left):
+        h[left] = mix(h[left] + block_at(rows, starts[left] + at, size[left] - at) * np.uint64(0x9E3779B97F4A7C15), salt)
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        long = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, key=salt.to_bytes(4, "little")).digest()
+        h[i] = np.frombuffer(long, "<u8")[0]
+    return h
+
+
+def same_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``a`` and of ``b`` from given places on are equal, for every pair of places."""
+    a_rows, b_rows = blocks(a), blocks(b)
+    ok = np.ones(len(size), bool)
+    left, at = np.flatnonzero(size > 0), 0
+    while len(left):
+        x, y, n = a_at[left] + at, b_at[left] + at, size[left] - at
+        same = block_at(a_rows, x, n) == block_at(b_rows, y, n)
+        ok[left[~same]] = False
+        at += 8
+        left = left[same & (n > 8)]
+        if len(left) < 64 and len(left):  # few long ones: compare them whole
+            for i in left.tolist():
+                lo, hi = at, int(size[i])
+                ok[i] = bool((a[a_at[i] + lo:a_at[i] + hi] == b[b_at[i] + lo:b_at[i] + hi]).all())
+            break
+    return ok
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -130,13 +164,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, head: int = 0) -> tuple[n
         part = LOWER[data[lo:hi]]
         inner = offsets[np.searchsorted(offsets, lo):np.searchsorted(offsets, hi, "right")] - lo
         starts, ends = word_bounds(part, np.concatenate(([0], inner, [len(part)])))
-        up, down = powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=sums[1:])
-        at = sums[starts]
-        hashes.append(mix((sums[ends] - at) * down[starts], 1))
+        hashes.append(span_hashes(part, starts, ends, 1))
         if head:
-            heads.append(mix((sums[np.minimum(ends, starts + head)] - at) * down[starts], 2))
+            heads.append(span_hashes(part, starts, np.minimum(ends, starts + head), 2))
         counts += np.bincount(np.searchsorted(offsets, starts + lo, "right") - 1, minlength=n_texts)[:n_texts]
         lo = hi
     empty = np.zeros(0, np.uint64)
@@ -188,3 +218,77 @@ class HashTable:
             gone = np.zeros(len(left), bool)
             gone[free[first]] = True
             left = left[~gone]
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenated aranges start .. start + length."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    out = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+    return out + np.arange(total)
+
+
+class Strings:
+    """Growing table of numbered runs of numbers in one flat array."""
+
+    def __init__(self, dtype):
+        self.flat, self.at, self.size = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate((self.flat, flat.astype(self.flat.dtype)))
+        self.at, self.size = np.concatenate((self.at, begin)), np.concatenate((self.size, sizes.astype(np.int32)))
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the runs of these numbers one after the other, their sizes)."""
+        size = self.size[numbers].astype(np.int64)
+        return self.flat[ranges(self.at[numbers], size)], size
+
+
+class SpanTable:
+    """Numbers byte spans; equal numbers mean equal bytes, which are kept and compared at every hit."""
+
+    def __init__(self, bits: int):
+        self.table, self.spans = HashTable(bits), Strings(np.uint8)
+        self.odd: dict[bytes, int] = {}  # spans whose hash belongs to another span
+
+    def __len__(self) -> int:
+        return len(self.spans.at)
+
+    def held_bytes(self) -> int:
+        return len(self.spans.flat)
+
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every span, the spans that got new numbers, in the order of these)."""
+        size = ends - starts
+        h = span_hashes(data, starts, ends, 9)
+        spot = self.table.find(h)
+        fresh, hit = np.flatnonzero(spot < 0), np.flatnonzero(spot >= 0)
+        held = spot[hit]
+        same = self.spans.size[held] == size[hit]
+        check = np.flatnonzero(same)
+        same[check] = same_spans(data, starts[hit[check]], self.spans.flat, self.spans.at[held[check]], size[hit[check]])
+        wrong, new = hit[~same], np.zeros(0, np.int64)
+        if len(fresh):
+            names, first, which = np.unique(h[fresh], return_index=True, return_inverse=True)
+            new = fresh[first]
+            model = new[which]
+            same = size[fresh] == size[model]
+            check = np.flatnonzero(same)
+            same[check] = same_spans(data, starts[fresh[check]], data, starts[model[check]], size[fresh[check]])
+            wrong = np.concatenate((wrong, fresh[~same]))
+            spot[fresh] = len(self) + which
+            self.table.add(names, np.arange(len(self), len(self) + len(new), dtype=np.int32))
+            self._keep(data, starts[new], size[new])
+        for i in wrong.tolist():
+            raw = data[starts[i]:ends[i]].tobytes()
+            if raw not in self.odd:
+                self.odd[raw] = len(self)
+                self._keep(data, starts[i:i + 1], size[i:i + 1])
+                new = np.append(new, i)
+            spot[i] = self.odd[raw]
+        return spot, new
+
+    def _keep(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        self.spans.add(data[ranges(starts, size)], size)
