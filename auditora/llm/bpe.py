@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import named, per_worker
-from .textnum import HashTable, give_back, in_spans, mix, powers
+from .textnum import SpanTable, Strings, give_back, in_spans
 
 NEVER = np.int64(1) << 40
 LONG_WORD = 96  # symbols; longer words are walked one by one
@@ -252,7 +252,8 @@ class WordBpe:
     strings of the vocabulary found in a text become their ids.
     """
 
-    KEPT_WORDS = 300_000
+    KEPT_WORDS = 150_000
+    KEPT_BYTES = 8 << 20  # of kept words (four a character)
 
     def __init__(self, model: str):
         spec = json.loads(model)
@@ -275,17 +276,17 @@ class WordBpe:
         self.auto = Automaton(base, [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], n)
         del self.auto.spelled, spec, merges, joined  # only the construction reads them
         give_back()
-        self.labels = [b""] * n
+        labels = [b""] * n
         for s, t in [*vocab.items(), *self.special.items()]:
-            self.labels[t] = s.encode()
+            labels[t] = s.encode() + b" "
+        self.labels = Strings(np.uint8)
+        self.labels.add(np.frombuffer(b"".join(labels), np.uint8), np.fromiter(map(len, labels), np.int64, n))
         found = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.special_re = re.compile("(" + "|".join(found) + ")") if found else None
         self.forget()
 
     def forget(self) -> None:
-        self.table = HashTable(20)
-        self.word_ids: list[bytes] = []
-        self.word_text: list[bytes] = []
+        self.known, self.ids, self.text = SpanTable(19), Strings(np.uint32), Strings(np.uint8)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -319,15 +320,15 @@ class WordBpe:
         nxt = np.searchsorted(breaks, starts, "right")
         return starts, np.append(breaks, len(cps))[nxt]
 
-    def learn(self, h: np.ndarray, texts: list[bytes]) -> None:
+    def learn(self, texts: list[bytes]) -> None:
+        """Ids and decoded bytes (a blank behind every label) of new words."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ids, counts = self.auto.encode_words(np.frombuffer(b"".join(texts), np.uint8), lengths, True)
-        raw, at = ids.astype("<u4"), np.concatenate(([0], np.cumsum(counts))).tolist()
-        begin = len(self.word_ids)
-        labels, listed = self.labels, ids.tolist()
-        self.word_ids += [raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-        self.word_text += [b" ".join([labels[i] for i in listed[a:b]]) for a, b in zip(at[:-1], at[1:])]
-        self.table.add(h, np.arange(begin, begin + len(h), dtype=np.int32))
+        self.ids.add(ids, counts)
+        flat, size = self.labels.get(ids)
+        ends = np.cumsum(counts)
+        total = np.concatenate(([0], np.cumsum(size)))
+        self.text.add(flat, total[ends] - total[ends - counts])
 
     def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of every word among the kept words, words per text) of plain texts."""
@@ -335,33 +336,16 @@ class WordBpe:
         joined = "\n".join(norm)
         edges = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in norm), np.int64, len(norm)))))
         del norm
-        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not len(cps):
+        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint8)
+        if not len(raw):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        starts, ends = self.words(cps, edges)
+        starts, ends = self.words(raw.view(np.uint32), edges)
         counts = np.bincount(np.searchsorted(edges, starts, "right") - 1, minlength=len(texts))[:len(texts)]
-        h = np.empty(len(starts), np.uint64)
-        lo = 0
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), "right")))
-            a, b = int(starts[lo]), int(ends[hi - 1])
-            up, down = powers(b - a)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((cps[a:b].astype(np.uint64) + np.uint64(1)) * up[:b - a], out=sums[1:])
-            s = starts[lo:hi] - a
-            h[lo:hi] = (sums[ends[lo:hi] - a] - sums[s]) * down[s]
-            lo = hi
-        h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 21)
-        if len(self.word_ids) > self.KEPT_WORDS:
+        if len(self.known) > self.KEPT_WORDS or self.known.held_bytes() > self.KEPT_BYTES:
             self.forget()
-        spot = self.table.find(h)
-        fresh = np.flatnonzero(spot < 0)
-        if len(fresh):
-            new, first, which = np.unique(h[fresh], return_index=True, return_inverse=True)
-            first = fresh[first]
-            before = len(self.word_ids)
-            self.learn(new, [joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-            spot[fresh] = before + which
+        spot, new = self.known.look_up(raw, starts * 4, ends * 4)
+        if len(new):
+            self.learn([joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist())])
         return spot, counts
 
     def encode_texts(self, texts: list[str], group: int = 1 << 22):
@@ -386,15 +370,21 @@ class WordBpe:
                 plan.append(pieces)
                 parts += pieces[::2]
         spots, counts = self.look_up(parts)
-        at = np.concatenate(([0], np.cumsum(counts))).tolist()
-        spots = spots.tolist()
-        ids, text = self.word_ids, self.word_text
+        made = []
+        for table in (self.ids, self.text):
+            flat, size = table.get(spots)
+            ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)].tolist()
+            made.append((flat, [0, *ends]))
+        (ids, id_at), (text, text_at) = made
+
+        def part(k: int) -> tuple[bytes, bytes]:
+            return ids[id_at[k]:id_at[k + 1]].astype("<u4").tobytes(), text[text_at[k]:max(text_at[k], text_at[k + 1] - 1)].tobytes()
+
         k = 0
         for pieces in plan:
             if pieces is None:
-                own = spots[at[k]:at[k + 1]]
+                yield part(k)
                 k += 1
-                yield b"".join([ids[i] for i in own]), b" ".join([text[i] for i in own])
                 continue
             all_ids, all_text = [], []
             for n, piece in enumerate(pieces):
@@ -402,15 +392,15 @@ class WordBpe:
                     all_ids.append(np.array([self.special[piece]], "<u4").tobytes())
                     all_text.append(piece.encode())
                 else:
-                    own = spots[at[k]:at[k + 1]]
+                    own = part(k)
                     k += 1
-                    all_ids += [ids[i] for i in own]
-                    all_text += [text[i] for i in own]
+                    all_ids.append(own[0])
+                    all_text += [own[1]] if own[0] else []
             yield b"".join(all_ids), b" ".join(all_text)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Labels of the arcs in order; this vocabulary joins them by blanks."""
-        return b" ".join([self.labels[i] for i in ids.tolist()])
+        return self.labels.get(ids)[0].tobytes()[:-1]
 
 
 def bpe_of(model: str) -> WordBpe:

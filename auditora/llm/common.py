@@ -49,9 +49,12 @@ def per_worker(key: tuple, make: Callable[[], object]) -> object:
 
     The library's functions travel to the workers by value, so module globals start anew in every
     task; what is worth keeping (compiled vocabularies) hangs on a module of the process instead.
+    Workers serve one stage after another, so objects of another kind (the key's first part) go.
     """
     name = "_kept_by_worker"
     store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("objects", {})
+    for other in [k for k in store if k[0] != key[0]]:
+        del store[other]
     if key not in store:
         store[key] = make()
     return store[key]

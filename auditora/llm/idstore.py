@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import broadcast_if
 from .common import default_parallelism, named, per_worker
-from .textnum import HashTable, buffers, mix, powers
+from .textnum import SpanTable, Strings, buffers, mix, ranges
 
 DOCS_PER_SHARD = 1 << 14
 KEYS_PER_BUCKET = 1 << 16
@@ -52,7 +52,8 @@ class BatchEncoder:
     ``KEPT_PIECES``.
     """
 
-    KEPT_PIECES = 2_000_000
+    KEPT_PIECES = 1_000_000
+    KEPT_BYTES = 32 << 20
     GROUP = 1 << 22
     LETTER = np.zeros(256, bool)
     LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -78,8 +79,7 @@ class BatchEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.table, self.kept_n = HashTable(22), 0  # piece hash -> number of the kept piece
-        self.kept_at, self.kept_len, self.kept_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.pieces, self.ids = SpanTable(22), Strings(self.dtype)  # bytes -> number of the kept piece -> its ids
 
     def piece_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Byte starts of the pieces; every text's start is one."""
@@ -127,60 +127,22 @@ class BatchEncoder:
             return np.zeros(0, np.uint32), np.zeros(n_texts, np.int64)
         starts = self.piece_starts(data, offsets) if self.cuts else offsets[:-1][np.diff(offsets) > 0]
         ends = np.concatenate((starts[1:], [len(data)]))
-        h = self.hashed(data, starts, ends)
-        if self.kept_n > self.KEPT_PIECES:
+        if len(self.pieces) > self.KEPT_PIECES or self.pieces.held_bytes() > self.KEPT_BYTES:
             self.forget()
-        spot = self.table.find(h)
-        fresh = np.flatnonzero(spot < 0)
-        if len(fresh):
-            new, first, which = np.unique(h[fresh], return_index=True, return_inverse=True)
-            first = fresh[first]
-            self.learn(new, data, starts[first], ends[first])
-            spot[fresh] = self.kept_n - len(new) + which
-        at, per = self.kept_at[spot], self.kept_len[spot]
-        ids = self.kept_ids[ranges(at, per)]
+        spot, new = self.pieces.look_up(data, starts, ends)
+        if len(new):
+            self.learn(data, starts[new], ends[new])
+        ids, per = self.ids.get(spot)
         text_of = np.searchsorted(offsets, starts, "right") - 1
         return ids, np.bincount(text_of, per, n_texts).astype(np.int64)
 
-    def learn(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode new pieces and keep their ids."""
         raw = memoryview(np.ascontiguousarray(data))
         texts = [str(raw[a:b], "utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
         got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        begin = len(self.kept_ids) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
-        self.kept_ids = np.concatenate((self.kept_ids, flat))
-        self.kept_at, self.kept_len = np.concatenate((self.kept_at, begin)), np.concatenate((self.kept_len, lengths))
-        self.table.add(h, np.arange(self.kept_n, self.kept_n + len(h), dtype=np.int32))
-        self.kept_n += len(h)
-
-    @staticmethod
-    def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of every piece (bytes and length)."""
-        up, down = powers(1 << 20)
-        h = np.empty(len(starts), np.uint64)
-        lo = 0
-        while lo < len(starts):  # pieces whose bytes fit the table of powers
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), "right")))
-            a, b = int(starts[lo]), int(ends[hi - 1])
-            if b - a > len(up):
-                up, down = powers(b - a)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[:b - a], out=sums[1:])
-            s = starts[lo:hi] - a
-            h[lo:hi] = (sums[ends[lo:hi] - a] - sums[s]) * down[s]
-            lo = hi
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 9)
-
-
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenated aranges start .. start + length."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    out = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return out + np.arange(total)
+        self.ids.add(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths)
 
 
 def encoder_of(model: str) -> BatchEncoder:

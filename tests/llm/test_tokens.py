@@ -10,8 +10,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from auditora.llm import bpe, idstore, queries, tokencount
+from auditora.llm import bpe, idstore, queries, textnum, tokencount
 from auditora.llm.textnum import HashTable, buffers
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -230,3 +231,45 @@ def test_store_defined_cases(spark, tmp_path):
     assert idstore.look_up(folder, buckets, absent).count() == 0
     none = str(tmp_path / "empty")
     assert idstore.store_and_read(frame(spark, rows).limit(0), none, BYTES).count() == 0
+
+
+# ---------------------------------------------------------------- words whose polynomial hashes collide
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_thue_morse_words_keep_their_own_ids(spark):
+    words = [thue_morse(n, *ab) for n in (1024, 2048, 4096, 8192) for ab in ("ab", "ba")]
+    rows = [(i, w) for i, w in enumerate([*words, *[f"x {w} y" for w in words]])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r["doc_id"]: r for r in bpe.round_trip(df, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    for i, text in rows:
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    enc = idstore.BatchEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    data = [t.encode() for _, t in rows]
+    ids, n = enc.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))))
+    at = np.concatenate(([0], np.cumsum(n)))
+    for k, (_, text) in enumerate(rows):
+        assert ids[at[k]:at[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_span_table_survives_colliding_hashes(monkeypatch):
+    monkeypatch.setattr(textnum, "span_hashes", lambda data, starts, ends, salt=0: (ends - starts).astype(np.uint64) % np.uint64(3))
+    table, seen = textnum.SpanTable(8), {}
+    r = np.random.default_rng(3)
+    for _ in range(5):
+        words = [bytes(r.integers(97, 100, r.integers(1, 30)).astype(np.uint8)) for _ in range(200)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        before = len(table)
+        spot, new = table.look_up(data, ends - [len(w) for w in words], ends)
+        assert len(table) - before == len(new)
+        for w, s in zip(words, spot.tolist()):
+            flat, _ = table.spans.get(np.array([s]))
+            assert flat.tobytes() == w
+            seen.setdefault(w, s)
+        assert [words[i] for i in new.tolist()] == [table.spans.get(np.array([before + k]))[0].tobytes() for k in range(len(new))]
