@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.common import broadcast_if, stack_columns
 from ..functions.ranges import hash_rank
 from .models import FEATURES, LABEL_IDX, _unit_hash, build_pipeline, label_values
-from .neighbors import exact_knn
+from .neighbors import exact_knn, knn_graph
 
 
 # ------------------------------------------------------------------ M1 SMOTE
-def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42, exact: bool = False) -> DataFrame:
     """M1: oversample every class to the size of the largest one.
 
     Synthetic points lie on segments between a row and one of its k nearest same-class
-    neighbours (exact neighbours, see ``neighbors.exact_knn``): x + u (nn - x) with u a
+    neighbours (``neighbors.knn_graph``; ``exact`` takes ``exact_knn``): x + u (nn - x) with u a
     seeded uniform.  The n_max - n_c new points of class c are spread over the n_c * k
     (row, neighbour) pairs: each pair gets floor(new / pairs) points and the first
     ``remainder`` pairs of a seeded hash order one more, so classes end exactly balanced.
@@ -33,7 +33,7 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: in
     n_max, n_classes = stats["m"], stats["k"]
     orig = df.select(F.col(id_col), F.lit(0).alias("synthetic"), F.col(id_col).cast("string").alias("syn_key"),
                      F.col(label), F.transform(F.col(vec), lambda x: x.cast("double")).alias(vec))
-    nn = exact_knn(df, id_col, vec, k, group=label)
+    nn = (exact_knn if exact else knn_graph)(df, id_col, vec, k, group=label)
     x = df.select(F.col(id_col), F.col(label).alias("_lab"), F.transform(F.col(vec), lambda v: v.cast("double")).alias("_x"))
     nx = df.select(F.col(id_col).alias("nbr_id"), F.transform(F.col(vec), lambda v: v.cast("double")).alias("_nx"))
     pairs = nn.join(x, id_col).join(nx, "nbr_id").join(broadcast_if(sizes, n_classes), "_lab")  # one row per class
@@ -52,9 +52,9 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: in
 
 
 # ------------------------------------------------------------------ M2 SMOTE + Tomek
-def tomek_links(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
+def tomek_links(df: DataFrame, key: str, vec: str, label: str, exact: bool = False) -> DataFrame:
     """Pairs (a, b) of mutual nearest neighbours with different labels."""
-    nn = exact_knn(df, key, vec, 1).select(F.col(key).alias("a"), F.col("nbr_id").alias("b"))
+    nn = (exact_knn if exact else knn_graph)(df, key, vec, 1).select(F.col(key).alias("a"), F.col("nbr_id").alias("b"))
     mutual = nn.join(nn.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
     lab = df.select(F.col(key), F.col(label))
     la = lab.select(F.col(key).alias("a"), F.col(label).alias("la"))
@@ -62,12 +62,12 @@ def tomek_links(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     return mutual.join(la, "a").join(lb, "b").where(F.col("la") != F.col("lb")).select("a", "b")
 
 
-def smote_tomek(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+def smote_tomek(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42, exact: bool = False) -> DataFrame:
     """M2: SMOTE, then drop both members of every Tomek link (anti join)."""
     # the neighbour search reads its input several times: cut the SMOTE lineage once
     # (reliable checkpoint in spark.checkpoint.dir) instead of recomputing it per pass
-    s = smote(df, id_col, vec, label, k, seed).checkpoint(eager=True)
-    links = tomek_links(s, "syn_key", vec, label)
+    s = smote(df, id_col, vec, label, k, seed, exact).checkpoint(eager=True)
+    links = tomek_links(s, "syn_key", vec, label, exact)
     drop = links.select(F.col("a").alias("syn_key")).union(links.select(F.col("b").alias("syn_key"))).distinct()
     return s.join(drop, "syn_key", "left_anti")
 

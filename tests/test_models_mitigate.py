@@ -2,20 +2,10 @@ from pyspark.sql import functions as F
 
 from auditora.operators import mitigate as mt
 from auditora.operators import models as ml
-from auditora.operators.neighbors import brute_force_knn, exact_knn
 
 from .conftest import SF_SMALL
 
 
-def test_exact_knn_matches_brute_force(spark):
-    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
-    for group in (None, "label"):
-        a = exact_knn(e, "vec_id", "embedding", 5, group=group, chunk_rows=40)
-        b = brute_force_knn(e, "vec_id", "embedding", 5, group=group)
-        diff = a.select("vec_id", "nbr_id", "rank").exceptAll(b.select("vec_id", "nbr_id", "rank"))
-        assert diff.count() == 0 and a.count() == b.count()
-
-
 def test_smote_balances_and_stays_on_segments(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     s = mt.smote(e, "vec_id", "embedding", "label", k=3, seed=7)
