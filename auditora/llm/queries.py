@@ -109,5 +109,5 @@ def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every text of ``documents`` that a repeated window of 20 words covers, removed."""
-    out = substrings.remove_repeats(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    out = substrings.remove_repeats(read(spark, sf_dir, "documents"), as_hash=True)
+    return out.withColumnRenamed("kept", "kept_sha256")
