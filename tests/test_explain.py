@@ -79,3 +79,85 @@ def test_neighbour_mutual_information_equals_the_plain_version(spark, chunks):
         want = plain_mi([(row[j], row[0]) for row in rows], 3)
         assert got[c] is None if want is None else got[c] == pytest.approx(want, abs=1e-9), c
     assert got["u"] > 0.3
+
+
+# ---------------------------------------------------------------- X8 tree attributions
+
+def subset_value(nodes, x, known, boosted, cls):
+    """Mean of a tree's output when only the features in ``known`` are given."""
+    by = {n["id"]: n for n in nodes}
+    cover = (lambda n: n["stats"][0]) if boosted else (lambda n: sum(n["stats"]))
+
+    def walk(n):
+        if n["left"] < 0:
+            return n["prediction"] if boosted else n["stats"][cls] / cover(n)
+        a, b = by[n["left"]], by[n["right"]]
+        if n["feature"] in known:
+            v = x[n["feature"]]
+            left = v <= n["cut"][0] if n["categories"] < 0 else v in n["cut"]
+            return walk(a if left else b)
+        return (cover(a) * walk(a) + cover(b) * walk(b)) / cover(n)
+    return walk(by[0])
+
+
+def brute_shapley(nodes, x, width, boosted, cls):
+    from itertools import combinations
+    out = np.zeros(width)
+    for j in range(width):
+        rest = [k for k in range(width) if k != j]
+        for size in range(width):
+            w = math.factorial(size) * math.factorial(width - size - 1) / math.factorial(width)
+            for s in combinations(rest, size):
+                out[j] += w * (subset_value(nodes, x, {*s, j}, boosted, cls) - subset_value(nodes, x, set(s), boosted, cls))
+    return out
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(600):
+        a, b, c, g = r.random(), float(r.randrange(5)), r.gauss(0, 1), r.choice("pqrs")
+        rows.append((i, a, b, c, g, str(int(a + 0.3 * b * (g in "pr") + 0.4 * c + 0.3 * r.random() > 1))))
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, g string, label string").repartition(3)
+
+
+@pytest.mark.parametrize("kind", ["tree", "forest", "boosted"])
+def test_tree_attributions_equal_all_subsets_and_add_up(spark, table, kind, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    from auditora.operators import models as ml
+    from auditora.operators import treeshap as ts
+    est = {"tree": DecisionTreeClassifier(maxDepth=5, featuresCol="features", labelCol="label_idx"),
+           "forest": RandomForestClassifier(numTrees=4, maxDepth=6, seed=3, featuresCol="features", labelCol="label_idx"),
+           "boosted": GBTClassifier(maxIter=4, maxDepth=3, seed=3, featuresCol="features", labelCol="label_idx")}[kind]
+    m = ml.build_pipeline(table, ["a", "b", "c", "g"], "label", est).fit(table)
+    paths = ts.flatten(m, spark)
+    got = {}
+    for r in ts.tree_shapley(m, table, "id", paths).collect():
+        got.setdefault(r["id"], {})[r["feature"]] = r["attribution"]
+    out = "rawPrediction" if kind == "boosted" else "probability"
+    scored = m.transform(table).select("id", vector_to_array(out)[1].alias("f"), vector_to_array("features").alias("x")).collect()
+    mean = ts.mean_output(paths)
+    assert len(got) == 600 and all(abs(sum(got[r["id"]].values()) + mean - r["f"]) < 1e-9 for r in scored)
+    nodes = {}
+    for n in ts.node_table(m.stages[-1], spark).collect():
+        nodes.setdefault(n["tree"], []).append(n)
+    weights = m.stages[-1].treeWeights if kind == "boosted" else [1 / len(nodes)] * len(nodes)
+    for r in scored[:12]:
+        want = sum(w * brute_shapley(nodes[t], r["x"], 4, kind == "boosted", 1) for t, w in enumerate(weights))
+        assert np.allclose([got[r["id"]][f] for f in ("a", "b", "c", "g")], want, atol=1e-9)
+    x = np.array([r["x"] for r in scored])
+    looked_up = sum(p.attributions(x) for p in paths)
+    monkeypatch.setattr(ts, "TABLE_TESTS", 0)
+    monkeypatch.setattr(ts, "CELLS", 64)
+    assert np.allclose(looked_up, sum(p.attributions(x) for p in paths), atol=1e-12)
+
+
+def test_tree_attributions_refuse_other_models(spark, table):
+    from auditora.operators import models as ml
+    from auditora.operators import treeshap as ts
+    m = ml.train_models(table, ["a", "b"], "label", which=["logistic_regression"])["logistic_regression"]
+    with pytest.raises(ValueError):
+        ts.flatten(m, spark)
