@@ -283,30 +283,32 @@ def fair_training(spark, sf_dir):
     base = ml.train_models(train, NUM_FEATS, "label", which=["logistic_regression"])["logistic_regression"]
     before = ml.predictions({"unconstrained": base}, test, "row_id", "label", keep=["s3"]).withColumn(
         "p", F.col("prediction").cast("int")).withColumn("yy", F.col("y").cast("int"))
-    models = mt.fair_train(train, NUM_FEATS, "y", "s3")
-    after = mt.fair_predict(models, test).select(F.lit("constrained").alias("model"), "row_id", F.col("y").alias("yy"),
-                                                 F.col("fair_pred").alias("p"), "s3")
+    model = mt.fair_train(train, NUM_FEATS, "y", "s3")
+    after = mt.fair_predict(model, test, id_col="row_id").select(F.lit("constrained").alias("model"), "row_id", F.col("y").alias("yy"),
+                                                                 F.col("fair_pred").alias("p"), "s3")
     both = before.select("model", "row_id", "yy", "p", "s3").unionByName(after)
     return fa.fairness_summary(fa.group_counts(both, "yy", "p", ["s3"], by=["model"]), by=["model"])
 
 
 @register("optimize_thresholds", sql=f"""WITH d AS ({fx.DECISIONS_SQL}),
-h AS (SELECT 's1' AS feature, s1 AS grp, least(99, greatest(0, CAST(floor(score * 100) AS INTEGER))) AS bin, y FROM d WHERE s1 IS NOT NULL),
-tot AS (SELECT feature, grp, count(*) AS n_g, sum(y) AS pos_g FROM h GROUP BY ALL),
-ts AS (SELECT feature, grp, n_g, pos_g, t FROM tot, range(0, 101) r(t)),
-c AS (SELECT ts.feature, ts.grp, ts.t, ts.n_g, ts.pos_g, count(h.bin) AS sel, coalesce(sum(h.y), 0) AS tp
-      FROM ts LEFT JOIN h ON h.feature = ts.feature AND h.grp = ts.grp AND h.bin >= ts.t GROUP BY ALL),
-cc AS (SELECT feature, grp, t, t / 100.0 AS threshold, n_g, sel * 1.0 / n_g AS selection_rate,
-              tp + (n_g - pos_g) - (sel - tp) AS correct FROM c),
-cand AS (SELECT cc.*, r.i / 100.0 AS r FROM cc, range(0, 101) r(i)),
-pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature, grp, r ORDER BY abs(selection_rate - r), t DESC) AS k
-                        FROM cand) WHERE k = 1),
-acc AS (SELECT feature, r, sum(correct) * 1.0 / sum(n_g) AS accuracy FROM pick GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY accuracy DESC, r) AS k FROM acc) WHERE k = 1)
-SELECT p.feature, p.grp, ROUND(p.threshold, 6) AS threshold, ROUND(p.selection_rate, 6) AS selection_rate,
-       ROUND(b.r, 6) AS target_rate, ROUND(b.accuracy, 6) AS accuracy
-FROM pick p JOIN best b ON p.feature = b.feature AND p.r = b.r""")
+h AS (SELECT s1 AS grp, score AS s, count(*) AS n, sum(y) AS pos FROM d WHERE s1 IS NOT NULL GROUP BY ALL),
+tot AS (SELECT grp, sum(n) AS n_g, sum(pos) AS pos_g FROM h GROUP BY grp),
+c AS (SELECT grp, s AS threshold, sum(n) OVER w AS sel, 2 * sum(pos) OVER w - sum(n) OVER w + n_g - pos_g AS correct, n_g FROM h JOIN tot USING (grp)
+      WINDOW w AS (PARTITION BY grp ORDER BY s DESC)
+      UNION ALL SELECT grp, 'infinity'::DOUBLE, 0, n_g - pos_g, n_g FROM tot),
+v AS (SELECT a.grp, a.threshold, a.sel::DOUBLE AS sel, a.correct::DOUBLE AS correct, a.n_g::DOUBLE AS n_g,
+             min(CASE WHEN b.sel < a.sel THEN (a.correct - b.correct)::DOUBLE / (a.sel - b.sel)::DOUBLE END) AS before,
+             max(CASE WHEN b.sel > a.sel THEN (b.correct - a.correct)::DOUBLE / (b.sel - a.sel)::DOUBLE END) AS after
+      FROM c a JOIN c b USING (grp) GROUP BY ALL),
+hull AS (SELECT grp, threshold, sel / n_g AS r, correct, n_g FROM v WHERE before IS NULL OR after IS NULL OR before > after),
+seg AS (SELECT *, lead(r) OVER w AS r1, lead(correct) OVER w AS y1, lead(threshold) OVER w AS t1 FROM hull WINDOW w AS (PARTITION BY grp ORDER BY r)),
+acc AS (SELECT q.r, sum(seg.correct + CASE WHEN seg.r1 IS NULL THEN 0 ELSE (seg.y1 - seg.correct) * (q.r - seg.r) / (seg.r1 - seg.r) END) / sum(seg.n_g) AS accuracy
+        FROM (SELECT DISTINCT r FROM hull) q JOIN seg ON seg.r <= q.r AND (q.r < seg.r1 OR seg.r1 IS NULL) GROUP BY q.r),
+best AS (SELECT * FROM acc ORDER BY round(accuracy, 9) DESC, r LIMIT 1)
+SELECT 's1' AS feature, grp, ROUND(CASE WHEN b.r = seg.r OR r1 IS NULL THEN threshold ELSE t1 END, 6) AS threshold_low, ROUND(threshold, 6) AS threshold_high,
+       ROUND(coalesce((r1 - b.r) / (r1 - seg.r), 1.0), 6) AS weight_high, ROUND(b.r, 6) AS selection_rate, ROUND(b.r, 6) AS target_rate,
+       ROUND(b.accuracy, 6) AS accuracy
+FROM seg, best b WHERE seg.r <= b.r AND (b.r < r1 OR r1 IS NULL)""")
 def optimize_thresholds(spark, sf_dir):
-    """M4: per-segment score thresholds equalising selection rates with the best accuracy."""
-    return mt.optimize_thresholds(fx.decisions(spark, sf_dir), "y", "score", ["s1"], bins=100, grid=101)
-
+    """M4: per-segment randomised thresholds with equal selection rates and the best accuracy, over all scores."""
+    return mt.optimize_thresholds(fx.decisions(spark, sf_dir), "y", "score", ["s1"])

@@ -28,12 +28,86 @@ def test_split_exact_per_class(spark):
     assert rep[("test", "1")] == round(334 * 0.2) and rep[("test", "0")] == round(666 * 0.2)
 
 
-def test_threshold_optimizer_equalises(spark):
-    rows = [("a", i / 100.0, int(i > 50)) for i in range(100)] + [("b", i / 200.0, int(i > 120)) for i in range(200)]
-    df = spark.createDataFrame(rows, "g string, score double, y int")
-    out = {r["grp"]: r for r in mt.optimize_thresholds(df, "y", "score", ["g"], bins=100, grid=21).collect()}
-    assert abs(out["a"]["selection_rate"] - out["b"]["selection_rate"]) <= 0.05
-    assert out["a"]["target_rate"] == out["b"]["target_rate"]
+def plain_best(rows):
+    """(accuracy, rate) of the best common selection rate, by trying the corners of all groups on hulls from all pairs."""
+    groups = {}
+    for g, s, y in rows:
+        groups.setdefault(g, []).append((s, y))
+    hulls = {}
+    for g, own in groups.items():
+        pts = [(0, sum(1 - y for _, y in own))]
+        for t in sorted({s for s, _ in own}, reverse=True):
+            pts.append((sum(s >= t for s, _ in own), sum((s >= t) == y for s, y in own)))
+        hulls[g] = (len(own), pts)
+
+    def most(g, r):
+        n, pts = hulls[g]
+        x = r * n
+        best = max((c for k, c in pts if abs(k - x) < 1e-9), default=-1)
+        for k0, c0 in pts:
+            for k1, c1 in pts:
+                if k0 < x < k1:
+                    best = max(best, c0 + (c1 - c0) * (x - k0) / (k1 - k0))
+        return best
+    rates = sorted({k / n for n, pts in hulls.values() for k, _ in pts})
+    scored = [(round(sum(most(g, r) for g in hulls) / len(rows), 9), -r) for r in rates]
+    best = max(scored)
+    return best[0], -best[1]
+
+
+def test_thresholds_reach_the_best_common_rate(spark):
+    import random
+    rnd = random.Random(6)
+    rows = [(g, round(rnd.random(), 1 if g == "c" else 3), int(rnd.random() < {"a": 0.3, "b": 0.6, "c": 0.5}[g])) for g in rnd.choices("abc", k=90)]
+    rows = [(g, s, int(rnd.random() < 0.2 + 0.6 * s) if y else y) for g, s, y in rows] + [("d", 0.5, 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(900, None, 0.4, 1), (901, "a", None, 1)], "id long, g string, score double, y int")
+    for chunks in (1, 5):
+        got = {r["grp"]: r for r in mt.optimize_thresholds(df, "y", "score", ["g"], chunks).collect()}
+        accuracy, rate = plain_best(rows)
+        assert set(got) == {"a", "b", "c", "d"}
+        for g, r in got.items():
+            own = [s for k, s, _ in rows if k == g]
+            mixed = r["weight_high"] * sum(s >= r["threshold_high"] for s in own) + (1 - r["weight_high"]) * sum(s >= r["threshold_low"] for s in own)
+            assert abs(mixed / len(own) - rate) < 1e-6 and abs(r["selection_rate"] - rate) < 1e-6
+            assert abs(r["accuracy"] - accuracy) < 1e-8
+
+
+def test_drawn_thresholds_select_equal_shares(spark):
+    rows = [(i, g, s / 5000, int((s * 7919) % 5000 < s)) for g in "ab" for s in range(5000) for i in [s + 5000 * (g == "b")]]
+    df = spark.createDataFrame([(i, g, s if g == "a" else s * s, y) for i, g, s, y in rows], "id long, g string, score double, y int")
+    th = mt.optimize_thresholds(df, "y", "score", ["g"])
+    rate = th.first()["target_rate"]
+    for r in mt.apply_thresholds(df, th, "g", "score", "id").groupBy("g").agg(F.avg("selected").alias("p")).collect():
+        assert abs(r["p"] - rate) < 0.03
+
+
+def test_saddle_point_is_one():
+    import numpy as np
+    r = np.random.default_rng(1)
+    for k, c in ((1, 2), (5, 4), (30, 12)):
+        errors, excess = r.random(k), r.normal(size=(k, c))
+        w, lam, value = mt._saddle(errors, excess, 5.0)
+        assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all() and (lam >= -1e-9).all() and lam.sum() <= 5 + 1e-9
+        assert abs((w @ errors + 5 * max(0.0, (w @ excess).max())) - value) < 1e-8  # neither side can do better
+        assert abs((errors + excess @ lam).min() - value) < 1e-8
+
+
+def test_fair_training_closes_the_gap(spark):
+    import random
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1500):
+        g = rnd.choice("ab")
+        x = rnd.gauss(1.0 if g == "a" else -0.5, 1.0)
+        rows.append((i, g, x, rnd.gauss(0, 1), int(x + 0.5 * rnd.gauss(0, 1) > 0.2)))
+    df = spark.createDataFrame(rows, "id long, g string, x double, z double, y int")
+    model = mt.fair_train(df, ["x", "z"], "y", "g", rounds=12, eps=0.02, gap=0.02)
+    assert model.gap <= 0.02 and model.history[-1][1] == model.gap and abs(model.weights.sum() - 1) < 1e-9
+    rates = {r["g"]: r["p"] for r in mt.fair_predict(model, df).groupBy("g").agg(F.avg("fair_pred").alias("p")).collect()}
+    base = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.avg("y").alias("p")).collect()}
+    assert base["a"] - base["b"] > 0.4 and abs(rates["a"] - rates["b"]) <= 2 * 0.02 + 2 * 1.02 / 20
+    drawn = {r["g"]: r["p"] for r in mt.fair_predict(model, df, id_col="id").groupBy("g").agg(F.avg("fair_pred").alias("p")).collect()}
+    assert all(abs(drawn[g] - rates[g]) < 0.06 for g in "ab")
 
 
 def test_shapley_efficiency(spark):
