@@ -119,14 +119,14 @@ def _sampler(size: int, gram: int):
     return sample
 
 
-EDGES = "e1 bigint, e2 bigint, id {id}, row bigint, place int, from_id {id}, from_row bigint, from_place int"
+EDGES = "e1 bigint, e2 bigint, id {id}, row bigint, place int, from_row bigint, from_place int, windows int"
 
 
 def _edger(size: int, gram: int):
     """mapInArrow: (row, id, text, places of repeated minimizers) -> edges that may be repeated.
 
-    An edge's first place of a segment of rows comes with no source; each further place comes with that first
-    place as its source and needs no exchange.
+    An edge's first place of a segment of rows comes with no source.  Its further places have that first place as
+    their source and need no exchange; neighbours among them come as one run of windows.
     """
     def settle(held: list) -> pa.RecordBatch:
         digests = np.concatenate([h[0] for h in held])
@@ -141,13 +141,19 @@ def _edger(size: int, gram: int):
         first = np.empty(len(order), np.int64)
         first[order] = order[head][np.cumsum(head) - 1]
         own = first == np.arange(len(order))
-        ids, rows = [h[3] for h in held], np.array([h[2] for h in held], np.int64)
-        id_array = pa.array(ids, held[0][4])
-        source = pa.array(owner[first], pa.int64(), mask=own)
-        e1, e2 = (pa.array(digests[:, k], mask=~own) for k in (0, 1))  # a settled edge needs no name
-        return pa.record_batch([e1, e2, id_array.take(pa.array(owner)), pa.array(rows[owner]), pa.array(place),
-                                id_array.take(source), pa.array(rows[owner[first]], mask=own), pa.array(place[first], mask=own)],
-                               names=["e1", "e2", "id", "row", "place", "from_id", "from_row", "from_place"])
+        rows = np.array([h[2] for h in held], np.int64)
+        again = np.flatnonzero(~own)  # by row and place already
+        runs = np.ones(len(again), bool)
+        runs[1:] = (np.diff(owner[again]) != 0) | (np.diff(place[again]) != 1) | (np.diff(owner[first[again]]) != 0) | (np.diff(place[first[again]]) != 1)
+        at = np.concatenate((np.flatnonzero(own), again[runs]))
+        settled = np.arange(len(at)) >= own.sum()
+        windows = np.concatenate((np.ones(own.sum(), np.int64), np.diff(np.append(np.flatnonzero(runs), len(again)))))
+        # a settled run needs no name and no id
+        e1, e2 = (pa.array(digests[at, k], mask=settled) for k in (0, 1))
+        ids = pa.array([h[3] for h in held], held[0][4]).take(pa.array(owner[at], pa.int64(), mask=settled))
+        return pa.record_batch([e1, e2, ids, pa.array(rows[owner[at]]), pa.array(place[at]), pa.array(rows[owner[first[at]]], mask=~settled),
+                                pa.array(place[first[at]], mask=~settled), pa.array(windows.astype(np.int32))],
+                               names=["e1", "e2", "id", "row", "place", "from_row", "from_place", "windows"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -298,22 +304,21 @@ class Repeats:
         here = F.struct(F.col("id").isNull().alias("last"), "id", "row", "place")
         met = edges.filter("from_row IS NULL").select("e1", "e2", "id", "row", "place").withColumn("first", F.min(here).over(Window.partitionBy("e1", "e2")))
         met = met.filter((F.col("first.row") != F.col("row")) | (F.col("first.place") != F.col("place")))
-        found = met.select("row", "place", F.col("first.row").alias("from_row"), F.col("first.place").alias("from_place")).unionByName(
-            edges.filter("from_row IS NOT NULL").select("row", "place", "from_row", "from_place"))
+        met = met.select("row", "place", F.col("first.row").alias("from_row"), F.col("first.place").alias("from_place"))
         # neighbours at both ends: one path
         along = Window.partitionBy("row").orderBy("place")
         same = (F.lag("place").over(along) == F.col("place") - 1) & (F.lag("from_row").over(along) == F.col("from_row")) & (
             F.lag("from_place").over(along) == F.col("from_place") - 1)
-        runs = found.withColumn("head", F.when(same, 0).otherwise(1)).withColumn("path", F.sum("head").over(along))
-        runs = runs.groupBy("row", "path").agg(F.min("place").alias("place"), (F.count(F.lit(1)) + self.size - 1).cast("int").alias("words"),
-                                               F.min(F.struct("place", "from_row", "from_place")).alias("s"))
-        return runs.select("row", "place", "words", "s.from_row", "s.from_place").checkpoint(eager=True)
+        runs = met.withColumn("head", F.when(same, 0).otherwise(1)).withColumn("path", F.sum("head").over(along))
+        runs = runs.groupBy("row", "path").agg(F.min(F.struct("place", "from_row", "from_place")).alias("s"), F.count(F.lit(1)).cast("int").alias("windows"))
+        runs = runs.select("row", "s.*", "windows").unionByName(edges.filter("from_row IS NOT NULL").select("row", "place", "from_row", "from_place", "windows"))
+        return runs.select("row", "place", (F.col("windows") + self.size - 1).alias("words"), "from_row", "from_place").checkpoint(eager=True)
 
     def proved(self, paths: DataFrame) -> DataFrame:
         """(row, spans of place, words and the digest of the words at the earlier place)."""
         asked = paths.select(F.col("from_row").alias("row"), F.struct(F.col("from_place").alias("place"), "words").alias("span")).distinct()
         asked = asked.groupBy("row").agg(F.collect_list("span").alias("spans")).checkpoint(eager=True)
-        read = self.open_texts("row", "text").join(self.beside(asked, F.size("spans") * 8 + 16), "row").select("row", "text", "spans")
+        read = self.open_texts("row", "text").join(asked, "row").select("row", "text", "spans")
         told = read.mapInArrow(_digest_spans, "row bigint, place int, words int, digest binary")
         told = told.select(F.col("row").alias("from_row"), F.col("place").alias("from_place"), "words", "digest")
         both = paths.join(told, ["from_row", "from_place", "words"], "left")
@@ -322,7 +327,7 @@ class Repeats:
     def cut(self) -> DataFrame:
         """(id, n_words, n_removed, kept, unproved) of every row."""
         spans, as_hash = self.proved(self.paths()), self.as_hash
-        left = self.rows.filter("places IS NOT NULL").select("row", "id", "text").join(self.beside(spans, F.size("spans") * 28 + 16), "row", "left")
+        left = self.rows.filter("places IS NOT NULL").select("row", "id", "text").join(spans, "row", "left")
 
         def cutter(t: pa.Array, own: pa.Array) -> pa.Array:
             return _cutter(t, own, as_hash)
