@@ -47,7 +47,7 @@ def stack_columns(cols: Sequence[str], value_type: str = "string", name_col: str
                   value_col: str = "value") -> Column:
     """Array of (name, value) structs; ``F.inline`` of it unpivots many columns in one pass."""
     return F.array(*[
-        F.struct(F.lit(c).alias(name_col), F.col(c).cast(value_type).alias(value_col)) for c in cols
+        F.struct(F.lit(c).alias(name_col), named(c).cast(value_type).alias(value_col)) for c in cols
     ])
 
 

@@ -299,7 +299,11 @@ def sensitive_in_top(imp: DataFrame, n: int = 10, value: str = "importance", by:
 
 # ------------------------------------------------------------------ X15 interpretability score
 def interpretability_scores(complexity: DataFrame, n_high_corr_pairs: int | None) -> DataFrame:
-    """X15 as a column over ``model_complexity`` rows (same rule as ``interpretability_score``)."""
+    """Adds (type points + size points + interaction point) / 6 to ``model_complexity`` rows.
+
+    type: linear 3, tree/forest 2, gradient boosting 1; size: < 10 -> 2, < 50 -> 1 using the
+    parameter count for linear models, else the feature count; fewer than 3 correlated pairs -> 1.
+    """
     kind = F.col("model_kind")
     type_pts = (F.when(kind == "linear", 3).when(kind.isin("tree", "forest"), 2).when(kind == "gbt", 1).otherwise(0))
     size = F.coalesce(F.col("n_parameters"), F.col("n_features"))
@@ -307,20 +311,3 @@ def interpretability_scores(complexity: DataFrame, n_high_corr_pairs: int | None
     pair_pts = F.lit(1 if n_high_corr_pairs is not None and n_high_corr_pairs < 3 else 0)
     score = F.least((type_pts + size_pts + pair_pts) / 6.0, F.lit(1.0))
     return complexity.withColumn("interpretability_score", score)
-
-
-def interpretability_score(model_kind: str, n_params: int | None, n_features: int | None,
-                           n_high_corr_pairs: int | None) -> float:
-    """(type points + size points + interaction point) / 6.
-
-    type: linear 3, tree/forest 2, gradient boosting 1; size: < 10 -> 2, < 50 -> 1 using the
-    parameter count for linear models, else the feature count; fewer than 3 correlated
-    pairs -> 1.  ``model_kind`` is one of 'linear', 'tree', 'forest', 'gbt', 'other'.
-    """
-    score = {"linear": 3, "tree": 2, "forest": 2, "gbt": 1}.get(model_kind, 0)
-    size = n_params if n_params is not None else n_features
-    if size is not None:
-        score += 2 if size < 10 else 1 if size < 50 else 0
-    if n_high_corr_pairs is not None and n_high_corr_pairs < 3:
-        score += 1
-    return min(score / 6.0, 1.0)

@@ -12,21 +12,25 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel, GBTClassifier,
                                        LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import bounded_broadcast, broadcast_if, is_string, long_aggregate
-from ..functions.ranges import ROWS_PER_CHUNK, hash_rank
+from ..functions.common import bounded_broadcast, broadcast_if, is_string, long_aggregate, named, unpivot
+from ..functions.ranges import ROWS_PER_CHUNK, default_chunks, hash_rank
 
 FEATURES = "features"
 LABEL_IDX = "label_idx"
+# Categorical splits are searched per category up to this many; beyond it codes are ordinals.
+MAX_CATEGORIES = 256
+DICTIONARY_BROADCAST = 1_000_000
+SURROGATE_VALUES = 1_000_000
 
 
 # ------------------------------------------------------------------ L1
@@ -46,31 +50,91 @@ def assert_complete(df: DataFrame) -> None:
 
 
 # ------------------------------------------------------------------ L2
+def value_codes(df: DataFrame, cols: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """L2: (feature, value, code): the distinct values of string columns with codes 0, 1, .. in sorted order.
+
+    Values are cut into ranges over the executors; a value's code is its rank inside its range plus the values
+    in the ranges before, so no value list passes the driver or a single task.
+    """
+    values = unpivot(df, list(cols)).where("value IS NOT NULL").distinct()
+    values = values.checkpoint(eager=True)
+    n = chunks or default_chunks(values)
+    ranged = values.repartitionByRange(n, "feature", "value").withColumn("part", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = ranged.groupBy("feature", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("feature", "part", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("feature", "part").orderBy("value")) - 1
+    return ranged.withColumn("rank", rank).join(bounded_broadcast(offsets, 1_000_000), ["feature", "part"]).select(
+        "feature", "value", (F.col("before") + F.col("rank")).alias("code"))
+
+
+def with_codes(df: DataFrame, codes: DataFrame, out: dict[str, str], unseen: dict[str, int] | None = None) -> DataFrame:
+    """Adds ``out[c]``, the code of column c's value; NULL and unknown values get ``unseen[c]`` (else NULL).
+
+    Each dictionary is joined by value, broadcast only when it is counted to be small.
+    """
+    for i, (c, name) in enumerate(out.items()):
+        own = codes.where(F.col("feature") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
+        df = df.join(bounded_broadcast(own, DICTIONARY_BROADCAST), named(c) == F.col(f"_v{i}"), "left")
+        code = F.col(f"_c{i}") if unseen is None else F.coalesce(F.col(f"_c{i}"), F.lit(unseen[c]))
+        kept = [x for x in df.columns if x not in (name, f"_v{i}", f"_c{i}")]
+        df = df.select(*[named(x) for x in kept], code.alias(name))
+    return df
+
+
+class CodeModel(Model):
+    """Fitted dictionaries as a pipeline stage: adds ``<column>__code`` (double) for every column."""
+
+    def __init__(self, codes: DataFrame, sizes: dict[str, int]):
+        super().__init__()
+        self.codes, self.sizes = codes, sizes
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = with_codes(dataset, self.codes, {c: f"{c}__code" for c in self.sizes}, self.sizes)
+        return out.withColumns({f"{c}__code": named(f"{c}__code").cast("double") for c in self.sizes})
+
+
+class CodeEncoder(Estimator):
+    """Pipeline stage that learns ``value_codes`` of columns with many values; unknown values get the next code."""
+
+    def __init__(self, columns: Sequence[str]):
+        super().__init__()
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> CodeModel:
+        codes = value_codes(dataset, self.columns).checkpoint(eager=True)
+        sizes = {r["feature"]: r["n"] for r in codes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a column
+        return CodeModel(codes, {c: sizes.get(c, 0) for c in self.columns})
+
+
 def encoder_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[str]]:
-    """L2: StringIndexers with codes in sorted value order for the string features; returns
-    (stages, model input column names)."""
-    stages, cols = [], []
+    """L2: encoders with codes in sorted value order for the string features; returns (stages, model input column names).
+
+    Features of at most about ``MAX_CATEGORIES`` values are indexed as nominal; those with more get the
+    distributed dictionary and count as ordinals, so their values never reach the driver.
+    """
+    strings = [c for c in features if is_string(df.schema[c].dataType)]
+    wide: list[str] = []
+    if strings:
+        sizes = df.agg(*[F.approx_count_distinct(named(c), 0.02).alias(f"n{i}") for i, c in enumerate(strings)]).first()
+        wide = [c for i, c in enumerate(strings) if sizes[f"n{i}"] * 1.1 + 2 > MAX_CATEGORIES]
+    stages: list = [CodeEncoder(wide)] if wide else []
+    cols = []
     for c in features:
-        if is_string(df.schema[c].dataType):
-            stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
-                                        handleInvalid="keep"))
-            cols.append(f"{c}__idx")
-        else:
-            cols.append(c)
+        if c in strings and c not in wide:
+            stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc", handleInvalid="keep"))
+        cols.append(f"{c}__code" if c in wide else f"{c}__idx" if c in strings else c)
     return stages, cols
 
 
 def encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """L2: label-encode string columns in place (codes in sorted value order)."""
-    stages, _ = encoder_stages(df, cols)
-    if not stages:
+    """L2: label-encode string columns in place (codes in sorted value order, NULL stays NULL)."""
+    strings = [c for c in cols if is_string(df.schema[c].dataType)]
+    if not strings:
         return df
-    model = Pipeline(stages=stages).fit(df)
-    out = model.transform(df)
-    for c in cols:
-        if f"{c}__idx" in out.columns:
-            out = out.withColumn(c, F.col(f"{c}__idx").cast("int")).drop(f"{c}__idx")
-    return out
+    codes = value_codes(df, strings).checkpoint(eager=True)
+    out = with_codes(df, codes, {c: f"{c}__code" for c in strings})
+    return out.select(*[named(f"{c}__code").cast("int").alias(c) if c in strings else named(c) for c in df.columns])
 
 
 # ------------------------------------------------------------------ L3 / L4
@@ -140,29 +204,16 @@ def estimators(n_train: int, n_classes: int, seed: int = 42, rf_depth: int = 12,
     return {"random_forest": rf, "logistic_regression": lr, "gradient_boosting": gbt}
 
 
-# Categorical splits are searched per category up to this many; beyond it codes are ordinals.
-MAX_CATEGORIES = 256
-
-
 def build_pipeline(df: DataFrame, features: Sequence[str], label: str, estimator) -> Pipeline:
     """Encoding, label index, assembly and estimator.
 
-    Tree estimators treat an indexed string as nominal, which needs as many bins as values.
-    ``maxBins`` follows the largest checked cardinality; a feature with more than
-    ``MAX_CATEGORIES`` values loses its nominal metadata, and its codes are ordinals.
+    Tree estimators treat an indexed string as nominal, which needs as many bins as values; ``maxBins`` follows.
+    A feature with more than ``MAX_CATEGORIES`` values is coded by a distributed dictionary, as an ordinal.
     """
     enc, cols = encoder_stages(df, features)
-    strings = [c for c in features if is_string(df.schema[c].dataType)]
-    if strings and estimator.__class__ is not LogisticRegression:
-        sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in strings]).first()
-        wide = [c for c in strings if sizes[c] * 1.1 + 2 > MAX_CATEGORIES]
-        nominal = [int(sizes[c] * 1.1) + 3 for c in strings if c not in wide]
+    if any(c.endswith("__idx") for c in cols) and estimator.__class__ is not LogisticRegression:
         tree = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-        tree.setMaxBins(max([32, *nominal]))
-        if wide:
-            plain = ", ".join(f"`{c}__idx` + 0.0D AS `{c}__code`" for c in wide)
-            enc = [*enc, SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__")]
-            cols = [f"{c[:-5]}__code" if c[:-5] in wide and c.endswith("__idx") else c for c in cols]
+        tree.setMaxBins(MAX_CATEGORIES + 64)
     lab = StringIndexer(inputCol=label, outputCol=LABEL_IDX, stringOrderType="alphabetAsc")
     asm = VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="error")
     return Pipeline(stages=[*enc, lab, asm, estimator])
@@ -378,11 +429,15 @@ def linear_model_coefficients(model: PipelineModel) -> dict[str, float]:
 
 def encoded_view(model: PipelineModel, df: DataFrame) -> DataFrame:
     """The model's numeric input columns (string features replaced by their codes)."""
-    enc = [s for s in model.stages if s.__class__.__name__ == "StringIndexerModel" and s.getOutputCol() != LABEL_IDX]
     out = df
-    for s in enc:
-        out = s.transform(out)
-        out = out.withColumn(s.getInputCol(), F.col(s.getOutputCol())).drop(s.getOutputCol())
+    for s in model.stages:
+        if isinstance(s, CodeModel):
+            out = s.transform(out)
+            for c in s.sizes:
+                out = out.withColumn(c, named(f"{c}__code")).drop(f"{c}__code")
+        elif s.__class__.__name__ == "StringIndexerModel" and s.getOutputCol() != LABEL_IDX:
+            out = s.transform(out)
+            out = out.withColumn(s.getInputCol(), F.col(s.getOutputCol())).drop(s.getOutputCol())
     return out
 
 
@@ -419,13 +474,14 @@ def shapley_sampling(model: PipelineModel, df: DataFrame, background: DataFrame,
     rows = df.select(id_col, *feats).withColumn("_s", F.explode(F.array(*steps))).select(id_col, *feats, "_s.*")
     rows = rows.withColumn("_bi", F.pmod(F.xxhash64(F.col(id_col), F.col("_p"), F.lit(seed)), F.lit(nb)))
     j = rows.join(bg, "_bi")
-    hybrid = j.select(id_col, "_f", "_g", *[
+    hybrid = j.select(id_col, "_p", "_f", "_g", *[
         F.when(F.col("_on")[i], F.col(f)).otherwise(F.col(f"_b_{f}")).alias(f) for i, f in enumerate(feats)])
-    scored = model.transform(hybrid).select(id_col, "_f", "_g", _positive_prob(model, hybrid).alias("_fx"))
-    signed = scored.select(id_col, F.inline(F.array(F.struct(F.col("_f").alias("feature"), F.col("_fx").alias("_d")),
-                                                    F.struct(F.col("_g").alias("feature"), (-F.col("_fx")).alias("_d")))))
-    return signed.where(F.col("feature").isNotNull()).groupBy(id_col, "feature").agg(
-        (F.sum("_d") / F.lit(float(permutations))).alias("attribution"))
+    scored = model.transform(hybrid).select(id_col, "_p", "_f", "_g", _positive_prob(model, hybrid).alias("_fx"))
+    signed = scored.select(id_col, "_p", F.inline(F.array(F.struct(F.col("_f").alias("feature"), F.col("_fx").alias("_d")),
+                                                          F.struct(F.col("_g").alias("feature"), (-F.col("_fx")).alias("_d")))))
+    # one exchange by row serves both sums
+    one = signed.where(F.col("feature").isNotNull()).repartition(F.col(id_col)).groupBy(id_col, "feature", "_p").agg(F.sum("_d").alias("_d"))
+    return one.groupBy(id_col, "feature").agg(F.avg("_d").alias("attribution"), (F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
 
 
 # ------------------------------------------------------------------ X12 local surrogate
@@ -433,32 +489,59 @@ def local_surrogate(model: PipelineModel, df: DataFrame, features: Sequence[str]
                     kernel_width: float | None = None, ridge: float = 1e-3, seed: int = 42) -> DataFrame:
     """Per-row weighted linear surrogate of the positive-class probability (batch LIME).
 
-    Numeric features are perturbed with Gaussian noise scaled by each feature's standard
-    deviation (hash-seeded normal draws); the kernel weight is exp(-d^2 / w^2) on the
-    standardised distance.  Weighted normal equations are summed per row with one
-    group-by, and the small (F+1)x(F+1) systems are solved in Arrow batches.
-    Returns (id, feature, weight) plus the intercept as feature '_intercept'.
+    Numeric features are perturbed with Gaussian noise scaled by each feature's standard deviation; string
+    features are drawn from their column's frequencies, and the surrogate sees whether the draw is
+    the row's own value (NULL is a value).  All draws come from hashes of the row, sample and feature.  The kernel weight is
+    exp(-d^2 / w^2) on the standardised distance, a changed string counting 1.  Weighted normal equations
+    are summed per row with one group-by, and the small (F+1)x(F+1) systems are solved in Arrow batches.
+    Returns (id, feature, weight) plus the intercept as feature '_intercept'.  Frequencies are held by the tasks,
+    so a string feature may have at most ``SURROGATE_VALUES`` values.
     """
     feats = list(features)
     nf = len(feats)
     width = kernel_width or 0.75 * np.sqrt(nf)
-    sd = df.agg(*[F.stddev_samp(F.col(f).cast("double")).alias(f) for f in feats]).first()
-    sds = {f: (sd[f] or 1.0) or 1.0 for f in feats}
+    strings = [f for f in feats if is_string(df.schema[f].dataType)]
+    numeric = [f for f in feats if f not in strings]
+    sds = {f: 1.0 for f in feats}
+    if numeric:
+        sd = df.agg(*[F.stddev_samp(named(f).cast("double")).alias(f"s{i}") for i, f in enumerate(numeric)]).first()
+        sds.update({f: sd[f"s{i}"] or 1.0 for i, f in enumerate(numeric)})
+    tables = {}
+    for f in strings:
+        freq = df.groupBy(named(f).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_first("v")).limit(SURROGATE_VALUES + 1).collect()
+        if len(freq) > SURROGATE_VALUES:
+            raise ValueError(f"{f} has more than {SURROGATE_VALUES} values")
+        cum = np.cumsum([r["n"] for r in freq], dtype=float)
+        tables[f] = (cum / cum[-1] if len(cum) else cum, [r["v"] for r in freq])
+    held = df.sparkSession.sparkContext.broadcast(tables)
+
+    def drawn(f: str):
+        def pick(u: pd.Series) -> pd.Series:
+            cum, values = held.value[f]
+            at = np.minimum(np.searchsorted(cum, u.to_numpy(), "right"), len(values) - 1)
+            return pd.Series([values[i] for i in at], dtype=object)
+        return F.pandas_udf(pick, "string")
+
     idx = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s")
-    base = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]).select("*", idx)
+    base = df.select(id_col, *[(named(f) if f in strings else named(f).cast("double")).alias(f) for f in feats]).select("*", idx)
+
+    def unit(f_i: int, part: int) -> Column:
+        return _unit_hash(F.col(id_col), F.col("_s"), F.lit(f_i), F.lit(part), seed=seed)
 
     def normal(f_i: int) -> Column:  # Box-Muller from two hash uniforms
-        u1 = _unit_hash(F.col(id_col), F.col("_s"), F.lit(f_i), F.lit(1), seed=seed) + 1e-12
-        u2 = _unit_hash(F.col(id_col), F.col("_s"), F.lit(f_i), F.lit(2), seed=seed)
-        return F.sqrt(-2 * F.log(u1)) * F.cos(2 * np.pi * u2)
-
-    z = {f: F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(normal(i)) for i, f in enumerate(feats)}
-    pert = base.select(id_col, "_s", *[(F.col(f) + z[f] * sds[f]).alias(f) for f in feats],
-                       *[z[f].alias(f"_z_{f}") for f in feats])
-    scored = model.transform(pert).select(id_col, *[f"_z_{f}" for f in feats], _positive_prob(model, pert).alias("_y"))
-    d2 = sum((F.col(f"_z_{f}") * F.col(f"_z_{f}") for f in feats), F.lit(0.0))
+        return F.sqrt(-2 * F.log(unit(f_i, 1) + 1e-12)) * F.cos(2 * np.pi * unit(f_i, 2))
+
+    own = F.col("_s") == 0  # the first sample is the row itself
+    shift = {f: F.when(own, F.lit(0.0)).otherwise(normal(i)) for i, f in enumerate(feats) if f in numeric}
+    draws = base.select(id_col, "_s", *[F.when(own, named(f)).otherwise(drawn(f)(unit(i, 1))).alias(f) if f in strings
+                                        else (named(f) + shift[f] * sds[f]).alias(f) for i, f in enumerate(feats)],
+                        *[named(f).alias(f"_own_{f}") if f in strings else shift[f].alias(f"_z_{f}") for f in feats])
+    pert = draws.select(id_col, *[named(f) for f in feats], *[named(f).eqNullSafe(named(f"_own_{f}")).cast("double").alias(f"_z_{f}") if f in strings
+                                                              else named(f"_z_{f}") for f in feats])
+    scored = model.transform(pert).select(id_col, *[named(f"_z_{f}") for f in feats], _positive_prob(model, pert).alias("_y"))
+    d2 = sum(((1 - named(f"_z_{f}")) if f in strings else named(f"_z_{f}") * named(f"_z_{f}") for f in feats), F.lit(0.0))
     wgt = F.exp(-d2 / (width * width))
-    xs = [F.lit(1.0)] + [F.col(f"_z_{f}") for f in feats]
+    xs = [F.lit(1.0)] + [named(f"_z_{f}") for f in feats]
     sums = [F.sum(wgt * xs[a] * xs[b]).alias(f"a_{a}_{b}") for a in range(nf + 1) for b in range(a, nf + 1)]
     sums += [F.sum(wgt * xs[a] * F.col("_y")).alias(f"b_{a}") for a in range(nf + 1)]
     ne = scored.groupBy(id_col).agg(*sums)
@@ -490,7 +573,7 @@ def explanation_report(importance: DataFrame, complexity: DataFrame, corr_pairs:
                        permutation: DataFrame | None = None) -> DataFrame:
     """One long frame (section, key, value) gathering importances, complexity, correlated
     pairs, mutual information, attribution and permutation importance and the interpretability score."""
-    from .explain import interpretability_score
+    from .explain import interpretability_scores
     parts = [importance.select(F.lit("importance").alias("section"), F.col("feature").alias("key"),
                                F.col("importance").cast("double").alias("value"))]
     comp = complexity.first()
@@ -510,10 +593,8 @@ def explanation_report(importance: DataFrame, complexity: DataFrame, corr_pairs:
     if permutation is not None:
         parts.append(permutation.select(F.lit("permutation_importance").alias("section"), F.col("feature").alias("key"),
                                         F.col("importance_mean").alias("value")))
-    n_pairs = corr_pairs.count()
-    score = interpretability_score(comp["model_kind"], comp["n_parameters"], comp["n_features"], n_pairs)
-    parts.append(complexity.select(F.lit("interpretability").alias("section"), F.lit("score").alias("key"),
-                                   F.lit(score).alias("value")))
+    scored = interpretability_scores(complexity, corr_pairs.count())
+    parts.append(scored.select(F.lit("interpretability").alias("section"), F.lit("score").alias("key"), F.col("interpretability_score").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.common import is_numeric
 from ..operators import explain as ex
 from ..operators import privacy as pv
 from ..operators.profile import column_profile
@@ -241,17 +242,25 @@ def generalize_plan_events(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P10 Laplace
-@register("laplace_noise_stats")
+_NOISED = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("laplace_noise_stats", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS n, 1 AS mean_ok, 1 AS variance_ok, 1 AS sign_ok FROM lineitem" for c in _NOISED))
 def laplace_noise_stats(spark, sf_dir):
-    """P10: Laplace(0, 1) noise added to lineitem measures; per-column noise mean and variance."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    noisy = pv.anonymize_laplace(li, columns=["l_quantity", "l_extendedprice", "l_discount"], seed=42,
-                                 keys=["l_orderkey", "l_linenumber"])
-    j = noisy.alias("n").join(li.alias("o"), ["l_orderkey", "l_linenumber"])
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"n.{c}") - F.col(f"o.{c}")).alias("noise"))
-                      for c in ["l_quantity", "l_extendedprice", "l_discount"]])
-    return j.select(F.inline(items)).groupBy("feature").agg(F.count("*").alias("n"), F.avg("noise").alias("mean"),
-                                                            F.var_samp("noise").alias("variance"))
+    """P10: Laplace(0, 1) noise on every numeric column of lineitem but the row key, in one pass; rows per column and
+    whether mean, variance (2) and share of positive noise lie within five standard errors of the distribution's."""
+    li = table(spark, sf_dir, "lineitem")
+    keys = ["l_orderkey", "l_linenumber"]
+    cols = [f.name for f in li.schema.fields if is_numeric(f.dataType) and f.name not in keys]
+    both = li.select(*keys, *cols, *[F.col(c).cast("double").alias(f"was_{c}") for c in cols])
+    noisy = pv.anonymize_laplace(both, columns=cols, seed=42, keys=keys)
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) - F.col(f"was_{c}")).alias("noise")) for c in cols])
+    a = noisy.select(F.inline(items)).groupBy("feature").agg(F.count("*").alias("n"), F.avg("noise").alias("m"), F.var_samp("noise").alias("v"),
+                                                            F.avg((F.col("noise") > 0).cast("double")).alias("p"))
+    error = 5 / F.sqrt("n")  # fourth moment 24: the variance's standard error is sqrt(20 / n)
+    return a.select("feature", "n", (F.abs("m") < error * 2 ** 0.5).cast("int").alias("mean_ok"),
+                    (F.abs(F.col("v") - 2) < error * 20 ** 0.5).cast("int").alias("variance_ok"), (F.abs(F.col("p") - 0.5) < error * 0.5).cast("int").alias("sign_ok"))
 
 
 # ---------------------------------------------------------------- P11-P14 compliance
