@@ -348,7 +348,7 @@ class WordBpe:
             self.learn([joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist())])
         return spot, counts
 
-    def encode_texts(self, texts: list[str], group: int = 1 << 22):
+    def encode_texts(self, texts: list[str], group: int = 1 << 19):
         """Per text (ids as little-endian 32-bit bytes, decoded bytes), about ``group`` characters at a time."""
         lo = 0
         while lo < len(texts):

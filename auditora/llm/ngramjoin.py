@@ -4,7 +4,7 @@ Two sets of Jaccard similarity t or more share a token among the first n - ceil(
 under any order of all tokens.  Three orders are used: each puts tokens that are common in the
 corpus last (a sketch of fixed size, counted over all documents) and breaks ties by a hash of
 its own.  Candidates come from an equi-join on the first order's prefixes, must share a prefix token
-under the second and the third order as well, and are then verified on their whole sets.
+under the second and the third order as well, and only then are their whole sets fetched and compared.
 
 What is wanted is the components, so links inside one component need no test: documents of
 equal sets are one node; of every shared token first one hub, the document of the commonest tokens,
@@ -36,6 +36,7 @@ HUBS = 8
 HUB_ROUNDS = 1
 CROWDED = 16  # pairs per row of the shared tokens from which another hub round pays
 FETCH_BROADCAST = 1_000_000
+BLOCK_ROWS = 500  # rows of one token that meet its others in one task
 
 
 def shingle_sets(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,17 +209,23 @@ def common_tokens(p: np.ndarray, q: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: pairs with their prefixes -> the pairs that share a token under both orders."""
+    for batch in batches:
+        ok = [all(common_tokens(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in ((x2, y2), (x3, y3)))
+              for x2, y2, x3, y3 in zip(*[batch.column(c).to_pylist() for c in range(2, 6)])]
+        yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _verifier(percent: int):
-    """mapInArrow: pairs with their sets and prefixes -> the pairs that pass both orders and the whole sets."""
+    """mapInArrow: pairs with their whole sets -> the pairs that are similar enough."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y, x2, y2, x3, y3) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(2, 8)])):
-                if any(not common_tokens(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in ((x2, y2), (x3, y3))):
-                    continue
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 shared = common_tokens(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                ok[i] = 100 * shared >= percent * ((len(x) + len(y)) // 8 - shared)
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+                ok.append(100 * shared >= percent * ((len(x) + len(y)) // 8 - shared))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return verify
 
 
@@ -289,12 +296,14 @@ class Join:
                                         "node bigint, tokens binary, second binary, third binary").write.parquet(folder)
         sets = self.spark.read.parquet(folder)
 
-        def side(name: str) -> DataFrame:
-            return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("tokens", "second", "third")])
+        def with_sets(some: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+            for name in ("a", "b"):
+                some = some.join(sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]), name)
+            return some.select("a", "b", *[f"{name}_{c}" for c in columns for name in ("a", "b")])
 
-        whole = pairs.join(side("a"), "a").join(side("b"), "b").select(
-            "a", "b", *[f"{name}_{c}" for c in ("tokens", "second", "third") for name in ("a", "b")])
-        return whole.mapInArrow(_verifier(self.percent), "a bigint, b bigint")
+        # short prefixes go to the pairs first; whole sets only to the pairs that all three orders leave
+        near = settled(with_sets(pairs, ("second", "third")).mapInArrow(_meeting, "a bigint, b bigint"))
+        return with_sets(near, ("tokens",)).mapInArrow(_verifier(self.percent), "a bigint, b bigint")
 
     def mixed(self, shared: DataFrame, comp: DataFrame) -> DataFrame:
         """Rows of the tokens whose nodes are of several components, with the component and the token's rows (df)."""
@@ -335,9 +344,13 @@ class Join:
         # at least c - 1 tokens of either set after it
         by_count = Window.partitionBy("node").orderBy("df", "token")
         placed = rest.withColumn("at", F.row_number().over(by_count)).withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("node")))
-        other = placed.select("token", *[F.col(c).alias("o_" + c) for c in ("node", "n", "comp", "at", "s")])
+        # a crowded token's rows are cut into blocks; each block meets all rows of the token in a task of its own
+        blocks = F.ceil(F.col("df") / BLOCK_ROWS)
+        other = placed.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"),
+                              *[F.col(c).alias("o_" + c) for c in ("node", "n", "comp", "at", "s")])
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
         c = self.meetings("n", "o_n")
-        met = placed.join(other, "token").filter(
+        met = placed.join(other, ["token", "block"]).filter(
             (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp")) & self.in_size("n", "o_n")
             & (F.col("s") - F.col("at") + 1 >= c) & (F.col("o_s") - F.col("o_at") + 1 >= c))
         pairs = met.select(F.col("node").alias("a"), F.col("o_node").alias("b"), "n", "o_n").distinct()

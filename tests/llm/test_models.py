@@ -372,3 +372,21 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
 def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50
+
+
+def test_thue_morse_words_do_not_link(spark):
+    """Words whose polynomial hashes modulo 2^64 are equal are different words."""
+    def word(n, a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+    rows = [(2 * k + j, f"{w} x y", "en", "s") for k, n in enumerate((1024, 2048, 4096, 8192)) for j, w in enumerate((word(n, "a", "b"), word(n, "b", "a")))]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {i: i for i in range(8)}
+
+
+def test_crowded_tokens_are_joined_in_blocks(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:40] + [f"u{i}x{j}" for j in range(1 + i % 3)] + base[40:]), "en", "s") for i in range(60)]
+    want = sorted(map(tuple, ngramjoin.jaccard_components(frame(spark, rows), percent=80).collect()))
+    monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ngramjoin, "HUB_ROUNDS", 0)
+    assert sorted(map(tuple, ngramjoin.jaccard_components(frame(spark, rows), percent=80).collect())) == want
