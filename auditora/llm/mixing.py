@@ -21,6 +21,7 @@ PART_MEAN = 64.0
 BROADCAST_SOURCES = 50_000
 SALTS = 32
 HASH_BITS = 48
+TINY = 2.2250738585072014e-308  # least normal double
 
 
 def hash_unit(*parts: Column | str) -> Column:
@@ -35,20 +36,23 @@ def source_rates(docs: DataFrame, source: str, targets: DataFrame | None, epochs
     Without ``targets`` the weight of a source is rows ** temperature.  ``cdf`` is the cumulative
     Poisson distribution of mean rate / parts, long enough that no 48-bit number lies beyond it.
     """
-    sizes = docs.groupBy(named(source).alias("src")).agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = docs.groupBy(named(source).alias("src")).agg(F.count(F.lit(1)).alias("n_rows")).checkpoint(eager=True)  # read several times
     if targets is None:
         weighted = sizes.withColumn("weight", F.pow(F.col("n_rows").cast("double"), F.lit(float(temperature))))
     else:
         t = targets.select(named(targets.columns[0]).alias("t_src"), named(targets.columns[1]).cast("double").alias("w"))
         t = t.groupBy("t_src").agg(F.max("w").alias("w"))
+        if not t.filter("w < 0 OR isnan(w) OR w = double('inf')").isEmpty():
+            raise ValueError("target weights must be finite numbers from 0 on")
         weighted = sizes.join(t, F.col("src").eqNullSafe(F.col("t_src")), "left").select(
             "src", "n_rows", F.greatest(F.coalesce(F.col("w"), F.lit(0.0)), F.lit(0.0)).alias("weight"))
+    # weights count by their ratios: relative to the largest, summed as decimals, so in any order alike
+    weighted = weighted.withColumn("weight", F.col("weight") / F.greatest(weighted.agg(F.max("weight").alias("m")).select("m").scalar(), F.lit(TINY)))
     total = weighted.agg(F.sum(F.col("n_rows")).cast("double").alias("all_rows"),
-                         F.sum(F.col("weight").cast("decimal(38,9)")).cast("double").alias("all_weight"))
-    rate = F.when(F.col("all_weight") > 0, F.lit(float(epochs)) * F.col("all_rows") * F.col("weight")
-                  / F.col("all_weight") / F.col("n_rows")).otherwise(F.lit(0.0))
-    # one row beside one row per source: a scalar attached to every source, not a join of tables
-    rated = weighted.join(F.broadcast(total)).select("src", "n_rows", "weight", rate.alias("rate"))
+                         F.sum(F.col("weight").cast("decimal(38,18)")).cast("double").alias("all_weight"))
+    all_rows, all_weight = (total.select(c).scalar() for c in ("all_rows", "all_weight"))
+    rate = F.when(all_weight > 0, F.lit(float(epochs)) * all_rows * F.col("weight") / all_weight / F.col("n_rows")).otherwise(F.lit(0.0))
+    rated = weighted.select("src", "n_rows", "weight", rate.alias("rate"))
     rated = rated.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int"))
     mean = F.col("rate") / F.col("parts")
     steps = F.sequence(F.lit(1), (F.ceil(mean + 12 * F.sqrt(mean)) + 30).cast("int"))
@@ -77,7 +81,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, source: str =
     kept; ``copy_col`` adds the copy number from 1.  Defined cases: a NULL source is a source; a NULL
     key draws by the md5 of its text; rows of equal key (and equal NULL keys with equal text) draw
     the same count, and each is repeated; an empty table gives an empty table; no weight at all
-    gives no rows.
+    gives no rows; weights count by their ratios only, and negative, infinite or NaN ones are refused.
     """
     part_key = F.coalesce(named(key).cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(named(text).cast("string"), F.lit("")))))
     k, n, s = unused(docs, "_mix_key"), unused(docs, "_mix_copy"), unused(docs, "_mix_salt")

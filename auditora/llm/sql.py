@@ -13,8 +13,9 @@ def mix_sql(seed: str = "mix-1", epochs: float = 1.0, temperature: float = 0.5)
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, ''))) AS k FROM documents),
-sizes AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {temperature!r}::DOUBLE) AS w FROM d GROUP BY source),
-total AS (SELECT sum(n)::DOUBLE AS all_n, sum(w::DECIMAL(38,9))::DOUBLE AS all_w FROM sizes),
+raw AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {temperature!r}::DOUBLE) AS w FROM d GROUP BY source),
+sizes AS (SELECT source, n, w / max(w) OVER () AS w FROM raw),
+total AS (SELECT sum(n)::DOUBLE AS all_n, sum(w::DECIMAL(38,18))::DOUBLE AS all_w FROM sizes),
 rates AS (SELECT source, {epochs!r}::DOUBLE * all_n * w / all_w / n AS rate FROM sizes, total),
 parts AS (SELECT source, rate, greatest(1, ceil(rate / {part!r}))::INTEGER AS parts FROM rates),
 means AS (SELECT source, parts, rate / parts AS m, (ceil(rate / parts + 12 * sqrt(rate / parts)) + 30)::INTEGER AS kmax FROM parts),

@@ -175,3 +175,17 @@ def test_fingerprints_of_crowded_and_null_keys(spark, monkeypatch):
     for r in got:
         have[(r.doc_id, r.edited_sha256)] = have.get((r.doc_id, r.edited_sha256), 0) + 1
     assert have == want
+
+
+def test_mix_weights_count_by_their_ratios(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [r["source"] for r in docs.select("source").distinct().orderBy("source").collect()]
+
+    def copies(scale):
+        targets = spark.createDataFrame([(n, scale * (1.0 + i)) for i, n in enumerate(names)], "s string, w double")
+        return sorted(map(tuple, mixing.mix_sources(docs, targets, copy_col="c").select("doc_id", "c").collect()))
+    want = copies(1.0)
+    assert len(want) > 100 and copies(2.0 ** -40) == want and copies(2.0 ** 60) == want and copies(1e-10) == want
+    for bad in (float("nan"), float("inf"), -1.0):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix_sources(docs, spark.createDataFrame([(names[0], bad)], "s string, w double"))
