@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import named
+
 INF = float("inf")
 
 
@@ -31,8 +33,12 @@ def key_as_double(dt: T.DataType, col: Column) -> Column | None:
     return None
 
 
-def quantile_splits(df: DataFrame, exprs: dict[str, Column], n: int, accuracy: int = 10000) -> dict[str, list[float]]:
-    """Strictly increasing Bucketizer splits (with +-inf ends) per named double expression."""
+def quantile_splits(df: DataFrame, exprs: dict[str, Column], n: int, accuracy: int | None = None) -> dict[str, list[float]]:
+    """Strictly increasing Bucketizer splits (with +-inf ends) per named double expression.
+
+    The sketch resolves ten positions to each range, however many ranges are asked for.
+    """
+    accuracy = accuracy or max(10_000, 10 * n)
     probs = [i / n for i in range(1, n)]
     if not probs:  # Bucketizer needs one inner split; any value keeps chunks monotone
         return {k: [-INF, 0.0, INF] for k in exprs}
@@ -61,14 +67,42 @@ def with_buckets(df: DataFrame, exprs: dict[str, Column], splits: dict[str, list
     return b.withColumns(cols).drop(*tmp.values(), *[f"__b_{i}" for i in range(len(exprs))])
 
 
-def order_chunks(df: DataFrame, order_key: str, n: int, out: str = "_chunk") -> DataFrame | None:
-    """Bucket rows by the first order key into about ``n`` quantile ranges (None if the key
-    type has no numeric order mapping)."""
-    e = key_as_double(df.schema[order_key].dataType, F.col(order_key))
+def key_bounds(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """One row with ``bounds``: least key of each of at most ``n`` ranges of the rows by all ``keys`` (any types, NULLs first).
+
+    The ranges come from Spark's range exchange of the key columns alone; only their least keys are kept, once, so
+    a later run of the plan cannot draw others.
+    """
+    rows = df.select(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    cols = [f"k{i}" for i in range(len(keys))]
+    ranged = rows.repartitionByRange(n, *[F.asc_nulls_first(c) for c in cols])
+    least = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*cols)).alias("m"))
+    return least.agg(F.sort_array(F.collect_set("m")).alias("bounds")).checkpoint(eager=True)
+
+
+def range_chunks(df: DataFrame, keys: Sequence[str], n: int, out: str = "_chunk") -> DataFrame:
+    """Adds ``out``, the number of the range a row's keys fall into; monotone in the order of all keys, NULLs first."""
+    bounds = key_bounds(df, keys, n)
+    key = F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    steps = F.sequence(F.lit(1), F.lit(max(1, n).bit_length() + 1))
+    held = df.withColumns({"_key": key, "_bounds": bounds.select("bounds").scalar()})
+
+    def halve(s: Column, _: Column) -> Column:  # bounds below lo are at most the key, those from hi on are greater
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        open_, up = s["lo"] < s["hi"], F.get(F.col("_bounds"), mid) <= F.col("_key")
+        return F.struct(F.when(open_ & up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size("_bounds").alias("hi"))
+    return held.withColumn(out, F.aggregate(steps, start, halve)["lo"] - 1).drop("_key", "_bounds")
+
+
+def order_chunks(df: DataFrame, order: Sequence[str], n: int, out: str = "_chunk") -> DataFrame:
+    """Cuts rows into about ``n`` ranges of their order: quantiles of a single number or time, else ranges of all keys."""
+    e = key_as_double(df.schema[order[0]].dataType, named(order[0])) if len(order) == 1 else None
     if e is None:
-        return None
-    splits = quantile_splits(df, {order_key: e}, n)
-    return with_buckets(df, {order_key: e}, splits, {order_key: out})
+        return range_chunks(df, order, n, out)
+    splits = quantile_splits(df, {order[0]: e}, n)
+    return with_buckets(df, {order[0]: e}, splits, {order[0]: out})
 
 
 # Rows one window partition should hold at most (ranked / filled inside one task).

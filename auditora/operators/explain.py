@@ -202,7 +202,7 @@ def neighbor_mutual_information(df: DataFrame, cols: Sequence[str], label: str,
     count = chunks or default_chunks(points)
     # ranges of each feature's own quantiles
     per = {r["feature"]: r["q"] for r in points.groupBy("feature").agg(
-        F.percentile_approx("x", [i / count for i in range(1, count)] or [0.5], 10000).alias("q")).collect()}  # one row a feature
+        F.percentile_approx("x", [i / count for i in range(1, count)] or [0.5], max(10_000, 10 * count)).alias("q")).collect()}  # one row a feature
     cuts = F.create_map(*[x for f, q in per.items() for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in sorted(set(q))]))]) if per else None
     if cuts is None:
         return df.sparkSession.createDataFrame([(c, None) for c in cols], "feature string, mutual_information double")

@@ -186,8 +186,8 @@ def _directional_fill(df: DataFrame, order_by: Sequence[str], partition_by: Sequ
                       columns: Sequence[str] | None, forward: bool, chunks: int | None) -> DataFrame:
     """Fill each gap from the nearest earlier (forward) or later (backward) non-NULL value.
 
-    Phase 1: rows are cut into chunks = (partition key, quantile range of the first order
-    key), so neither a global order nor a hot key becomes one task; each chunk is filled
+    Phase 1: rows are cut into chunks = (partition key, range of the order keys, of any
+    types), so neither a global order nor a hot key becomes one task; each chunk is filled
     with a window.  Phase 2: a carry table with one row per chunk holds its last (first)
     non-NULL value; a window over that table gives the value entering every chunk, which
     is joined back.  Chunk ids are a function of the key, so both phases agree.
@@ -198,9 +198,7 @@ def _directional_fill(df: DataFrame, order_by: Sequence[str], partition_by: Sequ
     if not cols:
         return df
     nb = chunks or default_chunks(df)
-    chunked = order_chunks(df, order[0], nb, "_chunk")
-    if chunked is None:  # order key without a numeric mapping: one chunk per partition key
-        chunked = df.withColumn("_chunk", F.lit(0))
+    chunked = order_chunks(df, order, nb, "_chunk")
     # a running frame (unbounded preceding .. current row) is linear; a backward fill uses it
     # over the descending order instead of an (current row .. unbounded following) frame
     keys = [F.col(o).asc_nulls_first() for o in order] if forward else [F.col(o).desc_nulls_last() for o in order]

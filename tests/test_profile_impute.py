@@ -124,3 +124,39 @@ def test_token_matching_avoids_substring_hits(spark):
     assert ("Percentage", "age") in sub and ("Percentage", "age") not in tok
     assert ("customerAge", "age") in tok and ("zip_code", "location") in tok
     assert ("Residence", "personal_id") in sub and ("Residence", "personal_id") not in tok
+
+
+def test_fills_along_keys_of_any_type(spark):
+    """A string key, and a date that alone has few values: many ranges, one answer."""
+    import datetime
+    import random
+
+    from auditora.functions.ranges import range_chunks
+    rnd = random.Random(4)
+    rows = [(f"k{rnd.randrange(500):03d}" if rnd.random() > 0.02 else None, datetime.date(2024, 1, 1 + rnd.randrange(3)), i, rnd.choice("ab"),
+             rnd.choice([None, None, rnd.random()])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "s string, d date, i int, g string, v double").repartition(6)
+
+    def plain(pos, by, forward):
+        order = sorted(rows, key=lambda r: tuple((r[p] is not None, r[p] if r[p] is not None else 0) for p in pos), reverse=not forward)
+        last, out = {}, {}
+        for r in order:
+            key = r[3] if by else 0
+            last[key] = r[4] if r[4] is not None else last.get(key)
+            out[r[2]] = last[key]
+        return out
+
+    for names, pos in ((["s", "i"], (0, 2)), (["d", "i"], (1, 2))):
+        parts = range_chunks(df, names, 64)
+        assert parts.select("_chunk").distinct().count() > 30 and parts.groupBy("_chunk").count().agg({"count": "max"}).first()[0] < 120
+        for by in ([], ["g"]):
+            for forward, fill in ((True, im.forward_fill), (False, im.backward_fill)):
+                want = plain(pos, by, forward)
+                for chunks in (1, 8, 64):
+                    assert {r["i"]: r["v"] for r in fill(df, names, by, ["v"], chunks).collect()} == want
+
+
+def test_more_ranges_than_the_default_sketch_resolves(spark):
+    from auditora.functions.ranges import quantile_splits
+    df = spark.range(200_000).withColumn("x", F.col("id").cast("double"))
+    assert len(quantile_splits(df, {"x": F.col("x")}, 20_000)["x"]) > 19_000
