@@ -18,12 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import broadcast_if, is_numeric, is_string, long_aggregate, unpivot
+from ..functions.common import bounded_broadcast, broadcast_if, is_numeric, is_string, long_aggregate, named, unpivot
 from ..functions.ranges import default_chunks, order_chunks, per_column_buckets
 
+PATTERN_BROADCAST = 100_000  # pairs of missingness patterns that are broadcast
+
 
 def _cols_with_gaps(df: DataFrame, cols: Sequence[str]) -> list[str]:
     if not cols:
@@ -269,45 +271,35 @@ def impute_knn(df: DataFrame, id_col: str, columns: Sequence[str] | None = None,
     if n == 0:
         return impute(df, None, categorical)
     vals = F.array(*[F.col(c).cast("double") for c in cols])
-    pat = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    if n > 62:
+        raise ValueError("at most 62 columns with gaps")
+    pat = sum((F.when(named(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(cols)), F.lit(0).cast("bigint"))
     base = df.select(F.col(id_col).alias("_id"), vals.alias("_v"), pat.alias("_pat"))
-    patterns = [r["_pat"] for r in base.select("_pat").distinct().collect()]  # at most 2^len(cols)
-    groups = []  # (j, receiver pattern, donor pattern, shared mask)
-    for j in range(n):
-        for px in patterns:
-            if px & (1 << j):
-                continue
-            for py in patterns:
-                if py & (1 << j) and px & py:
-                    groups.append((j, px, py, px & py))
-
-    def spec(j, px, py, sm):
-        m = bin(sm).count("1")
-        return F.struct(F.lit(f"{j}|{px}|{py}").alias("_g"), F.lit(j).alias("_j"),
-                        F.array(*[F.lit(1.0 if sm >> i & 1 else 0.0) for i in range(n)]).alias("_w"),
-                        F.lit(n / m).alias("_s2"), F.lit(((n / m) ** 0.5) / (m ** 0.5)).alias("_pscale"))
 
+    def bit(mask: Column, i: Column) -> Column:
+        return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1).cast("bigint"))
+
+    # the lattice as a table: a receiver pattern meets every donor pattern that holds what it lacks
+    patterns = base.select("_pat").distinct().checkpoint(eager=True)
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    lacks = patterns.select(F.col("_pat").alias("_px"), F.explode(F.filter(places, lambda i: bit(F.col("_pat"), i) == 0)).alias("_j"))
+    holds = patterns.select(F.col("_pat").alias("_py"), F.explode(F.filter(places, lambda i: bit(F.col("_pat"), i) == 1)).alias("_j"))
+    shared = lacks.join(holds, "_j").withColumn("_m", F.col("_px").bitwiseAND(F.col("_py"))).where("_m <> 0")
+    size = F.bit_count("_m")
+    groups = shared.select(F.concat_ws("|", "_j", "_px", "_py").alias("_g"), "_j", "_px", "_py", F.transform(places, lambda i: bit(F.col("_m"), i).cast("double")).alias("_w"),
+                           (F.lit(float(n)) / size).alias("_s2"), (F.sqrt(F.lit(float(n)) / size) / F.sqrt(size.cast("double"))).alias("_pscale")).checkpoint(eager=True)
     fills = None
-    if groups:
-        q_items = {px: [spec(*g) for g in groups if g[1] == px] for px in patterns}
-        p_items = {py: [spec(*g) for g in groups if g[2] == py] for py in patterns}
-
-        def explode_for(which: dict, key: str):
-            cases = F.lit(None)
-            for pt, items in which.items():
-                if items:
-                    cases = F.when(F.col("_pat") == pt, F.array(*items)).otherwise(cases)
-            return base.select(F.col("_id").alias(key), "_v", F.inline(cases))
-
-        def vec(frame):
+    if not groups.isEmpty():
+        hinted = bounded_broadcast(groups, PATTERN_BROADCAST)
+
+        def side(key: str, pattern: str) -> DataFrame:
             # shared coordinates only; distance = sqrt(n/m * |x - y|^2), projection on the
             # group's unit diagonal scaled the same way
+            rows = base.join(hinted.withColumnRenamed(pattern, "_pat"), "_pat").select(F.col("_id").alias(key), "_g", "_v", "_w", "_s2", "_pscale")
             x = F.zip_with("_v", "_w", lambda v, w: F.coalesce(v, F.lit(0.0)) * w)
-            return frame.withColumn("_x", x).withColumn(
-                "_p", F.aggregate("_x", F.lit(0.0), lambda a, b: a + b) * F.col("_pscale"))
+            return rows.withColumn("_x", x).withColumn("_p", F.aggregate("_x", F.lit(0.0), lambda a, b: a + b) * F.col("_pscale"))
 
-        queries = vec(explode_for(q_items, "_qid"))
-        points = vec(explode_for(p_items, "_pid"))
+        queries, points = side("_qid", "_px"), side("_pid", "_py")
         # of donors at the very same place only the k least ids can be among the k nearest (ties go
         # to the smaller id), so the others need not be searched; exact, and crowded values stay small
         same = Window.partitionBy("_g", "_x").orderBy("_pid")

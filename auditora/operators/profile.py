@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.common import AGG_CHUNK, dtype_name, is_numeric, is_string, long_aggregate, materialize
+from ..functions.common import AGG_CHUNK, dtype_name, is_numeric, is_string, long_aggregate, materialize, named
 
 # Many exact distinct counts in one aggregate are expanded once per column by the
 # optimizer; beyond this many columns the profile is computed in column chunks.
@@ -60,11 +60,43 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C5 column profile
+def _identity(c: Column, dt) -> Column:
+    """A value's stand-in of at most 32 bytes: itself, or the SHA-256 of a longer string."""
+    if not is_string(dt):
+        return c
+    return F.when(F.octet_length(c) > 32, F.unhex(F.sha2(c, 256))).otherwise(c.cast("binary"))
+
+
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)  # relative standard error of a distinct count
+
+
+def profile_sketch(df: DataFrame, run_id: str) -> DataFrame:
+    """C5, mergeable: one row per column of one run: run_id, position, feature, dtype, rows, non_null and a
+    HyperLogLog sketch of its values (about ``SKETCH_ERROR`` off).  One scan; write the rows and merge any runs later."""
+    fields = list(df.schema.fields)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(fields):
+        c = named(f.name)
+        aggs += [F.count(c).alias(f"n{i}"), F.hll_sketch_agg(c if is_string(f.dataType) else c.cast("string"), SKETCH_BITS).alias(f"s{i}")]
+    items = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("feature"), F.lit(dtype_name(f.dataType)).alias("dtype"),
+                               F.col(f"n{i}").alias("non_null"), F.col(f"s{i}").alias("sketch")) for i, f in enumerate(fields)])
+    return df.agg(*aggs).select(F.lit(run_id).alias("run_id"), "rows", F.inline(items))
+
+
+def merge_profiles(sketches: DataFrame) -> DataFrame:
+    """C5 of all runs together: position, feature, dtype, runs, rows, non_null, null_count, n_distinct (estimated)."""
+    a = sketches.groupBy("feature", "dtype").agg(F.min("position").alias("position"), F.count_distinct("run_id").alias("runs"), F.sum("rows").alias("rows"),
+                                                 F.sum("non_null").alias("non_null"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+    return a.select("position", "feature", "dtype", "runs", "rows", "non_null", (F.col("rows") - F.col("non_null")).alias("null_count"), "n_distinct")
+
+
 def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.01, materialized: bool = True) -> DataFrame:
     """One row per column: position, feature, dtype, rows, non_null, null_count, distinct.
 
-    distinct excludes NULLs.  ``approx=True`` uses HyperLogLog++ (no value shuffle) for
-    very large inputs.  All counts for a chunk of columns come from one aggregate.  The
+    distinct excludes NULLs; strings beyond 32 bytes are counted by their SHA-256, so text bodies never
+    leave their task.  ``approx=True`` uses HyperLogLog++ (no value shuffle) for
+    very large inputs; ``profile_sketch`` keeps sketches that merge over runs.  All counts for a chunk of columns come from one aggregate.  The
     profile (one row per column) is materialised once, because reports, risk scores and
     target checks all read it and would otherwise repeat the distinct-count scans.
     """
@@ -76,7 +108,7 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.01, mater
         for i, f in enumerate(chunk):
             c = F.col(f"`{f.name}`")
             aggs.append(F.count(c).alias(f"nn{i}"))
-            aggs.append((F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)).alias(f"d{i}"))
+            aggs.append((F.approx_count_distinct(c, rsd) if approx else F.count_distinct(_identity(c, f.dataType))).alias(f"d{i}"))
         wide = df.agg(*aggs)
         items = F.array(*[
             F.struct(F.lit(start + i).alias("position"), F.lit(f.name).alias("feature"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import impute as im
 from ..operators import profile as pr
-from ..session import table
+from ..session import ensure_checkpoint_dir, table
+from ..sources.io import write_table
 from . import fixtures as fx
 from .catalog import register
 
@@ -112,6 +115,22 @@ def column_profile_gaps(spark, sf_dir):
     return pr.column_profile(fx.gaps(spark, sf_dir))
 
 
+@register("profile_merged_runs", sql=f"""WITH {_GAPS}, prof AS ({profile_sql('src', SCHEMAS['gaps'])})
+SELECT position, feature, dtype, 2 AS runs, rows, non_null, null_count, 1 AS distinct_ok FROM prof""")
+def profile_merged_runs(spark, sf_dir):
+    """C5 over two stored runs (even and odd events): their sketches are written, read back and merged; counts of all
+    rows, and whether each distinct count lies within four standard errors of the exact one."""
+    g = fx.gaps(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/profiles-{uuid.uuid4().hex}"
+    for run, odd in (("even", 0), ("odd", 1)):
+        write_table(pr.profile_sketch(g.where(F.col("event_id") % 2 == odd), run).drop("run_id"), folder, mode="append", run_id=run)
+    merged = pr.merge_profiles(spark.read.parquet(folder))
+    exact = pr.column_profile(g).select("feature", F.col("n_distinct").alias("exact"))
+    off = F.abs(F.col("n_distinct") - F.col("exact")) <= 1 + 4 * pr.SKETCH_ERROR * F.col("exact")
+    return merged.join(exact, "feature").select("position", "feature", "dtype", F.col("runs").cast("int").alias("runs"), "rows", "non_null", "null_count",
+                                                off.cast("int").alias("distinct_ok"))
+
+
 _PROF_GAPS = f"{_GAPS}, prof AS ({profile_sql('src', SCHEMAS['gaps'])})"
 
 

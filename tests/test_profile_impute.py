@@ -160,3 +160,40 @@ def test_more_ranges_than_the_default_sketch_resolves(spark):
     from auditora.functions.ranges import quantile_splits
     df = spark.range(200_000).withColumn("x", F.col("id").cast("double"))
     assert len(quantile_splits(df, {"x": F.col("x")}, 20_000)["x"]) > 19_000
+
+
+def test_merged_sketches_equal_the_whole_within_their_error(spark):
+    rows = [(i, f"v{i % 700}" + "x" * (i % 3) * 40, i % 5 if i % 4 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "`k.id` long, s string, g int")
+    parts = [pr.profile_sketch(df.where(F.col("g").isNull() if n is None else F.col("g") == n), f"run{n}") for n in (None, 0, 1, 2, 3, 4)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    got = {r["feature"]: r for r in pr.merge_profiles(whole).collect()}
+    exact = {r["feature"]: r for r in pr.column_profile(df).collect()}
+    assert got["k.id"]["runs"] == 6
+    for c, e in exact.items():
+        assert (got[c]["rows"], got[c]["non_null"], got[c]["position"]) == (e["rows"], e["non_null"], e["position"])
+        assert abs(got[c]["n_distinct"] - e["n_distinct"]) <= 1 + 4 * pr.SKETCH_ERROR * e["n_distinct"]
+    assert exact["s"]["n_distinct"] == len({r[1] for r in rows}) and exact["k.id"]["n_distinct"] == 6000
+
+
+def test_knn_with_gaps_in_twenty_columns(spark):
+    import random
+    rnd = random.Random(8)
+    rows = [(i, *[None if rnd.random() < 0.15 else round(rnd.random(), 3) for _ in range(20)]) for i in range(60)]
+    cols = [f"c{j}" for j in range(20)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols))
+    got = {r["id"]: r for r in im.impute_knn(df, "id", cols, k=3).collect()}
+    for row in rows[:15]:
+        for j, c in enumerate(cols):
+            if row[j + 1] is not None:
+                assert got[row[0]][c] == row[j + 1]
+                continue
+            near = []
+            for d in rows:
+                both = [t for t in range(1, 21) if row[t] is not None and d[t] is not None]
+                if d[j + 1] is not None and both:
+                    near.append((math.sqrt(20 / len(both) * sum((row[t] - d[t]) ** 2 for t in both)), d[0], d[j + 1]))
+            want = sum(v for _, _, v in sorted(near)[:3]) / 3
+            assert abs(got[row[0]][c] - want) < 1e-9
