@@ -98,9 +98,9 @@ def _chunked(rows: DataFrame, n_rows: int) -> DataFrame:
     as_double = key_as_double(rows.schema["key"].dataType, F.col("key"))
     if as_double is None:
         raise TypeError("the document key must be numeric, a date or a timestamp")
-    got = rows.agg(F.percentile_approx(as_double, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or [0.0]
+    got = sorted(rows.agg(F.percentile_approx(as_double, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or [0.0])
     splits = sorted(set(got))
-    hot = sorted({x for x in splits if got.count(x) > 1})
+    hot = sorted({a for a, b in zip(got, got[1:]) if a == b})  # keys that fill several quantiles
     inf = float("inf")
     out = with_buckets(rows, {"key": as_double}, {"key": [-inf, *splits, inf]}, {"key": "chunk"})
     crowded = F.col("key").isNull() | (as_double.isin(hot) if hot else F.lit(False))
@@ -145,7 +145,7 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
     next document.  Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  Defined cases: NULL text is empty; texts without words have the empty
     fingerprint; a lone document is its own next; repeated rows follow each other and each gets a
-    row; an empty table gives no rows.
+    row; an empty table gives no rows; a key that is no number, date or timestamp raises ``TypeError``.
     """
     paired = with_next(docs, key, text)
     n = F.length("text")

@@ -54,6 +54,31 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "GPLsee": ("See the GNU General Public License for more details",),
     "LGPLver3": ("This work is licensed under the GNU Lesser General Public License, version 3",),
     "MPLver2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0"),
+    "AGPLver3": ("This work is licensed under the GNU Affero General Public License, version 3",
+                 "Licensed under the GNU Affero General Public License, version 3"),
+    "AGPLfree3": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+                  "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "AGPLsee": ("See the GNU Affero General Public License for more details",),
+    "LGPLfree3": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+                  "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "LGPLfree21": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+                   "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",),
+    "LGPLhope": ("This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+                 "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",),
+    "LGPLsee": ("See the GNU Lesser General Public License for more details",),
+    "MPLcopy": ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+                "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    "EPLver2": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+                "https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License 2.0"),
+    "BSDasis": ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+                "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",),
+    "ISCasis": ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+                "WARRANTIES OF MERCHANTABILITY AND FITNESS",),
+    "Zlibasis": ("This software is provided 'as-is', without any express or implied warranty",),
+    "Zlibgrant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+                  "redistribute it freely, subject to the following restrictions",),
+    "BSL1": ("Distributed under the Boost Software License, Version 1.0",),
+    "SPDX": ("SPDX-License-Identifier",),
     "CCBY4": ("Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0",
               "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CCBYSA4": ("Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0",
@@ -72,9 +97,23 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("MITgrant", "MITnotice", "MITasis"), "MIT"),
     (("MITgrant", "MITnotice"), "MIT"),
     (("MITrelease",), "MIT"),
+    (("ISCgrant", "ISCasis"), "ISC"),
     (("ISCgrant",), "ISC"),
+    (("BSDredist", "BSDsource", "BSDbinary", "BSDendorse", "BSDasis"), "BSD-3-Clause"),
     (("BSDredist", "BSDsource", "BSDbinary", "BSDendorse"), "BSD-3-Clause"),
+    (("BSDredist", "BSDsource", "BSDbinary", "BSDasis"), "BSD-2-Clause"),
     (("BSDredist", "BSDsource", "BSDbinary"), "BSD-2-Clause"),
+    (("Zlibasis", "Zlibgrant"), "Zlib"),
+    (("AGPLfree3", "GPLhope", "AGPLsee"), "AGPL-3.0-or-later"),
+    (("AGPLfree3",), "AGPL-3.0-or-later"),
+    (("AGPLver3",), "AGPL-3.0"),
+    (("LGPLfree3", "LGPLhope", "LGPLsee"), "LGPL-3.0-or-later"),
+    (("LGPLfree21", "LGPLhope", "LGPLsee"), "LGPL-2.1-or-later"),
+    (("LGPLfree3",), "LGPL-3.0-or-later"),
+    (("LGPLfree21",), "LGPL-2.1-or-later"),
+    (("EPLver2",), "EPL-2.0"),
+    (("BSL1",), "BSL-1.0"),
+    (("MPLver2", "MPLcopy"), "MPL-2.0"),
     (("BSDrelease",), "BSD"),
     (("GPLfree3", "GPLhope", "GPLsee"), "GPL-3.0-or-later"),
     (("GPLfree2", "GPLhope", "GPLsee"), "GPL-2.0-or-later"),
@@ -91,8 +130,18 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("Unlicense",), "Unlicense"),
 )
 
-# Every known sentence contains one of these words, so a text without any has no known sentence.
-ANCHORS = ("licen", "permission", "redistribut", "provided", "free software", "merchantability")
+# Licence names of SPDX lines.  A name counts only behind the identifier sentence.
+SPDX_NAMES = ("MIT", "Apache-2.0", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "MPL-2.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+              "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only",
+              "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")
+SENTENCES.update({f"SPDX:{name}": (name,) for name in SPDX_NAMES})
+RULES = tuple((("SPDX", f"SPDX:{name}"), name) for name in SPDX_NAMES) + RULES
+
+# Takes names without the identifier sentence before them out of a sequence.
+LONE_NAMES = (("<SPDX><SPDX:", "<SPDX><spdx:"), ("<SPDX:[^>]*>", ""), ("<spdx:", "<SPDX:"))
+
+# Every text with a known sentence that can fire a rule contains one of these words, so a text without any has no known sentence.
+ANCHORS = ("licen", "permission", "redistribut", "provided", "free software", "merchantability", "mozilla.org")
 END = "[.:!?]"
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -115,7 +164,7 @@ def known_sentences() -> dict[str, str]:
 
 
 KNOWN = known_sentences()
-assert all(any(a in s for a in ANCHORS) for s in KNOWN), "a known sentence has no anchor"
+assert all(any(a in s for a in ANCHORS) for s, i in KNOWN.items() if not i.startswith("<SPDX:")), "a known sentence has no anchor"
 
 
 # Marks of the reduced text: a line end or semicolon may end a sentence or be a blank inside one, HARD ends it.
@@ -142,7 +191,10 @@ def sentence_ids(lowered: Column) -> Column:
     """
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     found = F.regexp_extract_all(reduced(lowered), F.lit(SENTENCE), F.lit(1))
-    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[ \n]+", " "))), "")
+    ids = F.array_join(F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[ \n]+", " "))), "")
+    for pattern, instead in LONE_NAMES:
+        ids = F.regexp_replace(ids, pattern, instead)
+    return ids
 
 
 def apply_rules(sequence: Column) -> Column:

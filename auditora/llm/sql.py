@@ -43,8 +43,11 @@ def license_sql() -> str:
 
     def cut(low: str) -> str:
         norm = f"trim(regexp_replace(x, '[^a-z0-9.+]+', ' ', 'g'), ' .')"
-        return (f"array_to_string(list_transform(string_split(regexp_replace({low}, '({licenses.END}){_SPACE}+', '\\1' || chr(10), 'g'), chr(10)), "
+        ids = (f"array_to_string(list_transform(string_split(regexp_replace({low}, '({licenses.END}){_SPACE}+', '\\1' || chr(10), 'g'), chr(10)), "
                 f"lambda x: coalesce(known.m[{norm}], '')), '')")
+        for pattern, instead in licenses.LONE_NAMES:
+            ids = f"regexp_replace({ids}, '{pattern}', '{instead}', 'g')"
+        return ids
 
     count = "(length({0}) - length(replace({0}, '<', '')))"
     return f"""

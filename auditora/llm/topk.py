@@ -27,6 +27,7 @@ QUERIES_PER_GROUP = 2048
 ROWS_PER_BLOCK = 8192
 OWN_ROWS = 64  # rows of one id that the distances kept of a cell allow for; more of them prune less
 SLAB = 128  # queries scored at once in a task
+BOUND_CELLS = 1 << 21  # numbers of a table of bounds held at a time
 EXACT = float(1 << 53)
 SLACK = 1e-7  # relative slack of the distance bounds, far above their rounding
 
@@ -118,7 +119,14 @@ def _bounds(geometry, summary: pd.DataFrame, k: int, own: int):
     near = np.concatenate([np.asarray(x) for x in summary["near"]])
     owner = np.repeat(np.arange(len(cells)), counts)
 
+    step = max(1, BOUND_CELLS // max(1, len(owner)))
+
     def reach(g: Geometry, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A few rows at a time: the table of bounds is rows x kept distances."""
+        done = [some(g, x[lo:lo + step]) for lo in range(0, max(1, len(x)), step)]
+        return np.concatenate([h for h, _ in done]), np.concatenate([n for _, n in done])
+
+    def some(g: Geometry, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = g.distances(x, False)
         upper = d[:, cells][:, owner] + near[None]
         # of the nearest up to ``own`` rows may be of the query's own id

@@ -97,6 +97,14 @@ def test_license_whole_notices_in_any_layout(spark):
         add(f"{name[:3]} License " + " ".join(whole), name, ids[name])
         add("Released under the BSD License\n\n" + wrapped, f"{name},BSD", "<BSDrelease>" + ids[name])
         add(wrapped + "\n\nReleased under the BSD License\nmore words", f"{name},BSD", ids[name] + "<BSDrelease>")
+    for ids_, name in ((("AGPLfree3", "GPLhope", "AGPLsee"), "AGPL-3.0-or-later"), (("LGPLfree21", "LGPLhope", "LGPLsee"), "LGPL-2.1-or-later"),
+                       (("LGPLfree3", "LGPLhope", "LGPLsee"), "LGPL-3.0-or-later"), (("MPLver2", "MPLcopy"), "MPL-2.0"), (("EPLver2",), "EPL-2.0"),
+                       (("BSDredist", "BSDsource", "BSDbinary", "BSDendorse", "BSDasis"), "BSD-3-Clause"), (("ISCgrant", "ISCasis"), "ISC"),
+                       (("Zlibasis", "Zlibgrant"), "Zlib"), (("BSL1",), "BSL-1.0")):
+        add("\n\n".join(textwrap.fill(part[x], 60) + "." for x in ids_), name, "".join(f"<{x}>" for x in ids_))
+    for name in licenses.SPDX_NAMES:
+        add(f"# SPDX-License-Identifier: {name}\n\nimport this", name, f"<SPDX><SPDX:{name}>")
+    add("The licence is\nMIT\nor so", "", "")
     gpl = "\n".join(textwrap.fill(part[x], 60) + "." for x in ("GPLfree2", "GPLhope", "GPLsee"))
     add(gpl, "GPL-2.0-or-later", "<GPLfree2><GPLhope><GPLsee>")
     add("This is not licensed under the MIT License. Nor is it\x02released under the MIT License; so there", "", "")
