@@ -5,13 +5,14 @@ with tokens.  It starts as one state with an arc per base symbol and is changed
 merge (u, v) -> w, in order: the state behind u is copied without its arc v and u leads to the copy;
 beside every arc u comes an arc w, which leads where v led from the old state.
 
-Tables.  All arcs with one label lead to one state, so a state is named by the last token, and a
-copy is stored as (old state, arc taken away, time).  Whether token b may follow token a is
-found by undoing merges from the latest: the last token of a and first of b that stand side by side
-at a time must not be merged at that time.  Encoding a word walks a trie from every symbol
-(the arcs), and goes from left to right through the states; one arc at most into each place
-is allowed by the state before it, so the path is unique and found without search.  Decoding emits
-the labels of the arcs.  All steps run on numpy arrays over the distinct words of a batch.
+Tables.  All arcs with one label lead to one state, so each token has one state behind it, and tokens whose
+states were never parted share it.  Transitions are a table (state, token) -> state, or no arc; its rows are
+far too many to write out (states x tokens), so an entry is closed when it is first asked for, as in
+a lazily built automaton, and kept.  Closing looks at the gadgets: going back in time, token b has its arc
+unless a gadget took it, or the arc of the part it was made of, from the state as it was then.  Encoding a word walks a
+trie from every symbol (the arcs), and goes from left to right through the states by the table; one arc
+at most into each place leaves the state before it, so the path is unique and found without search.
+Decoding emits the labels of the arcs.  All steps run on numpy arrays over the distinct words of a batch.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import named, per_worker
-from .textnum import SpanTable, Strings, give_back, in_spans
+from .textnum import HashTable, SpanTable, Strings, give_back, in_spans, mix
 
 NEVER = np.int64(1) << 40
 LONG_WORD = 96  # symbols; longer words are walked one by one
 SLICE = 1 << 17  # symbols handled at a time
+TABLE_BITS = 20  # transitions kept: at most half of 2 ^ TABLE_BITS
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,19 +54,22 @@ class Automaton:
         self.right = np.arange(n_tokens, dtype=np.int64)
         self.born = np.full(n_tokens, -1, np.int64)
         n = len(merges)
-        # one gadget per merge: state n_tokens + k is the copy made at time k
-        self.state_of = np.zeros(n_tokens, np.int64)
-        self.copied_from = np.zeros(n + 1, np.int64)
-        self.taken = np.full(n + 1, -1, np.int64)
+        # one gadget per merge: the state behind u is copied without arc v, and u leads to the copy; state 0 is
+        # the first one, state k + 1 the copy of merge k
+        behind = np.zeros(n_tokens, np.int64)
         spelled: dict[int, tuple[int, ...]] = {t: (s,) for t, s in base.items()}
         for k, (u, v, w) in enumerate(merges):
-            behind_v = self.state_of[v]
-            self.copied_from[k + 1], self.taken[k + 1] = self.state_of[u], v
-            self.state_of[u] = k + 1
+            after_v = behind[v]
+            behind[u] = k + 1
             if self.born[w] < 0 and w not in base:
-                self.state_of[w] = behind_v
+                behind[w] = after_v  # arc w leads where v led
                 self.left[w], self.right[w], self.born[w] = u, v, k
                 spelled[w] = spelled[u] + spelled[v]
+        # states numbered without gaps; a token that leads to each
+        states, self.any_token, self.state = np.unique(behind, return_index=True, return_inverse=True)
+        self.n_states = len(states)
+        self.table = HashTable(TABLE_BITS)
+        self.closed = 0
         self.n_tokens = n_tokens
         pairs = np.array([u * n_tokens + v for u, v, _ in merges], np.int64)
         self.keys, first = np.unique(pairs, return_index=True)
@@ -89,7 +94,7 @@ class Automaton:
         return np.where(self.keys[at] == key, self.times[at], NEVER)
 
     def may_follow(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
-        """Whether the state behind a has arc b (looking at gadgets before a time only)."""
+        """Whether the state behind a has arc b (looking at gadgets before a time only); closes table entries."""
         a, b = a.astype(np.int64), b.astype(np.int64)
         limit = np.full(len(a), NEVER) if before is None else before.astype(np.int64)
         ok, live = np.ones(len(a), bool), np.arange(len(a))
@@ -106,6 +111,23 @@ class Automaton:
             live = live[~clash & (np.maximum(bx, by) >= 0)]
         return ok
 
+    def step(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """State behind the arc ``token`` of every state, or -1 where it has none."""
+        key = mix(state.astype(np.uint64) * np.uint64(self.n_tokens) + token.astype(np.uint64), 13)  # one to one
+        found = self.table.find(key)
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            names, first, which = np.unique(key[fresh], return_index=True, return_inverse=True)
+            first = fresh[first]
+            arcs = self.may_follow(self.any_token[state[first]], token[first])
+            value = np.where(arcs, self.state[token[first]] + 1, 0).astype(np.int32)
+            if self.closed + len(names) > 1 << (TABLE_BITS - 1):
+                self.table, self.closed = HashTable(TABLE_BITS), 0
+            self.table.add(names, value)
+            self.closed += len(names)
+            found[fresh] = value[which]
+        return found.astype(np.int64) - 1
+
     def _trie(self) -> None:
         """Forward trie of the live tokens: a row of 256 for nodes with children, a sorted list for ends."""
         child: dict[tuple[int, int], int] = {}
@@ -152,6 +174,7 @@ class Automaton:
         place = np.arange(len(data)) - first[word_of]
         stop = (first + lengths)[word_of]
         last_token, begin = np.full(len(data), -1, np.int64), np.zeros(len(data), np.int64)
+        state = np.zeros(len(data), np.int64)
         long_words = lengths > LONG_WORD
         # arcs: from every symbol along the trie
         pos = np.flatnonzero(~long_words[word_of]) if long_words.any() else np.arange(len(data))
@@ -182,9 +205,9 @@ class Automaton:
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 f, t, k = a_from[lo:hi], a_to[lo:hi], a_tok[lo:hi]
                 if lo:
-                    ok = self.may_follow(last_token[f - 1], k)
+                    ok = self.step(state[f - 1], k) >= 0
                     f, t, k = f[ok], t[ok], k[ok]
-                last_token[t], begin[t] = k, f
+                last_token[t], begin[t], state[t] = k, f, self.state[k]
         for w in np.flatnonzero(long_words):
             self._walk(data, int(first[w]), int(first[w] + lengths[w]), marked, last_token, begin)
         # back along the path, all words at once
@@ -224,7 +247,7 @@ class Automaton:
                     continue
                 pair = (before, token)
                 if before >= 0 and pair not in seen:
-                    seen[pair] = bool(self.may_follow(np.array([before]), np.array([token]))[0])
+                    seen[pair] = bool(self.step(self.state[[before]], np.array([token]))[0] >= 0)
                 if before < 0 or seen[pair]:
                     last_token[q], begin[q] = token, p
 

@@ -390,3 +390,76 @@ def test_crowded_tokens_are_joined_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", 4)
     monkeypatch.setattr(ngramjoin, "HUB_ROUNDS", 0)
     assert sorted(map(tuple, ngramjoin.jaccard_components(frame(spark, rows), percent=80).collect())) == want
+
+
+# ---------------------------------------------------------------- the whole fusion by plain loops
+
+def plain_fusion(rows, languages):
+    """rows: (ll or None, declared, suffix, host, domain) -> [(language, confidence)]."""
+    k = len(languages) + 1
+    prior = [(1 - langid.UNKNOWN_PRIOR) / (k - 1)] * (k - 1) + [langid.UNKNOWN_PRIOR]
+
+    def norm(logs):
+        top = max(logs)
+        e = [math.exp(x - top) for x in logs]
+        return [x / sum(e) for x in e]
+
+    def add(table, key, s):
+        if key is not None:
+            table[key] = [a + b for a, b in zip(table.get(key, [0.0] * k), s)]
+
+    soft = [None if ll is None else norm([a + math.log(p) for a, p in zip(ll, prior)]) for ll, *_ in rows]
+    total, by = [0.0] * k, [{}, {}, {}, {}]
+    domain_of = {}
+    for s, (_, declared, suffix, host, domain) in zip(soft, rows):
+        if s is not None:
+            total = [a + b for a, b in zip(total, s)]
+            for table, key in zip(by, (declared, suffix, host, domain)):
+                add(table, key, s)
+            if host is not None and domain is not None:
+                domain_of[host] = min(domain, domain_of.get(host, domain))
+    corpus = [(t + 10 * p) / (sum(total) + 10) for t, p in zip(total, prior)]
+
+    def smooth(s, parent, weight):
+        return [(x + weight * p) / (sum(s) + weight) for x, p in zip(s, parent)]
+
+    def evidence(column, table, value, trust):
+        if value is None:
+            return [0.0] * k
+        values = len({r[column] for r in rows if r[column] is not None})
+        head = [trust if value == g else 0.0 for g in [*languages, langid.UNKNOWN]]
+        s = table.get(value, [0.0] * k)
+        return [math.log((x + h + langid.EVIDENCE_SMOOTHING) / (n + trust + langid.EVIDENCE_SMOOTHING * (values + 1))) for x, h, n in zip(s, head, total)]
+
+    out = []
+    for s, (ll, declared, suffix, host, domain) in zip(soft, rows):
+        if ll is None:
+            out.append((langid.UNKNOWN, 0.0))
+            continue
+        parent = smooth(by[3][domain_of[host]], corpus, langid.DOMAIN_WEIGHT) if host in domain_of else corpus
+        hosts = by[2].get(host, s) if host is not None else s
+        prior_of_host = smooth([max(0.0, a - b) for a, b in zip(hosts, s)], parent, langid.HOST_WEIGHT)
+        logs = [math.log(p + 1e-12) + a + b + c for p, a, b, c in zip(prior_of_host, ll, evidence(1, by[0], declared, langid.DECLARED_TRUST),
+                                                                   evidence(2, by[1], suffix, 0.0))]
+        p = norm(logs)
+        best = max(range(k), key=lambda i: (p[i], -i))
+        out.append(([*languages, langid.UNKNOWN][best], p[best]))
+    return out
+
+
+def test_fusion_equals_plain_loops_on_pages_and_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    odd = [(-1, None, None), (-2, "http://lone.example.fr/x", ""), (-3, "nonsense", "<html lang='de'><p>wort"), (-4, "https://a.b.es/en/q", "<html lang=EN>12 34")]
+    pages = pages.unionByName(spark.createDataFrame(odd, pages.schema))
+    parts = langid.page_parts(F.col("url"), F.col("html"))
+    rows = pages.select("page_id", langid.text_evidence(spark, model, F.col("html"), markup=True).alias("ll"), *[c.alias(n) for n, c in parts.items()]).collect()
+    want = dict(zip([r["page_id"] for r in rows], plain_fusion([(r["ll"], r["_declared"], r["_suffix"], r["_host"], r["_domain"]) for r in rows], model.languages)))
+    got = {r["page_id"]: (r["language"], r["confidence"]) for r in langid.identify_pages(pages, model).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in got)
+    rows = docs.select("doc_id", langid.text_evidence(spark, model, F.col("text")).alias("ll"), F.lower("lang").alias("d"), "source").collect()
+    want = plain_fusion([(r["ll"], r["d"], None, r["source"], None) for r in rows], model.languages)
+    stay = {r["doc_id"] for r, (g, p) in zip(rows, want) if g != langid.UNKNOWN and p >= langid.MIN_CONFIDENCE}
+    assert {r["doc_id"] for r in langid.keep_identified(docs, model).select("doc_id").collect()} == stay

@@ -273,3 +273,64 @@ def test_span_table_survives_colliding_hashes(monkeypatch):
             assert flat.tobytes() == w
             seen.setdefault(w, s)
         assert [words[i] for i in new.tolist()] == [table.spans.get(np.array([before + k]))[0].tobytes() for k in range(len(new))]
+
+
+def random_merges(seed, symbols=4, merges=40):
+    r = random.Random(seed)
+    base = {i: i for i in range(symbols)}
+    tokens, out, made = list(base), [], {}
+    for _ in range(merges):
+        u, v = r.choice(tokens), r.choice(tokens)
+        if (u, v) in made:
+            continue
+        made[u, v] = len(tokens)
+        out.append((u, v, len(tokens)))
+        tokens.append(len(tokens))
+    return base, out, len(tokens)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_transition_table_agrees_with_undone_merges(seed, monkeypatch):
+    base, merges, n = random_merges(seed)
+    auto = bpe.Automaton(base, merges, n)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+    follows = auto.may_follow(a, b).reshape(n, n)
+    for s in range(auto.n_states):  # tokens of one state have the same arcs
+        rows = follows[auto.state == s]
+        assert (rows == rows[0]).all()
+    for _ in range(2):  # closed, then looked up
+        got = auto.step(auto.state[a], b)
+        assert ((got >= 0) == follows.ravel()).all() and (got[got >= 0] == auto.state[b][got >= 0]).all()
+    # the table alone is read once its entries are closed
+    monkeypatch.setattr(auto, "may_follow", None)
+    data = np.random.default_rng(seed).integers(0, 4, 3000).astype(np.uint8)
+    ids, counts = auto.encode_words(data, np.full(30, 100), False)
+    ranks = {(u, v): (k, w) for k, (u, v, w) in enumerate(merges)}
+    want = []
+    for word in data.reshape(30, 100).tolist():
+        while True:
+            best = min(((ranks[p][0], i) for i, p in enumerate(zip(word, word[1:])) if p in ranks), default=None)
+            if best is None:
+                break
+            u, v, w = merges[best[0]]
+            out, i = [], 0
+            while i < len(word):
+                if i + 1 < len(word) and (word[i], word[i + 1]) == (u, v):
+                    out.append(w)
+                    i += 2
+                else:
+                    out.append(word[i])
+                    i += 1
+            word = out
+        want += word
+    assert ids.tolist() == want
+
+
+def test_a_small_transition_table_is_filled_again(monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_BITS", 5)
+    base, merges, n = random_merges(11)
+    auto = bpe.Automaton(base, merges, n)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+    for lo in range(0, len(a), 10):
+        got = auto.step(auto.state[a[lo:lo + 10]], b[lo:lo + 10])
+        assert ((got >= 0) == auto.may_follow(a[lo:lo + 10], b[lo:lo + 10])).all()
