@@ -68,6 +68,18 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+ARROW_ROWS = 2000
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Sets the session to batches of at most ``ARROW_ROWS`` rows between Spark and Python.
+
+    Rows of these operators are whole texts: Spark's 10 000 rows a batch would hold tens of megabytes in the executor
+    and again in each Python worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def settled(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
     """Checkpointed rows in as many partitions as their number asks for.
 

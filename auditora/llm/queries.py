@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, divergence, fingerprints, idstore, langid, licenses, mixing, ngramjoin, substrings, tokencount, topk, toxicity, turnrepair
-from .common import scratch_folder
+from .common import scratch_folder, small_arrow_batches
 from .sql import DIVERGENCE_SQL, LICENSE_SQL, MIX_SQL, TOPK_SQL, TURN_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 PIECE = 1 << 20  # bytes hashed at a time; a longer word makes a longer piece
 LONG = 256  # bytes of a span beyond which it is hashed by itself
 
-SLICE_BYTES = 1 << 21  # text of a batch worked on at a time
+SLICE_BYTES = 1 << 20  # text of a batch worked on at a time
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
