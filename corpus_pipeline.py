@@ -12,31 +12,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from auditora.llm import bpe, langid, mixing, ngramjoin, toxicity
+from auditora.llm.common import small_arrow_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored below their language's threshold by the convolutional classifier (learnt from ``labels``)."""
+    """Rows scored below their language's threshold by the convolutional classifier (learnt from ``labels``).
+
+    A NULL or empty text gets the score of no words; rows of NULL keys and repeated rows are judged by their text
+    alone; an empty table stays empty.
+    """
+    small_arrow_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language the fused evidence identifies."""
+    """Rows whose language the fused evidence identifies; texts without letters are not identified, repeated rows are
+    judged alike, an empty table stays empty."""
+    small_arrow_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group linked by 5-word shingle similarity of 0.8 or more."""
+    """One document (the smallest doc_id, NULL last) of each group linked by 5-word shingle similarity of 0.8 or more;
+    texts without words are in no group and stay."""
+    small_arrow_batches(spark)
     return ngramjoin.keep_one_per_component(docs, width=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to square-root source weights and globally shuffled."""
+    """Documents repeated to square-root source weights and globally shuffled; a NULL source is a source, rows equal in key
+    draw alike."""
     return mixing.mix_sources(docs, epochs=1.0, temperature=0.5, seed="mix-1")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy; NULL and empty texts have no tokens."""
+    small_arrow_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
