@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import explain as ex
 from ..operators import fairness as fa
 from ..operators import mitigate as mt
@@ -168,29 +169,44 @@ def attribution_importance(spark, sf_dir):
     return ex.attribution_importance(ml.linear_attributions(fx.decisions(spark, sf_dir), _COEFS, "row_id"))
 
 
-@register("importance_concentration", sql=f"""WITH {_lin_sql()},
-i AS (SELECT feature, avg(abs(attribution)) AS importance FROM att GROUP BY feature),
+# eight inputs of a line item; quantities are named as an age to have a sensitive name among them
+_LINE_COEFS = {"l_quantity_age": 0.5, "l_extendedprice": 0.0002, "l_discount": 30.0, "l_tax": 25.0, "l_partkey": 0.004, "l_suppkey": 0.03,
+               "l_linenumber": 1.5, "l_race_number": 0.7}
+
+
+def _lines(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_linenumber",
+                     F.col("l_quantity").alias("l_quantity_age"), (F.col("l_linenumber") % 3).alias("l_race_number"))
+
+
+def _line_importance_sql() -> str:
+    source = {"l_quantity_age": "l_quantity", "l_race_number": "(l_linenumber % 3)"}
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {w} * (CAST({source.get(c, c)} AS DOUBLE) - (SELECT avg(CAST({source.get(c, c)} AS DOUBLE)) FROM lineitem)) AS attribution FROM lineitem"
+        for c, w in _LINE_COEFS.items())
+    return f"att AS ({parts}), i AS (SELECT feature, avg(abs(attribution)) AS importance FROM att GROUP BY feature)"
+
+
+@register("importance_concentration", sql=f"""WITH {_line_importance_sql()},
 r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM i),
 a AS (SELECT sum(importance) FILTER (WHERE rank <= 5) * 100.0 / sum(importance) AS share,
              string_agg(feature, ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS top3 FROM r)
 SELECT ROUND(share, 6) AS top_share_pct,
        CASE WHEN share > 80 THEN 'high' WHEN share < 40 THEN 'distributed' ELSE 'balanced' END AS concentration, top3 FROM a""")
 def importance_concentration(spark, sf_dir):
-    """Share of importance in the top five features and the top three names."""
-    imp = ex.attribution_importance(ml.linear_attributions(fx.decisions(spark, sf_dir), _COEFS, "row_id")).drop("rank")
+    """Share of importance in the top five of eight line-item inputs and the top three names."""
+    imp = ex.attribution_importance(ml.linear_attributions(_lines(spark, sf_dir), _LINE_COEFS, "l_orderkey")).drop("rank")
     return ex.importance_concentration(imp)
 
 
-@register("sensitive_in_top", sql=f"""WITH {_lin_sql()},
-i AS (SELECT feature, avg(abs(attribution)) AS importance FROM att GROUP BY feature),
+@register("sensitive_in_top", sql=f"""WITH {_line_importance_sql()},
 r AS (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM i)
 SELECT feature, rank, ROUND(importance, 6) AS importance FROM r
-WHERE rank <= 10 AND (contains(lower(feature), 'gender') OR contains(lower(feature), 'sex') OR contains(lower(feature), 'race')
-      OR contains(lower(feature), 'ethnicity') OR contains(lower(feature), 'age') OR contains(lower(feature), 'religion')
-      OR contains(lower(feature), 'marital'))""")
+WHERE rank <= 10 AND ({' OR '.join(f"contains(lower(feature), '{k}')" for k in rules.SENSITIVE_IMPORTANCE_KEYWORDS)})""")
 def sensitive_in_top(spark, sf_dir):
-    """X11: sensitive-looking names among the ten most important features."""
-    imp = ex.attribution_importance(ml.linear_attributions(fx.decisions(spark, sf_dir), _COEFS, "row_id")).drop("rank")
+    """X11: sensitive-looking names among the ten most important of eight line-item inputs (two are named so)."""
+    imp = ex.attribution_importance(ml.linear_attributions(_lines(spark, sf_dir), _LINE_COEFS, "l_orderkey")).drop("rank")
     return ex.sensitive_in_top(imp)
 
 
