@@ -278,6 +278,7 @@ class Join:
         several = hot.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
         found = cool.select("token", "node", "info").dropDuplicates(["token", "node"]).unionByName(
             hot.join(several, "token").select("token", "node", "info").dropDuplicates(["token", "node"]))
+        found = found.checkpoint(eager=True)  # few of the exploded rows; both uses below would repeat their exchange
         n = F.shiftright("info", 16)
         met = found.groupBy("node").agg(F.count(F.lit(1)).alias("s"))
         rows = found.join(met, "node").select("token", "node", n.alias("n"), F.col("info").bitwiseAND(F.lit(65535)).cast("int").alias("typ"), "s")
