@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
-from .common import let, named
+from .common import let, named, scratch_folder
 from .textnum import buffers, in_spans
 
 UNKNOWN = "und"
@@ -35,7 +35,7 @@ DECLARED_TRUST = 10.0
 UNKNOWN_PRIOR = 1e-3
 MIN_CONFIDENCE = 0.5
 BROADCAST_HOSTS = 100_000
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 # Letters and non-ASCII bytes are kept (A-Z lower-cased), all other bytes are blanks.
 FOLD = np.full(256, 32, np.uint8)
@@ -308,6 +308,9 @@ def keep_identified(docs: DataFrame, model: TextModel, text: str = "text", decla
                         text_evidence(docs.sparkSession, model, named(text)).alias("_ll"),
                         F.lower(named(declared).cast("string")).alias("_declared"), named(host).cast("string").alias("_host"),
                         F.lit(None).cast("string").alias("_domain"), F.lit(None).cast("string").alias("_suffix"))
-    judged = fuse(plain, model.languages)
+    # the evidence is read for the sums and again for the answer: score the texts once
+    folder = scratch_folder(docs.sparkSession, "evidence")
+    plain.write.parquet(folder)
+    judged = fuse(docs.sparkSession.read.schema(plain.schema).parquet(folder), model.languages)
     kept = judged.filter((F.col("language") != UNKNOWN) & (F.col("confidence") >= MIN_CONFIDENCE))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

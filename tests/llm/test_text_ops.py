@@ -197,3 +197,54 @@ def test_mix_weights_count_by_their_ratios(spark):
     for bad in (float("nan"), float("inf"), -1.0):
         with pytest.raises(ValueError, match="weights"):
             mixing.mix_sources(docs, spark.createDataFrame([(names[0], bad)], "s string, w double"))
+
+
+def plain_fingerprint(text):
+    """One permutation of shingle hashes, least hash of each bin, empty bins borrowing by the least hash of (bin, donor bin)."""
+    import struct
+
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def chain(parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64(p, seed=seed).intdigest()
+        return seed
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    if not words:
+        return ""
+    hashes = [chain(w.encode() for w in words[i:i + 5]) for i in range(len(words) - 4)] or [chain([" ".join(words).encode()])]
+    bins = {}
+    for h in hashes:
+        at = h >> (64 - fingerprints.BIN_BITS)
+        bins[at] = min(h, bins.get(at, h))
+    out = []
+    for b in range(fingerprints.BINS):
+        if b in bins:
+            h = bins[b]
+        else:
+            h = min(bins.items(), key=lambda x: (signed(chain([struct.pack("<i", b), struct.pack("<i", x[0])])), signed(x[1])))[1]
+        out.append(f"{h & ((1 << fingerprints.LOW_BITS) - 1):0{fingerprints.DIGITS}x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_the_plain_version_digit_for_digit(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.length("text") < 20_000).limit(60).select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "one"), (-4, "one two three four"), (-5, "a b c d e"), (-6, "Same same " * 40), (-7, "ünï 中文 x y z w")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    rows = fingerprints.fingerprint_documents(docs).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(rows) == len(text) and all(r["fingerprint"] == plain_fingerprint(text[r["doc_id"]]) for r in rows)
+    # likeness: agreeing bins corrected for chance agreement of the low bits
+    pairs = [(plain_fingerprint(a), plain_fingerprint(b)) for a, b in zip(list(text.values())[:20], list(text.values())[1:21])]
+    chance = 1 / (1 << fingerprints.LOW_BITS)
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("l")).collect():
+        d = fingerprints.DIGITS
+        same = sum(r["a"][i:i + d] == r["b"][i:i + d] for i in range(0, fingerprints.BINS * d, d)) / fingerprints.BINS if r["a"] and r["b"] else 0
+        want = 1.0 if r["a"] == r["b"] else 0.0 if not (r["a"] and r["b"]) else max(0.0, (same - chance) / (1 - chance))
+        assert abs(r["l"] - want) < 1e-12
