@@ -96,6 +96,10 @@ def domain_insights(profile: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ R5
+# Words in column names that tell a domain.
+DOMAIN_WORDS = {"loan": ("loan", "credit"), "health": ("medical", "health"), "employ": ("employ", "hire", "job")}
+
+
 def recommendations(risk: DataFrame, categories: DataFrame, summary: DataFrame, profile: DataFrame,
                     sensitive: Sequence[str] = (), model_kind: str | None = None) -> DataFrame:
     """Data-specific recommendations in the application's order.
@@ -108,8 +112,7 @@ def recommendations(risk: DataFrame, categories: DataFrame, summary: DataFrame,
     cat_lists = categories.groupBy("category").agg(_names(F.lit(True)).alias("cols"))
     cats = cat_lists.agg(F.map_from_entries(F.collect_list(F.struct("category", "cols"))).alias("m"),
                          F.count("*").alias("n_cats"))
-    dom = profile.agg(*[F.bool_or(_contains_any(F.col("feature"), kws)).alias(code) for code, kws in [
-        ("loan", ["loan", "credit"]), ("health", ["medical", "health"]), ("employ", ["employ", "hire", "job"])]])
+    dom = profile.agg(*[F.bool_or(_contains_any(F.col("feature"), kws)).alias(code) for code, kws in DOMAIN_WORDS.items()])
     ctx = (rk.withColumn("m", cats.select("m").scalar()).withColumn("n_cats", cats.select("n_cats").scalar())
              .withColumn("rows", summary.select("rows").scalar())
              .withColumn("missing_pct", summary.select("missing_pct").scalar())
@@ -118,47 +121,38 @@ def recommendations(risk: DataFrame, categories: DataFrame, summary: DataFrame,
     m = F.col("m")
     sens = ",".join(sensitive).lower()
     has = lambda c: F.coalesce(F.element_at(m, F.lit(c)), F.lit("")) != ""
+    def because(what: str, found: Column) -> Column:
+        """A message is the rule's own condition and what met it."""
+        return F.concat(F.lit(f"{what}: "), found)
+
     items = [
-        _item(1, "critical_privacy_risk", F.concat(F.lit("Immediately review columns "), F.col("crit"),
-              F.lit(" - likely personal identifiers to anonymise or remove")), F.col("crit") != ""),
-        _item(1, "high_privacy_priority", F.concat(F.lit("Assess columns "), F.col("high"), F.lit(" for anonymisation")),
-              (F.col("crit") == "") & (F.col("high") != "")),
-        _item(1, "privacy_ok", F.lit("No critical privacy risks detected"), (F.col("crit") == "") & (F.col("high") == "")),
-        _item(2, "identity_protection", F.concat(F.lit("Remove or hash identifier columns "), F.element_at(m, F.lit("personal_id"))),
-              has("personal_id")),
-        _item(3, "location_privacy", F.concat(F.lit("Consider geographic aggregation for "), F.element_at(m, F.lit("location"))),
-              has("location")),
-        _item(4, "financial_data", F.concat(F.lit("Apply differential privacy or binning to "), F.element_at(m, F.lit("financial"))),
-              has("financial")),
+        _item(1, "critical_privacy_risk", because("risk >= 4", F.col("crit")), F.col("crit") != ""),
+        _item(1, "high_privacy_priority", because("risk >= 3", F.col("high")), (F.col("crit") == "") & (F.col("high") != "")),
+        _item(1, "privacy_ok", F.lit("risk >= 3: none"), (F.col("crit") == "") & (F.col("high") == "")),
     ]
+    for n, (code, category) in enumerate((("identity_protection", "personal_id"), ("location_privacy", "location"), ("financial_data", "financial")), 2):
+        items.append(_item(n, code, because(f"category {category}", F.element_at(m, F.lit(category))), has(category)))
     if sensitive:
-        items += [
-            _item(5, "gender_bias", F.lit("Apply fairness constraints across gender groups"),
-                  F.lit("gender" in sens) | has("gender")),
-            _item(6, "racial_fairness", F.lit("Apply bias testing and mitigation for race groups"),
-                  F.lit("race" in sens) | has("race")),
-            _item(7, "age_discrimination", F.lit("Monitor disparate impact on age groups 40+"),
-                  F.lit("age" in sens) | has("age")),
-        ]
+        for n, (code, group) in enumerate((("gender_bias", "gender"), ("racial_fairness", "race"), ("age_discrimination", "age")), 5):
+            items.append(_item(n, code, F.lit(f"sensitive attribute: {group}"), F.lit(group in sens) | has(group)))
     else:
-        items.append(_item(5, "bias_analysis_missing", F.lit("Analyse demographic features for fairness")))
+        items.append(_item(5, "bias_analysis_missing", F.lit("sensitive attributes: none")))
     items += [
-        _item(8, "small_sample", F.format_string("Dataset has only %d records", F.col("rows")), F.col("rows") < 1000),
-        _item(8, "large_dataset", F.format_string("Dataset has %d records; use distributed fairness assessment", F.col("rows")),
-              F.col("rows") > 100000),
-        _item(9, "data_quality", F.format_string("%.1f%% missing data detected", F.col("missing_pct")), F.col("missing_pct") > 10),
-        _item(10, "financial_services", F.lit("Implement FCRA compliance measures"), F.col("loan")),
-        _item(11, "healthcare", F.lit("Ensure HIPAA compliance and health equity monitoring"), F.col("health")),
-        _item(12, "employment", F.lit("Follow EEOC guidelines and 4/5ths rule testing"), F.col("employ")),
+        _item(8, "small_sample", F.format_string("rows: %d < 1000", F.col("rows")), F.col("rows") < 1000),
+        _item(8, "large_dataset", F.format_string("rows: %d > 100000", F.col("rows")), F.col("rows") > 100000),
+        _item(9, "data_quality", F.format_string("missing: %.1f%% > 10%%", F.col("missing_pct")), F.col("missing_pct") > 10),
     ]
+    for n, (code, domain) in enumerate((("financial_services", "loan"), ("healthcare", "health"), ("employment", "employ")), 10):
+        items.append(_item(n, code, F.lit(f"column names: {', '.join(DOMAIN_WORDS[domain])}"), F.col(domain)))
     model_codes = {"forest": "forest_monitoring", "gbt": "gbt_oversight", "linear": "linear_transparency"}
     if model_kind in model_codes:
-        items.append(_item(13, model_codes[model_kind], F.lit(f"Model-specific monitoring for {model_kind} models")))
+        items.append(_item(13, model_codes[model_kind], F.lit(f"model kind: {model_kind}")))
     items += [
-        _item(14, "documentation", F.lit("Maintain model cards documenting data, metrics, limitations and fairness")),
-        _item(15, "continuous_monitoring", F.lit("Automate bias monitoring in production with alerts")),
-        _item(16, "team_training", F.lit("Specialised bias training for many sensitive attributes"), F.col("n_cats") > 3),
-        _item(16, "basic_training", F.lit("Responsible AI training for the team"), F.coalesce(F.col("n_cats"), F.lit(0)) <= 3),
+        _item(14, "documentation", F.lit("always")),
+        _item(15, "continuous_monitoring", F.lit("always")),
+        _item(16, "team_training", F.format_string("sensitive categories: %d > 3", F.col("n_cats")), F.col("n_cats") > 3),
+        _item(16, "basic_training", F.format_string("sensitive categories: %d <= 3", F.coalesce(F.col("n_cats"), F.lit(0))),
+              F.coalesce(F.col("n_cats"), F.lit(0)) <= 3),
     ]
     return _rows_from_items(ctx, items)
 
@@ -301,19 +295,15 @@ def privacy_report_lines(pii: DataFrame, kanon: DataFrame, compliance: DataFrame
 
 
 # ------------------------------------------------------------------ R9
+# What to look at, by model kind: operators of this library, or a property to watch.
 INTERPRETABILITY_ADVICE = {
-    "forest": ["Use built-in feature importance", "Check permutation importance for stability",
-               "Explain single predictions with local attributions"],
-    "gbt": ["Use built-in feature importance", "Monitor boosting iterations", "Explain predictions with local attributions"],
-    "linear": ["Read coefficients directly", "Check coefficient stability", "Watch for correlated features"],
+    "forest": ["feature_importance", "permutation_importance", "tree_shapley"],
+    "gbt": ["feature_importance", "n_estimators", "tree_shapley"],
+    "linear": ["coefficient_importance", "linear_attributions", "high_correlation_pairs"],
 }
-
-
-GENERAL_ADVICE = ["Document the key features and why the business uses them",
-                  "Have domain experts validate explanations at regular times",
-                  "Explain individual predictions with local surrogates"]
+GENERAL_ADVICE = ["importance_concentration", "sensitive_in_top", "local_surrogate"]
 
 
 def interpretability_advice(model_kind: str) -> list[str]:
-    """Advice lines for a model kind, then the lines that hold for every kind."""
+    """What to look at for a model kind, then what holds for every kind."""
     return [*INTERPRETABILITY_ADVICE.get(model_kind, []), *GENERAL_ADVICE]

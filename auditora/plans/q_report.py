@@ -104,7 +104,7 @@ def overview(spark, sf_dir):
 
 
 def _recs_sql(forest_line: bool = True) -> str:
-    dom = {"loan": ["loan", "credit"], "health": ["medical", "health"], "employ": ["employ", "hire", "job"]}
+    dom = rp.DOMAIN_WORDS
     dom_sql = ", ".join("coalesce(bool_or(" + " OR ".join(f"contains(lower(feature), '{k}')" for k in kws) + f"), false) AS {name}"
                         for name, kws in dom.items())
     n = len(EV)
@@ -118,29 +118,26 @@ ctx AS (SELECT rk.*, (SELECT count(*) FROM cl) AS n_cats,
                (SELECT cols FROM cl WHERE category = 'location') AS loc,
                (SELECT cols FROM cl WHERE category = 'financial') AS fin, d.* FROM rk, (SELECT {dom_sql} FROM prof) d)
 SELECT 1 AS priority, 'critical_privacy_risk' AS code,
-       'Immediately review columns ' || crit || ' - likely personal identifiers to anonymise or remove' AS message FROM ctx WHERE crit <> ''
-UNION ALL SELECT 1, 'high_privacy_priority', 'Assess columns ' || high || ' for anonymisation' FROM ctx WHERE crit = '' AND high <> ''
-UNION ALL SELECT 1, 'privacy_ok', 'No critical privacy risks detected' FROM ctx WHERE crit = '' AND high = ''
-UNION ALL SELECT 2, 'identity_protection', 'Remove or hash identifier columns ' || pid FROM ctx WHERE coalesce(pid, '') <> ''
-UNION ALL SELECT 3, 'location_privacy', 'Consider geographic aggregation for ' || loc FROM ctx WHERE coalesce(loc, '') <> ''
-UNION ALL SELECT 4, 'financial_data', 'Apply differential privacy or binning to ' || fin FROM ctx WHERE coalesce(fin, '') <> ''
-UNION ALL SELECT 5, 'gender_bias', 'Apply fairness constraints across gender groups' FROM ctx
-          WHERE EXISTS (SELECT 1 FROM cl WHERE category = 'gender')
-UNION ALL SELECT 6, 'racial_fairness', 'Apply bias testing and mitigation for race groups' FROM ctx
-          WHERE EXISTS (SELECT 1 FROM cl WHERE category = 'race')
-UNION ALL SELECT 7, 'age_discrimination', 'Monitor disparate impact on age groups 40+' FROM ctx
-          WHERE EXISTS (SELECT 1 FROM cl WHERE category = 'age')
-UNION ALL SELECT 8, 'small_sample', printf('Dataset has only %d records', rows) FROM ctx WHERE rows < 1000
-UNION ALL SELECT 8, 'large_dataset', printf('Dataset has %d records; use distributed fairness assessment', rows) FROM ctx WHERE rows > 100000
-UNION ALL SELECT 9, 'data_quality', printf('%.1f%% missing data detected', missing_pct) FROM ctx WHERE missing_pct > 10
-UNION ALL SELECT 10, 'financial_services', 'Implement FCRA compliance measures' FROM ctx WHERE loan
-UNION ALL SELECT 11, 'healthcare', 'Ensure HIPAA compliance and health equity monitoring' FROM ctx WHERE health
-UNION ALL SELECT 12, 'employment', 'Follow EEOC guidelines and 4/5ths rule testing' FROM ctx WHERE employ
-UNION ALL SELECT 13, 'forest_monitoring', 'Model-specific monitoring for forest models' FROM ctx WHERE {str(forest_line).upper()}
-UNION ALL SELECT 14, 'documentation', 'Maintain model cards documenting data, metrics, limitations and fairness' FROM ctx
-UNION ALL SELECT 15, 'continuous_monitoring', 'Automate bias monitoring in production with alerts' FROM ctx
-UNION ALL SELECT 16, 'team_training', 'Specialised bias training for many sensitive attributes' FROM ctx WHERE n_cats > 3
-UNION ALL SELECT 16, 'basic_training', 'Responsible AI training for the team' FROM ctx WHERE n_cats <= 3"""
+       'risk >= 4: ' || crit AS message FROM ctx WHERE crit <> ''
+UNION ALL SELECT 1, 'high_privacy_priority', 'risk >= 3: ' || high FROM ctx WHERE crit = '' AND high <> ''
+UNION ALL SELECT 1, 'privacy_ok', 'risk >= 3: none' FROM ctx WHERE crit = '' AND high = ''
+UNION ALL SELECT 2, 'identity_protection', 'category personal_id: ' || pid FROM ctx WHERE coalesce(pid, '') <> ''
+UNION ALL SELECT 3, 'location_privacy', 'category location: ' || loc FROM ctx WHERE coalesce(loc, '') <> ''
+UNION ALL SELECT 4, 'financial_data', 'category financial: ' || fin FROM ctx WHERE coalesce(fin, '') <> ''
+UNION ALL SELECT 5, 'gender_bias', 'sensitive attribute: gender' FROM ctx WHERE EXISTS (SELECT 1 FROM cl WHERE category = 'gender')
+UNION ALL SELECT 6, 'racial_fairness', 'sensitive attribute: race' FROM ctx WHERE EXISTS (SELECT 1 FROM cl WHERE category = 'race')
+UNION ALL SELECT 7, 'age_discrimination', 'sensitive attribute: age' FROM ctx WHERE EXISTS (SELECT 1 FROM cl WHERE category = 'age')
+UNION ALL SELECT 8, 'small_sample', printf('rows: %d < 1000', rows) FROM ctx WHERE rows < 1000
+UNION ALL SELECT 8, 'large_dataset', printf('rows: %d > 100000', rows) FROM ctx WHERE rows > 100000
+UNION ALL SELECT 9, 'data_quality', printf('missing: %.1f%% > 10%%', missing_pct) FROM ctx WHERE missing_pct > 10
+UNION ALL SELECT 10, 'financial_services', 'column names: {', '.join(dom['loan'])}' FROM ctx WHERE loan
+UNION ALL SELECT 11, 'healthcare', 'column names: {', '.join(dom['health'])}' FROM ctx WHERE health
+UNION ALL SELECT 12, 'employment', 'column names: {', '.join(dom['employ'])}' FROM ctx WHERE employ
+UNION ALL SELECT 13, 'forest_monitoring', 'model kind: forest' FROM ctx WHERE {str(forest_line).upper()}
+UNION ALL SELECT 14, 'documentation', 'always' FROM ctx
+UNION ALL SELECT 15, 'continuous_monitoring', 'always' FROM ctx
+UNION ALL SELECT 16, 'team_training', printf('sensitive categories: %d > 3', n_cats) FROM ctx WHERE n_cats > 3
+UNION ALL SELECT 16, 'basic_training', printf('sensitive categories: %d <= 3', n_cats) FROM ctx WHERE n_cats <= 3"""
 
 
 @register("recommendations", sql=_recs_sql())
