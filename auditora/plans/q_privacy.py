@@ -241,6 +241,24 @@ def generalize_plan_events(spark, sf_dir):
     return pv.generalize_plan(table(spark, sf_dir, "events"), 3)
 
 
+def _edges_sql(name: str, col: str, bins: int) -> str:
+    return f"""{name} AS (SELECT CASE WHEN i = 0 THEN lo - (hi - lo) * 0.001 WHEN i = {bins} THEN hi ELSE i * ((hi - lo) / {bins}) + lo END AS e
+  FROM (SELECT min({col})::DOUBLE AS lo, max({col})::DOUBLE AS hi FROM part) st, range(0, {bins + 1}) r(i))"""
+
+
+@register("generalization_check", sql=f"""WITH {_edges_sql('e1', 'p_retailprice', 4)}, {_edges_sql('e2', 'p_size', 5)},
+c AS (SELECT p_retailprice AS a, p_size AS b, (SELECT count(*) FROM e1 WHERE e < p_retailprice) AS ca,
+             (SELECT count(*) FROM e2 WHERE e < p_size) AS cb FROM part)
+SELECT 'p_retailprice+p_size' AS combo, 2 AS size, (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY a, b)) AS k_before,
+       (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY ca, cb)) AS k_after""")
+def generalization_check(spark, sf_dir):
+    """K-anonymity of part price and size before and after cutting them into 4 and 5 bins of equal width."""
+    p = table(spark, sf_dir, "part").select("p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.lit(n).alias("bins"))
+                     for c, n in (("p_retailprice", 4), ("p_size", 5))])
+    return pv.generalization_check(p, plan=p.agg(rows.alias("r")).select(F.inline("r")))
+
+
 # ---------------------------------------------------------------- P10 Laplace
 _NOISED = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
