@@ -60,6 +60,11 @@ def per_worker(key: tuple, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def release_kept() -> None:
+    """Lets go of what earlier stages kept in this worker process; for stages that keep nothing themselves."""
+    per_worker(("nothing",), lambda: None)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the session's shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

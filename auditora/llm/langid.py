@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
-from .common import let, named, scratch_folder
+from .common import let, named, release_kept, scratch_folder
 from .textnum import buffers, in_spans
 
 UNKNOWN = "und"
@@ -180,6 +180,7 @@ def text_evidence(spark, model: TextModel, text: Column, markup: bool = False) -
     held = spark.sparkContext.broadcast(model)
 
     def evidence(t: pa.Array) -> pa.Array:
+        release_kept()
         if markup:
             t = pa.array([visible(x or "") for x in t.to_pylist()], pa.string())
         data, offsets = buffers(t)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release_kept
+
 PIECE = 1 << 20  # bytes hashed at a time; a longer word makes a longer piece
 LONG = 256  # bytes of a span beyond which it is hashed by itself
 
@@ -117,6 +119,7 @@ def give_back() -> None:
 
 def small_batches(batches, column: int):
     """The rows of record batches in batches of bounded text, so that work arrays stay small."""
+    release_kept()
     for batch in batches:
         for lo, n in spans(batch.column(column)):
             yield batch.slice(lo, n)
