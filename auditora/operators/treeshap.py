@@ -11,12 +11,19 @@ the path does not test have o = z = 1 and change nothing.  Attributions of a row
 output minus its mean over the training rows.
 
 The fitted model is written to the scratch folder and read back as a table of nodes, flattened to
-arrays of paths (bounded by the size of the model) and sent to the tasks once; rows are scored in vectorised
-batches, rows x paths x tests at a time within a bound.
+arrays of paths (bounded by the size of the model) and sent to the tasks once.
+
+Trees see of a feature only which of the model's cut points or categories a value falls between.  When the
+product over the features of (bins + 1) is at most ``GRID_CELLS``, the expectations of all feature sets are one table
+with a bin or "not given" for each feature: every path is a product of one vector a feature, so a tree's table is one
+matrix product, and the tables of the trees add up.  Rows then look their values up.  Models with more cells are
+scored path by path in vectorised batches, rows x paths x tests at a time within a bound.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 import uuid
 
 import numpy as np
@@ -32,6 +39,7 @@ from .models import FEATURES, _final, _input_names, label_values
 
 CELLS = 1 << 20  # rows x paths x tests held at a time
 TABLE_TESTS = 7  # trees with at most so many tests on a path are looked up by pattern
+GRID_CELLS = 1 << 22  # cells of a model's table of expectations (8 bytes each)
 
 
 def node_table(model, spark) -> DataFrame:
@@ -139,6 +147,122 @@ class Paths:
         return out
 
 
+class Grid:
+    """Expected output of a model given any set of its features, by the bins of their values; 0 stands for not given."""
+
+    def __init__(self, paths: list[Paths], width: int):
+        self.width = width
+        cuts: dict[int, list] = {}
+        codes: dict[int, int] = {}
+        for p in paths:
+            for f in range(width):
+                at = p.feature == f
+                cuts.setdefault(f, []).append(np.unique(np.concatenate([p.lo[at], p.hi[at]])))
+                for k in np.unique(p.set_of[at]):
+                    if k >= 0:
+                        codes[f] = len(p.sets[k])
+        found = {f: np.unique(np.concatenate(c)) for f, c in cuts.items()}
+        self.cuts = {f: c[np.isfinite(c)] for f, c in found.items()}
+        self.codes = codes
+        # one bin more for codes outside the categories; features without tests are left out
+        bins = {f: codes[f] + 1 if f in codes else len(self.cuts[f]) + 1 for f in range(width) if f in codes or len(self.cuts.get(f, ()))}
+        self.features = sorted(bins, key=lambda f: (bins[f], f))
+        self.shape = tuple(bins[f] + 1 for f in self.features)
+        self.cells = math.prod(self.shape)
+        self.strides = [math.prod(self.shape[i + 1:]) for i in range(len(self.shape))]
+        self.table: np.ndarray | None = None
+
+    def bins(self, f: int, v: np.ndarray) -> np.ndarray:
+        """Bins of the values of a feature, from 1."""
+        if f in self.codes:
+            n = self.codes[f]
+            code = np.where(np.isfinite(v), v, -1).astype(np.int64)
+            return np.where((code >= 0) & (code < n), code, n) + 1
+        return np.searchsorted(self.cuts[f], v, "left") + 1
+
+    def factor(self, p: Paths, f: int, size: int, part: slice) -> np.ndarray:
+        """(paths, size): whether a bin passes a path's tests of a feature; first the share that passes them."""
+        out = np.ones((len(p.value[part]), size))
+        cells = np.arange(size - 1)
+        for m in range(p.feature.shape[1]):
+            at = np.flatnonzero(p.feature[part, m] == f)
+            if not len(at):
+                continue
+            lo, hi, z, own = p.lo[part, m][at], p.hi[part, m][at], p.z[part, m][at], p.set_of[part, m][at]
+            out[at, 0] *= z
+            if f not in self.codes:
+                least, last = np.searchsorted(self.cuts[f], lo, "right"), np.searchsorted(self.cuts[f], hi, "left")
+                out[at, 1:] *= (cells >= least[:, None]) & (cells <= last[:, None])
+                continue
+            for k in np.unique(own):
+                if k >= 0:
+                    out[at[own == k], 1:] *= np.append(p.sets[k], False)
+        return out
+
+    def tree(self, p: Paths) -> np.ndarray:
+        """One tree's table: sum over its paths of the value times the factors of all features."""
+        *left, last = self.features
+        wide = self.cells // self.shape[-1]
+        out = np.zeros((wide, self.shape[-1]))
+        step = max(1, CELLS // (wide + self.shape[-1]))
+        for lo in range(0, len(p.value), step):
+            part = slice(lo, lo + step)
+            a = p.value[part][:, None]
+            for f, size in zip(left, self.shape):
+                a = (a[:, :, None] * self.factor(p, f, size, part)[:, None, :]).reshape(len(a), -1)
+            out += a.T @ self.factor(p, last, self.shape[-1], part)
+        return out.ravel()
+
+    def filled(self, paths: list[Paths], spark) -> Grid:
+        """This grid with its table, made by tasks over the trees."""
+        if not self.features:
+            self.table = np.array([sum(p.mean for p in paths)])
+            return self
+        sc, empty = spark.sparkContext, self
+        held = sc.broadcast(paths)
+        tasks = min(len(paths), max(1, sc.defaultParallelism))
+
+        def tables(numbers):
+            total = np.zeros(empty.cells)
+            for t in numbers:
+                total += empty.tree(held.value[t])
+            yield total
+
+        self.table = sc.parallelize(range(len(paths)), tasks).mapPartitions(tables).treeReduce(operator.add)
+        return self
+
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        """The model's outputs for rows of all features (.., width)."""
+        at = np.zeros(x.shape[:-1], np.int64)
+        for f, stride in zip(self.features, self.strides):
+            at += self.bins(f, x[..., f]) * stride
+        return self.table[at]
+
+    def attributions(self, x: np.ndarray) -> np.ndarray:
+        n = len(self.features)
+        sets = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+        size = sets.sum(1, keepdims=True)
+        fact = [float(math.factorial(k)) for k in range(n + 1)]
+        gain = np.array([fact[k - 1] * fact[n - k] / fact[n] if k else 0.0 for k in range(n + 1)])
+        loss = np.array([fact[k] * fact[n - k - 1] / fact[n] if k < n else 0.0 for k in range(n + 1)])
+        weights = np.where(sets == 1, gain[size], -loss[size])
+        out = np.zeros((len(x), self.width))
+        step = max(1, CELLS >> n)
+        for lo in range(0, len(x), step):
+            rows = x[lo:lo + step]
+            at = np.zeros((len(rows), 1 << n), np.int64)
+            for i, f in enumerate(self.features):
+                at += (self.bins(f, rows[:, f]) * self.strides[i])[:, None] * sets[:, i]
+            out[lo:lo + step, self.features] = self.table[at] @ weights
+        return out
+
+
+def grid_of(paths: list[Paths], width: int, spark) -> Grid | None:
+    """The filled grid of a model, or None where it would have more than ``GRID_CELLS`` cells."""
+    grid = Grid(paths, width)
+    return grid.filled(paths, spark) if grid.cells <= GRID_CELLS else None
+
+
 def flatten(model: PipelineModel, spark, class_index: int | None = None) -> list[Paths]:
     """Paths of every tree; values are scaled so that they add up to the model's output.
 
@@ -173,8 +297,10 @@ def tree_shapley(model: PipelineModel, df: DataFrame, id_col: str, paths: list[P
     A forest's rows add up to its probability of the last label minus ``mean_output``; boosted trees to the margin.
     """
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(paths if paths is not None else flatten(model, spark))
     names = _input_names(model)
+    paths = paths if paths is not None else flatten(model, spark)
+    grid = grid_of(paths, len(names), spark)
+    held = spark.sparkContext.broadcast([grid] if grid is not None else paths)
 
     def score(x: pa.Array) -> pa.Array:
         rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)

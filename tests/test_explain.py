@@ -161,3 +161,25 @@ def test_tree_attributions_refuse_other_models(spark, table):
     m = ml.train_models(table, ["a", "b"], "label", which=["logistic_regression"])["logistic_regression"]
     with pytest.raises(ValueError):
         ts.flatten(m, spark)
+
+
+def test_tree_attributions_look_rows_up(spark, table, monkeypatch):
+    """Rows of a model with a small grid are not scored path by path, and large grids give the same."""
+    from auditora.operators import models as ml
+    from auditora.operators import treeshap as ts
+    m = ml.train_models(table, ["a", "b", "c", "g"], "label", which=["random_forest"], trees=6, rf_depth=7)["random_forest"]
+
+    def all_of():
+        return {(r["id"], r["feature"]): r["attribution"] for r in ts.tree_shapley(m, table, "id").collect()}
+
+    want = None
+    for cells in (0, 1 << 22):
+        monkeypatch.setattr(ts, "GRID_CELLS", cells)
+        paths = ts.flatten(m, spark)
+        grid = ts.grid_of(paths, 4, spark)
+        assert (grid is None) == (cells == 0)
+        got = all_of()
+        assert want is None or (got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want))
+        want = got
+    x = np.array([[np.nan, 2.0, 0.1, 9.0], [0.5, -1.0, np.inf, -2.0], [-9.0, 0.0, 0.0, 3.0]])
+    assert np.allclose(grid.attributions(x), sum(p.attributions(x) for p in paths), atol=1e-12)
