@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel, GBTClassifier,
                                        LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
@@ -31,6 +32,7 @@ LABEL_IDX = "label_idx"
 MAX_CATEGORIES = 256
 DICTIONARY_BROADCAST = 1_000_000
 SURROGATE_VALUES = 1_000_000
+SURROGATE_BATCH = 2_000  # rows whose perturbations are held at a time
 
 
 # ------------------------------------------------------------------ L1
@@ -494,6 +496,8 @@ def local_surrogate(model: PipelineModel, df: DataFrame, features: Sequence[str]
     the row's own value (NULL is a value).  All draws come from hashes of the row, sample and feature.  The kernel weight is
     exp(-d^2 / w^2) on the standardised distance, a changed string counting 1.  Weighted normal equations
     are summed per row with one group-by, and the small (F+1)x(F+1) systems are solved in Arrow batches.
+    Forests and trees whose table of outputs fits (``treeshap.Grid``) score the samples where they are drawn, a batch of
+    rows at a time, and only the sums of each row leave the task; other models score one exploded row a sample.
     Returns (id, feature, weight) plus the intercept as feature '_intercept'.  Frequencies are held by the tasks,
     so a string feature may have at most ``SURROGATE_VALUES`` values.
     """
@@ -513,6 +517,10 @@ def local_surrogate(model: PipelineModel, df: DataFrame, features: Sequence[str]
             raise ValueError(f"{f} has more than {SURROGATE_VALUES} values")
         cum = np.cumsum([r["n"] for r in freq], dtype=float)
         tables[f] = (cum / cum[-1] if len(cum) else cum, [r["v"] for r in freq])
+    grid = _surrogate_grid(model, df.sparkSession)
+    if grid is not None:
+        ne = _grid_sums(model, grid, df, feats, strings, id_col, sds, tables, samples, width, seed)
+        return _solved_surrogates(ne, feats, sds, ridge, id_col, df.schema[id_col].dataType.simpleString())
     held = df.sparkSession.sparkContext.broadcast(tables)
 
     def drawn(f: str):
@@ -545,8 +553,85 @@ def local_surrogate(model: PipelineModel, df: DataFrame, features: Sequence[str]
     sums = [F.sum(wgt * xs[a] * xs[b]).alias(f"a_{a}_{b}") for a in range(nf + 1) for b in range(a, nf + 1)]
     sums += [F.sum(wgt * xs[a] * F.col("_y")).alias(f"b_{a}") for a in range(nf + 1)]
     ne = scored.groupBy(id_col).agg(*sums)
+    return _solved_surrogates(ne, feats, sds, ridge, id_col, df.schema[id_col].dataType.simpleString())
+
+
+def _surrogate_grid(model, spark):
+    """The table of a forest's or tree's positive-class probability, or None where the samples must be transformed."""
+    from . import treeshap
+    if not isinstance(model, PipelineModel) or any(isinstance(s, CodeModel) for s in model.stages):
+        return None
+    m = _final(model)
+    if not isinstance(m, (RandomForestClassificationModel, DecisionTreeClassificationModel)):
+        return None
+    return treeshap.grid_of(treeshap.flatten(model, spark), m.numFeatures, spark)
+
+
+def _grid_sums(model: PipelineModel, grid, df: DataFrame, feats: list[str], strings: list[str], id_col: str, sds: dict, tables: dict,
+               samples: int, width: float, seed: int) -> DataFrame:
+    """(id, a_i_j.., b_i..): the surrogates' weighted normal equations, samples drawn and scored in batches of rows."""
+    nf = len(feats)
+    coded = {}  # string feature -> model code of each value of its table
+    for s in model.stages:
+        if s.__class__.__name__ == "StringIndexerModel" and s.getInputCol() in strings:
+            known = {v: float(i) for i, v in enumerate(s.labels)}
+            coded[s.getInputCol()] = np.array([known.get(v, float(len(known))) for v in tables[s.getInputCol()][1]])
+    order = [feats.index(f) for f in _input_names(model)]
+    held = df.sparkSession.sparkContext.broadcast((grid, {f: (tables[f][0], {v: i for i, v in enumerate(tables[f][1])}, coded[f]) for f in strings}))
+
+    def units(f_i: int, part: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda s: _unit_hash(F.col("_id"), s, F.lit(f_i), F.lit(part), seed=seed))
+
+    base = df.select(named(id_col).alias("_id"), *[(named(f) if f in strings else named(f).cast("double")).alias(f"_x{i}") for i, f in enumerate(feats)])
+    parts = {i: (1,) if f in strings else (1, 2) for i, f in enumerate(feats)}
+    asked = base.select("*", *[units(i, part).alias(f"_u{i}_{part}") for i, own in parts.items() for part in own])
+    pairs = [(a, b) for a in range(nf + 1) for b in range(a, nf + 1)]
+
+    def batch_sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lookup, texts = held.value
+        n = batch.num_rows
+
+        def drawn(i: int, part: int) -> np.ndarray:
+            return batch.column(f"_u{i}_{part}").flatten().to_numpy(zero_copy_only=False).reshape(n, samples)
+
+        x, z, far = np.empty((n, samples, nf)), np.ones((n, samples, nf + 1)), np.zeros((n, samples))
+        for i, f in enumerate(feats):
+            if f in strings:
+                cum, number, codes = texts[f]
+                own = np.array([number[v] for v in batch.column(f"_x{i}").to_pylist()])
+                at = np.minimum(np.searchsorted(cum, drawn(i, 1), "right"), len(cum) - 1)
+                at[:, 0] = own  # the first sample is the row itself
+                x[:, :, i], z[:, :, i + 1] = codes[at], at == own[:, None]
+                far += 1 - z[:, :, i + 1]
+            else:
+                shift = np.sqrt(-2 * np.log(drawn(i, 1) + 1e-12)) * np.cos(2 * np.pi * drawn(i, 2))
+                shift[:, 0] = 0.0
+                own = batch.column(f"_x{i}").to_numpy(zero_copy_only=False)
+                if np.isnan(own).any():
+                    raise ValueError(f"{f} holds NULL or NaN")
+                x[:, :, i], z[:, :, i + 1] = own[:, None] + shift * sds[f], shift
+                far += shift * shift
+        y = lookup.outputs(x[:, :, order])
+        weighted = z * np.exp(-far / (width * width))[:, :, None]
+        left = np.matmul(weighted.transpose(0, 2, 1), z)
+        right = np.matmul(weighted.transpose(0, 2, 1), y[:, :, None])[:, :, 0]
+        return pa.RecordBatch.from_arrays([batch.column("_id"), *[pa.array(left[:, a, b]) for a, b in pairs], *[pa.array(right[:, a]) for a in range(nf + 1)]],
+                                          ["_id", *[f"a_{a}_{b}" for a, b in pairs], *[f"b_{a}" for a in range(nf + 1)]])
+
+    def sums(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SURROGATE_BATCH):
+                yield batch_sums(batch.slice(lo, SURROGATE_BATCH))
+
+    cols = [f"a_{a}_{b}" for a, b in pairs] + [f"b_{a}" for a in range(nf + 1)]
+    per_row = asked.mapInArrow(sums, T.StructType([T.StructField("_id", df.schema[id_col].dataType), *[T.StructField(c, T.DoubleType()) for c in cols]]))
+    return per_row.groupBy(F.col("_id").alias(id_col)).agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def _solved_surrogates(ne: DataFrame, feats: list[str], sds: dict, ridge: float, id_col: str, id_type: str) -> DataFrame:
+    """(id, feature, weight) from summed normal equations."""
+    nf = len(feats)
     names = ["_intercept"] + feats
-    id_type = df.schema[id_col].dataType.simpleString()
 
     def solve(batches):
         for pdf in batches:

@@ -139,3 +139,22 @@ def test_gate_and_coefficients(spark, fitted):
     lr = ml.train_models(df, ["a", "b"], "label", which=["logistic_regression"])["logistic_regression"]
     coef = ml.linear_model_coefficients(lr)
     assert set(coef) == {"a", "b"} and abs(coef["a"]) > abs(coef["b"])
+
+
+def test_table_surrogates_equal_transformed_samples(spark, fitted, monkeypatch):
+    from auditora.operators import treeshap as ts
+    df, model = fitted
+    # repeated and NULL ids share their sums; samples must not be transformed one by one
+    rows = df.where("id < 40").unionByName(df.where("id < 5")).unionByName(df.where("id >= 395").withColumn("id", F.lit(None).cast("long")))
+
+    def weights():
+        return {(r["id"], r["feature"]): r["weight"] for r in ml.local_surrogate(model, rows, ["g", "b", "a"], "id", samples=40).collect()}
+
+    transform = type(model).transform
+    monkeypatch.setattr(type(model), "transform", lambda *_: pytest.fail("transformed"))
+    fast = weights()
+    monkeypatch.setattr(type(model), "transform", transform)
+    monkeypatch.setattr(ts, "GRID_CELLS", 0)
+    plain = weights()
+    assert fast.keys() == plain.keys() and len(fast) == 41 * 4
+    assert all(abs(fast[k] - plain[k]) < 1e-8 for k in plain)
