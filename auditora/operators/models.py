@@ -32,6 +32,8 @@ LABEL_IDX = "label_idx"
 MAX_CATEGORIES = 256
 DICTIONARY_BROADCAST = 1_000_000
 SURROGATE_VALUES = 1_000_000
+# Training rows of one task: tree estimators keep about 2 KB a row (bag counts and node numbers of 100 trees).
+TRAIN_ROWS = 250_000
 SURROGATE_BATCH = 2_000  # rows whose perturbations are held at a time
 
 
@@ -230,6 +232,13 @@ def train_models(df: DataFrame, features: Sequence[str], label: str, which: Sequ
     train = train.persist()
     try:
         stats = train.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).first()
+        parts = -(-stats["n"] // TRAIN_ROWS)
+        if parts > train.rdd.getNumPartitions():
+            # estimators work in the partitions given, which are sized for the few bytes of a plain row
+            spread = train.repartition(parts).persist()
+            spread.count()
+            train.unpersist()
+            train = spread
         ests = estimators(stats["n"], stats["k"], seed, **kw)
         names = list(which) if which else list(ests)
         return {n: build_pipeline(train, features, label, ests[n]).fit(train) for n in names}

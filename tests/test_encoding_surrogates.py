@@ -158,3 +158,13 @@ def test_table_surrogates_equal_transformed_samples(spark, fitted, monkeypatch):
     plain = weights()
     assert fast.keys() == plain.keys() and len(fast) == 41 * 4
     assert all(abs(fast[k] - plain[k]) < 1e-8 for k in plain)
+
+
+def test_training_rows_are_spread_over_tasks(spark, fitted, monkeypatch):
+    df, _ = fitted
+    seen = []
+    fit = ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, rows: (seen.append((rows.rdd.getNumPartitions(), rows.count())), fit(self, rows))[1])
+    monkeypatch.setattr(ml, "TRAIN_ROWS", 50)
+    ml.train_models(df.coalesce(1), ["a", "b"], "label", which=["random_forest"], trees=2, rf_depth=2)
+    assert seen == [(8, 400)]
