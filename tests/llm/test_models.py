@@ -463,3 +463,27 @@ def test_fusion_equals_plain_loops_on_pages_and_documents(spark):
     want = plain_fusion([(r["ll"], r["d"], None, r["source"], None) for r in rows], model.languages)
     stay = {r["doc_id"] for r, (g, p) in zip(rows, want) if g != langid.UNKNOWN and p >= langid.MIN_CONFIDENCE}
     assert {r["doc_id"] for r in langid.keep_identified(docs, model).select("doc_id").collect()} == stay
+
+
+def test_toxicity_learns_from_every_row(spark, docs, labels, model, monkeypatch):
+    """Rows outside the first sample change the network, every calibration row counts, and tasks' order does not."""
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "lang", "toxic")
+    truth = labels.join(docs.select("doc_id"), "doc_id").selectExpr("toxic", "pmod(crc32(cast(doc_id as string)), 5) r").filter("r > 0").groupBy(
+        F.when(F.col("r") == 1, 1).otherwise(0).alias("fold"), F.col("toxic").alias("y")).count()
+    assert {tuple(r) for r in rows.groupBy("fold", "y").count().collect()} == {tuple(r) for r in truth.collect()}
+    seen = []
+    calibrate = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, logits, y, n, langs: (seen.append(n.sum()), calibrate(m, logits, y, n, langs)))
+    some = [toxicity.fit(docs, labels, per_class=15, epochs=8) for _ in range(2)]
+    assert seen == [rows.filter("fold = 1").count()] * 2
+    monkeypatch.setattr(toxicity, "learn_all", lambda m, *_: m)
+    start = toxicity.fit(docs, labels, per_class=15, epochs=8)
+    assert np.allclose(some[0].table, some[1].table) and np.allclose(some[0].conv, some[1].conv)
+    moved = (some[0].table != start.table).any(axis=1).sum()
+    assert moved > 100
+
+    def right(m):
+        got = toxicity.score_toxicity(docs, m).withColumnRenamed("toxic", "flag").join(labels, "doc_id").filter("held_out").collect()
+        return np.mean([r.predicted == r.toxic for r in got])
+
+    assert right(some[0]) >= right(start) - 0.02
