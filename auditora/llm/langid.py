@@ -138,7 +138,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
     if not names:
         return TextModel([], np.array([uniform]), np.zeros((1 << BITS) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
     index = {g: i for i, g in enumerate(names)}
-    lasts = docs.sparkSession.createDataFrame([(r["g"], index[r["g"]], r["last"]) for r in last], "g string, i int, last bigint")
+    # a list of rows would pass through a second kind of Python workers, whose daemons stay in the executors
+    lasts = docs.sparkSession.createDataFrame(pa.table({
+        "g": pa.array([r["g"] for r in last]), "i": pa.array([index[r["g"]] for r in last], pa.int32()),
+        "last": pa.array([r["last"] for r in last], pa.int64())}))
     picked = good.join(F.broadcast(lasts), "g").filter(F.col("h") <= F.col("last")).groupBy("i", "h").agg(F.min("t").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +155,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
             held.clear()
             return pa.record_batch([pa.array(g), pa.array(slot), pa.array(n)], names=["g", "slot", "n"])
 
+        release_kept()
         for b in batches:
             data, offsets = buffers(b.column(1))
             for g, lo, hi in zip(b.column(0).to_pylist(), offsets[:-1], offsets[1:]):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
 from .common import named, release_kept, scratch_folder
-from .textnum import buffers, in_spans, mix, word_hashes
+from .textnum import buffers, in_spans, mix, small_batches, word_hashes
 
 TABLE = 1 << 17
 DIM = 8
@@ -34,6 +34,8 @@ PIECE_WORDS = 1 << 16
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 96 << 20  # words of the sample that the driver trains on
 VISITS = 40_000  # row visits of the training; small samples are gone through up to MAX_EPOCHS times
+BATCH = 32  # rows of a step of the training
+ROUND_ROWS = 2000  # rows of a task after which a step ends, however Spark cuts its batches
 WORD_DROP = 0.4
 MIN_EPOCHS, MAX_EPOCHS = 8, 40
 BLOCK = 1024  # table rows that tasks hand over together
@@ -129,7 +131,7 @@ def fresh(rng: np.random.Generator) -> tuple[Model, dict]:
 
 
 def learn(m: Model, sums: dict, idx_list: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, order: np.ndarray,
-          rng: np.random.Generator, batch: int = 32, rate: float = 0.08, drop: float = WORD_DROP) -> None:
+          rng: np.random.Generator, batch: int = BATCH, rate: float = 0.08, drop: float = WORD_DROP) -> None:
     """One pass of Adagrad on the logistic loss over the rows in ``order``."""
     n_out, mask = len(WIDTHS) * FILTERS, mask_of_widths()
     for at in range(0, len(order), batch):
@@ -185,9 +187,12 @@ def flat_layers(m: Model) -> np.ndarray:
     return np.concatenate([m.conv.ravel(), m.conv_bias, m.out, [m.out_bias]]).astype(float)
 
 
-def learn_all(m: Model, sums: dict, rows: DataFrame, counts: dict[int, int], seed: int = 7) -> Model:
-    """``m`` carried on through every row (y, w) once: each task goes over its own rows from ``m``, and the changes are
-    averaged by rows; those of a table row over the tasks that met it.  Tasks hand the table over in blocks."""
+def task_changes(m: Model, sums: dict, rows: DataFrame, counts: dict[int, int], seed: int = 7) -> DataFrame:
+    """(block, shard, n, change): what every task changes in ``m`` on its own rows (y, t), n of them.
+
+    The words are made from the texts in the function that learns from them: two Python functions in a row would take
+    two workers for every task, and each keeps its memory for the stages after.
+    """
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast((m, sums))
     class_weight = {c: 0.5 * sum(counts.values()) / max(1, counts.get(c, 0)) for c in (0, 1)}
@@ -198,11 +203,22 @@ def learn_all(m: Model, sums: dict, rows: DataFrame, counts: dict[int, int], see
         own = {k: np.array(v) for k, v in sums_.items()}
         shard, n = TaskContext.get().partitionId(), 0
         rng = np.random.default_rng([seed, shard])
-        for batch in batches:
-            y = batch.column("y").to_numpy()
-            idx = [np.frombuffer(w.as_buffer(), np.int32).reshape(-1, 3) for w in batch.column("w")]
-            learn(mine, own, idx, y, np.where(y == 1, class_weight[1], class_weight[0]), np.arange(len(y)), rng)
-            n += len(y)
+
+        def step(some: list) -> None:
+            y = np.array([r[0] for r in some])
+            learn(mine, own, [r[1] for r in some], y, np.where(y == 1, class_weight[1], class_weight[0]), np.arange(len(y)), rng)
+
+        waiting: list = []
+        for batch in small_batches(batches, 1):
+            idx, words = features(batch.column(1))
+            waiting += zip(batch.column(0).to_pylist(), np.split(idx, np.cumsum(words)[:-1]))
+            while len(waiting) >= (size := min(BATCH, ROUND_ROWS - n % ROUND_ROWS)):
+                step(waiting[:size])
+                del waiting[:size]
+                n += size
+        if waiting:
+            step(waiting)
+            n += len(waiting)
         if not n:
             return
         change = mine.table - start.table
@@ -212,6 +228,12 @@ def learn_all(m: Model, sums: dict, rows: DataFrame, counts: dict[int, int], see
                 yield pa.RecordBatch.from_pydict({"block": [b], "shard": [shard], "n": [n], "change": [part.tobytes()]}, PARTS)
         yield pa.RecordBatch.from_pydict({"block": [-1], "shard": [shard], "n": [n], "change": [(flat_layers(mine) - flat_layers(start)).tobytes()]}, PARTS)
 
+    return rows.select("y", "t").mapInArrow(own_rows, "block int, shard int, n long, change binary")
+
+
+def learn_all(m: Model, sums: dict, rows: DataFrame, counts: dict[int, int], seed: int = 7) -> Model:
+    """``m`` carried on through every row (y, t) once: each task goes over its own rows from ``m``, and the changes are
+    averaged by rows; those of a table row over the tasks that met it.  Tasks hand the table over in blocks."""
     def averaged(block: pa.Table) -> pa.Table:
         block = block.sort_by("shard")
         layers = block["block"][0].as_py() < 0
@@ -223,7 +245,7 @@ def learn_all(m: Model, sums: dict, rows: DataFrame, counts: dict[int, int], see
         mean = total / np.maximum(weight, 1)
         return pa.table({"block": block["block"][:1], "change": pa.array([mean.tobytes()], pa.binary())})
 
-    changes = rows.mapInArrow(own_rows, "block int, shard int, n long, change binary")
+    changes = task_changes(m, sums, rows, counts, seed)
     out = replace(m, table=m.table.copy())
     for r in changes.groupBy("block").applyInArrow(averaged, "block int, change binary").collect():  # the size of one network
         change = np.frombuffer(r["change"], float)
@@ -302,7 +324,11 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str,
 
 
 def word_column(text: str) -> Column:
-    return F.arrow_udf(in_spans(lambda t: _word_rows(*features(t))), "binary")(text)
+    def words(t: pa.Array) -> pa.Array:
+        release_kept()
+        return _word_rows(*features(t))
+
+    return F.arrow_udf(in_spans(words), "binary")(text)
 
 
 def first_sample(rows: DataFrame, per_class: int) -> list:
@@ -367,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         m, sums = fresh(np.random.default_rng(7))
     own = {y: counts[0, y] for y in (0, 1)}
     if len(first) < sum(own.values()):
-        m = learn_all(m, sums, rows.filter("fold = 0").select("y", word_column("t").alias("w")), own)
+        m = learn_all(m, sums, rows.filter("fold = 0"), own)
     both = counts.get((1, 0)) and counts.get((1, 1))
     calibrate_all(m, rows.filter("fold = 1") if both else rows)
     return m

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from auditora.llm import langid, ngramjoin, topk, toxicity
+from auditora.llm.common import ARROW_BYTES, small_arrow_batches
 from auditora.llm.components import components
 
 SF, SF_MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -487,3 +488,50 @@ def test_toxicity_learns_from_every_row(spark, docs, labels, model, monkeypatch)
         return np.mean([r.predicted == r.toxic for r in got])
 
     assert right(some[0]) >= right(start) - 0.02
+
+
+@pytest.fixture
+def batch_conf(spark):
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    yield keys
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_training_takes_one_worker_a_task(docs, labels):
+    """A chain of two Python functions would need two workers for every task of an executor."""
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "lang", "toxic").filter("fold = 0")
+    m, sums = toxicity.fresh(np.random.default_rng(1))
+    plan = toxicity.task_changes(m, sums, rows, {0: 1, 1: 1})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+def test_training_does_not_depend_on_batches(spark, docs, labels, batch_conf):
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "lang", "toxic").filter("fold = 0").coalesce(1)
+    found = []
+    for size in (7, 2000):
+        spark.conf.set(batch_conf[0], str(size))
+        found.append(toxicity.learn_all(*toxicity.fresh(np.random.default_rng(1)), rows, {0: 3, 1: 1}))
+    assert (found[0].table == found[1].table).all() and (found[0].conv == found[1].conv).all() and found[0].out_bias == found[1].out_bias
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark, batch_conf):
+    import pyarrow as pa
+    small_arrow_batches(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "b"])
+
+    got = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("abcdefgh "), 5000).alias("t")).mapInArrow(sizes, "n long, b long").collect()
+    assert sum(r.n for r in got) == 300 and max(r.b for r in got) < ARROW_BYTES + 200_000
+
+
+def test_language_fit_starts_no_workers_for_rdds(docs, monkeypatch):
+    """Rows of a Python list pass through a Python RDD, whose workers have a daemon of their own in every executor."""
+    from pyspark import RDD
+
+    def refused(*_, **__):
+        raise AssertionError("a Python RDD")
+    monkeypatch.setattr(RDD, "mapPartitionsWithIndex", refused)
+    assert len(langid.fit(docs).languages) > 2
