@@ -10,6 +10,7 @@ The trigram models are trained on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -139,9 +140,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
         return TextModel([], np.array([uniform]), np.zeros((1 << BITS) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
     index = {g: i for i, g in enumerate(names)}
     # a list of rows would pass through a second kind of Python workers, whose daemons stay in the executors
-    lasts = docs.sparkSession.createDataFrame(pa.table({
-        "g": pa.array([r["g"] for r in last]), "i": pa.array([index[r["g"]] for r in last], pa.int32()),
-        "last": pa.array([r["last"] for r in last], pa.int64())}))
+    told = json.dumps([{"g": r["g"], "i": index[r["g"]], "last": r["last"]} for r in last])
+    lasts = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<g: string, i: int, last: bigint>>")))
     picked = good.join(F.broadcast(lasts), "g").filter(F.col("h") <= F.col("last")).groupBy("i", "h").agg(F.min("t").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +170,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
         yield counted()
 
     counts = picked.select("i", "t").mapInArrow(count, "g int, slot int, n bigint").groupBy("g", "slot").agg(F.sum("n").alias("n"))
-    seen = counts.filter(F.col("slot") != BLANK3).toPandas()  # one row per language and slot seen in its sample
-    slot, g, n = seen["slot"].to_numpy(int), seen["g"].to_numpy(int), seen["n"].to_numpy(float)
+    seen = counts.filter(F.col("slot") != BLANK3).toArrow()  # one row per language and slot seen in its sample
+    slot, g, n = (seen[c].to_numpy().astype(t) for c, t in (("slot", int), ("g", int), ("n", float)))
     order = np.argsort(slot * len(names) + g)
     slot, g, n = slot[order], g[order], n[order]
     whole = np.bincount(g, weights=n, minlength=len(names)) + 0.01 * (1 << BITS)

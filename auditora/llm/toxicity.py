@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import bounded_broadcast
 from .common import named, release_kept, scratch_folder
-from .textnum import buffers, in_spans, mix, small_batches, word_hashes
+from .textnum import buffers, give_back, in_spans, mix, small_batches, word_hashes
 
 TABLE = 1 << 17
 DIM = 8
@@ -33,6 +33,7 @@ PIECE_WORDS = 1 << 16
 # Bound of the sample that training starts with (documented parameter): rows per class.
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 96 << 20  # words of the sample that the driver trains on
+SAMPLE_FILE_ROWS = 200  # rows of the sample that one file holds: the driver reads a few files at a time
 VISITS = 40_000  # row visits of the training; small samples are gone through up to MAX_EPOCHS times
 BATCH = 32  # rows of a step of the training
 ROUND_ROWS = 2000  # rows of a task after which a step ends, however Spark cuts its batches
@@ -345,13 +346,13 @@ def first_sample(rows: DataFrame, per_class: int) -> list:
     got = fold.join(F.broadcast(picks), "k").select("y", F.xxhash64("k", "t").alias("h"), word_column("t").alias("w"))
     # repeated keys could exceed the bound: keep it whatever the documents hold
     folder = scratch_folder(spark, "sample")
-    got.orderBy("h").limit(2 * per_class).write.parquet(folder)
+    got.orderBy("h").limit(2 * per_class).write.option("maxRecordsPerFile", SAMPLE_FILE_ROWS).parquet(folder)
     kept = spark.read.parquet(folder)
     sizes = kept.select("h", F.octet_length("w").alias("n")).orderBy("h").collect()  # at most 2 * per_class numbers
     fits = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES
     last = sizes[int(fits.sum()) - 1]["h"] if fits.any() else None
     held = kept.filter(F.col("h") <= F.lit(last)) if last is not None else kept.limit(0)
-    # one partition at a time, so that the driver holds the words once
+    # one partition of a few files at a time, so that the driver holds the words once
     found = sorted(((r["h"], r["y"], np.frombuffer(r["w"], np.int32).reshape(-1, 3)) for r in held.toLocalIterator()), key=lambda r: r[0])
     return [r[1:] for r in found]
 
@@ -391,8 +392,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         m, sums = train([r[1] for r in first], y, epochs)
     else:  # words beyond the bound left no sample of both classes
         m, sums = fresh(np.random.default_rng(7))
-    own = {y: counts[0, y] for y in (0, 1)}
-    if len(first) < sum(own.values()):
+    own, started = {y: counts[0, y] for y in (0, 1)}, len(first)
+    del first
+    give_back()  # the driver's Python keeps no words while the rest is learnt
+    if started < sum(own.values()):
         m = learn_all(m, sums, rows.filter("fold = 0"), own)
     both = counts.get((1, 0)) and counts.get((1, 1))
     calibrate_all(m, rows.filter("fold = 1") if both else rows)

@@ -535,3 +535,17 @@ def test_language_fit_starts_no_workers_for_rdds(docs, monkeypatch):
         raise AssertionError("a Python RDD")
     monkeypatch.setattr(RDD, "mapPartitionsWithIndex", refused)
     assert len(langid.fit(docs).languages) > 2
+
+
+def test_sample_reaches_the_driver_in_parts(docs, labels, monkeypatch):
+    """The sample's words are read in several jobs, not as one result, and are the same however they are cut."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "lang", "toxic")
+    parts, plain = [], Classic.toLocalIterator
+    monkeypatch.setattr(Classic, "toLocalIterator", lambda df, *a: (parts.append(df._jdf.rdd().getNumPartitions()), plain(df, *a))[1])
+    found = []
+    for size in (10, 1 << 20):
+        monkeypatch.setattr(toxicity, "SAMPLE_FILE_ROWS", size)
+        found.append(toxicity.first_sample(rows, 100))
+    assert parts[0] > 1 and len(found[0]) > 100
+    assert [(y, w.tolist()) for y, w in found[0]] == [(y, w.tolist()) for y, w in found[1]]
