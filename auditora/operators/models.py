@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import bounded_broadcast, broadcast_if, is_string, long_aggregate, named, unpivot
 from ..functions.ranges import ROWS_PER_CHUNK, default_chunks, hash_rank
+from . import forest
 
 FEATURES = "features"
 LABEL_IDX = "label_idx"
@@ -35,6 +36,7 @@ SURROGATE_VALUES = 1_000_000
 # Training rows of one task: tree estimators keep about 2 KB a row (bag counts and node numbers of 100 trees).
 TRAIN_ROWS = 250_000
 SURROGATE_BATCH = 2_000  # rows whose perturbations are held at a time
+CELL_ROWS = 1_000_000  # training rows from which trees for two classes are grown on counted cells (``forest``)
 
 
 # ------------------------------------------------------------------ L1
@@ -232,20 +234,41 @@ def train_models(df: DataFrame, features: Sequence[str], label: str, which: Sequ
     train = train.persist()
     try:
         stats = train.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).first()
+        ests = estimators(stats["n"], stats["k"], seed, **kw)
+        names = list(which) if which else list(ests)
+        models = _fit_on_cells(train, features, label, {n: ests[n] for n in names}, stats["n"]) if stats["n"] >= CELL_ROWS and stats["k"] == 2 else {}
+        rest = [n for n in names if n not in models]
         parts = -(-stats["n"] // TRAIN_ROWS)
-        if parts > train.rdd.getNumPartitions():
+        if rest and parts > train.rdd.getNumPartitions():
             # estimators work in the partitions given, which are sized for the few bytes of a plain row
             spread = train.repartition(parts).persist()
             spread.count()
             train.unpersist()
             train = spread
-        ests = estimators(stats["n"], stats["k"], seed, **kw)
-        names = list(which) if which else list(ests)
-        return {n: build_pipeline(train, features, label, ests[n]).fit(train) for n in names}
+        models.update({n: build_pipeline(train, features, label, ests[n]).fit(train) for n in rest})
+        return {n: models[n] for n in names}
     finally:
         train.unpersist()
 
 
+def _fit_on_cells(train: DataFrame, features: Sequence[str], label: str, ests: dict, n: int) -> dict[str, PipelineModel]:
+    """The tree models among ``ests``, grown on one table of counted cells; none where that table does not fit."""
+    trees = {name: e for name, e in ests.items() if forest.supported(e)}
+    models, tables, prepared = {}, {}, None
+    for name, est in trees.items():
+        stages = build_pipeline(train, features, label, est).getStages()
+        prepared = prepared or Pipeline(stages=stages[:-1]).fit(train)
+        max_bins = min(est.getMaxBins(), n)
+        if max_bins not in tables:
+            inputs = [s for s in prepared.stages if s.__class__.__name__ == "VectorAssembler"][0].getInputCols()
+            indexed = {s.getOutputCol(): len(s.labels) + 1 for s in prepared.stages if s.__class__.__name__ == "StringIndexerModel"}  # and one for the others
+            categories = {f: indexed[c] for f, c in enumerate(inputs) if c in indexed}
+            tables[max_bins] = forest.cell_table(prepared.transform(train), FEATURES, LABEL_IDX, categories, len(inputs), max_bins)
+        if tables[max_bins] is not None:
+            models[name] = PipelineModel([*prepared.stages, forest.fit(est, tables[max_bins], train.sparkSession)])
+    return models
+
+
 def label_values(model: PipelineModel) -> list[str]:
     idx = [s for s in model.stages if getattr(s, "getOutputCol", lambda: None)() == LABEL_IDX][0]
     return list(idx.labels)
