@@ -61,7 +61,7 @@ def candidate_cuts(x: DataFrame, numeric: list[int], max_bins: int) -> dict[int,
     probs = [i / max_bins for i in range(1, max_bins)]
     item = {f: F.get("_x", F.lit(f)) for f in numeric}
     seen = x.agg(*[F.approx_count_distinct(item[f]).alias(f"n{f}") for f in numeric],
-                 *[F.percentile_approx(item[f], probs, max(10_000, 10 * max_bins)).alias(f"q{f}") for f in numeric],
+                 *[F.percentile_approx(item[f], probs, max(1_000, 10 * max_bins)).alias(f"q{f}") for f in numeric],
                  *[F.max(item[f]).alias(f"m{f}") for f in numeric]).first()
     few = [f for f in numeric if seen[f"n{f}"] <= 2 * max_bins]
     values = x.agg(*[F.collect_set(item[f]).alias(f"v{f}") for f in few]).first() if few else None
@@ -357,7 +357,9 @@ def fit(est, cells: Cells, spark):
     kind = GBTClassificationModel if boosted else RandomForestClassificationModel
     text = _metadata(est, spark, f"classification.{kind.__name__}", est.uid, None, more)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/metadata")
-    return kind.load(folder)
+    model = kind.load(folder)
+    model.saved_at = folder  # ``treeshap.node_table`` reads the nodes from there
+    return model
 
 
 def _metadata(est, spark, name: str, uid: str, params: set | None, more: dict) -> str:

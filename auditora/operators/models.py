@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import bounded_broadcast, broadcast_if, is_string, long_aggregate, named, unpivot
 from ..functions.ranges import ROWS_PER_CHUNK, default_chunks, hash_rank
-from . import forest
+from . import forest, lookup
 
 FEATURES = "features"
 LABEL_IDX = "label_idx"
@@ -252,20 +252,33 @@ def train_models(df: DataFrame, features: Sequence[str], label: str, which: Sequ
 
 
 def _fit_on_cells(train: DataFrame, features: Sequence[str], label: str, ests: dict, n: int) -> dict[str, PipelineModel]:
-    """The tree models among ``ests``, grown on one table of counted cells; none where that table does not fit."""
-    trees = {name: e for name, e in ests.items() if forest.supported(e)}
-    models, tables, prepared = {}, {}, None
-    for name, est in trees.items():
-        stages = build_pipeline(train, features, label, est).getStages()
-        prepared = prepared or Pipeline(stages=stages[:-1]).fit(train)
-        max_bins = min(est.getMaxBins(), n)
-        if max_bins not in tables:
-            inputs = [s for s in prepared.stages if s.__class__.__name__ == "VectorAssembler"][0].getInputCols()
-            indexed = {s.getOutputCol(): len(s.labels) + 1 for s in prepared.stages if s.__class__.__name__ == "StringIndexerModel"}  # and one for the others
-            categories = {f: indexed[c] for f, c in enumerate(inputs) if c in indexed}
-            tables[max_bins] = forest.cell_table(prepared.transform(train), FEATURES, LABEL_IDX, categories, len(inputs), max_bins)
-        if tables[max_bins] is not None:
-            models[name] = PipelineModel([*prepared.stages, forest.fit(est, tables[max_bins], train.sparkSession)])
+    """The models of ``ests`` on one set of encoders, trees grown on one table of counted cells; trees whose table
+    does not fit are left out."""
+    tree = next((e for e in ests.values() if forest.supported(e)), None)
+    if tree is None:
+        return {}
+    stages = build_pipeline(train, features, label, tree).getStages()
+    prepared = Pipeline(stages=stages[:-1]).fit(train)
+    rows = prepared.transform(train)
+    asked = prepared.stages[-1].getInputCols()
+    indexed = {s.getOutputCol(): len(s.labels) + 1 for s in prepared.stages if s.__class__.__name__ == "StringIndexerModel"}  # and one for the others
+    categories = {f: indexed[c] for f, c in enumerate(asked) if c in indexed}
+    models, tables = {}, {}
+    for name, est in ests.items():
+        if forest.supported(est):
+            if categories:
+                est.setMaxBins(tree.getMaxBins())
+            max_bins = min(est.getMaxBins(), n)
+            if max_bins not in tables:
+                tables[max_bins] = forest.cell_table(rows, FEATURES, LABEL_IDX, categories, len(asked), max_bins)
+            if tables[max_bins] is None:
+                continue
+            last = forest.fit(est, tables[max_bins], train.sparkSession)
+        elif isinstance(est, LogisticRegression):
+            last = est.fit(rows)
+        else:
+            continue
+        models[name] = PipelineModel([*prepared.stages, last])
     return models
 
 
@@ -283,9 +296,16 @@ def predictions(models: dict[str, PipelineModel], df: DataFrame, id_col: str, la
     """
     test = df.where(F.col("split") == "test") if "split" in df.columns else df
     parts = []
+    n_rows = test.count()
     for name, m in models.items():
         labels = label_values(m)
         lab_arr = F.array(*[F.lit(v) for v in labels])
+        table = lookup.lookup_of(m, df.sparkSession, n_rows)
+        if table is not None:
+            t = lookup.outputs(m, table, test)
+            parts.append(t.select(F.lit(name).alias("model"), F.col(id_col), F.col(label).cast("string").alias("y"),
+                                  F.element_at(lab_arr, F.col("prediction").cast("int") + 1).alias("prediction"), F.col("_score").alias("score"), *keep))
+            continue
         t = m.transform(test)
         score = (vector_to_array("probability")[len(labels) - 1] if "probability" in t.columns
                  else F.lit(None).cast("double"))
@@ -389,6 +409,10 @@ def avg_path_length(model: PipelineModel, df: DataFrame) -> DataFrame:
     m = _final(model)
     if not isinstance(m, (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel)):
         raise ValueError("decision paths exist for tree models only")
+    table = lookup.lookup_of(model, df.sparkSession, df.count())
+    if table is not None:
+        total = lookup.path_nodes(model, table, df).agg(F.sum("n_nodes").alias("nodes"), (F.sum("n_rows") * table.trees).alias("n_paths"))
+        return total.select((F.col("nodes") / F.col("n_paths")).alias("avg_decision_path_length"), "n_paths")
     m.setLeafCol("_leaves")
     depth_rows = [(t, i, d + 1) for t, depths in enumerate(leaf_depths(m)) for i, d in enumerate(depths)]
     spark = df.sparkSession
@@ -416,27 +440,42 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     One seeded permutation per repeat serves all features: each row is paired with the row of
     the same rank under a second hash order, inside buckets of about ROWS_PER_CHUNK rows (one
     bucket for all rows of a smaller table).  The pairs are exploded to one variant per feature
-    without another shuffle, scored in one ``transform``, and aggregated.
+    without another shuffle, scored in one ``transform``, and aggregated.  Where a tree model's outputs fit a table
+    (``lookup``), rows travel as the numbers of their cells and variants are looked up.
     """
     feats = list(features)
     labels = label_values(model)
     lab_arr = F.array(*[F.lit(v) for v in labels])
     base = df.select(id_col, label, *feats)
+    n_rows = base.count()
     if buckets is None:  # each (feature, repeat, bucket) window holds about ROWS_PER_CHUNK rows
-        buckets = max(1, -(-base.count() // ROWS_PER_CHUNK))
+        buckets = max(1, -(-n_rows // ROWS_PER_CHUNK))
+    table = lookup.lookup_of(model, df.sparkSession, n_rows * repeats * len(feats))
+    row = F.struct(*feats)
+    if table is not None:
+        y = F.array_position(lab_arr, F.col(label).cast("string")).cast("int") - 1
+        base = lookup.cell_numbers(model, table, base, [F.col(id_col), y.alias("_y")]).checkpoint(eager=True)
+        row = F.col("_at")
     ex = base.select("*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep"))
     ex = ex.withColumn("_bk", F.pmod(F.xxhash64(F.col(id_col), "rep", F.lit(seed)), F.lit(buckets)))
     w1 = Window.partitionBy("rep", "_bk").orderBy(F.xxhash64(F.col(id_col), "rep", F.lit(seed + 1)), id_col)
     w2 = Window.partitionBy("rep", "_bk").orderBy(F.xxhash64(F.col(id_col), "rep", F.lit(seed + 2)), id_col)
     recv = ex.withColumn("_pos", F.row_number().over(w1))
-    donor = ex.select("rep", "_bk", F.row_number().over(w2).alias("_pos"), F.struct(*feats).alias("_donor"))
-    j = recv.join(donor, ["rep", "_bk", "_pos"]).select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("pf"))
-    permuted = j.select(id_col, label, "pf", "rep", *[
-        F.when(F.col("pf") == f, F.col("_donor")[f]).otherwise(F.col(f)).alias(f) for f in feats])
-    scored = model.transform(permuted)
-    pred = F.element_at(lab_arr, F.col("prediction").cast("int") + 1)
-    acc = scored.groupBy("pf", "rep").agg(F.avg((pred == F.col(label).cast("string")).cast("double")).alias("acc"))
-    b = model.transform(base).agg(F.avg((pred == F.col(label).cast("string")).cast("double")).alias("b"))
+    donor = ex.select("rep", "_bk", F.row_number().over(w2).alias("_pos"), row.alias("_donor"))
+    if table is not None:
+        names = _input_names(model)
+        pairs = recv.drop(id_col).join(donor, ["rep", "_bk", "_pos"]).select("rep", "_at", "_donor", "_y")
+        hits = lookup.permuted_hits(table, pairs, [names.index(f) for f in feats]).checkpoint(eager=True)  # one row per feature and repeat
+        acc = hits.where("f >= 0").select(F.get(F.array(*[F.lit(f) for f in feats]), F.col("f").cast("int")).alias("pf"), "rep", (F.col("hits") / F.col("n")).alias("acc"))
+        b = hits.where("f < 0").agg((F.sum("hits") / F.sum("n")).alias("b"))
+    else:
+        j = recv.join(donor, ["rep", "_bk", "_pos"]).select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("pf"))
+        permuted = j.select(id_col, label, "pf", "rep", *[
+            F.when(F.col("pf") == f, F.col("_donor")[f]).otherwise(F.col(f)).alias(f) for f in feats])
+        scored = model.transform(permuted)
+        pred = F.element_at(lab_arr, F.col("prediction").cast("int") + 1)
+        acc = scored.groupBy("pf", "rep").agg(F.avg((pred == F.col(label).cast("string")).cast("double")).alias("acc"))
+        b = model.transform(base).agg(F.avg((pred == F.col(label).cast("string")).cast("double")).alias("b"))
     drops = acc.withColumn("drop", b.select("b").scalar() - F.col("acc"))
     out = drops.groupBy(F.col("pf").alias("feature")).agg(F.avg("drop").alias("importance_mean"),
                                                           F.stddev_pop("drop").alias("importance_std"))

@@ -44,8 +44,10 @@ GRID_CELLS = 1 << 22  # cells of a model's table of expectations (8 bytes each)
 
 def node_table(model, spark) -> DataFrame:
     """(tree, id, left, right, feature, cut, categories, stats, prediction): the nodes of a fitted tree model."""
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
-    model.write().save(folder)
+    folder = getattr(model, "saved_at", None)
+    if folder is None:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+        model.write().save(folder)
     nodes = spark.read.parquet(f"{folder}/data")
     if "nodeData" in nodes.columns:
         nodes = nodes.select(F.col("treeID").alias("tree"), "nodeData.*")
