@@ -104,6 +104,7 @@ class Lookup:
         self.cuts, self.categories, self.sizes, self.trees = nodes.cuts, nodes.categories, nodes.sizes, trees
         self.cells = math.prod(self.sizes)
         self.strides = [math.prod(self.sizes[i + 1:]) for i in range(len(self.sizes))]
+        self._held = None
 
     def filled(self, nodes: Nodes, spark) -> Lookup:
         held, cells = spark.sparkContext.broadcast(nodes), self.cells
@@ -121,6 +122,15 @@ class Lookup:
         self.prediction, self.score, self.steps = (found.column(c).to_numpy()[order] for c in ("prediction", "score", "steps"))
         return self
 
+    def held(self, spark):
+        """This table as sent to the tasks, once."""
+        if self._held is None:
+            self._held = spark.sparkContext.broadcast(self)
+        return self._held
+
+    def __getstate__(self):
+        return {**self.__dict__, "_held": None}
+
     def numbers(self, x: pa.Array) -> np.ndarray:
         """Cells of rows given as lists of the model's inputs."""
         values = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(self.sizes))
@@ -150,6 +160,8 @@ def lookup_of(model, spark, rows: int) -> Lookup | None:
         F.when((F.col("left") >= 0) & (F.col("categories") >= 0), F.col("cut")).otherwise(F.array().cast("array<double>")).alias("codes"), "id",
     ).orderBy("tree", "id").toArrow()  # bounded by the model
     nodes = Nodes(table, m.numFeatures, list(m.treeWeights) if isinstance(m, GBTClassificationModel) else None)
+    del table
+    pa.default_memory_pool().release_unused()
     found = Lookup(nodes, len(nodes.starts))
     return found.filled(nodes, spark) if found.cells <= min(LOOKUP_CELLS, rows) else None
 
@@ -162,7 +174,7 @@ def inputs(model: PipelineModel, df: DataFrame) -> tuple[DataFrame, Column]:
 
 def outputs(model: PipelineModel, table: Lookup, df: DataFrame) -> DataFrame:
     """``df`` with ``prediction`` and ``_score``, the probability of the last label, looked up."""
-    held = df.sparkSession.sparkContext.broadcast(table)
+    held = table.held(df.sparkSession)
 
     def score(x: pa.Array) -> pa.Array:
         at = held.value.numbers(x)
@@ -176,7 +188,7 @@ def outputs(model: PipelineModel, table: Lookup, df: DataFrame) -> DataFrame:
 
 def path_nodes(model: PipelineModel, table: Lookup, df: DataFrame) -> DataFrame:
     """(n_nodes, n_rows) partial sums over the rows: nodes on the paths of all trees."""
-    held = df.sparkSession.sparkContext.broadcast(table)
+    held = table.held(df.sparkSession)
 
     def add(batches):
         for batch in batches:
@@ -189,7 +201,7 @@ def path_nodes(model: PipelineModel, table: Lookup, df: DataFrame) -> DataFrame:
 
 def cell_numbers(model: PipelineModel, table: Lookup, df: DataFrame, keep: list[Column]) -> DataFrame:
     """(``keep``.., _at): the cell of every row."""
-    held = df.sparkSession.sparkContext.broadcast(table)
+    held = table.held(df.sparkSession)
     rows, x = inputs(model, df)
     return rows.select(*keep, F.arrow_udf(lambda v: pa.array(held.value.numbers(v)), "long")(x).cast("int").alias("_at"))
 
@@ -197,7 +209,7 @@ def cell_numbers(model: PipelineModel, table: Lookup, df: DataFrame, keep: list[
 def permuted_hits(table: Lookup, pairs: DataFrame, own: list[int]) -> DataFrame:
     """(f, rep, hits, n) partial counts of rows ``_at`` with label ``_y`` whose input f comes from row ``_donor``; f = -1
     for the rows as they are.  Rows without a label are not counted.  ``own``: the model's inputs by number f."""
-    held = pairs.sparkSession.sparkContext.broadcast(table)
+    held = table.held(pairs.sparkSession)
 
     def count(batches):
         for batch in batches:

@@ -22,6 +22,7 @@ scored path by path in vectorised batches, rows x paths x tests at a time within
 
 from __future__ import annotations
 
+import itertools
 import math
 import operator
 import uuid
@@ -282,10 +283,9 @@ def flatten(model: PipelineModel, spark, class_index: int | None = None) -> list
         raise ValueError("tree model required")
     if not isinstance(m, GBTClassificationModel) and class_index is None:
         class_index = len(label_values(model)) - 1
-    by_tree: dict[int, list] = {}
-    for n in node_table(m, spark).collect():  # bounded by the model
-        by_tree.setdefault(n["tree"], []).append(n)
-    return [Paths(by_tree[t], weights[t], class_index, m.numFeatures) for t in sorted(by_tree)]
+    # the driver holds the rows of a few trees at a time
+    nodes = node_table(m, spark).orderBy("tree").toLocalIterator()
+    return [Paths(list(own), weights[t], class_index, m.numFeatures) for t, own in itertools.groupby(nodes, operator.itemgetter("tree"))]
 
 
 def mean_output(paths: list[Paths]) -> float:
